@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +46,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most `rows` rows, as single texts may be very long."""
+    """Arrow batches of at most `rows` rows, as single texts may be very long; also sees that workers have the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once a session, unless their path has it already."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_semlake_shipped", False):
+        return
+    out = Path(tempfile.mkdtemp(prefix="semlake-")) / "semlake.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted((root / "semlake").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(out))
+    sc._semlake_shipped = True
+
+
 def id_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -4,14 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, lines, mixing, toxicity
+from .common import id_mod, table
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_mod("doc_id", 5) == 0).alias("held_out"), toxicity.toxic_score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), *mixing.ADDED)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op9_bpe": op9_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op3_toxicity": op3_toxicity, "op5_lines": op5_lines, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
+ORACLES: dict[str, str] = {"op5_lines": lines.ORACLE, "op8_mixing": mixing.ORACLE}
