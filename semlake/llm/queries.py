@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, toxicity
+from . import bpe, jaccard, lines, mixing, toxicity
 from .common import id_mod, table
 
 
@@ -21,6 +21,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), *mixing.ADDED)
 
@@ -29,5 +33,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op5_lines": op5_lines, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
-ORACLES: dict[str, str] = {"op5_lines": lines.ORACLE, "op8_mixing": mixing.ORACLE}
+QUERIES = {"op3_toxicity": op3_toxicity, "op5_lines": op5_lines, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
+ORACLES: dict[str, str] = {"op5_lines": lines.ORACLE, "op7_jaccard": jaccard.ORACLE, "op8_mixing": mixing.ORACLE}
