@@ -4,17 +4,42 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from semlake.llm import bpe
+from semlake.llm import bpe, jaccard, lines, mixing, toxicity
 from semlake.llm.common import table, written
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.5 or more go."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.toxic_score(model, F.col("text")) < 0.5).select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go from every document but the first; n_chars follows the text."""
+    return lines.drop_recurring_lines(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays."""
+    kept = jaccard.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
+    return docs.join(kept.hint("shuffle_merge"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixture, file by file."""
+    return mixing.mix_sources(docs).orderBy("mix_slot", "mix_start", "doc_id").select(*COLUMNS)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: the ids of every remaining document, in digest, and of their decoding."""
     return bpe.bpe_digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("encode", encode)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_duplicates", drop_near_duplicates), ("mixing", mix), ("bpe", encode)]
 #: Models and merges have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
