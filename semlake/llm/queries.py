@@ -6,8 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lines, mixing, toxicity
-from .common import id_mod, table
+from . import bpe, jaccard, lines, mixing, quality, secrets, token_files, toxicity
+from .common import id_mod, shared_path, table
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_files.digest(spark, path)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +31,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,5 +47,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op5_lines": op5_lines, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
+QUERIES = {"op1_token_files": op1_token_files, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_lines": op5_lines, "op6_secrets": op6_secrets, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
 ORACLES: dict[str, str] = {"op5_lines": lines.ORACLE, "op7_jaccard": jaccard.ORACLE, "op8_mixing": mixing.ORACLE}
