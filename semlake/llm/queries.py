@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lines, mixing, quality, secrets, token_files, toxicity
+from . import bpe, ctw, jaccard, lines, mixing, quality, secrets, token_files, toxicity
 from .common import id_mod, shared_path, table
 
 
@@ -27,6 +27,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -47,5 +51,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_lines": op5_lines, "op6_secrets": op6_secrets, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
+QUERIES = {"op1_token_files": op1_token_files, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_lm": op4_lm, "op5_lines": op5_lines, "op6_secrets": op6_secrets, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
 ORACLES: dict[str, str] = {"op5_lines": lines.ORACLE, "op7_jaccard": jaccard.ORACLE, "op8_mixing": mixing.ORACLE}
