@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, jaccard, lines, mixing, quality, secrets, token_files, toxicity
+from . import bpe, ctw, jaccard, lines, mixing, quality, secrets, token_files, toxicity, vectors
 from .common import id_mod, shared_path, table
 
 
@@ -51,5 +51,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_lm": op4_lm, "op5_lines": op5_lines, "op6_secrets": op6_secrets, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_token_files": op1_token_files, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_lm": op4_lm, "op5_lines": op5_lines, "op6_secrets": op6_secrets, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_vectors": op10_vectors}
 ORACLES: dict[str, str] = {"op5_lines": lines.ORACLE, "op7_jaccard": jaccard.ORACLE, "op8_mixing": mixing.ORACLE}
