@@ -24,31 +24,65 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, components, mix64, release, small_batches, written
+from .common import components, mix64, release, small_batches, written
 
 WORDS = 5
 #: Bounds of the sketch's width: it follows the corpus, a byte a counter when broadcast.
 LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 24, 14
 
-_words = Remembered(xxhash.xxh3_64_intdigest, 500_000)
-
-
-def shingles(text: bytes) -> np.ndarray:
-    """The sorted distinct hashed shingles of a text."""
-    ws = text.lower().split()
-    if not ws:
-        return np.zeros(0, dtype=np.uint64)
-    if len(ws) < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(ws))], dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, ws), dtype=np.uint64, count=len(ws))
-    n = len(h) - WORDS + 1
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(WORDS):
-        out = mix64(out + h[k : k + n])
-    return np.unique(out)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+BYTE[65:91] = BYTE[97:123]  # A-Z count as a-z
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**k and its inverse modulo 2**64, for k below n."""
+    out = []
+    for x in (int(BASE), pow(int(BASE), -1, 1 << 64)):
+        p = np.full(n, x, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct hashed shingles of each text, worked out side by side."""
+    out = [np.zeros(0, dtype=np.uint64)] * len(texts)
+    k = 0
+    while k < len(texts):  # about a megabyte, or one longer text, at a time
+        size, j = 0, k
+        while j < len(texts) and (j == k or size + len(texts[j]) < 1 << 20):
+            size += len(texts[j]) + 1
+            j += 1
+        data = np.frombuffer(b" ".join(texts[k:j]) + b" ", dtype=np.uint8)
+        gap = SPACE[data]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        edge = edge if gap[0] else np.concatenate([[0], edge])
+        start, end = edge[::2], edge[1::2]
+        up, down = powers(len(data))
+        h = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTE[data] * up, dtype=np.uint64)])
+        words = mix64((h[end] - h[start]) * down[start] + (end - start).astype(np.uint64))
+        n = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts[k:j]]))
+        rolled = np.zeros(max(0, len(words) - WORDS + 1), dtype=np.uint64)
+        for w in range(WORDS):
+            rolled = mix64(rolled + words[w : w + len(rolled)])
+        first = 0
+        for i, last in enumerate(n.tolist(), k):
+            if last - first >= WORDS:
+                out[i] = np.unique(rolled[first : last - WORDS + 1])
+            elif last > first:
+                x = np.array([last - first], dtype=np.uint64)
+                for w in words[first:last]:
+                    x = mix64(x + w)
+                out[i] = x
+            first = last
+        k = j
+    return out
 
 
 def sketch(docs: DataFrame, bits: int) -> np.ndarray:
@@ -57,7 +91,7 @@ def sketch(docs: DataFrame, bits: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << bits, dtype=np.int64)
         for b in batches:
-            found = [shingles(t) for t in b.column(0).to_pylist() if t]
+            found = shingle_sets([t for t in b.column(0).to_pylist() if t])
             if found:
                 total += np.bincount((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         step = 1 << min(bits, CHUNK_BITS)
@@ -91,19 +125,20 @@ def _streamed(f):
     return f
 
 
-def features(docs: DataFrame, levels: np.ndarray, bits: int) -> DataFrame:
-    """(id, n, sig, kept): the size of each text's set, a 128-bit signature of it, and its first n/4 + 1 shingles."""
+def features(docs: DataFrame, levels: np.ndarray, bits: int, token_bits: int) -> DataFrame:
+    """(id, n, sig, kept): the size of each text's set, a 128-bit signature of it, and its first n/4 + 1 shingles.
+
+    Kept shingles are cut to their first token_bits bits: where two meet, bounds are looser and no link is lost."""
     held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         for b in batches:
             n, sig, kept = [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t or b"")
+            for s in shingle_sets([t or b"" for t in b.column(1).to_pylist()]):
                 order = np.argsort(held.value[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()))
-                kept.append(s[order[: len(s) - needed(len(s)) + 1 if len(s) else 0]].view(np.int64))
+                kept.append((s[order[: len(s) - needed(len(s)) + 1 if len(s) else 0]] >> np.uint64(64 - token_bits)).view(np.int64))
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(kept, pa.list_(pa.int64()))], names=["id", "n", "sig", "kept"])
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary")).mapInArrow(run, "id long, n long, sig binary, kept array<long>")
@@ -127,8 +162,9 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def check(batches):
         for b in batches:
-            known = Remembered(shingles, 64)  # pairs come ordered by their first text
             same = []
+            texts = list(dict.fromkeys(x or b"" for c in (2, 3) for x in b.column(c).to_pylist()))
+            known = dict(zip(texts, shingle_sets(texts), strict=True))
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = known[x or b""], known[y or b""]
                 both = np.intersect1d(x, y, assume_unique=True).size
@@ -147,26 +183,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(size / 256 + 1)), LEAST_BITS, MOST_BITS))
-    held = written(spark, features(docs, sketch(docs, bits), bits), "features")
-
-    # Classes of equal sets; the least id stands for one. An id met in several classes ties them.
-    classes = held.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
-    member = held.where("n > 0 and id is not null").select("id", "sig").distinct().join(classes.select("sig", "rep").hint("shuffle_merge"), "sig")
-    member = written(spark, member.select("id", "rep", "sig"), "member")
-    reps = held.where("n > 0").join(member.where("id = rep").select("id", "sig").hint("shuffle_merge"), ["id", "sig"], "left_semi").dropDuplicates(["id", "sig"])
-    # One id per class from here on; ids with several texts keep them apart by their signature.
-    tokens = reps.select("id", "sig", "n", F.posexplode("kept").alias("i", "token")).select(F.col("token"), F.struct("id", "sig").alias("q"), "n", "i")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("q", "n", "i")).alias("low")).where("k > 1")
-    grid = tokens.join(shared.select("token", "low").hint("shuffle_merge"), "token")
-    grid = written(spark, grid.select("token", "q", "n", "i", "low"), "grid")
+    token_bits = int(np.clip(np.ceil(np.log2(size / 6 + 1)) + 14, 40, 63))
+    held = written(spark, features(docs, sketch(docs, bits), bits, token_bits), "features")
+
+    # Classes of equal sets; the least id stands for one.
+    some = held.where("n > 0 and id is not null").select("id", "sig", "n")
+    classes = some.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    # A class goes by its id, or by a number below zero if the id stands for several (an id with several texts).
+    q = F.when(F.count("*").over(Window.partitionBy("rep")) > 1, F.xxhash64("rep", "sig").bitwiseOR(F.lit(-(2**63)))).otherwise(F.col("rep"))
+    classes = written(spark, classes.withColumn("q", q), "classes")
+    release(spark)
+    reps = held.select("id", "sig", "kept").where("size(kept) > 0").join(classes.select(F.col("rep").alias("id"), "sig", "q", "n").hint("shuffle_merge"), ["id", "sig"])
+    ids = held.where("id is not null").select("id")
+    unique = ids.count() == ids.distinct().count()
+    tokens = reps if unique else reps.dropDuplicates(["q"])
+    tokens = tokens.select("q", F.col("n").cast("int").alias("n"), F.posexplode("kept").alias("i", "token"))
+    # One exchange by shingle; no shingle has more rows than there are classes, and each class has n/4 + 1.
+    same = Window.partitionBy("token")
+    grid = tokens.withColumn("low", F.min(F.struct("q", "n", "i")).over(same)).withColumn("k", F.count("*").over(same)).where("k > 1")
+    grid = written(spark, grid.select("token", "q", "n", "i", F.col("low.q").alias("p"), F.col("low.n").alias("pn"), F.col("low.i").alias("pi")), "grid")
     release(spark)
 
-    # Texts of the sets that share anything, by a number of their own class: 64 bits of the signature.
-    key = lambda c: F.xxhash64(f"{c}.id", f"{c}.sig")
-    named = grid.select(key("q").alias("id"), "q").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(named.select("id", F.col("q.id").alias("doc_id"), "q.sig").hint("shuffle_merge"), "doc_id")
-    texts = written(spark, _own_text(texts), "texts")
-    grid = grid.select("token", key("q").alias("q"), "n", "i", key("low.q").alias("p"), F.col("low.n").alias("pn"), F.col("low.i").alias("pi"))
+    named = grid.select("q").distinct().join(classes.select("q", "rep", "sig").hint("shuffle_merge"), "q")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text")).join(named.hint("shuffle_merge"), "rep")
+    texts = written(spark, _own_text(texts.select(F.col("q").alias("id"), "text", "sig")), "texts")
+    release(spark)
 
     near = SIZES.format(n="n", m="pn") + " and n - i >= " + ALPHA.format(n="n", m="pn") + " and pn - pi >= " + ALPHA.format(n="n", m="pn")
     stars = grid.where("q <> p").where(near).groupBy("p", "q").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("pn").alias("pn"))
@@ -181,12 +222,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     release(spark)
 
     # Back to ids: classes tied by links, by equal sets and by ids with several texts.
-    number = written(spark, named.select("id", F.col("q.id").alias("doc")), "named")
-    doc = links.join(number.select(F.col("id").alias("a"), F.col("doc").alias("da")).hint("shuffle_merge"), "a").join(number.select(F.col("id").alias("b"), F.col("doc").alias("db")).hint("shuffle_merge"), "b")
-    ties = doc.select(F.col("da").alias("a"), F.col("db").alias("b")).union(member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    tag = classes.select("q", "rep").where("q <> rep")
+    ties = links.select("a", "b").union(tag.select(F.col("q").alias("a"), F.col("rep").alias("b")))
     comp = components(spark, ties)
-    out = held.select("id", "n").join(comp.hint("shuffle_merge"), "id", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id")).alias("component_id"))
+    low = comp.join(classes.select(F.col("q").alias("id"), "rep").hint("shuffle_merge"), "id").groupBy("comp").agg(F.min("rep").alias("low"))
+    comp = comp.join(low.hint("shuffle_merge"), "comp").select(F.col("id").alias("q"), "low")
+    of = classes.join(comp.hint("shuffle_merge"), "q", "left").select("sig", F.coalesce("low", "rep").alias("comp"))
+    if unique:
+        out = held.select("id", "n", "sig").join(written(spark, of, "of").hint("shuffle_merge"), "sig", "left")
+    else:  # an id in several classes ties them
+        named_ids = held.where("n > 0 and id is not null").select("id", "sig").distinct().join(of.hint("shuffle_merge"), "sig")
+        tied = components(spark, named_ids.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+        out = held.select("id", "n").join(tied.hint("shuffle_merge"), "id", "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("comp", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _own_text(rows: DataFrame) -> DataFrame:
@@ -195,7 +243,7 @@ def _own_text(rows: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             t = b.column(1).to_pylist()
-            ok = [xxhash.xxh3_128_digest(shingles(x or b"").tobytes()) == s for x, s in zip(t, b.column(2).to_pylist(), strict=True)]
+            ok = [xxhash.xxh3_128_digest(x.tobytes()) == s for x, s in zip(shingle_sets([x or b"" for x in t]), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string())], names=["id", "text"]).filter(pa.array(ok, pa.bool_()))
 
     return rows.select("id", F.col("text").cast("binary"), "sig").mapInArrow(run, "id long, text string").dropDuplicates(["id"])
