@@ -14,7 +14,9 @@ from __future__ import annotations
 import gc
 import os
 import re
+import string
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,11 @@ SCHEMA = "shard long, doc_id long, local_start long, n_tokens long, ids array<in
 CUT, SPACED = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 
+MARKS = frozenset(string.punctuation)
+
+
 class Encoder:
-    """The library's ids of whole texts; remembers the ids of stretches between spaces."""
+    """The library's ids of whole texts; remembers the ids of stretches between spaces, and of the words in them."""
 
     def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,23 +46,63 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = []
+        self.most, self.known, self.words = most, {}, {}
+        self.marks = dict(zip(string.punctuation, self.encode_parts(list(string.punctuation)), strict=True))
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The library's ids of each part, little-endian."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each after one space: several words go through the library as one text, cut where it says."""
+        out = []
+        for k in range(0, len(words), 500):
+            some = words[k : k + 500]
+            e = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            of = np.array(e.word_ids)
+            ends = np.flatnonzero(np.diff(of, append=-1)) + 1
+            if len(ends) == len(some):
+                data = array("I", e.ids).tobytes()
+                at = (4 * ends).tolist()
+                out += [data[i:j] for i, j in zip([0, *at], at, strict=False)]
+            else:
+                out += self.encode_parts([" " + w for w in some])
+        return out
+
+    def learn(self, parts: set[str]) -> None:
+        """Ids of parts (each after a space that isn't written here)."""
+        marked = [w for w in parts if w[-1:] in MARKS and w[:-1].isalpha()]
+        plain = [w for w in parts if w.isalpha()]
+        lacking = list({*plain, *[w[:-1] for w in marked]} - self.words.keys())
+        self.words.update(zip(lacking, self.encode_words(lacking), strict=True))
+        self.known.update(zip(plain, map(self.words.__getitem__, plain), strict=True))
+        self.known.update([(w, self.words[w[:-1]] + self.marks[w[-1]]) for w in marked])
+        odd = list(parts.difference(plain, marked))
+        for k in range(0, len(odd), 4096):
+            some = odd[k : k + 4096]
+            self.known.update(zip(some, self.encode_parts([" " + p for p in some]), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text."""
+        heads, split = [], []
         for t in texts:
-            parts = CUT.split(t) if SPACED.search(t) else [x if not k else " " + x for k, x in enumerate(t.split(" "))]
-            split.append(parts)
-        lacking = set().union(*split) - self.known.keys()
-        if len(self.known) + len(lacking) > self.most:
-            self.known.clear()
-            lacking = set().union(*split)
-        lacking = list(lacking)
-        for k in range(0, len(lacking), 4096):
-            part = lacking[k : k + 4096]
-            self.known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, parts)), dtype="<u4") for parts in split]
+            if SPACED.search(t):
+                head, *rest = CUT.split(t)
+                rest = [x[1:] for x in rest]
+            else:
+                head, *rest = t.split(" ")
+            heads.append(head)
+            split.append(rest)
+        if len(self.known) > self.most:  # start afresh with what this batch shares with the old
+            old, self.known = self.known, {}
+            self.known = {p: old[p] for rest in split for p in rest if p in old}
+            self.words = {p: v for p, v in self.known.items() if p.isalpha()}
+        known = self.known
+        lacking = {p for rest in split for p in rest if p not in known}
+        if lacking:
+            self.learn(lacking)
+        get = known.__getitem__
+        return [h + b"".join(map(get, rest)) for h, rest in zip(self.encode_parts(heads), split, strict=True)]
 
 
 _encoders = Remembered(Encoder, most=4)
@@ -72,13 +117,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
     def run(batches):
         encode, shard, at = _encoders[tokenizer_path], TaskContext.get().partitionId(), 0
+        end = int(end_id).to_bytes(4, "little")
         gc.disable()  # no cycles here, and millions of small objects to walk
         for b in batches:
-            ids = [np.append(x, np.uint32(end_id)) for x in encode(b.column(1).to_pylist())]
-            n = np.array([len(x) for x in ids], dtype=np.int64)
+            ids = encode(b.column(1).to_pylist())
+            n = np.array([len(x) // 4 + 1 for x in ids], dtype=np.int64)
             before = at + np.cumsum(n) - n
             at += int(n.sum())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(end.join(ids) + end, dtype="<i4")))
             yield pa.record_batch([pa.array(np.full(len(n), shard, dtype=np.int64)), b.column(0), pa.array(before), pa.array(n), lists], names=["shard", "doc_id", "local_start", "n_tokens", "ids"])
 
     ordered = d.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
