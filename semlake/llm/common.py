@@ -32,7 +32,16 @@ def written(spark: SparkSession, df: DataFrame, name: str, compression: str = "z
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a written table that nothing reads any more."""
+    jvm, path = df.sparkSession._jvm, df.shared_path
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:

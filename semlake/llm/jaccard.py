@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, mix64, release, small_batches, written
+from .common import components, discard, mix64, release, small_batches, written
 
 WORDS = 5
 #: Bounds of the sketch's width: it follows the corpus, a byte a counter when broadcast.
@@ -99,13 +99,13 @@ def sketch(docs: DataFrame, bits: int) -> np.ndarray:
             part = total[k : k + step]
             at = np.flatnonzero(part)
             if len(at):
-                yield pa.record_batch([pa.array([k // step]), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([part[at].astype("<i8").tobytes()], pa.binary())], names=["chunk", "at", "n"])
+                yield pa.record_batch([pa.array([k // step]), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([np.minimum(part[at], 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["chunk", "at", "n"])
 
     def add(key, batches):
         total = np.zeros(1 << min(bits, CHUNK_BITS), dtype=np.int64)
         for b in batches:
             for at, n in zip(b.column("at").to_pylist(), b.column("n").to_pylist(), strict=True):
-                total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
+                total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
         level = np.ceil(np.log2(total + 1)).astype(np.uint8)
         yield pa.record_batch([pa.array([key[0].as_py()]), pa.array([level.tobytes()], pa.binary())], names=["chunk", "level"])
 
@@ -182,9 +182,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(size / 256 + 1)), LEAST_BITS, MOST_BITS))
+    bits = int(np.clip(np.ceil(np.log2(size / 512 + 1)), LEAST_BITS, MOST_BITS))
     token_bits = int(np.clip(np.ceil(np.log2(size / 6 + 1)) + 14, 40, 63))
-    held = written(spark, features(docs, sketch(docs, bits), bits, token_bits), "features")
+    full = written(spark, features(docs, sketch(docs, bits), bits, token_bits), "features")
+    held = written(spark, full.select("id", "n", "sig"), "sets")
 
     # Classes of equal sets; the least id stands for one.
     some = held.where("n > 0 and id is not null").select("id", "sig", "n")
@@ -193,7 +194,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     q = F.when(F.count("*").over(Window.partitionBy("rep")) > 1, F.xxhash64("rep", "sig").bitwiseOR(F.lit(-(2**63)))).otherwise(F.col("rep"))
     classes = written(spark, classes.withColumn("q", q), "classes")
     release(spark)
-    reps = held.select("id", "sig", "kept").where("size(kept) > 0").join(classes.select(F.col("rep").alias("id"), "sig", "q", "n").hint("shuffle_merge"), ["id", "sig"])
+    reps = full.select("id", "sig", "kept").where("size(kept) > 0").join(classes.select(F.col("rep").alias("id"), "sig", "q", "n").hint("shuffle_merge"), ["id", "sig"])
     ids = held.where("id is not null").select("id")
     unique = ids.count() == ids.distinct().count()
     tokens = reps if unique else reps.dropDuplicates(["q"])
@@ -202,11 +203,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = Window.partitionBy("token")
     grid = tokens.withColumn("low", F.min(F.struct("q", "n", "i")).over(same)).withColumn("k", F.count("*").over(same)).where("k > 1")
     grid = written(spark, grid.select("token", "q", "n", "i", F.col("low.q").alias("p"), F.col("low.n").alias("pn"), F.col("low.i").alias("pi")), "grid")
+    discard(full)
     release(spark)
 
     named = grid.select("q").distinct().join(classes.select("q", "rep", "sig").hint("shuffle_merge"), "q")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text")).join(named.hint("shuffle_merge"), "rep")
-    texts = written(spark, _own_text(texts.select(F.col("q").alias("id"), "text", "sig")), "texts")
+    texts = texts.select(F.col("q").alias("id"), "text", "sig")
+    texts = written(spark, texts.select("id", "text") if unique else _own_text(texts), "texts")
     release(spark)
 
     near = SIZES.format(n="n", m="pn") + " and n - i >= " + ALPHA.format(n="n", m="pn") + " and pn - pi >= " + ALPHA.format(n="n", m="pn")
