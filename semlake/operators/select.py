@@ -44,7 +44,7 @@ def class_select(df: DataFrame, t: Table, columns: list[str] | None = None, filt
     if order_by and order_by[0] not in known:
         raise ValueError(f"unknown sort column {order_by[0]}")
     for c, op, v in filters:
-        df = df.where(OPS[op](F.col(c), F.lit(v) if "LIKE" in op else literal_for(df, c, v)))
+        df = df.where(OPS[op](F.col(c), str(v) if "LIKE" in op else literal_for(df, c, v)))
     out = df.withColumn("__iri", subject(t))
     if order_by:
         c, up = order_by
