@@ -5,8 +5,9 @@ A text's set is its distinct shingles of WORDS lower-case words (64-bit hashes);
 
 1. Every set is put in one global order, rarest shingles first, by a count-min sketch of the corpus (log scale, then
    hash), and its first n/4 + 1 shingles are kept: two linked sets of sizes n <= m share a shingle among those.
-2. Groups: sets that share a kept shingle are compared with the shingle's least set only, and the links found so far
-   form groups of similar documents. Members of one group need no further comparison.
+2. Groups: sets that share a kept shingle are compared with one of them only, the one with the fewest rarer shingles
+   (of copies with small changes, the one with the fewest changes), and the links found so far form groups of similar
+   documents. Members of one group need no further comparison.
 3. The token-group matrix holds, per kept shingle, the groups whose union has it. A query's overlap with a group is
    bounded from the shingles they share and the shingles after the kept ones; only groups that reach the least overlap
    a link needs are opened, and their members are bounded in the same way, then compared whole.
@@ -199,9 +200,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     unique = ids.count() == ids.distinct().count()
     tokens = reps if unique else reps.dropDuplicates(["q"])
     tokens = tokens.select("q", F.col("n").cast("int").alias("n"), F.posexplode("kept").alias("i", "token"))
-    # One exchange by shingle; no shingle has more rows than there are classes, and each class has n/4 + 1.
+    # The set in which a shingle comes earliest stands for it. One exchange by shingle; no shingle has more rows than there are classes, and each class has n/4 + 1.
     same = Window.partitionBy("token")
-    grid = tokens.withColumn("low", F.min(F.struct("q", "n", "i")).over(same)).withColumn("k", F.count("*").over(same)).where("k > 1")
+    grid = tokens.withColumn("low", F.min(F.struct("i", "q", "n")).over(same)).withColumn("k", F.count("*").over(same)).where("k > 1")
     grid = written(spark, grid.select("token", "q", "n", "i", F.col("low.q").alias("p"), F.col("low.n").alias("pn"), F.col("low.i").alias("pi")), "grid")
     discard(full)
     release(spark)
