@@ -135,8 +135,10 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", column: str = "e
         of, codes = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
         of, codes = of[codes < leaf], codes[codes < leaf]
         names, codes = np.unique(codes, return_inverse=True)
-        members = np.zeros((t.num_rows, len(names)), dtype=np.float32)
-        members[of, codes] = 1
+        members = np.zeros((t.num_rows, len(names)), dtype=bool)
+        members[of, codes] = True
+        members = np.packbits(members, axis=1)
+        step = max(1, (4 << 20) // max(1, members.shape[1]))
         links, parent = np.zeros(t.num_rows, dtype=np.int64), np.arange(t.num_rows)
 
         def root(i):
@@ -153,9 +155,9 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", column: str = "e
             if x != y:
                 ok &= own[i + k] != own[j]
             i, j = i[ok] + k, j[ok]
-            for s in range(0, len(i), 1 << 16):
-                a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                first = (members[a] * members[b]).max(axis=1, initial=0) == 0
+            for s in range(0, len(i), step):
+                a, b = i[s : s + step], j[s : s + step]
+                first = ~(members[a] & members[b]).any(axis=1)
                 a, b = a[first], b[first]
                 np.add.at(links, a, copies[b])
                 np.add.at(links, b, copies[a])
