@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import id_mod, mix64, small_batches
 
 BITS, SIZES, PER_CLASS = 18, (3, 4, 5), 3000
+#: The least chi-square of a feature's presence against the label.
+LEAST = 11.0
 WORD = re.compile(r"[^\s.,;:!?\"()\[\]{}|]+")
 
 
@@ -72,11 +74,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, ridge: float = 1e-4, alpha: float = 1.0, least: float = 25.0) -> Model:
-    """From (features, counts, label) of each text: ratios of the features that a chi-square test ties to the label, then logistic regression by Adam."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], known: tuple[int, int] | None = None, steps: int = 300, ridge: float = 1e-4, alpha: float = 1.0, least: float = LEAST) -> Model:
+    """From (features, counts, label) of each text: ratios of the features that a chi-square test ties to the label, then logistic regression by Adam.
+
+    known: how many labels of either kind there are in all; the sample counts by them."""
     size = 1 << BITS
     y = np.array([r[2] for r in rows], dtype=float)
-    bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
+    known = known or (int(len(y) - y.sum()), int(y.sum()))
+    bias = float(np.log((known[1] + 0.5) / (known[0] + 0.5))) - (not sum(known))
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(size), bias)
     at = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
@@ -91,8 +96,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 300, ridge:
     use = ratio[f] != 0
     names, f = np.unique(f[use], return_inverse=True)
     at, x = at[use], c[use] * ratio[names][f]
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both labels weigh the same
-    w, m, v = np.zeros(len(names) + 1), 0.0, 0.0
+    share = np.where(y == 1, known[1] / y.sum(), known[0] / (len(y) - y.sum())) / sum(known)  # as frequent as among all labels
+    w, m, v = np.append(np.zeros(len(names)), bias), 0.0, 0.0
     for t in range(1, steps + 1):
         z = np.bincount(at, x * w[f], len(y)) + w[-1]
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
@@ -109,6 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", holdout:
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(f"{label_col} is not null and doc_id is not null").groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y")).where(id_mod("doc_id", holdout) != 0)
+    total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     sample = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     picked = docs.select("doc_id", "text").join(F.broadcast(sample[0].union(sample[1])), "doc_id")  # at most 2 * per_class ids
 
@@ -124,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", holdout:
     def fitted(batches):
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), [np.asarray(x.values) for x in b.column(2)], [np.asarray(x.values) for x in b.column(3)], b.column(1).to_pylist(), strict=True)]
         rows.sort(key=lambda r: (r[0], len(r[1])))
-        model = fit([r[1:] for r in rows])
+        model = fit([r[1:] for r in rows], (total.get(0, 0), total.get(1, 0)) if total else None)
         yield pa.record_batch([pa.array([model.weight.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], names=["weight", "bias"])
 
     one = picked.mapInArrow(features, "doc_id long, y int, f array<int>, c array<int>").repartition(1).mapInArrow(fitted, "weight binary, bias double").first()
