@@ -8,9 +8,9 @@ A text's set is its distinct shingles of WORDS lower-case words (64-bit hashes);
 2. Groups: sets that share a kept shingle are compared with one of them only, the one with the fewest rarer shingles
    (of copies with small changes, the one with the fewest changes), and the links found so far form groups of similar
    documents. Members of one group need no further comparison.
-3. The token-group matrix holds, per kept shingle, the groups whose union has it. A query's overlap with a group is
-   bounded from the shingles they share and the shingles after the kept ones; only groups that reach the least overlap
-   a link needs are opened, and their members are bounded in the same way, then compared whole.
+3. The token-group matrix holds, per kept shingle, the groups whose union has it. A query's overlap with a group is at
+   most what either has left from the first shingle they share; only groups that reach the least overlap a link needs
+   are opened, there, and their members are bounded in the same way, then compared whole.
 
 So no link between different groups is lost, and pairs within a group are never enumerated.
 
@@ -255,35 +255,16 @@ def _own_text(rows: DataFrame) -> DataFrame:
 
 def _opened(spark, rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of different groups that may link: query by group first, then by member of the groups opened."""
-    matrix = rows.groupBy("token", F.col("comp").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    # Groups of tokens with one group only have no partner: leave their rows out before the join.
-    several = matrix.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    matrix = lambda d: d.groupBy("token", F.col("comp").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("i")).alias("room"))
+    # Shingles of one group only have no partner: leave their rows out before the join.
+    several = matrix(rows).groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     open_rows = written(spark, rows.join(several.hint("shuffle_merge"), "token", "left_semi"), "open")
-    matrix = open_rows.groupBy("token", F.col("comp").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    hits = open_rows.join(matrix.hint("shuffle_merge"), "token").where("comp <> g and 4 * n >= 3 * low and 4 * high >= 3 * n")
-    # A member as large as high or as small as low needs the least; the bound holds for any size between.
-    met = hits.groupBy("q", "g").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    least = " or ".join(f"{BOUND.format(c='c', n='n', m=m)} >= {ALPHA.format(n='n', m=m)}" for m in ("greatest(low, (3 * n + 3) div 4)", "least(high, 4 * n div 3)", "least(greatest(n, low), high)"))
-    met = met.where(f"{least}").select("q", "g")
-    asked = open_rows.select("q", "token", "n", "i").join(met.hint("shuffle_merge"), "q")
+    # No overlap is larger than what is left of either set from the first shared shingle on; a link with the smallest
+    # possible member needs the least.
+    least = ALPHA.format(n="n", m="greatest(low, (3 * n + 3) div 4)")
+    hits = open_rows.join(matrix(open_rows).hint("shuffle_merge"), "token").where(f"comp <> g and 4 * n >= 3 * low and 4 * high >= 3 * n and n - i >= {least} and room >= {least}")
+    asked = hits.select("q", "g", "token", "n", "i")
     member = open_rows.select("token", F.col("q").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("g"))
-    close = SIZES.format(n="n", m="m")
-    pairs = asked.join(member.hint("shuffle_merge"), ["token", "g"]).where(f"q < y and {close}")
-    pairs = pairs.groupBy("q", "y").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-    return pairs.where(f"{BOUND.format(c='c', n='n', m='m')} >= {ALPHA.format(n='n', m='m')}").select(F.col("q").alias("a"), F.col("y").alias("b"))
-
-
-ORACLE = f"""
-WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
-s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {WORDS} THEN list_transform(range(len(w) - {WORDS - 1}), lambda i: array_to_string(list_slice(w, i + 1, i + {WORDS}), ' '))
-    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT c.a, c.b FROM c JOIN n x ON c.a = x.doc_id JOIN n y ON c.b = y.doc_id WHERE 100 * i >= 75 * (x.n + y.n - i)),
-e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT d.doc_id AS doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id)) AS component_id
-FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) m ON d.doc_id = m.a
-"""
+    alpha = ALPHA.format(n="n", m="m")
+    pairs = asked.join(member.hint("shuffle_merge"), ["token", "g"]).where(f"q < y and {SIZES.format(n='n', m='m')} and n - i >= {alpha} and m - j >= {alpha}")
+    return pairs.select(F.col("q").alias("a"), F.col("y").alias("b")).distinct()
