@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import NS, XSD
 
@@ -122,7 +123,7 @@ def norm_header(x: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_marks(x: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; Spark has no normalisation function."""
     return x.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.category(c).startswith("M")))
