@@ -170,10 +170,10 @@ def quality_snapshot(spark, sf):
     return graph.quality_snapshot(graph.quality_checks(quality_quads(spark, sf)), F.lit(1), F.to_timestamp(F.lit("2024-01-01 00:00:00")))
 
 
-@query("quality_history", "SELECT CAST(date_trunc('day', ts) AS DATE) AS run_id, max(ts) AS at, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS purchases FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 30")
+@query("quality_history", "SELECT strftime(ts, '%Y-%m-%d') AS run_id, max(ts) AS at, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS purchases FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 30")
 def quality_history(spark, sf):
     """Each day of events as a run with two checks."""
-    e = load(spark, sf, "events").withColumn("run_id", F.to_date("ts"))
+    e = load(spark, sf, "events").withColumn("run_id", F.date_format("ts", "yyyy-MM-dd"))
     at = e.groupBy("run_id").agg(F.max("ts").alias("at"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("purchases"))
     runs = at.select("run_id", "at", F.explode(F.array(F.struct(F.lit("errors").alias("check_id"), F.col("errors").alias("n")), F.struct(F.lit("purchases").alias("check_id"), F.col("purchases").alias("n")))).alias("x")).select("run_id", "at", "x.*")
     return graph.quality_history(runs, ["errors", "purchases"])
