@@ -60,7 +60,7 @@ def schedule(units: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cycle: int = CYCLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with mix_units, mix_block, mix_slot, mix_start; the mixture is the order of (mix_slot, mix_start, doc_id).
 
-    weights: (source, weight) with positive whole numbers for every source; by default the square root of a source's
+    weights: (source, weight) with positive whole numbers for every source (else a ValueError); by default the square root of a source's
     characters. The running sum goes by buckets of ids, so that a large source is spread over many tasks.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
@@ -71,6 +71,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cycle: int =
         weights = d.groupBy(F.col("__source").alias("source")).agg(F.floor(F.sqrt(F.greatest(F.sum("__len"), F.lit(1))) * 1000).cast("long").alias("weight"))
     else:
         weights = weights.select(F.coalesce(F.col("source"), F.lit("")).alias("source"), F.col("weight").cast("long").alias("weight"))
+        if not d.select(F.col("__source").alias("source")).distinct().join(weights.where("weight > 0"), "source", "left_anti").isEmpty():
+            raise ValueError("a source of the documents has no weight")
     plan = schedule(shares(weights, cycle)).select(F.col("source").alias("__source"), F.col("units").alias("mix_units"), F.col("cycle").alias("__cycle"), F.col("k").alias("__k"), F.col("slot").alias("__slot"))
     place = Window.partitionBy("__source", "__bucket").orderBy("doc_id", "__len")
     d = d.withColumn("__within", F.sum("__len").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__len"))

@@ -295,6 +295,8 @@ def test_mixing(spark, docs, empty):
     for r in got:
         slots[r.mix_slot].add((r.source or "", r.mix_block))
     assert all(len(x) == 1 for x in slots.values())
+    with pytest.raises(ValueError, match="no weight"):
+        mixing.mix_sources(docs, spark.createDataFrame([("s0", 1)], "source string, weight long"))
 
 
 @pytest.mark.parametrize("weights", [[1, 1], [7, 2, 1], [50, 30, 13, 5, 1, 1], [997, 1, 1, 1]])
