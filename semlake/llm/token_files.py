@@ -37,6 +37,13 @@ CUT, SPACED = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 MARKS = frozenset(string.punctuation)
 
 
+def core(part: str) -> str:
+    """The letters of a part of letters, or of letters and one mark; else nothing."""
+    if part.isalpha():
+        return part
+    return part[:-1] if part[-1:] in MARKS and part[:-1].isalpha() else ""
+
+
 class Encoder:
     """The library's ids of whole texts; remembers the ids of stretches between spaces, and of the words in them."""
 
@@ -46,7 +53,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.known, self.words = most, {}, {}
+        self.most, self.known, self.words, self.starts = most, {}, {}, {}
+        self.line = self.encode_parts(["\n"])[0]
         self.marks = dict(zip(string.punctuation, self.encode_parts(list(string.punctuation)), strict=True))
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:
@@ -70,14 +78,23 @@ class Encoder:
         return out
 
     def learn(self, parts: set[str]) -> None:
-        """Ids of parts (each after a space that isn't written here)."""
+        """Ids of parts (each after a space that isn't written here).
+
+        A part of letters, or of letters and a punctuation mark, and two such parts with one line break between them,
+        are put together from words and marks, as no token spans these places; other parts go through whole."""
         marked = [w for w in parts if w[-1:] in MARKS and w[:-1].isalpha()]
         plain = [w for w in parts if w.isalpha()]
-        lacking = list({*plain, *[w[:-1] for w in marked]} - self.words.keys())
+        other = parts.difference(plain, marked)
+        broken = [(w, core(x), core(y), x, y) for w in other if w.count("\n") == 1 for x, y in [w.split("\n")] if core(x) and core(y)]
+        lacking = list({*plain, *[w[:-1] for w in marked], *[x for _, x, _, _, _ in broken]} - self.words.keys())
         self.words.update(zip(lacking, self.encode_words(lacking), strict=True))
+        starts = list({y for _, _, y, _, _ in broken} - self.starts.keys())
+        self.starts.update(zip(starts, self.encode_parts(starts), strict=True))
         self.known.update(zip(plain, map(self.words.__getitem__, plain), strict=True))
         self.known.update([(w, self.words[w[:-1]] + self.marks[w[-1]]) for w in marked])
-        odd = list(parts.difference(plain, marked))
+        end = lambda whole, c: self.marks[whole[-1]] if len(whole) > len(c) else b""
+        self.known.update([(w, self.words[x] + end(a, x) + self.line + self.starts[y] + end(b, y)) for w, x, y, a, b in broken])
+        odd = list(other.difference([w for w, *_ in broken]))
         for k in range(0, len(odd), 4096):
             some = odd[k : k + 4096]
             self.known.update(zip(some, self.encode_parts([" " + p for p in some]), strict=True))
@@ -96,7 +113,7 @@ class Encoder:
         if len(self.known) > self.most:  # start afresh with what this batch shares with the old
             old, self.known = self.known, {}
             self.known = {p: old[p] for rest in split for p in rest if p in old}
-            self.words = {p: v for p, v in self.known.items() if p.isalpha()}
+            self.words, self.starts = {p: v for p, v in self.known.items() if p.isalpha()}, {}
         known = self.known
         lacking = {p for rest in split for p in rest if p not in known}
         if lacking:
