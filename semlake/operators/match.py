@@ -77,19 +77,26 @@ def auto_tag(docs: DataFrame, lexicon: DataFrame, limit: int = 50) -> DataFrame:
     """(doc_id, concept, n, spans) of whole-word mentions; longer names claim their span first.
 
     A text's word pieces carry their offset; the first word of a name joins them, so candidates come from an equi-join.
-    The candidates of one document, never its text, are folded in order of claim.
+    The candidates that overlap one another, never a text, are folded in order of claim.
     """
-    pieces = docs.select("doc_id", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0)).alias("ps"))
-    words = pieces.select("doc_id", F.posexplode("ps").alias("i", "piece")).withColumn("len", F.length("piece"))
-    words = words.withColumn("start", F.sum("len").over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("len")).where(r"piece rlike '^[\\p{L}\\p{N}]'")
+    cut = F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+")
+    longest = lexicon.agg(F.max(F.size(F.regexp_extract_all("key", cut, F.lit(0))))).first()[0] or 1
+    # Each word carries what a name could cover from it on, and the character after that.
+    pieces = docs.select("doc_id", F.regexp_extract_all("text", cut, F.lit(0)).alias("ps")).where("size(ps) > 0")
+    ahead = F.expr(rf"transform(ps, (p, i) -> struct(p as piece, if(p rlike '^[\\p{{L}}\\p{{N}}]', array_join(slice(ps, i + 1, {longest + 1}), ''), null) as ahead))")
+    words = pieces.select("doc_id", F.posexplode(ahead).alias("i", "x")).select("doc_id", "i", "x.*").withColumn("len", F.length("piece"))
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    words = words.withColumn("start", F.sum("len").over(before) - F.col("len")).where("ahead is not null")
     lex = lexicon.withColumn("first", F.regexp_extract("key", r"^([\p{L}\p{N}]+)", 1)).where("first <> ''")
-    cand = words.select("doc_id", F.col("start").cast("int").alias("start"), F.lower("piece").alias("first")).join(lex, "first")
-    cand = cand.join(docs.select("doc_id", "text"), "doc_id")
-    found = F.substring(F.col("text"), F.col("start") + 1, F.length("name"))
-    end = F.col("start") + F.length("name")
-    after = F.substring(F.col("text"), end + 1, F.lit(1))
-    cand = cand.where((F.lower(found) == F.col("key")) & ~after.rlike(r"^[\p{L}\p{N}]")).select("doc_id", "concept", "ord", "start", end.alias("end"))
-    one = cand.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "concept"))).alias("c"))
+    cand = words.select("doc_id", F.col("start").cast("int").alias("start"), "ahead", F.lower("piece").alias("first")).join(lex, "first")
+    found, after = F.substring(F.col("ahead"), F.lit(1), F.length("name")), F.substring(F.col("ahead"), F.length("name") + 1, F.lit(1))
+    cand = cand.where((F.lower(found) == F.col("key")) & ~after.rlike(r"^[\p{L}\p{N}]")).select("doc_id", "concept", "ord", "start", (F.col("start") + F.length("name")).alias("end"))
+    # Only spans of one stretch of overlaps contend, so each stretch is folded by itself.
+    by = Window.partitionBy("doc_id").orderBy("start", "end", "concept")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    cand = cand.withColumn("opens", (reach.isNull() | (F.col("start") >= reach)).cast("int"))
+    cand = cand.withColumn("stretch", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    one = cand.groupBy("doc_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "concept"))).alias("c"))
     claimed = F.expr("aggregate(c, cast(array() as array<struct<start:int,end:int,concept:string>>), (acc, x) -> if(exists(acc, y -> x.start < y.end and y.start < x.end), acc, concat(acc, array(struct(x.start, x.end, x.concept)))))")
     spans = one.select("doc_id", F.explode(claimed).alias("x")).select("doc_id", "x.*")
     tags = spans.groupBy("doc_id", "concept").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("start")).alias("starts"))
