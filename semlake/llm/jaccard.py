@@ -185,7 +185,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(size / 512 + 1)), LEAST_BITS, MOST_BITS))
     token_bits = int(np.clip(np.ceil(np.log2(size / 6 + 1)) + 14, 40, 63))
-    full = written(spark, features(docs, sketch(docs, bits), bits, token_bits), "features")
+    levels = sketch(docs, bits)
+    release(spark)
+    full = written(spark, features(docs, levels, bits, token_bits), "features")
     held = written(spark, full.select("id", "n", "sig"), "sets")
 
     # Classes of equal sets; the least id stands for one.
@@ -203,7 +205,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # The set in which a shingle comes earliest stands for it. One exchange by shingle; no shingle has more rows than there are classes, and each class has n/4 + 1.
     same = Window.partitionBy("token")
     grid = tokens.withColumn("low", F.min(F.struct("i", "q", "n")).over(same)).withColumn("k", F.count("*").over(same)).where("k > 1")
-    grid = written(spark, grid.select("token", "q", "n", "i", F.col("low.q").alias("p"), F.col("low.n").alias("pn"), F.col("low.i").alias("pi")), "grid")
+    grid = kept = written(spark, grid.select("token", "q", "n", "i", F.col("low.q").alias("p"), F.col("low.n").alias("pn"), F.col("low.i").alias("pi")), "grid")
     discard(full)
     release(spark)
 
@@ -222,6 +224,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = components(spark, links)
     rows = grid.select("token", "q", "n", "i").join(groups.select(F.col("id").alias("q"), "comp").hint("shuffle_merge"), "q", "left").withColumn("comp", F.coalesce("comp", "q"))
     rows = written(spark, rows, "rows")
+    discard(kept)
+    release(spark)
     links = links.union(written(spark, compared(_opened(spark, rows), texts), "opened"))
     release(spark)
 
