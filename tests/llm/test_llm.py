@@ -206,6 +206,49 @@ def test_lines(spark, docs, empty):
     assert lines.drop_recurring_lines(empty).count() == 0
 
 
+def brute_templates(rows, constants=0):
+    """(id, text) after the template rule, all lines of all documents against each other; ids differ."""
+    held = []
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            raw = words(line)
+            mask = ["<*>" if re.search("[0-9]", x) else x for x in raw]
+            n = len(raw)
+            if n >= lines.MIN_TOKENS:
+                held.append((i, k, mask if n - mask.count("<*>") >= max(constants, n / 2 if constants else 0) else raw))
+
+    def alike(a, b):
+        if a == b:
+            return True
+        if len(a) != len(b) or a[: lines.DEPTH] != b[: lines.DEPTH] or any(re.search("[0-9]", x) for x in a + b):
+            return False
+        differ = [j for j, (x, y) in enumerate(zip(a, b, strict=True)) if x != y]
+        f = min(lines.FIELD, len(a) // 4)
+        rest = lambda p: sum(x != "<*>" for x in a[:p] + a[p + f :])
+        return any(p <= differ[0] and differ[-1] < p + f and (not constants or rest(p) >= max(constants, len(a) / 2)) for p in range(lines.DEPTH, len(a)))
+
+    drop = {(i, k) for i, k, a in held if any(j < i and alike(a, b) for j, _, b in held)}
+    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in drop) for i, t in rows}
+
+
+def test_lines_several_templates(spark, empty):
+    """Unrelated lines stand first in the leaf; the variable field is a plain word, in short and long lines."""
+    rows = [(0, "this page was first seen by nobody at all in the whole wide world ever\nthis page was first seen"), (1, "this page was first written by Alice on a cold day in the north"), (2, "this page was first written by Bob on a cold day in the north")]
+    rows += [(3, "this page was first brought"), (4, "share this with all friends"), (5, "share this with all enemies"), (6, "one two three four five six seven eight nine ten"), (7, "one two three four five six other words nine ten"), (8, "one two three four x six other words nine ten")]
+    rnd = random.Random(8)
+    for k in range(9, 120):
+        n = rnd.choice([5, 6, 8, 11, 12, 13, 19, 40])
+        line = [f"{'abcdefgh'[j % 8]}w" for j in range(n)]
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(3, n)
+            line[at : at + rnd.randint(1, 4)] = [rnd.choice(["alpha", "beta", "gamma"]) for _ in line[at : at + rnd.randint(1, 4)]]
+        rows.append((k, " ".join(line[:n])))
+    got = {r.doc_id: r.text for r in lines.drop_template_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [bool(got[k]) for k in (1, 2, 3, 4, 5)] == [True, False, False, True, False]
+    assert got == brute_templates(rows)
+    assert lines.drop_template_lines(empty).count() == 0
+
+
 def test_secrets(spark, docs, empty):
     got = sorted((tuple(r) for r in secrets.find_secrets(docs).collect()), key=key)
     want = []
