@@ -13,7 +13,8 @@ tokens are equal, or differ only within one window of field(n) tokens in a row (
 Every window of every line of a leaf with several wordings is grouped by what lies outside it; lines first meet by what
 lies outside one of SEGMENTS overlapping stretches, and only those that meet there are grouped by window, so nothing is
 paired and no line is only held against the leaf's first. A line goes if a document before its own has a line of one of
-its templates, be that line kept or not. drop_recurring_lines is the older rule above, which the SQL of op5_lines fixes.
+its templates, be that line kept or not. A template has CONSTANT constant tokens at least, and at least half of its tokens: a line with
+fewer (a row of numbers) recurs only in its own words, digits and all. drop_recurring_lines is the older rule above, which the SQL of op5_lines fixes.
 
 Edge cases: a null text stays null and has no lines; an empty text stays empty; repeated rows (same id, same text) count
 as one document and lose the same lines; rows with the same id but other texts are documents of their own; a null id
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 DEPTH, SEGMENTS, MIN_TOKENS, LOOSE = 4, 4, 5, 12
-#: Tokens of the widest variable field.
-FIELD = 3
+#: Tokens of the widest variable field, constant tokens of the barest template.
+FIELD, CONSTANT = 3, 3
 SPACE = "[\\x20\\x09-\\x0D]"
 
 
@@ -68,10 +69,13 @@ def recurring(docs: DataFrame) -> DataFrame:
 
 
 def wordings(lines: DataFrame) -> DataFrame:
-    """lines (text __s) with masked tokens t, their number n, leaf and wording w; lines too short go."""
+    """lines (text __s) with tokens t (masked if enough are constant, else bare), their number n, leaf and wording w; lines too short go."""
     word = SPACE.replace("[", "[^")
     masked = F.when(F.col("__s").rlike("[0-9]"), F.regexp_replace("__s", f"(?<!{word})[^0-9\\x20\\x09-\\x0D]*+[0-9]{word}*+", "<*>")).otherwise(F.col("__s"))
-    d = lines.select("*", F.array_remove(F.split(masked, f"{SPACE}+", -1), "").alias("t")).drop("__s").withColumn("n", F.size("t")).where(F.col("n") >= MIN_TOKENS)
+    tokens = lambda s: F.array_remove(F.split(s, f"{SPACE}+", -1), "")
+    d = lines.select("*", tokens(masked).alias("m")).withColumn("n", F.size("m")).where(F.col("n") >= MIN_TOKENS)
+    bare = F.size(F.array_remove("m", "<*>")) < F.greatest(F.lit(CONSTANT), F.col("n") / 2)
+    d = d.withColumn("t", F.when(bare, tokens(F.col("__s"))).otherwise(F.col("m"))).withColumn("bare", bare).drop("__s", "m")
     return d.select("*", F.xxhash64("n", F.slice("t", 1, DEPTH)).alias("leaf"), F.xxhash64("n", "t").alias("w"))
 
 
@@ -79,26 +83,28 @@ def templates(docs: DataFrame) -> DataFrame:
     """(id, h, lines array) of the lines to drop by templates, any number of them in a leaf."""
     spark = docs.sparkSession
     split = F.posexplode(F.split("text", "\n", -1)).alias("__line", "__s")
-    rows = written(spark, wordings(docs.select("__id", "__h", split)).drop("t", "n"), "lines")
+    rows = written(spark, wordings(docs.select("__id", "__h", split)).drop("t", "n", "bare"), "lines")
     doc = F.struct("__id", "__h")
     every = written(spark, rows.groupBy("leaf", "w").agg(F.min(F.struct("__id", "__h", "__line")).alias("at"), F.max(doc).alias("last")), "wordings")
 
     # The tokens of leaves with several wordings, one line for each wording.
     leaves = written(spark, every.groupBy("leaf").agg(F.min("w").alias("a"), F.max("w").alias("b")).where("a < b").select("leaf"), "leaves")
     place = every.join(leaves, "leaf", "left_semi").groupBy("at.__id", "at.__h").agg(F.collect_set("at.__line").alias("__at"))
-    lined = docs.join(written(spark, place, "places"), ["__id", "__h"]).select("__id", "__h", "__at", split).where("array_contains(__at, __line)").drop("__at")
+    lined = docs.join(written(spark, place, "places").hint("shuffle_merge"), ["__id", "__h"]).select("__id", "__h", "__at", split).where("array_contains(__at, __line)").drop("__at")
     n, field = F.col("n"), F.least(F.lit(FIELD), F.floor(F.col("n") / 4).cast("int"))
     start = lambda k: F.lit(DEPTH) + F.floor((n - DEPTH) * k / SEGMENTS).cast("int")
     part = lambda a, b: F.slice("t", a + 1, F.greatest(F.lit(0), b - a))
     stop = lambda k: F.least(n, start(k + 1) + field - 1)
     stretch = [F.struct(F.xxhash64(F.lit(k), "leaf", part(F.lit(DEPTH), start(k)), part(stop(k), n)).alias("outside"), start(k).alias("a"), start(k + 1).alias("b"), part(start(k), stop(k)).alias("t")) for k in range(SEGMENTS)]
-    held = wordings(lined).select("w", F.struct("__id", "__h").alias("first"), field.alias("field"), F.explode(F.array(*stretch)).alias("x")).select("w", "first", "field", "x.*").where("a < b")
+    spare = F.size(F.array_remove("t", "<*>")) - F.ceil(F.greatest(F.lit(CONSTANT), n / 2)).cast("int")  # constant tokens that a window may take
+    held = wordings(lined).where("not bare").select("w", F.struct("__id", "__h").alias("first"), field.alias("field"), spare.alias("spare"), F.explode(F.array(*stretch)).alias("x")).select("w", "first", "field", "spare", "x.*").where("a < b")
     held = written(spark, held, "stretches")
 
     # Lines that meet outside a stretch, then outside a window of it.
     met = written(spark, held.groupBy("outside").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).where("lo < hi").select("outside"), "met")
     near = held.join(met, "outside", "left_semi").select("*", F.explode(F.sequence(F.lit(0), F.col("b") - F.col("a") - 1)).alias("p"))
     window = F.xxhash64("outside", "p", F.expr("slice(t, 1, p)"), F.expr("slice(t, p + field + 1, greatest(0, size(t) - p - field))"))
+    near = near.where("size(array_remove(slice(t, p + 1, field), '<*>')) <= spare")
     near = written(spark, near.select("w", "first", window.alias("window")), "windows")
     shared = near.groupBy("window").agg(F.min("first").alias("first"), F.min("w").alias("lo"), F.max("w").alias("hi")).where("lo < hi").select("window", "first")
     earlier = near.select("window", "w").join(shared.hint("shuffle_merge"), "window").groupBy("w").agg(F.min("first").alias("first"))
