@@ -3,8 +3,8 @@
 Four rules look at shares of a text: symbols, repeated lines, words in repeated windows, capitals. Each rule rejects a
 text above a cutoff, chosen for each stratum (language) from labelled good texts: going from the most lenient cutoff
 down, a cutoff is accepted while an exact binomial test (the Clopper-Pearson bound) shows at level DELTA / (rules *
-strata) that no more than RISK of the good texts lie above it; the first that fails ends the walk (fixed-sequence
-testing), so with confidence 1 - DELTA every rule in every stratum rejects at most RISK of the good texts. A stratum with
+strata) that no more than RISK / rules of the good texts lie above it; the first that fails ends the walk (fixed-sequence
+testing), so with confidence 1 - DELTA the rules together reject at most RISK of the good texts of every stratum. A stratum with
 too few labels keeps the most lenient cutoff, which rejects nothing. The levels are counted in Spark; a group holds at
 most LEVELS + 1 rows a rule.
 
@@ -117,7 +117,7 @@ def cutoffs(held: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
             own = pdf[pdf.rule == k]
             per = np.bincount(own.level.astype(int), own["count"], LEVELS + 1) if len(own) else np.zeros(LEVELS + 1)
             n = int(per.sum())
-            out[f"cut_{r}"] = [(cutoff(n - np.cumsum(per), n, delta / (len(RULES) * strata), risk) if n else LEVELS) / LEVELS]
+            out[f"cut_{r}"] = [(cutoff(n - np.cumsum(per), n, delta / (len(RULES) * strata), risk / len(RULES)) if n else LEVELS) / LEVELS]
         return pd.DataFrame(out)
 
     return counts.groupBy("stratum").applyInPandas(choose, "stratum string, " + ", ".join(f"cut_{r} double" for r in RULES))
