@@ -41,10 +41,10 @@ def shape_select(df: DataFrame, t: Table, fields: dict[str, tuple[str, str]], li
     return out.limit(limit) if limit else out
 
 
-def shape_nested(parents: DataFrame, children: DataFrame, key: str, field: str, most: int = 200) -> DataFrame:
-    """Parents with an array of their first `most` children, joined on the reference."""
+def shape_nested(parents: DataFrame, children: DataFrame, key: str, field: str, most: int | None = 200) -> DataFrame:
+    """Parents with an array of their first `most` children (None: all), joined on the reference."""
     rn = F.row_number().over(Window.partitionBy(key).orderBy("child"))
-    kids = children.withColumn("rn", rn).where(F.col("rn") <= most).groupBy(key).agg(F.array_sort(F.collect_list("child")).alias(field))
+    kids = (children if most is None else children.withColumn("rn", rn).where(F.col("rn") <= most)).groupBy(key).agg(F.array_sort(F.collect_list("child")).alias(field))
     return parents.join(kids, key, "left")
 
 

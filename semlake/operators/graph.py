@@ -27,17 +27,18 @@ def link_join(left: DataFrame, a: Table, right: DataFrame, b: Table, prop: str,
     return out.select("subject", F.lit(prop).alias("predicate"), "object", F.col("lb").alias("label"))
 
 
-def describe_batch(iris: DataFrame, facts: DataFrame, links: DataFrame, per_link: int = 25) -> DataFrame:
-    """(iri, predicate, value, kind) of many IRIs at once: their facts, and at most per_link objects of each link."""
+def describe_batch(iris: DataFrame, facts: DataFrame, links: DataFrame, per_link: int | None = 25) -> DataFrame:
+    """(iri, predicate, value, kind) of many IRIs at once: their facts, and at most per_link objects of each link (None: all)."""
     own = facts.select(F.col("s").alias("iri"), F.col("p").alias("predicate"), F.col("o").alias("value"), F.col("o_kind").alias("kind")).join(iris, "iri", "left_semi")
     linked = links.select(F.col("subject").alias("iri"), "predicate", F.col("object").alias("value"), F.lit("link").alias("kind")).join(iris, "iri", "left_semi")
-    rn = F.row_number().over(Window.partitionBy("iri", "predicate").orderBy("value"))
-    linked = linked.withColumn("rn", rn).where(F.col("rn") <= per_link).drop("rn")
+    if per_link is not None:
+        rn = F.row_number().over(Window.partitionBy("iri", "predicate").orderBy("value"))
+        linked = linked.withColumn("rn", rn).where(F.col("rn") <= per_link).drop("rn")
     missing = iris.join(own.select("iri").distinct(), "iri", "left_anti").select("iri", F.lit(None).cast("string").alias("predicate"), F.lit(None).cast("string").alias("value"), F.lit("missing").alias("kind"))
     return own.unionByName(linked).unionByName(missing)
 
 
-def describe_resource(quads: DataFrame, labels: DataFrame, iris: DataFrame, graph: str | None = None, out_limit: int = 1000, in_limit: int = 200) -> DataFrame:
+def describe_resource(quads: DataFrame, labels: DataFrame, iris: DataFrame, graph: str | None = None, out_limit: int | None = 1000, in_limit: int | None = 200) -> DataFrame:
     """Statements from and to each IRI with the other end's label; IRIs unknown in `graph` are described from all graphs."""
     scoped = quads.where(F.col("graph") == graph) if graph else quads
     there = scoped.select(F.col("s").alias("iri")).union(scoped.where("o_kind = 'iri'").select("o")).distinct()
@@ -50,8 +51,10 @@ def describe_resource(quads: DataFrame, labels: DataFrame, iris: DataFrame, grap
     found = around(scoped, iris.join(there, "iri", "left_semi"))
     if graph:
         found = found.union(around(quads, iris.join(there, "iri", "left_anti")))
-    rn = F.row_number().over(Window.partitionBy("iri", "direction").orderBy("p", "other", "o_kind"))
-    found = found.withColumn("rn", rn).where((F.col("rn") <= F.when(F.col("direction") == "out", out_limit).otherwise(in_limit)))
+    if out_limit is not None or in_limit is not None:
+        rn = F.row_number().over(Window.partitionBy("iri", "direction").orderBy("p", "other", "o_kind"))
+        most = F.when(F.col("direction") == "out", F.lit(out_limit)).otherwise(F.lit(in_limit))
+        found = found.withColumn("rn", rn).where((F.col("rn") <= most) | most.isNull())
     return found.join(labels.select(F.col("iri").alias("other"), "label"), "other", "left").select("iri", "direction", "p", "other", "label")
 
 
@@ -60,10 +63,12 @@ def edges(quads: DataFrame) -> DataFrame:
     return quads.where((F.col("o_kind") == "iri") & (F.col("p") != TYPE)).select(F.col("s").alias("src"), "p", F.col("o").alias("dst")).distinct()
 
 
-def expand_neighbors(quads: DataFrame, nodes: DataFrame, limit: int = 25) -> DataFrame:
-    """The first distinct neighbours of each node, either way."""
+def expand_neighbors(quads: DataFrame, nodes: DataFrame, limit: int | None = 25) -> DataFrame:
+    """The first distinct neighbours of each node (limit None: all), either way."""
     e = edges(quads)
     both = e.select(F.col("src").alias("iri"), F.col("dst").alias("neighbor")).union(e.select("dst", "src")).where("iri <> neighbor").join(nodes, "iri", "left_semi").distinct()
+    if limit is None:
+        return both.select("iri", "neighbor")
     return both.withColumn("rn", F.row_number().over(Window.partitionBy("iri").orderBy("neighbor"))).where(F.col("rn") <= limit).select("iri", "neighbor")
 
 

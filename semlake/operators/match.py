@@ -73,7 +73,7 @@ def concept_lexicon(concepts: DataFrame) -> DataFrame:
     return n.withColumn("ord", F.struct((-F.length("name")).alias("l"), "concept", "name"))
 
 
-def auto_tag(docs: DataFrame, lexicon: DataFrame, limit: int = 50) -> DataFrame:
+def auto_tag(docs: DataFrame, lexicon: DataFrame, limit: int | None = 50) -> DataFrame:
     """(doc_id, concept, n, spans) of whole-word mentions; longer names claim their span first.
 
     A text's word pieces carry their offset; the first word of a name joins them, so candidates come from an equi-join.
@@ -100,6 +100,8 @@ def auto_tag(docs: DataFrame, lexicon: DataFrame, limit: int = 50) -> DataFrame:
     claimed = F.expr("aggregate(c, cast(array() as array<struct<start:int,end:int,concept:string>>), (acc, x) -> if(exists(acc, y -> x.start < y.end and y.start < x.end), acc, concat(acc, array(struct(x.start, x.end, x.concept)))))")
     spans = one.select("doc_id", F.explode(claimed).alias("x")).select("doc_id", "x.*")
     tags = spans.groupBy("doc_id", "concept").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("start")).alias("starts"))
+    if limit is None:
+        return tags.select("doc_id", "concept", "n", "starts")
     rn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "concept"))
     return tags.withColumn("rank", rn).where(F.col("rank") <= limit).select("doc_id", "concept", "n", "starts")
 

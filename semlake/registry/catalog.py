@@ -13,7 +13,7 @@ from ..operators import algebra, dash, graph, select, validate
 from ..plans import meta
 from ..plans.meta import TABLES, load, sql_instances
 from ..sources import io
-from .base import query
+from .base import ORACLES, query
 
 CRM = ["region", "nation", "customer"]
 Q = f"WITH q AS ({sql_instances(CRM)})"
@@ -187,8 +187,14 @@ def class_views(spark, sf):
 
 
 @query("class_select", f"SELECT {ORDER_IRI} AS __iri, o_orderkey, o_orderstatus FROM orders WHERE o_totalprice >= 100000 AND o_orderpriority LIKE '%HIGH%' ORDER BY o_orderkey DESC LIMIT 200")
-def class_select(spark, sf):
-    return select.class_select(load(spark, sf, "orders"), TABLES["orders"], ["o_orderkey", "o_orderstatus"], [("o_totalprice", ">=", 100000), ("o_orderpriority", "LIKE", "%HIGH%")], ("o_orderkey", False), 200)
+def class_select(spark, sf, limit=200):
+    return select.class_select(load(spark, sf, "orders"), TABLES["orders"], ["o_orderkey", "o_orderstatus"], [("o_totalprice", ">=", 100000), ("o_orderpriority", "LIKE", "%HIGH%")], ("o_orderkey", False), limit)
+
+
+@query("class_select_all", ORACLES["class_select"].replace(" LIMIT 200", ""))
+def class_select_all(spark, sf):
+    """Every row that matches."""
+    return class_select(spark, sf, None)
 
 
 @query("mint_subject", f"SELECT doc_id, '{DATA}doc/' || replace(replace(source, '%', '%25'), ' ', '%20') || '_' || doc_id AS iri FROM documents")
@@ -270,11 +276,17 @@ l AS (SELECT {CUST_IRI} AS iri, '^{NS}placedBy' AS predicate, {ORDER_IRI} AS val
 SELECT s AS iri, p AS predicate, o AS value, o_kind AS kind FROM q SEMI JOIN i ON q.s = i.iri
 UNION ALL SELECT iri, predicate, value, kind FROM l SEMI JOIN i ON l.iri = i.iri WHERE rn <= 25
 UNION ALL SELECT iri, NULL, NULL, 'missing' FROM i ANTI JOIN q ON q.s = i.iri""")
-def describe_batch(spark, sf):
+def describe_batch(spark, sf, per_link=25):
     c = load(spark, sf, "customer")
     iris = c.where("c_mktsegment = 'BUILDING'").select(meta.subject(TABLES["customer"]).alias("iri")).union(c.where("c_mktsegment = 'MACHINERY'").select(F.concat(F.lit(DATA + "customer/"), (-F.col("c_custkey")).cast("string"))))
     links = graph.link_join(load(spark, sf, "orders"), TABLES["orders"], c, TABLES["customer"], NS + "placedBy", "o_custkey", "c_custkey", reverse=True)
-    return graph.describe_batch(iris, meta.instances(spark, sf, ["customer"]), links)
+    return graph.describe_batch(iris, meta.instances(spark, sf, ["customer"]), links, per_link)
+
+
+@query("describe_batch_all", ORACLES["describe_batch"].replace(" WHERE rn <= 25", ""))
+def describe_batch_all(spark, sf):
+    """Every object of each link."""
+    return describe_batch(spark, sf, None)
 
 
 @query("lineage_path", f"""
@@ -296,17 +308,29 @@ LAB = f"(SELECT s AS iri, min(o) AS label FROM q WHERE p IN ('{NS}region_r_name'
 e AS (SELECT DISTINCT s AS iri, 'out' AS direction, p, o AS other, o_kind FROM q UNION SELECT DISTINCT o, 'in', p, s, 'iri' FROM q WHERE o_kind = 'iri'),
 r AS (SELECT *, row_number() OVER (PARTITION BY iri, direction ORDER BY p, other, o_kind) AS rn FROM e WHERE iri LIKE '{DATA}nation/%')
 SELECT r.iri AS iri, direction, p, other, label FROM r LEFT JOIN l ON r.other = l.iri WHERE rn <= CASE direction WHEN 'out' THEN 1000 ELSE 200 END""")
-def describe_resource(spark, sf):
+def describe_resource(spark, sf, out_limit=1000, in_limit=200):
     q = crm(spark, sf)
     labels = select.resolve_label(q, select.label_props(spark, [TABLES[n] for n in CRM]))
-    return graph.describe_resource(q, labels, load(spark, sf, "nation").select(meta.subject(TABLES["nation"]).alias("iri")), GRAPH + "crm")
+    return graph.describe_resource(q, labels, load(spark, sf, "nation").select(meta.subject(TABLES["nation"]).alias("iri")), GRAPH + "crm", out_limit, in_limit)
+
+
+@query("describe_resource_all", ORACLES["describe_resource"].replace(" WHERE rn <= CASE direction WHEN 'out' THEN 1000 ELSE 200 END", ""))
+def describe_resource_all(spark, sf):
+    """Every statement from and to each IRI."""
+    return describe_resource(spark, sf, None, None)
 
 
 @query("expand_neighbors", f"""{Q}, e AS (SELECT DISTINCT s, o FROM q WHERE o_kind = 'iri' AND p <> '{TYPE}'),
 b AS (SELECT s AS iri, o AS neighbor FROM e UNION SELECT o, s FROM e)
 SELECT iri, neighbor FROM (SELECT *, row_number() OVER (PARTITION BY iri ORDER BY neighbor) AS rn FROM b WHERE iri <> neighbor AND iri LIKE '{DATA}nation/%') WHERE rn <= 25""")
-def expand_neighbors(spark, sf):
-    return graph.expand_neighbors(crm(spark, sf), load(spark, sf, "nation").select(meta.subject(TABLES["nation"]).alias("iri")))
+def expand_neighbors(spark, sf, limit=25):
+    return graph.expand_neighbors(crm(spark, sf), load(spark, sf, "nation").select(meta.subject(TABLES["nation"]).alias("iri")), limit)
+
+
+@query("expand_neighbors_all", ORACLES["expand_neighbors"].replace(" WHERE rn <= 25", ""))
+def expand_neighbors_all(spark, sf):
+    """Every neighbour of each node."""
+    return expand_neighbors(spark, sf, None)
 
 
 @query("triples_to_edges", f"{QB} SELECT DISTINCT s AS src, p, o AS dst FROM q WHERE o_kind = 'iri' AND p <> '{TYPE}'")

@@ -12,7 +12,7 @@ from ..model import GRAPH, NS, XSD
 from ..operators import dash, governance, imports
 from ..plans.meta import TABLES, load
 from ..streaming import journal
-from .base import query
+from .base import ORACLES, query
 
 
 # Imports: the parts' names as a sheet, with duplicates as they come and broader terms from the types.
@@ -145,8 +145,14 @@ def changes(spark, sf):
 
 
 @query("record_changes", "SELECT conv_id || '-' || turn AS change, substring(text, 1, 800) AS detail FROM conversations")
-def record_changes(spark, sf):
-    return governance.record_changes(changes(spark, sf)).select("change", "detail")
+def record_changes(spark, sf, most=800):
+    return governance.record_changes(changes(spark, sf), most).select("change", "detail")
+
+
+@query("record_changes_all", ORACLES["record_changes"].replace("substring(text, 1, 800)", "text"))
+def record_changes_all(spark, sf):
+    """The detail in full."""
+    return record_changes(spark, sf, None)
 
 
 @query("changelog_recent", "SELECT conv_id || '-' || turn AS change, role AS actor, 'g' || (conv_id % 3) AS graphs FROM conversations ORDER BY conv_id * 1000 + turn DESC, change DESC LIMIT 100")
@@ -181,15 +187,27 @@ def shape_plan(spark, sf):
 
 
 @query("shape_select", f"SELECT 'urn:sem:data/customer/' || c_custkey AS _id, c_name AS name, c_acctbal AS balance FROM customer ORDER BY _id LIMIT 500")
-def shape_select(spark, sf):
-    return dash.shape_select(load(spark, sf, "customer"), TABLES["customer"], {"name": ("c_name", "String"), "balance": ("c_acctbal", "Float")}, 500)
+def shape_select(spark, sf, limit=500):
+    return dash.shape_select(load(spark, sf, "customer"), TABLES["customer"], {"name": ("c_name", "String"), "balance": ("c_acctbal", "Float")}, limit)
+
+
+@query("shape_select_all", ORACLES["shape_select"].replace(" LIMIT 500", ""))
+def shape_select_all(spark, sf):
+    """Every row."""
+    return shape_select(spark, sf, None)
 
 
 @query("shape_nested", "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) SELECT c_custkey AS k, c_name AS name, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (rn <= 200) AS orders FROM customer LEFT JOIN r ON c_custkey = o_custkey GROUP BY ALL")
-def shape_nested(spark, sf):
+def shape_nested(spark, sf, most=200):
     c = load(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
     o = load(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("child"))
-    return dash.shape_nested(c, o, "k", "orders").withColumn("orders", F.array_join(F.col("orders").cast("array<string>"), ","))
+    return dash.shape_nested(c, o, "k", "orders", most).withColumn("orders", F.array_join(F.col("orders").cast("array<string>"), ","))
+
+
+@query("shape_nested_all", ORACLES["shape_nested"].replace(" FILTER (rn <= 200)", ""))
+def shape_nested_all(spark, sf):
+    """Every child of each parent."""
+    return shape_nested(spark, sf, None)
 
 
 @query("sql_console", "SELECT o_orderpriority AS x, count(*) AS n FROM orders GROUP BY o_orderpriority")

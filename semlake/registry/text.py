@@ -297,7 +297,7 @@ def concept_lexicon(spark, sf):
 
 @query("auto_tag")
 def auto_tag(spark, sf):
-    return match.auto_tag(load(spark, sf, "documents").select("doc_id", "text"), lexicon(spark, sf)).withColumn("starts", F.array_join(F.col("starts").cast("array<string>"), ","))
+    return match.auto_tag(load(spark, sf, "documents").select("doc_id", "text"), lexicon(spark, sf), limit=None).withColumn("starts", F.array_join(F.col("starts").cast("array<string>"), ","))
 
 
 # Scalar functions over whole columns.

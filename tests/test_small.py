@@ -211,3 +211,21 @@ def test_journal(spark):
     state = lambda t: {r.s for r in journal.restore_pitr(none, j, t).collect()}
     assert state(at(3)) == {"A", "B"} and state(at(5)) == {"A", "B", "C"} and state(at(7)) == {"B", "C", "D"} and state(None) == {"B", "C"}
     assert graph.hist_buckets(spark.createDataFrame([("a", 3.0), ("a", 30.0)], "k string, v double"), "v", ["k"]).first().le_25 == 1
+
+
+def test_no_limits(spark):
+    """A hot key keeps all its links, children, tags and text when the limit is off."""
+    from semlake.operators import dash, governance, graph, match
+
+    q = spark.createDataFrame([(f"s{k:04}", "urn:p", "hub", "iri", "g") for k in range(1300)] + [("hub", "urn:p", f"s{k:04}", "iri", "g") for k in range(1300)], "s string, p string, o string, o_kind string, graph string")
+    hub = spark.createDataFrame([("hub",)], "iri string")
+    links = q.where("s = 'hub'").select(q.s.alias("subject"), q.p.alias("predicate"), q.o.alias("object"))
+    assert graph.describe_batch(hub, q.where("s = 'hub'").limit(1), links, None).where("kind = 'link'").count() == 1300
+    assert graph.expand_neighbors(q, hub, None).count() == 1300
+    assert graph.describe_resource(q, hub.selectExpr("iri", "iri as label"), hub, "g", None, None).count() == 2600
+    kids = dash.shape_nested(spark.range(1).selectExpr("id as k"), spark.range(500).selectExpr("0L as k", "id as child"), "k", "c", None).first()
+    assert kids.c == list(range(500))
+    assert len(governance.record_changes(spark.createDataFrame([("x" * 5000,)], "detail string"), None).first().detail) == 5000
+    names = [f"{a}{b}{c}" for a in "bcdf" for b in "aeio" for c in "nrst"]
+    lexicon = match.concept_lexicon(spark.createDataFrame([(f"urn:{w}", [w]) for w in names], "iri string, names array<string>"))
+    assert match.auto_tag(spark.createDataFrame([(1, " ".join(names))], "doc_id long, text string"), lexicon, None).count() == 64
