@@ -64,27 +64,62 @@ def key(row):
     return tuple((x is None, x) for x in row)
 
 
-def test_token_files(spark, docs, empty):
+@pytest.mark.parametrize("as_text", [False, True])
+def test_token_files(spark, docs, empty, as_text):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
+    if as_text:
+        tk.encode_special_tokens = True  # else the library as it comes
     out = shared_path(spark, "t")
-    token_files.write_tokens(docs, path, out, file_chars=9000)
+    token_files.write_tokens(docs, path, out, file_chars=9000, special_as_text=as_text)
     got = token_files.digest(spark, out).collect()
-    at, want = 0, []
+    at, want, every = 0, [], []
     for i, t in sorted(((r[0], r[1] or "") for r in ROWS), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         ids = np.array(tk.encode(t, add_special_tokens=False).ids + [2], dtype="<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        every.append((i, at, ids.tolist()))
         at += len(ids)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert (50256 in sum((x for _, _, x in every), [])) != as_text
     # Selective reads: only the columns asked for, with row-group statistics on the sorted id.
     plan = token_files.starts(spark, out)._jdf.queryExecution().toString()
     assert "ids" not in plan.split("ReadSchema")[-1]
+    some = token_files.read_documents(spark, out, 9, 12)
+    assert "GreaterThanOrEqual(doc_id,9)" in some._jdf.queryExecution().toString()
+    assert sorted((r.doc_id, list(r.ids)) for r in some.collect()) == sorted((i, x) for i, _, x in every if i and 9 <= i <= 12)
+    flat = sum((x for _, _, x in every), [])
+    for start, stop in ((0, 5), (3, 4000), (at - 700, at + 9), (at, at + 1), (7, 7)):
+        parts = sorted((r.start, list(r.ids)) for r in token_files.read_range(spark, out, start, stop).collect())
+        assert sum((x for _, x in parts), []) == flat[start:stop] and all(flat[s : s + len(x)] == x for s, x in parts)
     none = shared_path(spark, "t")
     token_files.write_tokens(empty, path, none)
-    assert token_files.digest(spark, none).count() == 0
+    assert token_files.digest(spark, none).count() == 0 and token_files.read_range(spark, none, 0, 9).count() == 0
+
+
+def test_token_file_footers(spark, docs):
+    """Several row groups a file, dictionary ids, delta metadata, page indexes, and order by doc_id over files by name."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    out = shared_path(spark, "t")
+    many = docs.crossJoin(spark.range(150)).select("doc_id", F.concat_ws(" ", "text", "id").alias("text"))
+    token_files.write_tokens(many, P.path("byte_bpe_50k.json"), out, file_chars=3_000_000, row_group=100_000)
+    last, files = None, sorted(glob.glob(out.replace("file://", "") + "/*.parquet"))
+    assert len(files) > 1
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        assert meta.num_row_groups > 1
+        for k in range(meta.num_row_groups):
+            cols = {meta.row_group(k).column(c).path_in_schema: meta.row_group(k).column(c) for c in range(meta.num_columns)}
+            ids = next(c for n, c in cols.items() if n.startswith("ids"))
+            assert ids.has_dictionary_page and "DELTA_BINARY_PACKED" in cols["doc_id"].encodings and not cols["doc_id"].has_dictionary_page
+            assert cols["doc_id"].has_column_index and cols["doc_id"].has_offset_index
+        own = [x for x in pq.read_table(f, columns=["doc_id"]).column(0).to_pylist() if x is not None]
+        assert own == sorted(own) and (last is None or not own or last <= own[0])
+        last = own[-1] if own else last
 
 
 def test_quality_base(spark, docs, labels, empty):
