@@ -6,11 +6,16 @@ floor(j * cycle / units) and must have it done by slot ceil((j + 1) * cycle / un
 released blocks, ties to the first source by name, fills every slot of a round, and after any slot each source is less
 than one block from its share. Rounds repeat, so one round of `cycle` slots is worked out (in one row, by a fold) and
 every block's slot follows by arithmetic. No row is dropped: when a source runs out its slots stay empty and the
-others keep their proportions.
+others keep their proportions. Documents are not cut: one that is longer than a block has the slot of its first block,
+and the slots of the blocks that it covers stay empty, so in characters a source is ahead of its share by less than one
+block and what its last document has beyond its block.
 
 Edge cases: a null source is the source ''; a null text has no characters and stays in its place; a null id comes
-first; repeated rows follow one another; an empty table gives an empty result; other columns pass through, but for
-columns named mix_units, mix_block, mix_slot and mix_start, which are replaced.
+first, such rows by a hash of their text; equal ids go by length, then by that hash; equal rows follow one another in
+any order, which shows in nothing but their own places; an empty table gives an empty result; other columns pass
+through, whatever their names, but for columns named mix_units, mix_block, mix_slot and mix_start, which are replaced.
+Weights that name a source twice (null and '' are one) with different values, or leave out a source of the documents,
+are a ValueError; named twice with one value, they count once.
 """
 
 from __future__ import annotations
@@ -18,10 +23,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 CYCLE = 1000
 BLOCK_CHARS = 16384
-#: Ids of one bucket of the two-level running sum.
-BUCKET = 4096
+#: Rows of one bucket of the running sum, on average, and buckets of one step above it.
+BUCKET, STEP = 256, 4096
+#: Sources up to which their slots are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_SOURCES = 1000
 ADDED = ("mix_units", "mix_block", "mix_slot", "mix_start")
 
 #: One round: for every slot the place (in name order) of the source that has it.
@@ -39,7 +48,7 @@ aggregate(sequence(0L, cycle - 1),
 def shares(sizes: DataFrame, cycle: int = CYCLE) -> DataFrame:
     """(source, units, cycle) from (source, weight long): at least one unit each, the rest by largest remainder.
 
-    The cycle is `cycle` slots, or ten for each source if that is more.
+    A round must have room for every source: it has ten slots for each, and `cycle` at least.
     """
     every = Window.partitionBy()
     s = sizes.withColumn("n", F.count("*").over(every)).withColumn("total", F.sum("weight").over(every))
@@ -57,31 +66,56 @@ def schedule(units: DataFrame) -> DataFrame:
     return slots.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("slot")).cast("long") - 1)
 
 
+def own_weights(weights: DataFrame) -> DataFrame:
+    """(source, weight), each source once; a ValueError where two values meet."""
+    w = weights.select(F.coalesce(F.col("source"), F.lit("")).alias("source"), F.col("weight").cast("long").alias("weight"))
+    w = w.where("weight > 0").groupBy("source").agg(F.min("weight").alias("weight"), F.max("weight").alias("other"))
+    if not w.where("weight <> other").isEmpty():
+        raise ValueError("a source has two weights")
+    return w.select("source", "weight")
+
+
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cycle: int = CYCLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with mix_units, mix_block, mix_slot, mix_start; the mixture is the order of (mix_slot, mix_start, doc_id).
 
     weights: (source, weight) with positive whole numbers for every source (else a ValueError); by default the square root of a source's
-    characters. The running sum goes by buckets of ids, so that a large source is spread over many tasks.
+    characters. The running sum of lengths goes by buckets of ids and steps of buckets, so that a large source is spread over many tasks.
     """
+    spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
-    d = docs.withColumns({"__source": F.coalesce(F.col("source"), F.lit("")), "__len": F.coalesce(F.length("text"), F.lit(0)).cast("long"), "__bucket": F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-1)).cast("long")})
-    sums = d.groupBy("__source", "__bucket").agg(F.sum("__len").alias("__sum"))
-    offsets = sums.withColumn("__before", F.sum("__sum").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("__sum")).drop("__sum")
+    # The row's columns by number, so that their names cannot clash with those below.
+    d = docs.select(
+        *[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("source"), F.lit("")).alias("source"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("len"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"),
+    )
+    n, low, high = d.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) * BUCKET // max(1, n)))
+    none = F.struct(F.lit(-1).cast("long").alias("step"), F.pmod("h", F.lit(max(1, n // BUCKET))).alias("bucket"))
+    at = F.expr(f"(id - {low or 0}L) div {width}L")
+    d = d.withColumn("at", F.when(F.col("id").isNull(), none).otherwise(F.struct((at / STEP).cast("long").alias("step"), at.alias("bucket"))))
+    d = d.select("*", "at.step", "at.bucket").drop("at")
+    sums = written(spark, d.groupBy("source", "step", "bucket").agg(F.sum("len").alias("sum")), "sums")
+    steps = sums.groupBy("source", "step").agg(F.sum("sum").alias("all"))
+    steps = steps.select("source", "step", (F.sum("all").over(Window.partitionBy("source").orderBy("step")) - F.col("all")).alias("above"))
+    within = F.sum("sum").over(Window.partitionBy("source", "step").orderBy("bucket")) - F.col("sum")
+    offsets = sums.withColumn("within", within).join(steps.hint("shuffle_merge"), ["source", "step"]).select("source", "step", "bucket", (F.col("above") + F.col("within")).alias("before"))
     if weights is None:
-        weights = d.groupBy(F.col("__source").alias("source")).agg(F.floor(F.sqrt(F.greatest(F.sum("__len"), F.lit(1))) * 1000).cast("long").alias("weight"))
+        weights = sums.groupBy("source").agg(F.floor(F.sqrt(F.greatest(F.sum("sum"), F.lit(1))) * 1000).cast("long").alias("weight"))
     else:
-        weights = weights.select(F.coalesce(F.col("source"), F.lit("")).alias("source"), F.col("weight").cast("long").alias("weight"))
-        if not d.select(F.col("__source").alias("source")).distinct().join(weights.where("weight > 0"), "source", "left_anti").isEmpty():
+        weights = own_weights(weights)
+        if not sums.select("source").distinct().join(weights, "source", "left_anti").isEmpty():
             raise ValueError("a source of the documents has no weight")
-    plan = schedule(shares(weights, cycle)).select(F.col("source").alias("__source"), F.col("units").alias("mix_units"), F.col("cycle").alias("__cycle"), F.col("k").alias("__k"), F.col("slot").alias("__slot"))
-    place = Window.partitionBy("__source", "__bucket").orderBy("doc_id", "__len")
-    d = d.withColumn("__within", F.sum("__len").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__len"))
-    d = d.join(offsets.hint("shuffle_merge"), ["__source", "__bucket"]).withColumn("mix_start", F.col("__before") + F.col("__within"))
+    weights = written(spark, weights, "weights")
+    plan = schedule(shares(weights, cycle)).withColumnRenamed("units", "mix_units")
+    each = plan.groupBy("source", "mix_units", "cycle").agg(F.array_sort(F.collect_list(F.struct("k", "slot"))).alias("slots"))  # `cycle` slots in all
+    few = weights.count() <= BROADCAST_SOURCES
+    place = Window.partitionBy("source", "step", "bucket").orderBy("id", "len", "h").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("inside", F.sum("len").over(place) - F.col("len"))
+    d = d.join(offsets.hint("shuffle_merge"), ["source", "step", "bucket"]).withColumn("mix_start", F.col("before") + F.col("inside"))
     d = d.withColumn("mix_block", F.expr(f"mix_start div {block_chars}"))
-    each = plan.groupBy("__source", "mix_units", "__cycle").agg(F.array_sort(F.collect_list(F.struct("__k", "__slot"))).alias("__slots"))
-    d = d.join(F.broadcast(each), "__source")  # `cycle` slots in all
-    d = d.withColumn("mix_slot", F.expr("(mix_block div mix_units) * __cycle + __slots[int(mix_block % mix_units)].__slot"))
-    return d.select(*docs.columns, *ADDED)
+    d = d.join(F.broadcast(each) if few else each.hint("shuffle_merge"), "source")
+    d = d.withColumn("mix_slot", F.expr("(mix_block div mix_units) * cycle + slots[int(mix_block % mix_units)].slot"))
+    return d.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], *ADDED)
 
 
 ORACLE = f"""
