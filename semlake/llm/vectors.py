@@ -1,8 +1,10 @@
 """Embedding near-dedup by a random-projection tree forest.
 
 TREES trees halve the vectors again and again by a random direction at the median of a sample (at most SAMPLE vectors,
-those with the least hash); a vector within SPILL standard deviations of a threshold goes to both sides. Every vector
-is routed to its leaves; vectors are compared by cosine, in double precision, within leaves. A pair that meets in
+those with the least hash), down to leaves of about LEAF of all vectors, however many there are: where a node is left
+with fewer than 2 * FEW vectors of the sample, the nodes below go on by the medians of those. A vector within SPILL
+standard deviations of a threshold goes to both sides. Every vector is routed to its leaves; vectors are compared by
+cosine, in double precision, within leaves. A pair that meets in
 several leaves counts in the first of them only, so link counts are sums and no list of pairs is ever made: a leaf
 returns each vector's links and a spanning forest of them. Equal vectors are one class, compared once. Leaves of more
 than BLOCK vectors are compared in blocks, so that no task holds a leaf of any size.
@@ -20,24 +22,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, written
+from .common import components, discard, small_batches, written
 
-TREES, LEAF, SAMPLE, SPILL, LEAST, BLOCK = 12, 256, 20_000, 0.15, 0.95, 4096
+TREES, LEAF, SAMPLE, FEW, SPILL, LEAST, BLOCK = 12, 256, 20_000, 16, 0.15, 0.95, 4096
+#: Leaves up to which their sizes are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_LEAVES = 500_000
 MAX_SAMPLE_BYTES = 32 << 20
 
 
 class Forest:
-    """Per length of vectors: directions by (tree, level) and thresholds by (tree, level, node)."""
+    """Per length of vectors: directions by (tree, level), thresholds by (tree, level, node down to the depth `known` that the sample can tell)."""
 
     def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.depth, self.trees = depth, trees
+        self.known = max(0, min(depth, int(np.log2(max(1, len(sample) / FEW)))))
         d = sample.shape[1]
         self.directions = rng.standard_normal((d, trees * max(depth, 1)))
         self.directions /= np.linalg.norm(self.directions, axis=0)
         p = sample @ self.directions
         self.margin = SPILL * (p.std(axis=0) if len(sample) else np.zeros(trees * max(depth, 1)))
-        self.cuts = [[np.zeros(1 << level) for level in range(depth)] for _ in range(trees)]
+        self.cuts = [[np.zeros(1 << min(level, self.known)) for level in range(depth)] for _ in range(trees)]
         for t in range(trees):
             row, node = np.arange(len(sample)), np.zeros(len(sample), dtype=np.int64)
             for level in range(depth):
@@ -46,10 +51,11 @@ class Forest:
                 for part in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
                     if len(part):
                         self.cuts[t][level][node[part[0]]] = np.median(x[part])
-                row, node = self.step(t, level, x, row, node)
+                if level < self.known:
+                    row, node = self.step(t, level, x, row, node)
 
     def step(self, t, level, x, row, node):
-        cut, margin = self.cuts[t][level][node], self.margin[t * self.depth + level]
+        cut, margin = self.cuts[t][level][node >> max(0, level - self.known)], self.margin[t * self.depth + level]
         left, right = x < cut + margin, x >= cut - margin
         return np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
 
@@ -79,6 +85,17 @@ def units(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
+def unite(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the groups of a[i] and b[i] for all i; up holds each member's least fellow and is changed in place."""
+    while len(a):
+        p, q = up[a], up[b]
+        apart = p != q
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while (up[up] != up).any():
+            up[:] = up[up]
+
+
 def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", column: str = "embedding", least: float = LEAST) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of embeddings."""
     spark = embeddings.sparkSession
@@ -102,8 +119,7 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", column: str = "e
         most = max(64, min(SAMPLE, MAX_SAMPLE_BYTES // d))
         sample = [r.unit for r in classes.where(F.octet_length("unit") == d).orderBy(F.xxhash64("node"), "node").select("unit").limit(most).collect()]
         x = np.frombuffer(b"".join(bytes(s) for s in sample), dtype=np.float64).reshape(len(sample), d // 8)
-        depth = max(0, min(int(np.ceil(np.log2(max(1, n) / LEAF))), int(np.log2(max(1, len(sample) / 16)))))
-        forests[d] = Forest(x, depth)
+        forests[d] = Forest(x, max(0, int(np.ceil(np.log2(max(1, n) / LEAF)))))
     held = spark.sparkContext.broadcast(forests)  # thresholds and directions only, bounded by the sample
 
     def route(batches):
@@ -120,8 +136,9 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", column: str = "e
     routed = classes.select("node", "copies", "unit").mapInArrow(route, "node long, copies long, unit binary, d long, leaves array<long>")
     routed = written(spark, routed, "routed")
     each = routed.select("d", F.explode("leaves").alias("leaf"), "node", "copies", "unit", "leaves")
-    sizes = each.groupBy("d", "leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # a row a leaf, bounded by the sample
-    each = each.join(F.broadcast(written(spark, sizes, "leaves")), ["d", "leaf"]).withColumn("own", F.pmod("node", "blocks"))
+    sizes = written(spark, routed.select("d", F.explode("leaves").alias("leaf")).groupBy("d", "leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "leaves")
+    few = sizes.count() <= BROADCAST_LEAVES
+    each = each.join(F.broadcast(sizes) if few else sizes.hint("shuffle_merge"), ["d", "leaf"]).withColumn("own", F.pmod("node", "blocks"))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("x"), F.greatest("own", k).alias("y")))
     each = each.select("d", "leaf", "own", "node", "copies", "unit", "leaves", F.explode(pair).alias("pair")).select("d", "leaf", "pair.x", "pair.y", "own", "node", "copies", "unit", "leaves")
 
@@ -139,15 +156,7 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", column: str = "e
         members[of, codes] = True
         members = np.packbits(members, axis=1)
         step = max(1, (4 << 20) // max(1, members.shape[1]))
-        links, parent = np.zeros(t.num_rows, dtype=np.int64), np.arange(t.num_rows)
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        edges = []
+        links, up = np.zeros(t.num_rows, dtype=np.int64), np.arange(t.num_rows)
         for k in range(0, t.num_rows, 512):
             near = unit[k : k + 512] @ unit.T >= least
             i, j = np.nonzero(near)
@@ -161,20 +170,16 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", column: str = "e
                 a, b = a[first], b[first]
                 np.add.at(links, a, copies[b])
                 np.add.at(links, b, copies[a])
-                for p, q in zip(a.tolist(), b.tolist(), strict=True):
-                    p, q = root(p), root(q)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        edges.append((max(p, q), min(p, q)))
+                unite(up, a, b)
         has = np.flatnonzero(links)
-        up = np.array([root(i) for i in has], dtype=np.int64)
-        return pa.table({"node": node[has], "links": links[has], "up": node[up] if len(up) else np.zeros(0, dtype=np.int64)})
+        return pa.table({"node": node[has], "links": links[has], "up": node[up[has]]})
 
     found = written(spark, each.groupBy("d", "leaf", "x", "y").applyInArrow(compare, "node long, links long, up long"), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(spark, found.where("node <> up").select(F.col("node").alias("a"), F.col("up").alias("b")))
     info = classes.select("node", "sig", "rep", "copies").join(links.hint("shuffle_merge"), "node", "left").join(parts.withColumnRenamed("id", "node").hint("shuffle_merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     info = written(spark, info, "info")
+    discard(routed, sizes, found)
     low = info.groupBy("comp").agg(F.min("rep").alias("component_id"))
     info = info.join(low.hint("shuffle_merge"), "comp").select("sig", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.select("id", "sig").join(info.hint("shuffle_merge"), "sig", "left").select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
