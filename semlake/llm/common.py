@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: the session's, or one of our own on a local master that names none (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="semlake-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -37,11 +39,12 @@ def written(spark: SparkSession, df: DataFrame, name: str, compression: str = "z
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a written table that nothing reads any more."""
-    jvm, path = df.sparkSession._jvm, df.shared_path
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(df.shared_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -125,7 +128,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = both.join(low.hint("shuffle_merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.hint("shuffle_merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        e = written(spark, small.where("u <> v").distinct(), "edges")
+        before, e = e, written(spark, small.where("u <> v").distinct(), "edges")
+        discard(before)
         now = digest(e)
         if now == last:
             break
