@@ -15,7 +15,6 @@ from __future__ import annotations
 import gc
 import os
 import re
-import string
 import zlib
 from array import array
 
@@ -34,7 +33,7 @@ FILE_CHARS = 32_000_000
 #: Files up to which their starts are broadcast; beyond, they are joined by a shuffle. Files to a step of the running sum.
 BROADCAST_FILES, SHARDS = 100_000, 4096
 #: Characters of a text by which equal ids are dealt.
-TIE_CHARS = 64
+TIE_CHARS = 8
 #: Bytes of text that are encoded together.
 BATCH = 6 << 20
 SCHEMA = "shard long, doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -44,18 +43,15 @@ CUT = re.compile(r"(?<=\S)(?= )")
 SPACED = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 
-MARKS = frozenset(string.punctuation)
-
-
-def core(part: str) -> str:
-    """The letters of a part of letters, or of letters and one mark; else nothing."""
-    if part.isalpha():
-        return part
-    return part[:-1] if part[-1:] in MARKS and part[:-1].isalpha() else ""
+#: Stands before a part that has no space before it in the text.
+BARE = "\x01"
+#: A mark after a letter, at a line break or a space: no token spans these places.
+MARK = r"[!-/:-@\[-`{-~]"
+BREAK, STOP = (rf"(\pL)({MARK}?)\n(\pL)", rf"\1 {BARE}\2 {BARE}" + "\n" + rf" {BARE}\3"), (rf"(\pL)({MARK}) ", rf"\1 {BARE}\2 ")
 
 
 class Encoder:
-    """The library's ids of whole texts, put together from stretches between spaces; remembers those and the words in them.
+    """The library's ids of whole texts, put together from words, marks and other stretches between spaces, which it remembers.
 
     Texts that hold an added token of the file go through the library whole, as it looks for these before all else."""
 
@@ -66,9 +62,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most, self.known, self.words, self.starts = most, {}, {}, {}
-        self.line = self.encode_parts(["\n"])[0]
-        self.marks = dict(zip(string.punctuation, self.encode_parts(list(string.punctuation)), strict=True))
+        self.most, self.known = most, {}
+        self.line = int.from_bytes(self.encode_parts(["\n"])[0], "little")  # one token in such files; if not, nothing is cut at it
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that begin with a space
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
@@ -77,51 +72,40 @@ class Encoder:
         """The library's ids of each part, little-endian."""
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each after one space: many go through the library as one text, cut at the tokens that hold the space."""
+    def encode_words(self, words: list[str], space: str) -> list[bytes]:
+        """Ids of words of letters, each after a space, or each bare: many go through the library as one text.
+
+        It is cut at the tokens that hold the space, or at the line breaks between bare words."""
         out = []
-        for k in range(0, len(words), 2000):
-            some = words[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = np.flatnonzero(self.spaced[ids])
-            if len(at) == len(some):
-                data, at = ids.tobytes(), (4 * at).tolist()
+        for k in range(0, len(words), 200):
+            some = words[k : k + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([space + (space or "\n").join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(self.spaced[ids] if space else ids == self.line)
+            data = ids.tobytes()
+            if space and len(at) == len(some):
+                at = (4 * at).tolist()
                 out += [data[i:j] for i, j in zip(at, [*at[1:], len(data)], strict=True)]
+            elif not space and len(at) == len(some) - 1:
+                at = (4 * at).tolist()
+                out += [data[i:j] for i, j in zip([0, *[x + 4 for x in at]], [*at, len(data)], strict=True)]
             else:
-                out += self.encode_parts([" " + w for w in some])
+                out += self.encode_parts([space + w for w in some])
         return out
 
     def learn(self, parts: list[str]) -> list[bytes]:
-        """Ids of distinct parts (each after a space that isn't written here).
-
-        A part of letters, or of letters and a punctuation mark, and two such parts with one line break between them,
-        are put together from words and marks, as no token spans these places; other parts go through whole."""
-        cores = list(map(core, parts))
-        broken = {}
-        for i in [i for i, c in enumerate(cores) if not c]:
-            if parts[i].count("\n") == 1:
-                a, b = parts[i].split("\n")
-                x, y = core(a), core(b)
-                if x and y:
-                    broken[i] = a, x, b, y
-        need = set(filter(None, cores)).union([x for _, x, _, _ in broken.values()])
-        lacking = list(need - self.words.keys())
-        if len(self.words) + len(lacking) > self.most:  # start afresh with what is needed now
-            self.words = {w: self.words[w] for w in need if w in self.words}
-        self.words.update(zip(lacking, self.encode_words(lacking), strict=True))
-        starts = list({y for _, _, _, y in broken.values()} - self.starts.keys())
-        if len(self.starts) + len(starts) > self.most // 4:
-            self.starts, starts = {}, list({y for _, _, _, y in broken.values()})
-        self.starts.update(zip(starts, self.encode_parts(starts), strict=True))
-        words, marks = self.words, self.marks
-        out = [b"" if not c else words[c] if len(c) == len(p) else words[c] + marks[p[-1]] for p, c in zip(parts, cores, strict=True)]
-        end = lambda whole, c: marks[whole[-1]] if len(whole) > len(c) else b""
-        for i, (a, x, b, y) in broken.items():
-            out[i] = words[x] + end(a, x) + self.line + self.starts[y] + end(b, y)
-        odd = [i for i, c in enumerate(cores) if not c and i not in broken]
+        """Ids of distinct parts, each after a space that isn't written here unless it begins with BARE."""
+        out = [b""] * len(parts)
+        words = [i for i, p in enumerate(parts) if p.isalpha()]
+        other = [i for i, p in enumerate(parts) if not p.isalpha()]
+        bare = [i for i in other if parts[i][1:].isalpha() and parts[i][0] == BARE]
+        odd = [i for i in other if not (parts[i][1:].isalpha() and parts[i][0] == BARE)]
+        for which, ids in ((words, self.encode_words([parts[i] for i in words], " ")), (bare, self.encode_words([parts[i][1:] for i in bare], ""))):
+            for i, x in zip(which, ids, strict=True):
+                out[i] = x
         for k in range(0, len(odd), 4096):
-            for i, ids in zip(odd[k : k + 4096], self.encode_parts([" " + parts[i] for i in odd[k : k + 4096]]), strict=True):
-                out[i] = ids
+            some = [parts[i] for i in odd[k : k + 4096]]
+            for i, x in zip(odd[k : k + 4096], self.encode_parts([p[1:] if p[:1] == BARE else " " + p for p in some]), strict=True):
+                out[i] = x
         return out
 
     def parts(self, parts: list[str]) -> list[bytes]:
@@ -143,8 +127,10 @@ class Encoder:
         whole = np.zeros(len(texts), dtype=bool)
         for s in self.added:
             whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        spaced = pc.match_substring_regex(texts, SPACED).to_numpy(zero_copy_only=False)
+        spaced = pc.or_(pc.match_substring_regex(texts, SPACED), pc.match_substring(texts, BARE)).to_numpy(zero_copy_only=False)
         plain = texts if not (whole | spaced).any() else pc.if_else(pa.array(whole | spaced), "", texts)
+        for pattern, then in (BREAK, STOP):
+            plain = pc.replace_substring_regex(plain, pattern, then)
         split = pc.split_pattern(plain, " ")
         flat = split.flatten().dictionary_encode()
         codes, at = flat.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
@@ -157,7 +143,7 @@ class Encoder:
             heads[i], *rest = [text] if whole[i] else CUT.split(text)
             size[i] += len(rest)
             where += [at[i + 1]] * len(rest)
-            more += [x[1:] for x in rest]
+            more += [BARE + x if x[1:2] == BARE else x[1:] for x in rest]
         ids = [*self.parts(names), *self.parts(more), *self.encode_parts(heads), end]
         codes[at[:-1]] = len(names) + len(more) + np.arange(len(heads))
         codes = np.insert(codes, where, len(names) + np.arange(len(more))) if more else codes
