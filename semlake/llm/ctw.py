@@ -8,8 +8,10 @@ a text is the sum over its bytes, lower-cased (A-Z), and one end byte (0).
 
 All training texts are counted. Texts are held in blocks of about BLOCK_CHARS characters; a block sends each of its
 distinct words and DEPTH + 1 byte strings once, with its training count, and gets back the corpus count of each word
-and the code length of each string. Strings are worked out in groups by the two nearest context bytes; what lies above
-(depths 0 and 1: at most 256 * 255 nodes) is summed by Spark and shared by broadcast.
+and the code length of each string. Strings are worked out in groups by the two nearest context bytes, by three where
+such a group has more than LARGE strings, and by four where that is more too, so no task holds a large group. What lies
+above the groups (depths 0 and 1: at most 256 * 255 nodes, and the nodes of large groups: 255 for each) is summed by
+Spark and shared by broadcast. The blocks of a word or string are kept in lists of some thousand at most.
 
 Edge cases: a null text is empty and scores its end; without training texts every count is zero and every bit costs one
 bit; repeated rows and equal ids are scored row by row; a null id hashes as empty text; an empty table gives an empty
@@ -27,9 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_mod, release, small_batches, written
+from .common import discard, id_mod, release, small_batches, written
 
 DEPTH, BLOCK_CHARS, STEP = 4, 16_000_000, 1 << 20
+#: Strings from which a group is split by one more context byte; partitions whose blocks make one list.
+LARGE, LISTED = 1_000_000, 256
 LN10 = math.log(10)
 
 
@@ -163,68 +167,103 @@ def weights(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.logaddexp(own, below) - math.log(2), 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
 
 
-def subtree(key: np.ndarray, n: np.ndarray) -> tuple[list[Level], list[np.ndarray], np.ndarray]:
-    """Depths 2 to DEPTH of strings with the same two nearest context bytes: levels, shares, log weighted at depth 2."""
+def subtree(key: np.ndarray, n: np.ndarray, first: int) -> tuple[list[Level], list[np.ndarray], np.ndarray]:
+    """Depths `first` to DEPTH of strings with the same `first` nearest context bytes: levels, shares, log weighted at depth `first`."""
     byte = key & 255
-    levels = [Level(key >> 8 & (1 << 8 * d) - 1, byte, n) for d in range(2, DEPTH + 1)]
+    levels = [Level(key >> 8 & (1 << 8 * d) - 1, byte, n) for d in range(first, DEPTH + 1)]
     logs, shares = levels[-1].own, [np.ones(len(levels[-1].ids))]
     for d in range(len(levels) - 2, -1, -1):
         up, down = levels[d], levels[d + 1]
-        parent = np.searchsorted(up.ids, (down.ids >> 8 & (1 << 8 * (d + 2)) - 1) << 8 | down.ids & 255)
+        parent = np.searchsorted(up.ids, (down.ids >> 8 & (1 << 8 * (d + first)) - 1) << 8 | down.ids & 255)
         logs, share = weights(up.own, np.bincount(parent, logs, len(up.ids)))
         shares.insert(0, share)
     return levels, shares, logs
 
 
+NODES = "depth int, context long, node long, n0 long, n1 long, logs double, share double"
+
+
+def raised(nodes: DataFrame, depth: int) -> DataFrame:
+    """The nodes of `depth` above those of depth + 1, as Spark sums them: counts, log weighted, share of the own estimate."""
+    up = nodes.where(F.col("depth") == depth + 1).groupBy(F.expr(f"context & {(1 << 8 * depth) - 1}L").alias("context"), "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "logs")])
+
+    def weigh(batches):
+        for b in batches:
+            n0, n1, below = (b.column(k).to_numpy() for k in (2, 3, 4))
+            logs, share = weights(kt_block(n0.astype(float), n1.astype(float)), below)
+            yield pa.record_batch([pa.array(np.full(len(n0), depth, dtype=np.int32)), *b.columns[:4], pa.array(logs), pa.array(share)], names=["depth", "context", "node", "n0", "n1", "logs", "share"])
+
+    return up.mapInArrow(weigh, NODES)
+
+
 class Top:
-    """Depths 0 and 1: counts and shares by (nearest byte, node) and by node."""
-
-    def __init__(self, rows):
-        self.n = [np.zeros((256, 2)), np.zeros((256 * 256, 2))]
-        below = np.zeros(256 * 256)
-        for r in rows:
-            at = r.x << 8 | r.node
-            self.n[1][at] += r.n0, r.n1
-            below[at] += r.logs
-        logs, share1 = weights(kt_block(*self.n[1].T), below)
-        self.n[0] = self.n[1].reshape(256, 256, 2).sum(axis=0)
-        _, share0 = weights(kt_block(*self.n[0].T), logs.reshape(256, 256).sum(axis=0))
-        self.share = [share0, share1]
-
-    def mix(self, key: np.ndarray, bits: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """The prediction p of depth 2 mixed with depths 1 and 0."""
+    """The nodes above the groups: by depth, their sorted (context, node) and for each the counts and the share of the own estimate."""
+
+    def __init__(self, rows: list):
+        self.at: dict[int, tuple] = {}
+        for d in sorted({r.depth for r in rows}):
+            own = sorted((r.context << 8 | r.node, r.n0, r.n1, r.share) for r in rows if r.depth == d)
+            ids, n0, n1, share = map(np.array, zip(*own, strict=True))
+            self.at[d] = ids, n0, n1, share
+
+    def mix(self, key: np.ndarray, bits: np.ndarray, p: np.ndarray, below: int) -> np.ndarray:
+        """The prediction p of depth `below` mixed with all depths above it."""
         k = np.arange(8)
         node = (1 << k) | ((key & 255)[:, None] >> (8 - k))
-        for d, at in ((1, (key >> 8 & 255)[:, None] << 8 | node), (0, node)):
-            n = self.n[d][at]
-            own = (np.where(bits, n[..., 1], n[..., 0]) + 0.5) / (n.sum(axis=-1) + 1)
-            p = self.share[d][at] * own + (1 - self.share[d][at]) * p
+        for d in range(below - 1, -1, -1):
+            ids, n0, n1, share = self.at[d]
+            at = np.searchsorted(ids, (key >> 8 & (1 << 8 * d) - 1)[:, None] << 8 | node)
+            own = (np.where(bits, n1[at], n0[at]) + 0.5) / (n0[at] + n1[at] + 1)
+            p = share[at] * own + (1 - share[at]) * p
         return p
 
 
+def grouped(table: DataFrame) -> DataFrame:
+    """table with depth and context: the least depth, from 2 on, whose contexts have LARGE strings at most (DEPTH at the deepest)."""
+    near = table.select("key", "n", F.lit(2).alias("depth"), F.expr("(key >> 8) & 65535").alias("context"))
+    for d in range(2, DEPTH):
+        # A row for each group of more than LARGE strings, and 256 ** d at most: few enough for a broadcast.
+        large = near.where(F.col("depth") == d).groupBy("context").agg(F.count("*").alias("k")).where(F.col("k") > LARGE).select(F.lit(d).alias("depth"), "context", F.lit(True).alias("large"))
+        large = written(table.sparkSession, large, "large")
+        if not large.isEmpty():
+            near = near.join(F.broadcast(large), ["depth", "context"], "left").withColumn("context", F.expr(f"if(large, (key >> 8) & {(1 << 8 * (d + 1)) - 1}L, context)")).withColumn("depth", F.expr(f"if(large, {d + 1}, depth)")).drop("large")
+    return near
+
+
 def code_lengths(table: DataFrame) -> DataFrame:
-    """(key, logp): log10 of the model's probability of each string's last byte; table: (key, n)."""
-    near = table.select("key", "n", F.expr("(key >> 8) & 65535").alias("near"))
+    """(key, logp): log10 of the model's probability of each string's last byte; table: (key, n), a key's counts in any number of rows."""
+    near = written(table.sparkSession, grouped(table), "near")
 
     def sums(t: pa.Table) -> pa.Table:
-        levels, _, logs = subtree(t.column("key").to_numpy(), t.column("n").to_numpy())
+        first = t.column("depth")[0].as_py()
+        levels, _, logs = subtree(t.column("key").to_numpy(), t.column("n").to_numpy(), first)
         ids = levels[0].ids
-        return pa.table({"x": ids >> 8 & 255, "node": ids & 255, "n0": levels[0].n0.astype(np.int64), "n1": levels[0].n1.astype(np.int64), "logs": logs})
+        return pa.table({"depth": np.full(len(ids), first, dtype=np.int32), "context": ids >> 8, "node": ids & 255, "n0": levels[0].n0.astype(np.int64), "n1": levels[0].n1.astype(np.int64), "logs": logs, "share": np.ones(len(ids))})
 
-    rows = near.groupBy("near").applyInArrow(sums, "x long, node long, n0 long, n1 long, logs double").groupBy("x", "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "logs")])
-    held = table.sparkSession.sparkContext.broadcast(Top(rows.collect()))  # at most 256 * 255 rows
+    nodes = written(table.sparkSession, near.groupBy("depth", "context").applyInArrow(sums, NODES), "nodes")
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    lowest, top = nodes, []
+    for d in range(deepest - 1, -1, -1):
+        up = written(table.sparkSession, raised(nodes, d), "above")
+        top.append(up)
+        nodes = nodes.where(F.col("depth") <= d).unionByName(up)
+    held = table.sparkSession.sparkContext.broadcast(Top([r for t in top for r in t.collect()]))  # 256 * 255 rows at most, and 255 for each large group
 
     def predict(t: pa.Table) -> pa.Table:
+        first = t.column("depth")[0].as_py()
         key = t.column("key").to_numpy()
-        levels, shares, _ = subtree(key, t.column("n").to_numpy())
+        levels, shares, _ = subtree(key, t.column("n").to_numpy(), first)
         p = levels[-1].estimate()
         for level, share in zip(levels[-2::-1], shares[-2::-1], strict=True):
             w = share[level.at]
             p = w * level.estimate() + (1 - w) * p
-        p = held.value.mix(key, levels[0].bit, p)
-        return pa.table({"key": key, "logp": np.log10(p).sum(axis=1)})
+        p = held.value.mix(key, levels[0].bit, p, first)
+        key, at = np.unique(key, return_index=True)
+        return pa.table({"key": key, "logp": np.log10(p).sum(axis=1)[at]})
 
-    return near.groupBy("near").applyInArrow(predict, "key long, logp double")
+    out = written(table.sparkSession, near.groupBy("depth", "context").applyInArrow(predict, "key long, logp double"), "lengths")
+    discard(near, lowest, *top)
+    return out
 
 
 def score_texts(docs: DataFrame, holdout: int = 10) -> DataFrame:
@@ -242,14 +281,17 @@ def score_texts(docs: DataFrame, holdout: int = 10) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary"), (id_mod("doc_id", holdout) != 0).alias("train"))
     blocks = written(spark, d.mapInArrow(blocked, "block long, doc_id long, text binary, train boolean"), "blocks")
 
-    vocabulary = written(spark, word_counts(blocks).groupBy("word").agg(F.sum("n").alias("c"), F.collect_set("block").alias("blocks")), "words")
+    # Of a word or string, the blocks of LISTED partitions make one list, so no row grows with the corpus.
+    lists = F.expr(f"(block >> 32) div {LISTED}")
+    vocabulary = written(spark, word_counts(blocks).groupBy("word", lists.alias("list")).agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")), "words")
+    totals = written(spark, vocabulary.groupBy("word").agg(F.sum("n").alias("c")), "totals")
     trained = blocks.where("train").count()
-    total, distinct = vocabulary.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
+    total, distinct = totals.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
     total, distinct = (total or 0) + trained, (distinct or 0) + (trained > 0)
-    counts = written(spark, string_counts(blocks).groupBy("key").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")), "strings")
-    lengths = written(spark, code_lengths(counts.select("key", "n")), "lengths")
+    counts = written(spark, string_counts(blocks).groupBy("key", lists.alias("list")).agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")), "strings")
+    lengths = code_lengths(counts.select("key", "n"))
     release(spark)
-    words = vocabulary.select(F.explode("blocks").alias("block"), "word", F.lit(None).cast("long").alias("key"), F.col("c").cast("double").alias("value"))
+    words = vocabulary.join(totals.hint("shuffle_merge"), "word").select(F.explode("blocks").alias("block"), "word", F.lit(None).cast("long").alias("key"), F.col("c").cast("double").alias("value"))
     keys = counts.join(lengths.hint("shuffle_merge"), "key").select(F.explode("blocks").alias("block"), F.lit(None).cast("binary").alias("word"), "key", F.col("logp").alias("value"))
     known = words.union(keys)
     low = math.log10(total + 0.1 * (distinct + 1))
