@@ -8,9 +8,11 @@ A text's set is its distinct shingles of WORDS lower-case words (64-bit hashes);
 2. Groups: sets that share a kept shingle are compared with one of them only, the one with the fewest rarer shingles
    (of copies with small changes, the one with the fewest changes), and the links found so far form groups of similar
    documents. Members of one group need no further comparison.
-3. The token-group matrix holds, per kept shingle, the groups whose union has it. A query's overlap with a group is at
-   most what either has left from the first shingle they share; only groups that reach the least overlap a link needs
-   are opened, there, and their members are bounded in the same way, then compared whole.
+3. The token-group matrix holds each group's union of kept shingles, and how large its members are and how much they
+   have left from there. A query's overlap with a group is at most the kept shingles it shares with that union and the
+   number of shingles that were not kept on one side, and at most what either has left from the first they share. Only
+   groups that reach the least overlap a link needs with a member of their sizes are opened; their members are bounded
+   in the same way, each by what it shares itself, then compared whole.
 
 So no link between different groups is lost, and pairs within a group are never enumerated.
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, mix64, release, small_batches, written
@@ -157,6 +159,14 @@ BOUND = "{c} + greatest((3 * {n} + 3) div 4, (3 * {m} + 3) div 4) - 1"
 SIZES = "4 * {n} >= 3 * {m} and 4 * {m} >= 3 * {n}"
 
 
+#: (i, q, n) as one number of at most 38 digits, and back; i and n are below 10**9, as a text has at most 2**31 bytes.
+BIG, SIZE = 1 << 64, 10**9
+PACK = f"(cast(i as decimal(38,0)) * {BIG}BD + cast(q as decimal(38,0)) + {BIG // 2}BD) * {SIZE}BD + cast(n as decimal(38,0))"
+UNPACK = (
+    f"cast((low - low % {SIZE}BD) / {SIZE}BD as decimal(38,0)) as rest", f"cast(low % {SIZE}BD as int) as pn"
+), (f"cast(rest % {BIG}BD - {BIG // 2}BD as long) as p", "pn", f"cast((rest - rest % {BIG}BD) / {BIG}BD as int) as pi")
+
+
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts link; texts: (id, text) of at least their ids."""
     small_batches(pairs.sparkSession, 200)
@@ -194,18 +204,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = held.where("n > 0 and id is not null").select("id", "sig", "n")
     classes = some.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     # A class goes by its id, or by a number below zero if the id stands for several (an id with several texts).
-    q = F.when(F.count("*").over(Window.partitionBy("rep")) > 1, F.xxhash64("rep", "sig").bitwiseOR(F.lit(-(2**63)))).otherwise(F.col("rep"))
-    classes = written(spark, classes.withColumn("q", q), "classes")
+    several = classes.groupBy("rep").agg(F.count("*").alias("k"))
+    classes = classes.join(several.hint("shuffle_merge"), "rep")
+    q = F.when(F.col("k") > 1, F.xxhash64("rep", "sig").bitwiseOR(F.lit(-(2**63)))).otherwise(F.col("rep"))
+    classes = written(spark, classes.withColumn("q", q).select("sig", "rep", "n", "q"), "classes")
     release(spark)
     reps = full.select("id", "sig", "kept").where("size(kept) > 0").join(classes.select(F.col("rep").alias("id"), "sig", "q", "n").hint("shuffle_merge"), ["id", "sig"])
     ids = held.where("id is not null").select("id")
     unique = ids.count() == ids.distinct().count()
     tokens = reps if unique else reps.dropDuplicates(["q"])
     tokens = tokens.select("q", F.col("n").cast("int").alias("n"), F.posexplode("kept").alias("i", "token"))
-    # The set in which a shingle comes earliest stands for it. One exchange by shingle; no shingle has more rows than there are classes, and each class has n/4 + 1.
-    same = Window.partitionBy("token")
-    grid = tokens.withColumn("low", F.min(F.struct("i", "q", "n")).over(same)).withColumn("k", F.count("*").over(same)).where("k > 1")
-    grid = kept = written(spark, grid.select("token", "q", "n", "i", F.col("low.q").alias("p"), F.col("low.n").alias("pn"), F.col("low.i").alias("pi")), "grid")
+    # The set in which a shingle comes earliest stands for it: (i, q, n) as one number, so that the least is found by a
+    # hash aggregate, combined before the exchange. Shingles of one set go; the rest is joined back, and AQE splits a hot one.
+    least = tokens.groupBy("token").agg(F.min(F.expr(PACK)).alias("low"), F.count("*").alias("k")).where("k > 1").selectExpr("token", *UNPACK[0]).selectExpr("token", *UNPACK[1])
+    least = written(spark, least, "least")
+    release(spark)
+    grid = kept = written(spark, tokens.join(least.hint("shuffle_merge"), "token").select("token", "q", "n", "i", "p", "pn", "pi"), "grid")
+    discard(least)
     discard(full)
     release(spark)
 
@@ -266,12 +281,22 @@ def _opened(spark, rows: DataFrame) -> DataFrame:
     # No overlap is larger than what is left of either set from the first shared shingle on; a link with the smallest
     # possible member needs the least.
     least = ALPHA.format(n="n", m="greatest(low, (3 * n + 3) div 4)")
-    hits = open_rows.join(matrix(open_rows).hint("shuffle_merge"), "token").where(f"comp <> g and 4 * n >= 3 * low and 4 * high >= 3 * n and n - i >= {least} and room >= {least}")
-    asked = hits.select("q", "g", "token", "n", "i")
+    hits = open_rows.join(matrix(open_rows).hint("shuffle_merge"), "token").where("comp <> g and 4 * n >= 3 * low and 4 * high >= 3 * n")
+    hits = written(spark, hits.select("q", "g", "token", "n", "i", "low", "high", F.expr(f"n - i >= {least} and room >= {least}").alias("ok")), "hits")
+    # The kept shingles that a link needs at least rise, then fall with the member's size (but for rounding, by one at
+    # most), so the ends of the group's sizes have the fewest.
+    asked = hits.groupBy("q", "g").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("ok").alias("ok")).where("ok")
+    asked = asked.selectExpr("q", "g", "c", "n", "greatest(low, (3 * n + 3) div 4) as low", "least(high, 4 * n div 3) as high")
+    ends = [f"c + greatest((3 * n + 3) div 4, (3 * {m} + 3) div 4) >= {ALPHA.format(n='n', m=m)}" for m in ("low", "high")]
+    asked = written(spark, asked.where(" or ".join(ends)).select("q", "g"), "asked")
     member = open_rows.select("token", F.col("q").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("g"))
     alpha = ALPHA.format(n="n", m="m")
-    pairs = asked.join(member.hint("shuffle_merge"), ["token", "g"]).where(f"q < y and {SIZES.format(n='n', m='m')} and n - i >= {alpha} and m - j >= {alpha}")
-    return pairs.select(F.col("q").alias("a"), F.col("y").alias("b")).distinct()
+    opened = hits.join(asked.hint("shuffle_merge"), ["q", "g"], "left_semi").join(member.hint("shuffle_merge"), ["token", "g"]).where(f"q < y and {SIZES.format(n='n', m='m')}")
+    pairs = opened.groupBy("q", "y").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.max(F.expr(f"n - i >= {alpha} and m - j >= {alpha}")).alias("ok"))
+    pairs = pairs.where(f"ok and {BOUND.format(c='c', n='n', m='m')} >= {alpha}")
+    pairs = written(spark, pairs.select(F.col("q").alias("a"), F.col("y").alias("b")), "pairs")
+    discard(open_rows, hits, asked)
+    return pairs
 
 
 ORACLE = f"""
