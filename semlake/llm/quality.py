@@ -9,7 +9,8 @@ too few labels keeps the most lenient cutoff, which rejects nothing. The levels
 most LEVELS + 1 rows a rule.
 
 Edge cases: a null or empty text has no words and fails the base rule; a null stratum is the stratum ''; several labels
-of an id count as good if all are; null labels are none; repeated rows and equal ids are judged row by row; an empty
+of an id count as good if all are; null labels are none; copies of a labelled text are one trial of the tests; repeated
+rows and equal ids are judged row by row; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -69,20 +70,22 @@ def measured(text: bytes) -> tuple:
 
 
 def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """One row per document: doc_id, stratum, the base counts, and each rule's share."""
+    """One row per document: doc_id, stratum, the base counts, each rule's share, and a signature of the text."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", "stratum", *BASE, *RULES]
+    names = ["doc_id", "stratum", *BASE, *RULES, "sig"]
 
     def run(batches):
         for b in batches:
-            rows = [measured(t or b"") for t in b.column(2).to_pylist()]
+            texts = [t or b"" for t in b.column(2).to_pylist()]
+            rows = [measured(t) for t in texts]
+            sig = pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())
             x = np.array(rows, dtype=np.int64).reshape(-1, 7)
             share = lambda a, of: pa.array(np.minimum(1.0, a / np.maximum(of, 1)))
             rules = [share(x[:, 2], x[:, 1]), share(x[:, 3], x[:, 5]), share(x[:, 4], x[:, 0]), share(x[:, 6], x[:, 1])]
-            yield pa.record_batch([b.column(0), b.column(1), *[pa.array(x[:, k]) for k in range(5)], *rules], names=names)
+            yield pa.record_batch([b.column(0), b.column(1), *[pa.array(x[:, k]) for k in range(5)], *rules, sig], names=names)
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("binary"))
-    return d.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in BASE) + ", " + ", ".join(f"{c} double" for c in RULES))
+    return d.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in BASE) + ", " + ", ".join(f"{c} double" for c in RULES) + ", sig binary")
 
 
 def tail(k: int, n: int, p: float) -> float:
@@ -106,6 +109,7 @@ def cutoffs(held: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     """(stratum, a cutoff for each rule) from the measured documents that labels call good."""
     good = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     known = held.where(f"n_words >= 20 and 100 * n_repeat_words <= 30 * n_words").join(good.hint("shuffle_merge"), "doc_id")
+    known = known.dropDuplicates(["stratum", "sig" if "sig" in known.columns else "doc_id"])  # copies of a text are one trial
     level = lambda r: F.ceil(F.col(r) * LEVELS).cast("int")  # noqa: E731  a text is over level k if this is more than k
     long = known.select("stratum", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), level(r).alias("level")) for k, r in enumerate(RULES)])).alias("x"))
     counts = held.select("stratum").distinct().join(long.groupBy("stratum", "x.rule", "x.level").count().hint("shuffle_merge"), "stratum", "left")
