@@ -8,8 +8,9 @@ The model is fitted on a bounded sample: at most `per_class` labelled documents
 hash of their id, never those held out. All texts are scored whole.
 
 Edge cases: a null or empty text scores as the intercept; several labels of one id count as toxic if one does; a null
-label is none; without labels of both kinds the score is the smoothed share of toxic labels; rows with equal ids, extra
-columns and empty tables need no care, as each row is scored by itself.
+label is none; without labels of both kinds the score is the smoothed share of toxic labels; of rows with equal ids
+one is learnt from (the text of the least hash), and each is scored by itself, so extra columns and empty tables need no
+care.
 """
 
 from __future__ import annotations
@@ -117,6 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", holdout:
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     sample = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     picked = docs.select("doc_id", "text").join(F.broadcast(sample[0].union(sample[1])), "doc_id")  # at most 2 * per_class ids
+    picked = picked.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))  # one row an id, so the task that fits is bounded
 
     def features(batches):
         for b in batches:
@@ -148,5 +150,3 @@ def toxic_score(model: Model, text: Column) -> Column:
         return pa.array(held.value.score([t or "" for t in texts.to_pylist()]), pa.float64())
 
     return score(text.cast("string"))
-
-
