@@ -168,6 +168,79 @@ def test_quality_risk_of_the_verdict(spark):
     assert rejected <= quality.RISK * len(rows)
 
 
+def test_quality_kept(spark):
+    """The verdict against a plain version: shares, exact binomial tests from the most lenient cutoff down, one trial a text."""
+    rnd = random.Random(12)
+    rows, good = [], {}
+    for k in range(4200):
+        lang, bad = rnd.choice(["en"] * 8 + ["de", None]), k % 9 == 0
+        ws = [rnd.choice(["w%d" % rnd.randint(0, 999), "Word%d" % rnd.randint(0, 99), "###" if bad else "x"]) for _ in range(rnd.randint(15, 40))]
+        rows.append((k, " ".join(ws[:12]) + "\n" + " ".join(ws[12:]) + ("\n" + " ".join(ws[:12]) if bad and k % 2 else ""), lang))
+        good[k] = not bad
+    rows += [(5000 + k, rows[0][1], "en") for k in range(300)]  # copies of one good text
+    good.update(dict.fromkeys(range(5000, 5300), True))
+    marks = [(k, int(g)) for k, g in good.items()] + [(1, 0), (2, None), (3, 1), (3, 1)]  # 1 is bad by its second label
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int")).collect()}
+    good[1] = False
+
+    def levels(t):
+        ws, ls = words(t), [x for x in t.split("\n") if WS.search(x)]
+        c = collections.Counter(tuple(ws[k : k + 8]) for k in range(len(ws) - 7))
+        again = len({j for k in range(len(ws) - 7) if c[tuple(ws[k : k + 8])] > 1 for j in range(k, k + 8)})
+        chars = max(1, sum(map(len, ws)))
+        shares = [len(re.findall(r"[#*$%&|<>]", t)) / chars, (len(ls) - len(set(ls))) / max(1, len(ls)), again / max(1, len(ws)), len(re.findall("[A-Z]", t)) / chars]
+        return len(ws) < 20 or 100 * again > 30 * len(ws), [math.ceil(min(1, x) * quality.LEVELS) for x in shares]
+
+    found = {i: (lang or "", t, *levels(t)) for i, t, lang in rows}
+    level, risk, cut = quality.DELTA / (4 * 3), quality.RISK / 4, {}
+    for s in ("en", "de", ""):
+        trials = list({t: ls for i, (lang, t, failed, ls) in found.items() if lang == s and not failed and good[i]}.values())
+        for r in range(4):
+            cut[s, r] = quality.LEVELS
+            for k in range(quality.LEVELS - 1, -1, -1):
+                above, n = sum(ls[r] > k for ls in trials), len(trials)
+                if above > n * risk or sum(math.comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(above + 1)) > level:
+                    break
+                cut[s, r] = k
+    want = {i: not failed and all(x <= cut[s, r] for r, x in enumerate(ls)) for i, (s, _, failed, ls) in found.items()}
+    assert got == want and 100 < sum(not x for x in want.values())
+    assert min(cut.values()) < quality.LEVELS
+
+
+def test_toxicity_brute_force(spark):
+    """Log-count ratios and scores against plain dictionaries of character n-grams; repeated rows of a sampled id count once."""
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choices("abcdefg", k=rnd.randint(2, 6))) for _ in range(60)]
+    rows = [(k, " ".join(rnd.choices(vocab, k=12) + (["zzyzx", "qqtox"] if k % 4 == 0 else []))) for k in range(160)]
+    marks = {k: int(k % 4 == 0) for k in range(160)}
+    lab = spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")
+    once = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), lab)
+    twice = toxicity.train(spark.createDataFrame(rows + rows[:50] * 3, "doc_id long, text string"), lab)
+    assert np.array_equal(once.weight, twice.weight) and once.bias == twice.bias
+
+    def plain(t):  # n-grams of the distinct words, a space at either end
+        return [w[k : k + n] for w in {f" {x} " for x in t.lower().split()} for n in (3, 4, 5) for k in range(len(w) - n + 1)]
+
+    def hashed(g):
+        h = len(g)
+        for ch in g:
+            h = (h * 0x100000001B3 + ord(ch)) % 2**64
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            h = (h ^ h >> shift) * by % 2**64
+        return h >> (64 - toxicity.BITS)
+
+    for _, t in rows[:40]:
+        z = once.bias + sum(once.weight[hashed(g)] for g in plain(t))
+        assert once.score([t])[0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+    train = [(t, marks[k]) for k, t in rows if zlib.crc32(str(k).encode()) % 5]
+    p, q = (collections.Counter(hashed(g) for t, y in train if y == kind for g in set(plain(t))) for kind in (1, 0))
+    size = 1 << toxicity.BITS
+    ratio = lambda f: math.log((p[f] + 1) / (sum(p.values()) + size)) - math.log((q[f] + 1) / (sum(q.values()) + size))
+    used = np.flatnonzero(once.weight)
+    assert len(used) and all(hashed(g) in set(used) for g in (" zzyz", "qqtox"))
+    assert all(abs(ratio(f)) > 1e-9 for f in used)  # a feature that the ratio scales to nothing has no weight
+
+
 def test_toxicity(spark, labels, docs, empty):
     rnd = random.Random(1)
     clean, nasty = [f"word{k}" for k in range(400)], ["grumblestone", "vilething", "nastyone"]
