@@ -45,9 +45,9 @@ def slug(x: Column) -> Column:
 
 def humanize(x: Column) -> Column:
     """Spaces for _ and -, a space at camel humps, each word capitalised but short all-capital words."""
-    spaced = F.regexp_replace(F.regexp_replace(x, "[_-]+", " "), "([a-z0-9])([A-Z])", "$1 $2")
+    spaced = F.regexp_replace(F.regexp_replace(x, "[_-]+", " "), "([a-z])([A-Z])", "$1 $2")
     words = F.filter(F.split(F.trim(spaced), r"\s+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.when((F.length(w) <= 3) & w.rlike("^[A-Z0-9]+$"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000))))), " ")
+    return F.array_join(F.transform(words, lambda w: F.when((F.length(w) <= 3) & (w == F.upper(w)), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))), " ")
 
 
 def local_name(iri: Column) -> Column:
@@ -108,6 +108,24 @@ def infer_term(raw: Column) -> list[Column]:
     return [F.when(iri & (inner != ""), inner).otherwise(x).alias("o"), F.when(iri, "iri").otherwise("literal").alias("o_kind"), F.when(~iri, F.concat(F.lit(XSD), number)).alias("datatype")]
 
 
+def shrink_iri(iri: Column, prefixes: dict[str, str]) -> Column:
+    """prefix:local by the longest namespace whose rest is a name or nothing; else the IRI as it is. prefixes: prefix -> namespace."""
+    out = iri
+    for prefix, ns in sorted(prefixes.items(), key=lambda e: (len(e[1]), e[0])):  # the longest is asked first
+        local = F.substr(iri, F.lit(len(ns) + 1))
+        out = F.when(iri.startswith(ns) & (local.rlike(r"^[A-Za-z_][\w.-]*$") | (local == "")), F.concat(F.lit(prefix + ":"), local)).otherwise(out)
+    return out
+
+
+def expand_curie(x: Column, prefixes: dict[str, str]) -> Column:
+    """The IRI of prefix:local where the prefix is known; whatever holds // or has another prefix passes as it is."""
+    prefix = F.regexp_extract(x, r"^([A-Za-z_][\w-]*):", 1)
+    out = x
+    for p, ns in prefixes.items():
+        out = F.when((prefix == p) & ~x.contains("//"), F.concat(F.lit(ns), F.substr(x, F.lit(len(p) + 2)))).otherwise(out)
+    return out
+
+
 def tokens(x: Column) -> Column:
     """Search tokens: lower case, runs of letters and digits."""
     return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -55,3 +55,8 @@ def quads_of(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 def of_predicate(quads: DataFrame, p: str, s: str = "s", o: str = "o") -> DataFrame:
     """(s, o) of one predicate."""
     return quads.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
+
+
+def pivoted(quads: DataFrame, of: dict[str, str], by: tuple[str, ...] = ("s",)) -> DataFrame:
+    """A row per subject with, for each name, the least object of its predicate: one aggregation, combined before the exchange."""
+    return quads.where(F.col("p").isin(list(of.values()))).groupBy(*by).agg(*[F.min(F.when(F.col("p") == p, F.col("o"))).alias(n) for n, p in of.items()])

@@ -16,7 +16,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint reliably; a folder of our own only where the session names none (tests)."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="semlake-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="semlake-"))
     return df.checkpoint()
 
 
@@ -26,7 +29,7 @@ def closure(pairs: DataFrame, reflexive: bool = True) -> DataFrame:
     out = cut(edges)
     n = out.count()
     while True:
-        more = out.join(out.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+        more = out.join(out.select(F.col("a").alias("b"), F.col("b").alias("c")).hint("shuffle_merge"), "b").select("a", F.col("c").alias("b"))
         out = cut(out.unionByName(more).distinct())
         now = out.count()
         if now == n:
@@ -46,25 +49,33 @@ def instances_closure(quads: DataFrame, pairs: DataFrame | None = None) -> DataF
     """(class_iri, inst): every instance of a class or one of its subclasses."""
     pairs = subclass_closure(quads) if pairs is None else pairs
     t = quads.where((F.col("p") == TYPE) & ~F.col("s").startswith("_:")).select(F.col("s").alias("inst"), F.col("o").alias("sub")).distinct()
-    return t.select("inst", F.col("sub").alias("class_iri")).union(t.join(pairs, "sub").select("inst", F.col("super").alias("class_iri"))).distinct()
+    return t.select("inst", F.col("sub").alias("class_iri")).union(t.join(pairs.hint("shuffle_merge"), "sub").select("inst", F.col("super").alias("class_iri"))).distinct()
+
+
+def climb(up: DataFrame, tops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """up: (cell, far), one step each; tops: (cell): where the steps end. (cell, top, d) of all that reach a top, and (cell, far) of those that don't.
+
+    Pointers jump by doubling: a row a cell and path, and rounds that grow with the logarithm of the longest path. What
+    has not ended after as many steps as there are cells goes round in a circle, and `far` is then on it.
+    """
+    at = up.select("cell", "far", F.lit(1).cast("long").alias("d"), F.lit(False).alias("ended"))
+    state = cut(at.union(tops.select("cell", F.col("cell").alias("far"), F.lit(0).cast("long"), F.lit(True))))
+    n, steps = state.count(), 1
+    while steps <= n and not state.where("not ended").isEmpty():
+        look = state.select(F.col("cell").alias("far"), F.col("far").alias("next"), F.col("d").alias("more"), F.col("ended").alias("end"))
+        on = state.where("not ended").join(look.hint("shuffle_merge"), "far").select("cell", F.col("next").alias("far"), (F.col("d") + F.col("more")).alias("d"), F.col("end").alias("ended"))
+        state = cut(state.where("ended").unionByName(on))
+        steps *= 2
+    return state.where("ended").select("cell", F.col("far").alias("top"), "d"), state.where("not ended").select("cell", "far")
 
 
 def list_walk(quads: DataFrame) -> DataFrame:
-    """(head, pos, value) of every list that starts somewhere; doubling along rest, so rounds grow with log of the length."""
-    rest = of_predicate(quads, REST, "cell", "next").where(F.col("next") != NIL)
+    """(head, pos, value) of every list that starts somewhere; a row a cell throughout."""
     first = of_predicate(quads, FIRST, "cell", "value")
-    heads = first.select("cell").join(rest.select(F.col("next").alias("cell")), "cell", "left_anti")
-    reach = cut(rest.select(F.col("cell").alias("a"), F.col("next").alias("b"), F.lit(1).alias("d")))
-    n = reach.count()
-    while n:
-        more = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b", (F.col("x.d") + F.col("y.d")).alias("d"))
-        reach = cut(reach.unionByName(more).distinct())
-        now = reach.count()
-        if now == n:
-            break
-        n = now
-    cells = heads.select(F.col("cell").alias("head"), "cell", F.lit(0).alias("pos")).union(heads.join(reach, F.col("cell") == F.col("a")).select(F.col("cell").alias("head"), F.col("b").alias("cell"), F.col("d").alias("pos")))
-    return cells.join(first, "cell").select("head", "pos", "value")
+    up = of_predicate(quads, REST, "far", "cell").where(F.col("cell") != NIL).select("cell", "far").distinct()
+    heads = first.select("cell").distinct().join(up.select("cell").hint("shuffle_merge"), "cell", "left_anti")
+    done, _ = climb(up, heads)
+    return done.join(first.hint("shuffle_merge"), "cell").select(F.col("top").alias("head"), F.col("d").cast("int").alias("pos"), "value")
 
 
 @dataclass
@@ -91,26 +102,36 @@ def triple_rule(name: str, target: str, s: str, p: str, o: str, kind: str = "iri
     return Rule(name, target, derive if s and p and o else None, order)
 
 
+def members(facts: DataFrame, target: str, tree: DataFrame) -> DataFrame:
+    """(inst): the members of a class and of its subclasses in the closed tree."""
+    below = tree.where(F.col("super") == target).select(F.col("sub").alias("o")).union(facts.sparkSession.createDataFrame([(target,)], "o string")).distinct()
+    typed = facts.where((F.col("p") == TYPE) & ~F.col("s").startswith("_:")).select(F.col("s").alias("inst"), "o")
+    return typed.join(below.hint("shuffle_merge"), "o", "left_semi").select("inst").distinct()
+
+
 def rules_materialize(facts: DataFrame, rules: list[Rule], passes: int = 5) -> tuple[DataFrame, int]:
     """Inferred facts with the first rule that derived each, and the number of passes; later rules see earlier output.
 
-    A fact that was asserted already counts as derived. Each pass is one union, one anti-join and one checkpoint.
+    A fact that was asserted already counts as derived. The class tree is closed once, and again only after a rule has
+    added to it; members are looked up below a rule's target alone. Each rule is one anti-join and one checkpoint.
     """
     todo = sorted((r for r in rules if r.active and r.target and r.derive), key=lambda r: (r.order, r.name))
     base = facts.select(*TRIPLE).distinct()
     seen = cut(base.limit(0).withColumn("rule", F.lit("")).withColumn("pass", F.lit(0)))
-    done = 0
+    done, tree = 0, cut(subclass_closure(base))
     for done in range(1, passes + 1):
         start = seen
         for r in todo:
             now = base.unionByName(seen.select(*TRIPLE))
-            focus = instances_closure(now).where(F.col("class_iri") == r.target).select("inst")
+            focus = members(now, r.target, tree)
             new = r.derive(now, focus).select(*TRIPLE).distinct()
             cond = F.lit(True)
             for c in TRIPLE:
                 cond = cond & F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}"))
             fresh = new.alias("n").join(seen.alias("k"), cond, "left_anti").withColumn("rule", F.lit(r.name)).withColumn("pass", F.lit(done))
             seen = cut(seen.unionByName(fresh))
+            if not seen.where((F.col("rule") == r.name) & (F.col("pass") == done) & (F.col("p") == SUBCLASS)).isEmpty():
+                tree = cut(subclass_closure(base.unionByName(seen.select(*TRIPLE))))
         if seen.count() == start.count():
             break
     return seen, done
@@ -118,10 +139,10 @@ def rules_materialize(facts: DataFrame, rules: list[Rule], passes: int = 5) -> t
 
 def rules_explain(facts: DataFrame, rules: list[Rule], triples: DataFrame) -> DataFrame:
     """(s, p, o, rules) of the given triples: all rules that derive exactly each."""
-    out = None
+    out, tree = None, cut(subclass_closure(facts))
     for r in rules:
         if r.active and r.target and r.derive:
-            focus = instances_closure(facts).where(F.col("class_iri") == r.target).select("inst")
+            focus = members(facts, r.target, tree)
             part = r.derive(facts, focus).select("s", "p", "o").distinct().withColumn("rule", F.lit(r.name))
             out = part if out is None else out.unionByName(part)
     return triples.select("s", "p", "o").distinct().join(out, ["s", "p", "o"]).groupBy("s", "p", "o").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
@@ -136,15 +157,15 @@ def concept_rows(quads: DataFrame, scheme: str) -> DataFrame:
 
 def taxonomy_tree(concepts: DataFrame) -> DataFrame:
     """(iri, root, depth, pos) of a forest: nodes with a missing or foreign parent and nodes on a cycle are roots; siblings by label, then IRI."""
-    ids = concepts.select(F.col("iri").alias("broader"))
-    up = concepts.join(ids, "broader", "left_semi").select(F.col("iri").alias("a"), F.col("broader").alias("b"))
-    cyclic = closure(up, reflexive=False).where("a = b").select(F.col("a").alias("iri"))
-    parent = up.select(F.col("a").alias("iri"), F.col("b").alias("parent")).join(cyclic, "iri", "left_anti")
-    roots = concepts.select("iri").join(parent, "iri", "left_anti")
-    level = cut(roots.select("iri", F.col("iri").alias("root"), F.lit(0).alias("depth")))
-    out = level
-    while not level.isEmpty():
-        level = cut(level.select(F.col("iri").alias("parent"), "root", "depth").join(parent, "parent").select("iri", "root", (F.col("depth") + 1).alias("depth")))
-        out = out.unionByName(level)
-    named = out.join(concepts.select("iri", "label"), "iri").join(parent, "iri", "left")
+    ids = concepts.select(F.col("iri").alias("broader")).distinct()
+    up = cut(concepts.join(ids.hint("shuffle_merge"), "broader", "left_semi").select(F.col("iri").alias("cell"), F.col("broader").alias("far")))
+    top = lambda u: concepts.select(F.col("iri").alias("cell")).join(u.select("cell").hint("shuffle_merge"), "cell", "left_anti")
+    done, stuck = climb(up, top(up))
+    cyclic = stuck.select(F.col("far").alias("cell")).distinct()
+    if not cyclic.isEmpty():
+        up = up.join(cyclic.hint("shuffle_merge"), "cell", "left_anti")
+        done, _ = climb(up, top(up))
+    parent = up.select(F.col("cell").alias("iri"), F.col("far").alias("parent"))
+    out = done.select(F.col("cell").alias("iri"), F.col("top").alias("root"), F.col("d").cast("int").alias("depth"))
+    named = out.join(concepts.select("iri", "label").hint("shuffle_merge"), "iri").join(parent.hint("shuffle_merge"), "iri", "left")
     return named.withColumn("pos", F.row_number().over(Window.partitionBy("parent").orderBy(F.coalesce("label", "iri"), "iri"))).select("iri", "root", "depth", F.col("parent"), "pos")

@@ -17,12 +17,12 @@ def unique_names(df: DataFrame, base: str, order: str, out: str, by: list[str] =
 
 def pascal(x):
     words = F.filter(F.split(x, "[^A-Za-z0-9]+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
 
 
 def camel(x):
     p = pascal(x)
-    return F.concat(F.lower(F.substring(p, 1, 1)), F.substring(p, 2, 10_000))
+    return F.concat(F.lower(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))
 
 
 def shape_plan(shapes: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def validate_transitions(requests: DataFrame, workflow: DataFrame) -> DataFrame:
     return out.select("request", F.when(F.col("source").isNull(), 400).when(rank(F.col("role")) < rank(F.col("least_role")), 403).otherwise(200).alias("code"))
 
 
-def record_changes(events: DataFrame, most: int | None = 800) -> DataFrame:
+def record_changes(events: DataFrame, most: int | None = None) -> DataFrame:
+    """Events as change records; a page may cut the detail to `most` characters."""
     return events if most is None else events.withColumn("detail", F.substring("detail", 1, most))
 
 

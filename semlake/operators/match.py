@@ -66,14 +66,14 @@ def match_field(names: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return hit.withColumn("rn", rn).where("rn = 1").select("name", "concept", "area", "score", F.col("kw").alias("hit"))
 
 
-def concept_lexicon(concepts: DataFrame) -> DataFrame:
-    """concepts: (iri, names array): distinct (concept, name, key) of 3 to 200 characters, by length down, IRI, name."""
-    n = concepts.select(F.col("iri").alias("concept"), F.explode("names").alias("name")).select("concept", F.trim("name").alias("name")).where(F.length("name").between(3, 200))
+def concept_lexicon(concepts: DataFrame, shortest: int = 3, longest: int | None = 200) -> DataFrame:
+    """concepts: (iri, names array): distinct (concept, name, key) of `shortest` to `longest` characters (None: of any length), by length down, IRI, name."""
+    n = concepts.select(F.col("iri").alias("concept"), F.explode("names").alias("name")).select("concept", F.trim("name").alias("name")).where((F.length("name") >= shortest) & (F.length("name") <= (longest if longest is not None else 2**31 - 1)))
     n = n.withColumn("key", F.lower("name")).groupBy("concept", "key").agg(F.min("name").alias("name"))
     return n.withColumn("ord", F.struct((-F.length("name")).alias("l"), "concept", "name"))
 
 
-def auto_tag(docs: DataFrame, lexicon: DataFrame, limit: int | None = 50) -> DataFrame:
+def auto_tag(docs: DataFrame, lexicon: DataFrame, limit: int | None = None) -> DataFrame:
     """(doc_id, concept, n, spans) of whole-word mentions; longer names claim their span first.
 
     A text's word pieces carry their offset; the first word of a name joins them, so candidates come from an equi-join.

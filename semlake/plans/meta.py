@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..model import DATA, DOMAIN, GRAPH, LABEL, NS, RANGE, RDF, RR, SH, TYPE, XSD, fact, facts
+from ..model import DATA, DOMAIN, GRAPH, LABEL, NS, RANGE, RDF, RR, SH, TYPE, XSD, fact, facts, pivoted
 
 SQL_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "TEXT", "timestamp": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE", "binary": "BLOB"}
 
@@ -155,17 +155,16 @@ def schema_to_mappings(meta: DataFrame) -> DataFrame:
 
 
 def read_catalog(quads: DataFrame, detached: list[str] | None = None) -> DataFrame:
-    """Catalog rows from mapping triples; of several mappings of a column the first holds."""
-    from ..model import of_predicate as P
-
-    tm = P(quads, RR + "tableName", "tm", "table").join(P(quads, NS + "source", "tm", "source_id"), "tm").join(P(quads, RR + "template", "tm", "subject_template"), "tm").join(P(quads, RR + "class", "tm", "class_iri"), "tm")
-    pom = P(quads, RR + "predicateObjectMap", "tm", "pom").join(P(quads, RR + "column", "pom", "column"), "pom").join(P(quads, RR + "predicate", "pom", "property"), "pom")
-    pom = pom.join(P(quads, RR + "datatype", "pom", "datatype"), "pom", "left").join(P(quads, RR + "refTemplate", "pom", "ref_template"), "pom", "left")
-    first = pom.groupBy("tm", "column").agg(F.min_by(F.struct("property", "datatype", "ref_template"), "pom").alias("f")).select("tm", "column", "f.*")
-    out = tm.join(first, "tm")
+    """Catalog rows from mapping triples; of several mappings of a column the first holds. Two pivots by subject, two joins."""
+    maps = pivoted(quads, {"table": RR + "tableName", "source_id": NS + "source", "subject_template": RR + "template", "class_iri": RR + "class"})
+    maps = maps.where("table is not null and source_id is not null and subject_template is not null and class_iri is not null").withColumnRenamed("s", "tm")
     if detached:
-        out = out.where(~F.col("source_id").isin(detached))
-    return out.select("class_iri", "source_id", "table", "subject_template", "column", "property", "datatype", "ref_template")
+        maps = maps.where(~F.col("source_id").isin(detached))
+    columns = pivoted(quads, {"column": RR + "column", "property": RR + "predicate", "datatype": RR + "datatype", "ref_template": RR + "refTemplate"}).where("column is not null and property is not null")
+    owned = quads.where(F.col("p") == RR + "predicateObjectMap").select(F.col("s").alias("tm"), F.col("o").alias("s"))
+    first = owned.join(columns.hint("shuffle_merge"), "s").groupBy("tm", "column").agg(F.min_by(F.struct("property", "datatype", "ref_template"), "s").alias("f"))
+    out = first.join(maps.hint("shuffle_merge"), "tm")
+    return out.select("class_iri", "source_id", "table", "subject_template", "column", "f.property", "f.datatype", "f.ref_template")
 
 
 # The same facts in SQL, for oracles.

@@ -1,6 +1,6 @@
 """All registered queries of the library (without the llm subpackage)."""
 
-from . import catalog, governance, graphs, text  # noqa: F401
+from . import catalog, estate, governance, graphs, text  # noqa: F401
 from .base import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES", "query"]

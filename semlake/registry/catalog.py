@@ -63,12 +63,6 @@ def src_page(spark, sf):
     return select.page(load(spark, sf, "orders"), ["o_orderkey"], 100, 50)
 
 
-@query("src_json_rows", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def src_json_rows(spark, sf):
-    e = load(spark, sf, "events").select("event_id", F.from_json("props", "k long").alias("p"))
-    return e.select("event_id", "p.k")
-
-
 NT = f"""SELECT graph, '<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'iri' THEN '<' || o || '>'
   ELSE '"' || replace(replace(o, '\\', '\\\\'), '"', '\\"') || '"' || CASE WHEN datatype <> '{meta.XSD}string' THEN '^^<' || datatype || '>' ELSE '' END END || ' .' AS line FROM q"""
 
@@ -84,11 +78,6 @@ def src_ntriples(spark, sf):
     return io.parse_ntriples(io.sink_ntriples(crm(spark, sf)))[0]
 
 
-@query("sink_jsonld")
-def sink_jsonld(spark, sf):
-    return io.sink_jsonld(crm(spark, sf))
-
-
 @query("rows_to_triples", f"{QB} SELECT * FROM q")
 def rows_to_triples(spark, sf):
     return big(spark, sf)
@@ -118,19 +107,6 @@ def _meta_sql(names):
     return " UNION ALL ".join(rows)
 
 
-@query("schema_to_triples", f"""
-WITH m AS ({_meta_sql(SCHEMA)}), c AS (SELECT DISTINCT tab FROM m)
-SELECT p, count(*) AS n FROM (
-  SELECT '{TYPE}' AS p FROM c UNION ALL SELECT '{LABEL}' FROM c UNION ALL SELECT '{NS}source' FROM c
-  UNION ALL SELECT '{TYPE}' FROM c UNION ALL SELECT '{SH}targetClass' FROM c
-  UNION ALL SELECT unnest(['{TYPE}', '{LABEL}', '{meta.DOMAIN}', '{meta.RANGE}', '{SH}path', '{SH}order', '{SH}maxCount', '{SH}property']) FROM m
-  UNION ALL SELECT '{SH}minCount' FROM m WHERE nn OR pk
-  UNION ALL SELECT unnest(['{SH}class', '{SH}nodeKind']) FROM m WHERE fk IS NOT NULL
-  UNION ALL SELECT '{SH}datatype' FROM m WHERE fk IS NULL) GROUP BY p""")
-def schema_to_triples(spark, sf):
-    return meta.schema_to_triples(used(spark, sf, SCHEMA)).groupBy("p").agg(F.count("*").alias("n"))
-
-
 @query("schema_to_mappings", f"""
 WITH m AS ({_meta_sql(SCHEMA)}), c AS (SELECT DISTINCT tab FROM m)
 SELECT '{NS}map/' || tab AS s, '{RR}tableName' AS p, tab AS o FROM c
@@ -155,16 +131,6 @@ def read_catalog(spark, sf):
     return meta.read_catalog(mapping_quads(spark, sf))
 
 
-@query("translate_source", f"""
-WITH m AS ({_meta_sql(['nation', 'customer'])}), q AS ({sql_instances(['nation', 'customer'])})
-SELECT 'instances' AS part, count(*) AS n FROM q
-UNION ALL SELECT 'mappings', 3 * count(*) + count(*) + 5 * count(DISTINCT tab) FROM m""")
-def translate_source(spark, sf):
-    names = ["nation", "customer"]
-    parts = {"instances": meta.instances(spark, sf, names), "mappings": meta.schema_to_mappings(used(spark, sf, names))}
-    return reduce(DataFrame.unionByName, [q.agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k, q in parts.items()])
-
-
 @query("sync_provenance", f"""{Q}, g AS (SELECT graph, count(*) AS triples, count(DISTINCT s) AS n FROM q GROUP BY graph)
 SELECT '{NS}load/' || regexp_extract(graph, '[^/]+$') AS s, '{NS}rows' AS p, CAST(n AS VARCHAR) AS o FROM g
 UNION ALL SELECT '{NS}load/' || regexp_extract(graph, '[^/]+$'), '{NS}triples', CAST(triples AS VARCHAR) FROM g""")
@@ -173,13 +139,6 @@ def sync_provenance(spark, sf):
     return p.where(F.col("p").isin(NS + "rows", NS + "triples")).select("s", "p", "o")
 
 
-@query("bulk_load", f"{Q} SELECT graph, count(*) AS n FROM (SELECT DISTINCT * FROM q) GROUP BY graph")
-def bulk_load(spark, sf):
-    """Loading the same facts twice leaves each once."""
-    q = crm(spark, sf)
-    return algebra.insert_data(q, q).groupBy("graph").agg(F.count("*").alias("n"))
-
-
 @query("class_views", "SELECT c_mktsegment AS segment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def class_views(spark, sf):
     dash.class_views(spark, {f"sem_{n}": load(spark, sf, n) for n in ("customer", "orders")})
@@ -344,67 +303,11 @@ def schema_edges(spark, sf):
     return graph.schema_edges(meta.schema_to_triples(used(spark, sf, SCHEMA)))
 
 
-@query("flow_edges", f"""WITH m AS ({_meta_sql(SCHEMA)}) SELECT DISTINCT CASE WHEN tab = 'orders' THEN 'sales' ELSE 'crm' END AS src, '{NS}' || tab AS dst, 'maps' AS kind FROM m
-UNION ALL SELECT '{NS}orders', '{NS}customer', 'link' FROM (SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey) WHERE n > 0""")
-def flow_edges(spark, sf):
-    cat = meta.read_catalog(mapping_quads(spark, sf))
-    maps = cat.select(F.col("source_id").alias("src"), F.col("class_iri").alias("dst"), F.lit("maps").alias("kind")).distinct()
-    ends = cat.select(F.col("class_iri")).distinct()
-    ln = meta.links(spark).join(ends.withColumnRenamed("class_iri", "from_class"), "from_class", "left_semi").join(ends.withColumnRenamed("class_iri", "to_class"), "to_class", "left_semi")
-    return maps.unionByName(ln.select(F.col("from_class").alias("src"), F.col("to_class").alias("dst"), F.lit("link").alias("kind")))
-
-
-@query("enrich_catalog", f"WITH m AS ({_meta_sql(SCHEMA)}) SELECT '{NS}' || tab AS class_iri, col AS \"column\", CASE tab WHEN 'customer' THEN 'Parties' WHEN 'nation' THEN 'Geography' ELSE 'Sales' END AS area FROM m")
-def enrich_catalog(spark, sf):
-    area = spark.createDataFrame([(NS + k, v) for k, v in meta.AREAS.items()], "class_iri string, area string")
-    return meta.read_catalog(mapping_quads(spark, sf)).join(F.broadcast(area), "class_iri", "left").select("class_iri", "column", "area")
-
-
-@query("catalog_assets", f"""SELECT '{NS}' || t AS iri, n AS n_rows, a AS area FROM (SELECT 'customer' AS t, count(*) AS n, 'Parties' AS a FROM customer UNION ALL SELECT 'nation', count(*), 'Geography' FROM nation UNION ALL SELECT 'orders', count(*), 'Sales' FROM orders)""")
-def catalog_assets(spark, sf):
-    counts = reduce(DataFrame.unionByName, [load(spark, sf, n).agg(F.count("*").alias("n_rows")).select(F.lit(NS + n).alias("iri"), "n_rows") for n in SCHEMA])
-    area = spark.createDataFrame([(NS + k, v) for k, v in meta.AREAS.items()], "iri string, area string")
-    return counts.join(F.broadcast(area), "iri").where("area is not null")
-
-
-@query("catalog_links", f"WITH m AS ({_meta_sql(SCHEMA)}) SELECT DISTINCT '{NS}placedBy' AS property, '{NS}orders' AS from_class, '{NS}customer' AS to_class FROM m WHERE tab = 'orders'")
-def catalog_links(spark, sf):
-    ends = meta.read_catalog(mapping_quads(spark, sf)).select("class_iri").distinct()
-    return meta.links(spark).join(ends.withColumnRenamed("class_iri", "from_class"), "from_class", "left_semi").join(ends.withColumnRenamed("class_iri", "to_class"), "to_class", "left_semi").select("property", "from_class", "to_class")
-
-
-@query("declare_link", f"{Q} SELECT p, count(*) AS n FROM (SELECT p FROM q WHERE p = '{TYPE}' UNION ALL SELECT unnest(['{TYPE}', '{NS}sourceKey', '{NS}targetKey', '{meta.DOMAIN}', '{meta.RANGE}', '{LABEL}'])) GROUP BY p")
-def declare_link(spark, sf):
-    q = crm(spark, sf)
-    p, a, x, b, y = meta.LINKS[0]
-    s = NS + p
-    new = [(s, TYPE, meta.RDF + "Property"), (s, LABEL, p), (s, meta.DOMAIN, NS + a), (s, meta.RANGE, NS + b), (s, NS + "sourceKey", f"{NS}{a}_{x}"), (s, NS + "targetKey", f"{NS}{b}_{y}")]
-    link = spark.createDataFrame([(GRAPH + "model", *t, "iri", None, None) for t in new], q.schema)
-    return algebra.insert_data(q, link).where(F.col("p").isin(TYPE, LABEL, meta.DOMAIN, meta.RANGE, NS + "sourceKey", NS + "targetKey")).groupBy("p").agg(F.count("*").alias("n"))
-
-
-@query("key_candidates", "SELECT 'doc_id' AS col, count(*) AS n_both FROM labels l SEMI JOIN documents d ON l.doc_id = d.doc_id")
-def key_candidates(spark, sf):
-    """Columns that two classes share by name, with how many rows of the first meet the second there."""
-    m = meta.table_meta(spark)
-    a, b = (m.where(F.col("table") == n).select("column") for n in ("labels", "documents"))
-    names = [r.column for r in a.join(b, "column").orderBy("column").collect()]  # declared columns
-    l, d = load(spark, sf, "labels"), load(spark, sf, "documents")
-    return reduce(DataFrame.unionByName, [l.join(d, c, "left_semi").agg(F.count("*").alias("n_both")).select(F.lit(c).alias("col"), "n_both") for c in names])
-
-
 @query("read_shapes", f"WITH m AS ({_meta_sql(SCHEMA)}) SELECT '{NS}' || tab || 'Shape' AS shape, '{NS}' || tab AS target_class, '{NS}' || tab || '_' || col AS path, CASE WHEN fk IS NULL THEN dt END AS datatype, '{NS}' || fk AS class_iri, CASE WHEN nn OR pk THEN 1 END AS min_count, 1 AS max_count, ord FROM m")
 def read_shapes(spark, sf):
     return validate.read_shapes(meta.schema_to_triples(used(spark, sf, SCHEMA))).select("shape", "target_class", "path", "datatype", "class_iri", "min_count", "max_count", "ord")
 
 
-@query("custom_fields", f"WITH m AS ({_meta_sql(['customer'])}) SELECT '{NS}customer_' || col AS path, ord FROM m UNION ALL SELECT '{LABEL}', -1 FROM (SELECT count(*) FROM customer)")
-def custom_fields(spark, sf):
-    built_in = spark.createDataFrame([(LABEL, -1)], "path string, ord int")
-    own = validate.read_shapes(meta.schema_to_triples(used(spark, sf, SCHEMA))).where(F.col("shape") == NS + "customerShape").select("path", "ord")
-    return built_in.unionByName(own).orderBy("ord")
-
-
 @query("virtual_search", f"""
 WITH e AS (SELECT '{NS}customer' AS class_iri, {CUST_IRI} AS iri, c_name AS label FROM customer UNION ALL SELECT '{NS}part', '{DATA}part/' || p_partkey, p_name FROM part UNION ALL SELECT '{NS}supplier', '{DATA}supplier/' || s_suppkey, s_name FROM supplier),
 r AS (SELECT *, row_number() OVER (PARTITION BY class_iri ORDER BY label, iri) AS rn FROM e WHERE contains(lower(label), '1'))
@@ -416,5 +319,3 @@ def virtual_search(spark, sf):
 @query("sort_page", f"SELECT '{DATA}part/' || p_partkey AS __iri, p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, __iri LIMIT 40 OFFSET 20")
 def sort_page(spark, sf):
     return select.class_select(load(spark, sf, "part"), TABLES["part"], ["p_partkey", "p_retailprice"], order_by=("p_retailprice", False), limit=40, offset=20)
-
-

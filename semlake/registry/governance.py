@@ -165,17 +165,6 @@ def entity_history(spark, sf):
     return governance.entity_history(changes(spark, sf), "the").select("change")
 
 
-@query("list_comments", "SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn")
-def list_comments(spark, sf):
-    return load(spark, sf, "conversations").select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn")
-
-
-@query("list_asset_types", "SELECT p_type AS type, count(*) AS n FROM part GROUP BY p_type UNION ALL SELECT 'Concept', (SELECT count(*) FROM nation)")
-def list_asset_types(spark, sf):
-    built_in = load(spark, sf, "nation").agg(F.count("*").alias("n")).select(F.lit("Concept").alias("type"), "n")
-    return load(spark, sf, "part").groupBy(F.col("p_type").alias("type")).agg(F.count("*").alias("n")).unionByName(built_in).orderBy("type")
-
-
 # Dashboards.
 @query("shape_plan", "SELECT 'Customer' AS type_name, 'customers' AS list_name, f AS field, s AS scalar, l AS is_list, n FROM (VALUES ('customerCAcctbal', 'Float', false), ('customerCName', 'String', false), ('customerCMktsegment', 'String', false), ('customerCNationkey', 'String', false), ('customerPhone', 'String', true)) v(f, s, l), (SELECT count(*) AS n FROM customer)")
 def shape_plan(spark, sf):
@@ -210,12 +199,6 @@ def shape_nested_all(spark, sf):
     return shape_nested(spark, sf, None)
 
 
-@query("sql_console", "SELECT o_orderpriority AS x, count(*) AS n FROM orders GROUP BY o_orderpriority")
-def sql_console(spark, sf):
-    dash.class_views(spark, {"sem_orders": load(spark, sf, "orders")})
-    return spark.sql("SELECT o_orderpriority AS x, count(*) AS n FROM sem_orders GROUP BY o_orderpriority")
-
-
 @query("saved_query_run", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '2-HIGH' AND o_totalprice > 150000")
 def saved_query_run(spark, sf):
     dash.class_views(spark, {"sem_orders": load(spark, sf, "orders")})
@@ -342,4 +325,3 @@ def search_watches(spark, sf):
     h = load(spark, sf, "part").select(F.col("p_brand").alias("watch"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
     known = h.select("watch").distinct().join(F.broadcast(h.agg(F.min("watch").alias("watch"))), "watch", "left_anti")
     return journal.search_watches(h, h.where("id % 2 = 1").select("watch", "id"), known)
-

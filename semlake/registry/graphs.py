@@ -15,17 +15,6 @@ from ..plans.meta import TABLES, load, sql_instances
 from .base import query
 from .catalog import BIG, QB, SCHEMA, Q, _meta_sql, big, crm, used
 
-@query("plan_sources", "SELECT 'crm' AS source_id, 'customer,nation' AS tables, (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) AS n_rows UNION ALL SELECT 'sales', 'orders', (SELECT count(*) FROM orders)")
-def plan_sources(spark, sf):
-    cat = meta.catalog(spark).where(F.col("class_iri").isin([NS + n for n in SCHEMA])).select("source_id", "table").distinct()
-    counts = reduce(DataFrame.unionByName, [load(spark, sf, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("table"), "n") for n in SCHEMA])
-    return cat.join(F.broadcast(counts), "table").groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_list("table")), ",").alias("tables"), F.sum("n").alias("n_rows"))
-
-
-@query("class_row_counts", " UNION ALL ".join(f"SELECT '{NS}{n}' AS class_iri, count(*) AS n FROM {n}" for n in TABLES))
-def class_row_counts(spark, sf):
-    return reduce(DataFrame.unionByName, [load(spark, sf, n).agg(F.count("*").alias("n")).select(F.lit(NS + n).alias("class_iri"), "n") for n in TABLES])
-
 
 @query("class_counts", f"{QB} SELECT o AS class_iri, count(DISTINCT s) AS n FROM q WHERE p = '{TYPE}' GROUP BY o ORDER BY n DESC, class_iri LIMIT 500")
 def class_counts(spark, sf):
@@ -33,23 +22,11 @@ def class_counts(spark, sf):
     return graph.class_counts(q, select.resolve_label(q, select.label_props(spark, [TABLES[n] for n in BIG]))).select("class_iri", "n")
 
 
-@query("graph_sizes", f"{QB} SELECT graph, count(*) AS n FROM q GROUP BY graph ORDER BY n DESC, graph LIMIT 100")
-def graph_sizes(spark, sf):
-    return big(spark, sf).groupBy("graph").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "graph").limit(100)
-
-
 @query("shape_counts", f"WITH m AS ({_meta_sql(SCHEMA)}) SELECT '{NS}' || tab || 'Shape' AS shape, '{NS}' || tab AS target_class, count(*) AS n FROM m GROUP BY tab")
 def shape_counts(spark, sf):
     return graph.shape_counts(meta.schema_to_triples(used(spark, sf, SCHEMA)))
 
 
-@query("schema_overview", f"WITH m AS ({_meta_sql(SCHEMA)}), c AS (SELECT 'nation' AS tab, count(*) AS n FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'orders', count(*) FROM orders) SELECT '{NS}' || tab AS class_iri, n AS instances, count(*) AS properties, count(*) FILTER (nn OR pk) AS required FROM m JOIN c USING (tab) GROUP BY tab, n")
-def schema_overview(spark, sf):
-    sh = validate.read_shapes(meta.schema_to_triples(used(spark, sf, SCHEMA)))
-    n = reduce(DataFrame.unionByName, [load(spark, sf, t).agg(F.count("*").alias("instances")).select(F.lit(NS + t).alias("class_iri"), "instances") for t in SCHEMA])
-    return sh.groupBy(F.col("target_class").alias("k")).agg(F.count("*").alias("properties"), F.count("min_count").alias("required")).join(F.broadcast(n), F.col("k") == F.col("class_iri")).select("class_iri", "instances", "properties", "required")
-
-
 @query("usage_counts", f"""{Q}, u AS (
   SELECT DISTINCT 'incoming' AS role, o AS iri, s AS who FROM q WHERE o_kind = 'iri'
   UNION SELECT DISTINCT 'predicate', p, s || ' ' || o FROM q)
@@ -397,24 +374,9 @@ def customer_shapes(spark):
     return spark.createDataFrame(rows, validate.SHAPE_SCHEMA)
 
 
-@query("shacl_validate", f"""WITH x AS (SELECT *, '{DATA}customer/' || c_custkey AS focus FROM customer)
-SELECT focus, '{NS}customer_c_acctbal' AS path, 'minInclusive' AS "constraint" FROM x WHERE c_acctbal < 0
-UNION ALL SELECT focus, '{NS}customer_c_acctbal', 'maxInclusive' FROM x WHERE c_acctbal > 9000
-UNION ALL SELECT focus, '{NS}customer_c_name', 'pattern' FROM x WHERE NOT regexp_matches(c_name, '^Customer#0*[1-9][0-9]*$')
-UNION ALL SELECT focus, '{NS}customer_c_name', 'maxLength' FROM x WHERE length(c_name) > 18
-UNION ALL SELECT focus, '{NS}customer_c_mktsegment', 'in' FROM x WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
-UNION ALL SELECT focus, '{NS}customer_c_nationkey', 'class' FROM x WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)
-UNION ALL SELECT focus, '{NS}customer_phone', 'minCount' FROM x""")
-def shacl_validate(spark, sf):
-    q = crm(spark, sf)
-    typed = q.where(F.col("p") == TYPE).select(F.col("s").alias("inst"), F.col("o").alias("class_iri"))
-    return validate.shacl_validate(q, customer_shapes(spark), typed).select("focus", "path", "constraint")
-
-
 @query("validate_values", f"""SELECT c_custkey AS "row", CASE WHEN c_acctbal < 0 THEN 'minInclusive' WHEN c_acctbal > 9000 THEN 'maxInclusive' END AS problem FROM customer
 UNION ALL SELECT c_custkey, CASE WHEN NOT regexp_matches(c_mktsegment, '^(BUILDING|MACHINERY)$') THEN 'in' END FROM customer""")
 def validate_values(spark, sf):
     c = load(spark, sf, "customer")
     cells = c.select(F.col("c_custkey").alias("row"), F.explode(F.array(F.struct(F.lit(NS + "customer_c_acctbal").alias("path"), F.col("c_acctbal").cast("string").alias("value")), F.struct(F.lit(NS + "customer_c_mktsegment").alias("path"), F.col("c_mktsegment").alias("value")))).alias("x")).select("row", "x.*")
     return validate.validate_values(cells, customer_shapes(spark)).select("row", "problem")
-

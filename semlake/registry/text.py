@@ -62,15 +62,6 @@ def crawl_rows(spark, sf):
     return docs(spark, sf).select("id", "kind", "source_id", "label", F.col("fields")["label"].alias("f_label"), F.col("fields")["text"].alias("f_text"))
 
 
-@query("crawl_model", f"WITH x AS (SELECT n_name AS label, '{NS}geo/n' || n_nationkey AS iri, lower(n_name) AS alt FROM nation UNION ALL SELECT r_name, '{NS}geo/r' || r_regionkey, NULL FROM region) SELECT iri, label, concat_ws(' ', label, alt) AS text FROM x")
-def crawl_model(spark, sf):
-    from ..model import ALT
-    from .graphs import geo_concepts
-
-    q = geo_concepts(spark, sf).where(F.col("p").isin(PREF, ALT) & F.col("s").startswith(NS + "geo/"))
-    return q.groupBy(F.col("s").alias("iri")).agg(F.min(F.when(F.col("p") == PREF, F.col("o"))).alias("label"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct((F.col("p") != PREF).alias("k"), "o"))), lambda x: x["o"]), " ").alias("text"))
-
-
 @query("build_index", f"{INDEX} SELECT p.field AS field, p.term AS term, p.id AS id, p.tf AS tf, len.len AS len, df.df AS df FROM p JOIN len ON p.field = len.field AND p.id = len.id JOIN df ON p.field = df.field AND p.term = df.term")
 def build_index(spark, sf):
     i = index(spark, sf)
@@ -139,23 +130,6 @@ def terms_facet(spark, sf):
     return search.terms_facet(search.bm25_match(i, one(spark)).select("id"), i.docs, "source_id")
 
 
-@query("federated_search", f"{INDEX}{bm25_sql(ONE)}, h AS (SELECT * FROM s JOIN docs USING (id) WHERE kind = 'data') SELECT 'total' AS facet, 'total' AS key, count(*) AS n FROM h UNION ALL SELECT 'kind', kind, count(*) FROM h GROUP BY kind UNION ALL SELECT 'source', source_id, count(*) FROM h GROUP BY source_id")
-def federated_search(spark, sf):
-    i = index(spark, sf)
-    m = search.bm25_match(i, one(spark)).select("id", "score")
-    h = search.q_bool(must=[m], filters=[search.q_term(i, "kind", "data")], index=i)
-    total = h.agg(F.count("*").alias("n")).select(F.lit("total").alias("facet"), F.lit("total").alias("key"), "n")
-    return total.unionByName(search.terms_facet(h, i.docs, "kind").select(F.lit("kind").alias("facet"), "key", "n")).unionByName(search.terms_facet(h, i.docs, "source_id").select(F.lit("source").alias("facet"), "key", "n"))
-
-
-@query("index_upsert", f"{INDEX} SELECT count(*) AS n, sum(tf) AS tokens FROM p")
-def index_upsert(spark, sf):
-    """Re-adding documents that are there changes nothing."""
-    d = docs(spark, sf)
-    i = search.index_upsert(search.build_index(d), d.where("kind = 'model'"))
-    return i.postings.agg(F.count("*").alias("n"), F.sum("tf").alias("tokens"))
-
-
 @query("index_remove", f"{INDEX} SELECT count(*) AS n, sum(tf) AS tokens FROM p WHERE id NOT IN (SELECT id FROM docs WHERE kind = 'model')")
 def index_remove(spark, sf):
     d = docs(spark, sf)
@@ -163,11 +137,6 @@ def index_remove(spark, sf):
     return i.postings.agg(F.count("*").alias("n"), F.sum("tf").alias("tokens"))
 
 
-@query("highlight")
-def highlight(spark, sf):
-    return search.highlight(load(spark, sf, "documents").select("doc_id", "text"), "text", "token the").select("doc_id", "fragment")
-
-
 def names(spark, sf):
     """Names to reconcile: every nation and every market segment."""
     a = load(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("qid"), F.col("n_name").alias("text"))
@@ -186,13 +155,6 @@ def reconcile_batch(spark, sf):
     return search.reconcile_batch(index(spark, sf), names(spark, sf))
 
 
-@query("near_duplicate_labels", "SELECT count(*) AS n FROM nation")
-def near_duplicate_labels(spark, sf):
-    """Every nation's name with a word added is found again, close but not the same."""
-    rows = load(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("qid"), F.concat("n_name", F.lit(" xq")).alias("text"))
-    return search.near_duplicate_labels(index(spark, sf), rows).agg(F.count("*").alias("n"))
-
-
 def scheme(spark, sf, table, key, label, altered=False):
     d = load(spark, sf, table)
     name = F.concat(F.initcap(F.col(label)), F.lit(" Area")) if altered else F.col(label)
@@ -233,16 +195,6 @@ def crosswalk_list(spark, sf):
     return match.crosswalk_list(q, scheme(spark, sf, "nation", "n_nationkey", "n_name").select("iri", "label")).select("a", "relation", "b", "label_a")
 
 
-@query("scheme_concepts", f"SELECT '{NS}geo/n' || n_nationkey AS iri, n_name AS label, lower(n_name) AS alts FROM nation UNION ALL SELECT '{NS}geo/r' || r_regionkey, r_name, '' FROM region")
-def scheme_concepts(spark, sf):
-    from ..model import ALT, IN_SCHEME, of_predicate
-    from .graphs import geo_concepts
-
-    q = geo_concepts(spark, sf)
-    c = of_predicate(q, IN_SCHEME, "iri", "scheme").select("iri").distinct()
-    return c.join(of_predicate(q, PREF, "iri", "label"), "iri", "left").join(of_predicate(q, ALT, "iri", "alt"), "iri", "left").groupBy("iri", "label").agg(F.array_join(F.array_sort(F.collect_set("alt")), "|").alias("alts"))
-
-
 VOCAB = [(0, "MonetaryAmount", "Finance", ["amount", "total", "balance", "price", "acctbal", "total price", "account balance"]), (1, "Party", "Parties", ["customer", "supplier", "client"]), (2, "Identifier", "Reference", ["key", "id", "number"]), (3, "Date", "Time", ["date", "ts", "order date"]), (4, "Status", "Process", ["status", "order status", "priority"]), (5, "Name", "Reference", ["name", "label"])]
 
 
@@ -250,39 +202,9 @@ def vocabulary(spark):
     return spark.createDataFrame(VOCAB, "ord int, concept string, area string, keywords array<string>")
 
 
-@query("vocab_index", "SELECT p_type AS concept, lower(string_split(p_type, ' ')[-1]) AS area, string_agg(DISTINCT lower(p_brand), '|' ORDER BY lower(p_brand)) AS keywords FROM part GROUP BY p_type")
-def vocab_index(spark, sf):
-    """A vocabulary drawn from the parts: types as concepts, brands as keywords."""
-    p = load(spark, sf, "part")
-    return p.groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set(F.lower("p_brand"))), "|").alias("keywords")).select(F.col("p_type").alias("concept"), F.lower(F.element_at(F.split("p_type", " "), -1)).alias("area"), "keywords")
-
-
 EXPECTED = {"c_acctbal": ("MonetaryAmount", 2), "s_acctbal": ("MonetaryAmount", 2), "c_name": ("Name", 2), "n_name": ("Name", 2), "p_name": ("Name", 2), "s_name": ("Name", 2), "r_name": ("Name", 2), "customer": ("Party", 3), "supplier": ("Party", 3), "event_id": ("Identifier", 2), "doc_id": ("Identifier", 2), "user_id": ("Identifier", 2), "ts": ("Date", 3)}
 
 
-@query("match_field", "SELECT name, concept, score, n FROM (VALUES " + ", ".join(f"('{k}', '{v[0]}', {v[1]})" for k, v in EXPECTED.items() if k not in ("customer", "supplier")) + ") v(name, concept, score) JOIN (" + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n FROM {t}" for c, t in (("c_acctbal", "customer"), ("s_acctbal", "supplier"), ("c_name", "customer"), ("n_name", "nation"), ("p_name", "part"), ("s_name", "supplier"), ("r_name", "region"), ("event_id", "events"), ("doc_id", "documents"), ("user_id", "events"), ("ts", "events"))) + ") u USING (name)")
-def match_field(spark, sf):
-    """Columns of the estate matched to the vocabulary, with their number of values."""
-    from functools import reduce
-
-    tables = {"c_acctbal": "customer", "s_acctbal": "supplier", "c_name": "customer", "n_name": "nation", "p_name": "part", "s_name": "supplier", "r_name": "region", "event_id": "events", "doc_id": "documents", "user_id": "events", "ts": "events", "o_orderstatus": "orders"}
-    n = reduce(lambda a, b: a.union(b), [load(spark, sf, t).agg(F.count(c).alias("n")).select(F.lit(c).alias("name"), "n") for c, t in tables.items()])
-    return match.match_field(n.select("name"), vocabulary(spark)).join(n, "name").select("name", "concept", "score", "n")
-
-
-@query("discover_areas", "SELECT 'Parties' AS area, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n")
-def discover_areas(spark, sf):
-    """Rows of the tables whose name is aligned, by business area."""
-    t = load(spark, sf, "customer").agg(F.count("*").alias("n")).select(F.lit("customer").alias("name"), "n").union(load(spark, sf, "supplier").agg(F.count("*")).select(F.lit("supplier"), F.col("count(1)")))
-    return match.match_field(t.select("name"), vocabulary(spark)).join(t, "name").groupBy("area").agg(F.sum("n").alias("n"))
-
-
-@query("area_totals", "SELECT concept_area AS area, count(*) AS n FROM (SELECT CASE WHEN event_type IN ('purchase') THEN 'Sales' ELSE 'Process' END AS concept_area FROM events) GROUP BY 1")
-def area_totals(spark, sf):
-    e = load(spark, sf, "events").select(F.when(F.col("event_type") == "purchase", "Sales").otherwise("Process").alias("area"))
-    return e.groupBy("area").agg(F.count("*").alias("n"))
-
-
 def lexicon(spark, sf):
     """Concepts named by the benchmark's words: the first two words of each item, and its first word alone."""
     b = load(spark, sf, "benchmark").select("item_id", F.slice(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 2), 1, 2).alias("w")).where("size(w) = 2")
@@ -338,20 +260,6 @@ def cast_scalar(spark, sf):
     return load(spark, sf, "events").select("event_id", S.cast_scalar(F.col("user_id").cast("string"), "Int").alias("i"), S.cast_scalar(F.col("event_type"), "Float").alias("f"))
 
 
-@query("pick_label_column", "SELECT 'customer' AS \"table\", 'c_name' AS label, count(c_name) AS n FROM customer UNION ALL SELECT 'orders', 'o_orderstatus', count(o_orderstatus) FROM orders UNION ALL SELECT 'part', 'p_name', count(p_name) FROM part")
-def pick_label_column(spark, sf):
-    """Per table: a column called name, else one that ends so, else the first text that is no key or reference."""
-    from functools import reduce
-
-    from pyspark.sql import Window
-
-    m = meta.table_meta(spark).where(F.col("table").isin("customer", "orders", "part") & F.col("fk_table").isNull() & ~F.col("pk"))
-    rank = F.when(F.col("column").isin("name", "label", "title"), 0).when(F.col("column").rlike("_(name|title|label)$"), 1).when(F.col("column").rlike("(number|code|email)$"), 2).when(F.col("sql_type") == "TEXT", 3)
-    best = m.withColumn("r", rank).where("r is not null").withColumn("rn", F.row_number().over(Window.partitionBy("table").orderBy("r", "ordinal"))).where("rn = 1").select("table", F.col("column").alias("label"))
-    n = reduce(lambda a, b: a.union(b), [load(spark, sf, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n") for t in ("customer", "orders", "part")])
-    return best.join(n, "table")
-
-
 @query("serialize_term", "SELECT event_id, '\"' || replace(replace(props, '\\', '\\\\'), '\"', '\\\"') || '\"' AS t FROM events")
 def serialize_term(spark, sf):
     return load(spark, sf, "events").select("event_id", S.serialize_term(F.col("props"), F.lit("literal"), F.lit(XSD + "string"), F.lit(None).cast("string")).alias("t"))
@@ -369,22 +277,6 @@ def infer_term(spark, sf):
     return e.union(p)
 
 
-@query("shrink_iri", f"SELECT '{DATA}part/' || p_partkey AS iri, 'part:' || p_partkey AS curie FROM part")
-def shrink_iri(spark, sf):
-    """The longest namespace wins."""
-    ns = spark.createDataFrame([("data", DATA), ("part", DATA + "part/")], "prefix string, ns string")
-    iris = load(spark, sf, "part").select(meta.subject(TABLES["part"]).alias("iri"))
-    j = iris.join(F.broadcast(ns), F.col("iri").startswith(F.col("ns")))
-    return j.groupBy("iri").agg(F.max_by(F.struct("prefix", "ns"), F.length("ns")).alias("b")).select("iri", F.concat("b.prefix", F.lit(":"), F.expr("substring(iri, length(b.ns) + 1)")).alias("curie"))
-
-
-@query("namespaces", f"SELECT '{DATA}' || t || '/' AS ns, n FROM (SELECT 'customer' AS t, count(*) AS n FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'region', count(*) FROM region)")
-def namespaces(spark, sf):
-    from .catalog import crm
-
-    return crm(spark, sf).select("s").distinct().groupBy(F.regexp_extract("s", "^(.*[/#])[^/#]*$", 1).alias("ns")).agg(F.count("*").alias("n"))
-
-
 @query("tokenize", "SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS n FROM documents")
 def tokenize(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.size(S.tokens(F.col("text"))).alias("n"))

@@ -13,10 +13,11 @@ from ..model import JOURNAL_SCHEMA, QUAD, TRIPLE
 OVERSIZED = 524_288
 
 
-def journal_publish(events: DataFrame) -> DataFrame:
-    """Events with the oversized flag set by the size of their body; an oversized body isn't carried."""
-    big = F.length(F.to_json("quads")) > OVERSIZED
-    return events.withColumn("oversized", big).withColumn("quads", F.when(~big, F.col("quads")))
+def journal_publish(events: DataFrame, carry: bool = True) -> DataFrame:
+    """Events with the oversized flag set by the size of their body. With carry=False (for a broker that takes no large
+    messages) an oversized body is left out, and a restore over that event fails rather than lose it."""
+    big = F.coalesce(F.length(F.to_json("quads")) > OVERSIZED, F.lit(False))
+    return events.withColumn("oversized", big).withColumn("quads", F.col("quads") if carry else F.when(~big, F.col("quads")))
 
 
 def journal_read(spark: SparkSession, path: str, since: dict[int, int] | None = None, until=None) -> DataFrame:
@@ -30,7 +31,9 @@ def journal_read(spark: SparkSession, path: str, since: dict[int, int] | None =
 
 def mutations(journal: DataFrame) -> DataFrame:
     """One row per fact and drop: (graph, op, ord, fact columns). A replace is a drop, then inserts."""
-    j = journal.where("not coalesce(oversized, false)").withColumn("ord", F.struct("at", "seq", "step"))
+    lost = F.coalesce(F.col("oversized"), F.lit(False)) & F.col("quads").isNull()
+    whole = F.when(lost, F.raise_error(F.concat(F.lit("the body of an oversized event is missing: seq "), F.col("seq").cast("string"))).cast("boolean")).otherwise(True)
+    j = journal.where(whole).withColumn("ord", F.struct("at", "seq", "step"))
     drops = j.where("op in ('drop', 'replace')").select("graph", F.lit("drop").alias("op"), F.struct("at", "seq", "step", F.lit(0).alias("sub")).alias("ord"), *[F.lit(None).cast("string").alias(c) for c in TRIPLE])
     rows = j.where("op in ('insert', 'delete', 'replace')").select("graph", F.when(F.col("op") == "delete", "delete").otherwise("insert").alias("op"), F.struct("at", "seq", "step", F.lit(1).alias("sub")).alias("ord"), F.explode("quads").alias("q")).select("graph", "op", "ord", "q.*")
     return drops.unionByName(rows)
@@ -69,11 +72,11 @@ def journal_apply_stream(events: DataFrame, state_path: str, checkpoint: str) ->
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         m = mutations(batch)
-        fs = spark._jvm.org.apache.hadoop.fs.Path(state_path)
-        has = epoch > 0 and fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/v={epoch - 1}"))
-        if has:
+        if epoch > 0:  # an error if the version before is missing: nothing is folded from nothing
             m = m.unionByName(spark.read.parquet(f"{state_path}/v={epoch - 1}"))
         m.groupBy(*QUAD).agg(F.max_by(F.struct("op", "ord"), "ord").alias("x")).select(*QUAD, "x.op", "x.ord").write.mode("overwrite").parquet(f"{state_path}/v={epoch}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/v={epoch - 2}")  # the version before stays, for a batch that is repeated
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
