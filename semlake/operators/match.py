@@ -14,20 +14,27 @@ RELATIONS = ("exactMatch", "closeMatch", "broadMatch", "narrowMatch", "relatedMa
 def crosswalk_suggest(a: DataFrame, b: DataFrame, mapped: DataFrame | None = None, least: float = 0.5, limit: int | None = 50, ascii_only: bool = False) -> DataFrame:
     """a, b: (iri, label, alts array): (a, b, score, reason) by equal names (0.95) or by token overlap of labels.
 
-    Both are equi-joins (on names, on tokens); the overlap is counted from the joined tokens, so nothing is missed and
-    nothing is crossed.
+    Names meet by an equi-join. For the overlap (Jaccard of `least` or more) a label's tokens are put in order, rarest in
+    both schemes first: two such labels share one of the first n - ceil(least * n) + 1 of either, so only those are joined,
+    a frequent word brings no pairs together, and nothing is missed.
     """
     norm = lambda c: S.norm_label(c, ascii_only)
     names = lambda d, n: d.select(F.col("iri").alias(n), F.explode(F.array_append(F.coalesce("alts", F.array().cast("array<string>")), F.col("label"))).alias("x")).select(n, norm(F.col("x")).alias("key")).where("key <> ''").distinct()
-    exact = names(a, "a").join(names(b, "b"), "key").select("a", "b").distinct().withColumn("score", F.lit(0.95)).withColumn("reason", F.lit("exact"))
-
-    def toks(d: DataFrame, n: str) -> DataFrame:
-        t = d.select(F.col("iri").alias(n), F.array_distinct(F.split(norm(F.col("label")), " ")).alias("ts")).where("ts[0] <> ''")
-        return t.select(n, F.size("ts").alias("n" + n), F.explode("ts").alias("t"))
-
-    both = toks(a, "a").join(toks(b, "b"), "t").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    j = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    fuzzy = both.where(j >= least).select("a", "b", (F.round(j * 80) / 100).alias("score")).join(exact.select("a", "b"), ["a", "b"], "left_anti").withColumn("reason", F.lit("overlap"))
+    exact = names(a, "a").join(names(b, "b").hint("shuffle_merge"), "key").select("a", "b").distinct().withColumn("score", F.lit(0.95)).withColumn("reason", F.lit("exact"))
+    toks = lambda d, n: d.select(F.col("iri").alias(n), F.array_distinct(F.split(norm(F.col("label")), " ")).alias("ts")).where("ts[0] <> ''")
+    ta, tb = toks(a, "a"), toks(b, "b")
+    often = ta.select(F.explode("ts").alias("t")).union(tb.select(F.explode("ts").alias("t"))).groupBy("t").agg(F.count("*").alias("f"))
+
+    def rare(d: DataFrame, n: str) -> DataFrame:
+        """(id, its tokens, one of its first tokens)"""
+        one = d.select(n, "ts", F.explode("ts").alias("t")).join(often.hint("shuffle_merge"), "t").groupBy(n, "ts").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
+        first = F.slice("o", F.lit(1), (F.size("o") - F.ceil(F.size("o") * least) + 1).cast("int"))
+        return one.select(n, F.col("ts").alias("ts_" + n), F.explode(first["t"]).alias("t"))
+
+    both = rare(ta, "a").join(rare(tb, "b").hint("shuffle_merge"), "t").drop("t").distinct()
+    k = F.size(F.array_intersect("ts_a", "ts_b"))
+    j = k / (F.size("ts_a") + F.size("ts_b") - k)
+    fuzzy = both.where(j >= least).select("a", "b", (F.round(j * 80) / 100).alias("score")).join(exact.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti").withColumn("reason", F.lit("overlap"))
     out = exact.unionByName(fuzzy)
     if mapped is not None:
         out = out.join(mapped.select("a", "b"), ["a", "b"], "left_anti")

@@ -155,22 +155,25 @@ def reconcile_batch(spark, sf):
     return search.reconcile_batch(index(spark, sf), names(spark, sf))
 
 
-def scheme(spark, sf, table, key, label, altered=False):
-    d = load(spark, sf, table)
-    name = F.concat(F.initcap(F.col(label)), F.lit(" Area")) if altered else F.col(label)
-    return d.select(F.concat(F.lit(f"{NS}{'b' if altered else 'a'}/"), F.col(key).cast("string")).alias("iri"), name.alias("label"), F.when(F.col(key) % 2 == 0, F.array(F.col(label))).otherwise(F.array().cast("array<string>")).alias("alts"))
-
-
-CROSS = f"""WITH a AS (SELECT '{NS}a/' || n_nationkey AS iri, n_nationkey AS k, lower(replace(n_name, '_', ' ')) AS label, n_name FROM nation),
-b AS (SELECT '{NS}b/' || n_nationkey AS iri, n_nationkey AS k, lower(replace(n_name, '_', ' ')) || ' area' AS label, lower(replace(n_name, '_', ' ')) AS alt FROM nation),
-ex AS (SELECT a.iri AS a, b.iri AS b FROM a JOIN b ON a.label = b.alt AND b.k % 2 = 0),
+def scheme(spark, sf, altered=False):
+    """Customers and part names as concepts, those of even number or length with another label; or the same with a word added to the label."""
+    c = load(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("k"), F.col("c_name").alias("x"), (F.col("c_custkey") % 2 == 0).alias("even"))
+    p = load(spark, sf, "part").select("p_name").distinct().select(F.concat(F.lit("p"), S.slug(F.col("p_name"))).alias("k"), F.col("p_name").alias("x"), (F.length("p_name") % 2 == 0).alias("even"))
+    label = F.concat(F.initcap("x"), F.lit(" Area")) if altered else F.col("x")
+    return c.union(p).select(F.concat(F.lit(f"{NS}{'b' if altered else 'a'}/"), "k").alias("iri"), label.alias("label"), F.when(F.col("even"), F.array("x")).otherwise(F.array().cast("array<string>")).alias("alts"))
+
+
+CROSS = f"""WITH e AS (SELECT 'c' || c_custkey AS k, c_name AS x, c_custkey % 2 = 0 AS even FROM customer UNION ALL SELECT DISTINCT 'p' || regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), p_name, length(p_name) % 2 = 0 FROM part),
+a AS (SELECT '{NS}a/' || k AS iri, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS label, x FROM e),
+b AS (SELECT '{NS}b/' || k AS iri, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) || ' area' AS label, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS alt, even FROM e),
+ex AS (SELECT a.iri AS a, b.iri AS b FROM a JOIN b ON a.label = b.alt AND b.even),
 ta AS (SELECT iri, unnest(list_distinct(string_split(label, ' '))) AS t, len(list_distinct(string_split(label, ' '))) AS n FROM a), tb AS (SELECT iri, unnest(list_distinct(string_split(label, ' '))) AS t, len(list_distinct(string_split(label, ' '))) AS n FROM b),
 fz AS (SELECT ta.iri AS a, tb.iri AS b, count(*) * 1.0 / (ta.n + tb.n - count(*)) AS j FROM ta JOIN tb ON ta.t = tb.t GROUP BY ta.iri, tb.iri, ta.n, tb.n),
-x AS (SELECT a, b, 0.95 AS score, 'exact' AS reason FROM ex UNION ALL SELECT a, b, round(j * 80) / 100, 'overlap' FROM fz WHERE j >= 0.5 AND (a, b) NOT IN (SELECT (a, b) FROM ex))"""
+x AS (SELECT a, b, 0.95 AS score, 'exact' AS reason FROM ex UNION ALL SELECT a, b, round(j * 80) / 100, 'overlap' FROM fz ANTI JOIN ex USING (a, b) WHERE j >= 0.5)"""
 
 
 def crosswalk(spark, sf, mapped=None):
-    return match.crosswalk_suggest(scheme(spark, sf, "nation", "n_nationkey", "n_name"), scheme(spark, sf, "nation", "n_nationkey", "n_name", True), mapped, limit=None, ascii_only=True)
+    return match.crosswalk_suggest(scheme(spark, sf), scheme(spark, sf, True), mapped, limit=None, ascii_only=True)
 
 
 @query("crosswalk_suggest", f"{CROSS} SELECT * FROM x")
@@ -189,10 +192,10 @@ def crosswalk_remove(spark, sf):
     return crosswalk(spark, sf, crosswalk(spark, sf).where("reason = 'exact'")).select("a", "b")
 
 
-@query("crosswalk_list", f"{CROSS} SELECT x.a AS a, 'closeMatch' AS relation, x.b AS b, n.n_name AS label_a FROM x JOIN a n ON n.iri = x.a")
+@query("crosswalk_list", f"{CROSS} SELECT x.a AS a, 'closeMatch' AS relation, x.b AS b, n.x AS label_a FROM x JOIN a n ON n.iri = x.a")
 def crosswalk_list(spark, sf):
     q = match.crosswalk_facts(crosswalk(spark, sf), "closeMatch", GRAPH + "maps")
-    return match.crosswalk_list(q, scheme(spark, sf, "nation", "n_nationkey", "n_name").select("iri", "label")).select("a", "relation", "b", "label_a")
+    return match.crosswalk_list(q, scheme(spark, sf).select("iri", "label")).select("a", "relation", "b", "label_a")
 
 
 VOCAB = [(0, "MonetaryAmount", "Finance", ["amount", "total", "balance", "price", "acctbal", "total price", "account balance"]), (1, "Party", "Parties", ["customer", "supplier", "client"]), (2, "Identifier", "Reference", ["key", "id", "number"]), (3, "Date", "Time", ["date", "ts", "order date"]), (4, "Status", "Process", ["status", "order status", "priority"]), (5, "Name", "Reference", ["name", "label"])]

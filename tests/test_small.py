@@ -229,3 +229,77 @@ def test_no_limits(spark):
     names = [f"{a}{b}{c}" for a in "bcdf" for b in "aeio" for c in "nrst"]
     lexicon = match.concept_lexicon(spark.createDataFrame([(f"urn:{w}", [w]) for w in names], "iri string, names array<string>"))
     assert match.auto_tag(spark.createDataFrame([(1, " ".join(names))], "doc_id long, text string"), lexicon, None).count() == 64
+
+
+def test_auto_tag_brute_force(spark):
+    """Whole texts of the smallest table against a plain version: longer names first, each span claimed once, whole words."""
+    import re
+
+    from semlake.operators import match
+    from semlake.registry.text import lexicon
+
+    lex = lexicon(spark, "/root/testdata/sf0.001").union(match.concept_lexicon(spark.createDataFrame([("urn:the", ["the", "THE ", "on the"]), ("urn:c", ["the", "C++", "naïve"]), ("urn:long", ["x" * 201]), ("urn:short", ["on"])], "iri string, names array<string>")))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, "On the The other, (the) C++ and C++x; naïve NAÏVE naïves"), (-2, None), (-3, ""), (-4, "the the on the")], docs.schema))
+    names = sorted({(-len(r.name), r.concept, r.name, r.key) for r in lex.collect()})
+    assert not any(c in ("urn:long", "urn:short") for _, c, _, _ in names)
+    word = lambda t, i: 0 <= i < len(t) and (t[i].isalnum())
+    want = {}
+    for r in docs.collect():
+        t, taken = r.text or "", []
+        low = t.lower()
+        for _, concept, name, key in names:
+            for m in re.finditer(f"(?={re.escape(key)})", low):
+                a, b = m.start(), m.start() + len(name)
+                if not word(t, a - 1) and not (word(t, b)) and not any(a < y and x < b for x, y in taken):
+                    taken.append((a, b))
+                    want.setdefault((r.doc_id, concept), []).append(a)
+    got = {(r.doc_id, r.concept): (r.n, list(r.starts)) for r in match.auto_tag(docs, lex).collect()}
+    assert got == {k: (len(v), sorted(v)) for k, v in want.items()} and len(got) > 100
+
+
+def test_estate(spark):
+    """Errors and edges of the estate's reads."""
+    import pytest
+
+    from semlake.operators import estate
+    from semlake.plans import meta
+
+    with pytest.raises(ValueError, match="read-only"):
+        estate.sql_console(spark, "DROP TABLE x")
+    with pytest.raises(ValueError, match="read-only"):
+        estate.sql_console(spark, "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a")
+    rows, cut = estate.sql_console(spark, "SELECT id FROM range(5)", 5)
+    assert rows.count() == 5 and cut
+    assert estate.sql_console(spark, "SELECT id FROM range(5)", 6)[1] is False
+    m = spark.createDataFrame([("s", "t", "title_fk", "TEXT", 0, False, False, "u", "id"), ("s", "t", "full_name", "TEXT", 3, False, False, None, None), ("s", "t", "x_name", "TEXT", 1, False, False, None, None), ("s", "k", "id", "TEXT", 0, True, True, None, None), ("s", "k", "note", "VARCHAR", 1, False, False, None, None), ("s", "n", "id", "INTEGER", 0, True, True, None, None)], meta.table_meta(spark).schema)
+    assert {(r.table, r.label) for r in estate.pick_label_columns(m).collect()} == {("t", "full_name"), ("k", "note")}
+    assert {r.s for r in estate.translate_source(m, "s", "csv", ["k"]).collect() if "map/" in r.s} == {"urn:sem:map/k", "urn:sem:map/k/id", "urn:sem:map/k/note"}
+    assert [r.label for r in estate.list_asset_types(spark.createDataFrame([], QUAD_SCHEMA)).collect()][:2] == ["Taxonomies", "Business glossaries"]
+
+
+def test_lists_of_every_kind(spark):
+    """Long lists, shared tails, circles and cells without a value."""
+    from semlake.operators import closure
+
+    rows = [(f"l{i}", FIRST, str(i), "literal") for i in range(100)] + [(f"l{i}", REST, f"l{i + 1}" if i < 99 else NIL, "iri") for i in range(100)]
+    rows += [("m0", FIRST, "m", "literal"), ("m0", REST, "l98", "iri"), ("c0", FIRST, "c", "literal"), ("c1", FIRST, "d", "literal"), ("c0", REST, "c1", "iri"), ("c1", REST, "c0", "iri"), ("one", FIRST, "1", "literal")]
+    got = sorted(tuple(r) for r in closure.list_walk(quads(spark, rows)).collect())
+    assert got == sorted([("l0", i, str(i)) for i in range(100)] + [("m0", 0, "m"), ("m0", 1, "98"), ("m0", 2, "99"), ("one", 0, "1")])
+    forest = spark.createDataFrame([("a", "A", None), ("b", "B", "a"), ("x", "X", "y"), ("y", "Y", "x"), ("z", "Z", "x"), ("w", "W", "z"), ("lost", "L", "nowhere")], "iri string, label string, broader string")
+    tree = {r.iri: (r.root, r.depth) for r in closure.taxonomy_tree(forest).collect()}
+    assert tree == {"a": ("a", 0), "b": ("a", 1), "x": ("x", 0), "y": ("y", 0), "z": ("x", 1), "w": ("x", 2), "lost": ("lost", 0)}
+
+
+def test_oversized_event(spark):
+    """A body that the journal doesn't carry makes a restore fail; by default it is carried."""
+    import pytest
+
+    from semlake.model import JOURNAL_SCHEMA
+
+    body = [("s", "p", "x" * 600_000, "literal", None, None)]
+    j = spark.createDataFrame([(0, 0, datetime.datetime(2024, 1, 1), 1, 0, "u", "w", "g", "insert", False, body)], JOURNAL_SCHEMA)
+    none = spark.createDataFrame([], QUAD_SCHEMA)
+    assert journal.restore_pitr(none, journal.journal_publish(j)).count() == 1
+    with pytest.raises(Exception, match="oversized"):
+        journal.restore_pitr(none, journal.journal_publish(j, carry=False)).collect()
