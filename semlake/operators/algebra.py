@@ -22,13 +22,13 @@ def insert_data(quads: DataFrame, new: DataFrame) -> DataFrame:
 
 def delete_data(quads: DataFrame, gone: DataFrame) -> DataFrame:
     """Exact facts out; identical facts on either side match null to null."""
-    return quads.alias("a").join(gone.select(*QUAD).distinct().alias("b"), same("a", "b"), "left_anti")
+    return quads.alias("a").join(gone.select(*QUAD).distinct().alias("b").hint("shuffle_merge"), same("a", "b"), "left_anti")
 
 
 def replace_value(quads: DataFrame, changes: DataFrame) -> DataFrame:
     """changes: graph, s, p, the old object's columns, and new_o: the object is exchanged in place by one join."""
     c = changes.select(*QUAD, "new_o").distinct()
-    out = quads.alias("a").join(c.alias("b"), same("a", "b"), "left")
+    out = quads.alias("a").join(c.alias("b").hint("shuffle_merge"), same("a", "b"), "left")
     return out.select("a.graph", "a.s", "a.p", F.coalesce("b.new_o", "a.o").alias("o"), "a.o_kind", "a.datatype", "a.lang").distinct()
 
 
@@ -46,26 +46,26 @@ def create_entities(spec: DataFrame, base: str = NS, graph: str = NS + "graph/mo
 
 def rename_concepts(quads: DataFrame, names: DataFrame) -> DataFrame:
     """names: (s, label); the preferred label of each is replaced."""
-    kept = quads.join(names.select("s").withColumn("p", F.lit(PREF)), ["s", "p"], "left_anti").select(*QUAD)
+    kept = quads.join(names.select("s").withColumn("p", F.lit(PREF)).hint("shuffle_merge"), ["s", "p"], "left_anti").select(*QUAD)
     where = quads.where(F.col("p") == PREF).groupBy("s").agg(F.min("graph").alias("graph"))
-    new = names.join(where, "s").select("graph", "s", F.lit(PREF).alias("p"), F.col("label").alias("o"), F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
+    new = names.join(where.hint("shuffle_merge"), "s").select("graph", "s", F.lit(PREF).alias("p"), F.col("label").alias("o"), F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
     return kept.unionByName(new)
 
 
 def reparent_concepts(quads: DataFrame, changes: DataFrame) -> DataFrame:
     """changes: (s, parent); a null parent makes the concept a top concept of its schemes."""
-    kept = quads.where(F.col("p").isin(BROADER, TOP_OF)).join(changes.select("s"), "s", "left_anti").select(*QUAD).unionByName(quads.where(~F.col("p").isin(BROADER, TOP_OF)).select(*QUAD))
+    kept = quads.where(F.col("p").isin(BROADER, TOP_OF)).join(changes.select("s").hint("shuffle_merge"), "s", "left_anti").select(*QUAD).unionByName(quads.where(~F.col("p").isin(BROADER, TOP_OF)).select(*QUAD))
     scheme = quads.where(F.col("p") == IN_SCHEME).select("graph", "s", F.col("o").alias("scheme")).distinct()
-    new = changes.join(scheme, "s").select("graph", "s", F.when(F.col("parent").isNull(), TOP_OF).otherwise(BROADER).alias("p"), F.coalesce("parent", "scheme").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang")).distinct()
+    new = changes.join(scheme.hint("shuffle_merge"), "s").select("graph", "s", F.when(F.col("parent").isNull(), TOP_OF).otherwise(BROADER).alias("p"), F.coalesce("parent", "scheme").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang")).distinct()
     return kept.unionByName(new)
 
 
 def delete_resource(quads: DataFrame, iris: DataFrame, incoming: bool = True) -> DataFrame:
     """All statements of each IRI (column iri), and those that point to it."""
-    out = quads.join(iris.select(F.col("iri").alias("s")), "s", "left_anti").select(*QUAD)
+    out = quads.join(iris.select(F.col("iri").alias("s")).hint("shuffle_merge"), "s", "left_anti").select(*QUAD)
     if incoming:
         lit, ref = out.where("o_kind <> 'iri'"), out.where("o_kind = 'iri'")
-        out = lit.unionByName(ref.join(iris.select(F.col("iri").alias("o")), "o", "left_anti").select(*QUAD))
+        out = lit.unionByName(ref.join(iris.select(F.col("iri").alias("o")).hint("shuffle_merge"), "o", "left_anti").select(*QUAD))
     return out
 
 
@@ -75,32 +75,32 @@ def rename_iri(quads: DataFrame, names: DataFrame) -> DataFrame:
     for c, cond in (("s", None), ("p", None), ("o", "iri")):
         n = names.select(F.col("old").alias("__old"), F.col("new").alias("__new"))
         on = F.col(c) == F.col("__old")
-        out = out.join(n, on & (F.col("o_kind") == cond) if cond else on, "left").withColumn(c, F.coalesce("__new", c)).drop("__old", "__new")
+        out = out.join(n.hint("shuffle_merge"), on & (F.col("o_kind") == cond) if cond else on, "left").withColumn(c, F.coalesce("__new", c)).drop("__old", "__new")
     return out.select(*QUAD).distinct()
 
 
 def set_deprecated(quads: DataFrame, iris: DataFrame, flag: bool, graph: str) -> DataFrame:
-    kept = quads.join(iris.select(F.col("iri").alias("s")).withColumn("p", F.lit(DEPRECATED)), ["s", "p"], "left_anti").select(*QUAD)
+    kept = quads.join(iris.select(F.col("iri").alias("s")).withColumn("p", F.lit(DEPRECATED)).hint("shuffle_merge"), ["s", "p"], "left_anti").select(*QUAD)
     return kept.unionByName(facts(iris, graph, F.col("iri"), fact(DEPRECATED, F.lit("true"), "literal", XSD + "boolean"))) if flag else kept
 
 
 def upsert_keyed(quads: DataFrame, new: DataFrame) -> DataFrame:
     """All facts of the new rows' subjects are replaced, graph by graph."""
-    return quads.join(new.select("graph", "s").distinct(), ["graph", "s"], "left_anti").select(*QUAD).unionByName(new.select(*QUAD))
+    return quads.join(new.select("graph", "s").distinct().hint("shuffle_merge"), ["graph", "s"], "left_anti").select(*QUAD).unionByName(new.select(*QUAD))
 
 
 def edit_mapping(quads: DataFrame, changes: DataFrame) -> DataFrame:
     """changes: (s, p, new_o): one property of a mapping node set anew."""
-    kept = quads.join(changes.select("s", "p"), ["s", "p"], "left_anti").select(*QUAD)
-    old = quads.join(changes, ["s", "p"]).select("graph", "s", "p", F.col("new_o").alias("o"), "o_kind", "datatype", "lang")
+    kept = quads.join(changes.select("s", "p").hint("shuffle_merge"), ["s", "p"], "left_anti").select(*QUAD)
+    old = quads.join(changes.hint("shuffle_merge"), ["s", "p"]).select("graph", "s", "p", F.col("new_o").alias("o"), "o_kind", "datatype", "lang")
     return kept.unionByName(old.where("o is not null").distinct())
 
 
 def edit_constraint(quads: DataFrame, changes: DataFrame, graph: str) -> DataFrame:
     """changes: (shape, path, constraint, value); found by shape and path, set, or removed where the value is null."""
-    ps = of_predicate(quads, SH + "property", "shape", "ps").join(of_predicate(quads, SH + "path", "ps", "path"), "ps").join(changes, ["shape", "path"])
+    ps = of_predicate(quads, SH + "property", "shape", "ps").join(of_predicate(quads, SH + "path", "ps", "path").hint("shuffle_merge"), "ps").join(changes.hint("shuffle_merge"), ["shape", "path"])
     target = ps.select(F.col("ps").alias("s"), F.col("constraint").alias("p"), "value").distinct()
-    kept = quads.join(target.select("s", "p"), ["s", "p"], "left_anti").select(*QUAD)
+    kept = quads.join(target.select("s", "p").hint("shuffle_merge"), ["s", "p"], "left_anti").select(*QUAD)
     new = target.where("value is not null").select(F.lit(graph).alias("graph"), "s", "p", F.col("value").alias("o"), F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
     return kept.unionByName(new)
 
@@ -141,7 +141,7 @@ def proposal_diff(staged: DataFrame) -> DataFrame:
 def decide_proposals(proposals: DataFrame, staged: DataFrame, decisions: DataFrame) -> DataFrame:
     """(proposal, status, n_add, n_del) after decisions (proposal, decision); only drafts and submitted ones can be decided."""
     n = staged.groupBy("proposal").agg(F.sum((F.col("kind") == "add").cast("long")).alias("n_add"), F.sum((F.col("kind") == "del").cast("long")).alias("n_del"))
-    out = proposals.join(decisions, "proposal", "left").join(n, "proposal", "left")
+    out = proposals.join(decisions.hint("shuffle_merge"), "proposal", "left").join(n.hint("shuffle_merge"), "proposal", "left")
     can = F.col("status").isin("draft", "submitted")
     status = F.when(can & (F.col("decision") == "approve"), "merged").when(can & (F.col("decision") == "reject"), "rejected").otherwise(F.col("status"))
     return out.select("proposal", status.alias("status"), F.coalesce("n_add", F.lit(0)).alias("n_add"), F.coalesce("n_del", F.lit(0)).alias("n_del"))
@@ -149,7 +149,7 @@ def decide_proposals(proposals: DataFrame, staged: DataFrame, decisions: DataFra
 
 def apply_proposals(quads: DataFrame, staged: DataFrame, merged: DataFrame) -> DataFrame:
     """The graph's facts after the staged changes of merged proposals."""
-    d = staged.join(merged.select("proposal"), "proposal", "left_semi").select(F.when(F.col("kind") == "add", "added").otherwise("removed").alias("change"), *TRIPLE)
+    d = staged.join(merged.select("proposal").hint("shuffle_merge"), "proposal", "left_semi").select(F.when(F.col("kind") == "add", "added").otherwise("removed").alias("change"), *TRIPLE)
     return apply_diff(quads, d)
 
 
@@ -163,5 +163,5 @@ def changed_graphs(old: DataFrame, new: DataFrame) -> DataFrame:
     """Graphs whose canonical lines differ: compared by count and an order-free sum of hashes, never by content on one node."""
     mark = lambda q: canonical_lines(q).distinct().groupBy("graph").agg(F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("h"))
     a, b = mark(old).alias("a"), mark(new).alias("b")
-    out = a.join(b, F.col("a.graph") == F.col("b.graph"), "full_outer")
+    out = a.join(b.hint("shuffle_merge"), F.col("a.graph") == F.col("b.graph"), "full_outer")
     return out.where(~(F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.h").eqNullSafe(F.col("b.h")))).select(F.coalesce("a.graph", "b.graph").alias("graph"), F.coalesce("a.n", F.lit(0)).alias("old_n"), F.coalesce("b.n", F.lit(0)).alias("new_n"))

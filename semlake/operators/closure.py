@@ -128,7 +128,7 @@ def rules_materialize(facts: DataFrame, rules: list[Rule], passes: int = 5) -> t
             cond = F.lit(True)
             for c in TRIPLE:
                 cond = cond & F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}"))
-            fresh = new.alias("n").join(seen.alias("k"), cond, "left_anti").withColumn("rule", F.lit(r.name)).withColumn("pass", F.lit(done))
+            fresh = new.alias("n").join(seen.alias("k").hint("shuffle_merge"), cond, "left_anti").withColumn("rule", F.lit(r.name)).withColumn("pass", F.lit(done))
             seen = cut(seen.unionByName(fresh))
             if not seen.where((F.col("rule") == r.name) & (F.col("pass") == done) & (F.col("p") == SUBCLASS)).isEmpty():
                 tree = cut(subclass_closure(base.unionByName(seen.select(*TRIPLE))))
@@ -145,14 +145,14 @@ def rules_explain(facts: DataFrame, rules: list[Rule], triples: DataFrame) -> Da
             focus = members(facts, r.target, tree)
             part = r.derive(facts, focus).select("s", "p", "o").distinct().withColumn("rule", F.lit(r.name))
             out = part if out is None else out.unionByName(part)
-    return triples.select("s", "p", "o").distinct().join(out, ["s", "p", "o"]).groupBy("s", "p", "o").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+    return triples.select("s", "p", "o").distinct().join(out.hint("shuffle_merge"), ["s", "p", "o"]).groupBy("s", "p", "o").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
 
 
 def concept_rows(quads: DataFrame, scheme: str) -> DataFrame:
     """(iri, label, broader, deprecated), one row per concept of a scheme."""
     c = of_predicate(quads, IN_SCHEME, "iri", "scheme").where(F.col("scheme") == scheme).select("iri").distinct()
     one = lambda p, n: of_predicate(quads, p, "iri", n).groupBy("iri").agg(F.min(n).alias(n))
-    return c.join(one(PREF, "label"), "iri", "left").join(one(BROADER, "broader"), "iri", "left").join(one(DEPRECATED, "flag"), "iri", "left").select("iri", "label", "broader", F.coalesce(F.col("flag") == "true", F.lit(False)).alias("deprecated"))
+    return c.join(one(PREF, "label").hint("shuffle_merge"), "iri", "left").join(one(BROADER, "broader").hint("shuffle_merge"), "iri", "left").join(one(DEPRECATED, "flag").hint("shuffle_merge"), "iri", "left").select("iri", "label", "broader", F.coalesce(F.col("flag") == "true", F.lit(False)).alias("deprecated"))
 
 
 def taxonomy_tree(concepts: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..model import DATA, DEFINITION, DEPRECATED, DOMAIN, IN_SCHEME, LABEL, NS, PREF, RANGE, RDF, SH, SKOS, SUBCLASS, TYPE, XSD, of_predicate
 from ..plans.meta import Table, subject
+from .closure import cut
 
 
 def fk_expand(df: DataFrame, t: Table, column: str) -> DataFrame:
@@ -29,12 +30,12 @@ def link_join(left: DataFrame, a: Table, right: DataFrame, b: Table, prop: str,
 
 def describe_batch(iris: DataFrame, facts: DataFrame, links: DataFrame, per_link: int | None = 25) -> DataFrame:
     """(iri, predicate, value, kind) of many IRIs at once: their facts, and at most per_link objects of each link (None: all)."""
-    own = facts.select(F.col("s").alias("iri"), F.col("p").alias("predicate"), F.col("o").alias("value"), F.col("o_kind").alias("kind")).join(iris, "iri", "left_semi")
-    linked = links.select(F.col("subject").alias("iri"), "predicate", F.col("object").alias("value"), F.lit("link").alias("kind")).join(iris, "iri", "left_semi")
+    own = facts.select(F.col("s").alias("iri"), F.col("p").alias("predicate"), F.col("o").alias("value"), F.col("o_kind").alias("kind")).join(iris.hint("shuffle_merge"), "iri", "left_semi")
+    linked = links.select(F.col("subject").alias("iri"), "predicate", F.col("object").alias("value"), F.lit("link").alias("kind")).join(iris.hint("shuffle_merge"), "iri", "left_semi")
     if per_link is not None:
         rn = F.row_number().over(Window.partitionBy("iri", "predicate").orderBy("value"))
         linked = linked.withColumn("rn", rn).where(F.col("rn") <= per_link).drop("rn")
-    missing = iris.join(own.select("iri").distinct(), "iri", "left_anti").select("iri", F.lit(None).cast("string").alias("predicate"), F.lit(None).cast("string").alias("value"), F.lit("missing").alias("kind"))
+    missing = iris.join(own.select("iri").distinct().hint("shuffle_merge"), "iri", "left_anti").select("iri", F.lit(None).cast("string").alias("predicate"), F.lit(None).cast("string").alias("value"), F.lit("missing").alias("kind"))
     return own.unionByName(linked).unionByName(missing)
 
 
@@ -44,18 +45,18 @@ def describe_resource(quads: DataFrame, labels: DataFrame, iris: DataFrame, grap
     there = scoped.select(F.col("s").alias("iri")).union(scoped.where("o_kind = 'iri'").select("o")).distinct()
 
     def around(q: DataFrame, who: DataFrame) -> DataFrame:
-        out = q.select(F.col("s").alias("iri"), F.lit("out").alias("direction"), "p", F.col("o").alias("other"), "o_kind").join(who, "iri", "left_semi")
-        into = q.where("o_kind = 'iri'").select(F.col("o").alias("iri"), F.lit("in").alias("direction"), "p", F.col("s").alias("other"), F.lit("iri").alias("o_kind")).join(who, "iri", "left_semi")
+        out = q.select(F.col("s").alias("iri"), F.lit("out").alias("direction"), "p", F.col("o").alias("other"), "o_kind").join(who.hint("shuffle_merge"), "iri", "left_semi")
+        into = q.where("o_kind = 'iri'").select(F.col("o").alias("iri"), F.lit("in").alias("direction"), "p", F.col("s").alias("other"), F.lit("iri").alias("o_kind")).join(who.hint("shuffle_merge"), "iri", "left_semi")
         return out.union(into).distinct()
 
-    found = around(scoped, iris.join(there, "iri", "left_semi"))
+    found = around(scoped, iris.join(there.hint("shuffle_merge"), "iri", "left_semi"))
     if graph:
-        found = found.union(around(quads, iris.join(there, "iri", "left_anti")))
+        found = found.union(around(quads, iris.join(there.hint("shuffle_merge"), "iri", "left_anti")))
     if out_limit is not None or in_limit is not None:
         rn = F.row_number().over(Window.partitionBy("iri", "direction").orderBy("p", "other", "o_kind"))
         most = F.when(F.col("direction") == "out", F.lit(out_limit)).otherwise(F.lit(in_limit))
         found = found.withColumn("rn", rn).where((F.col("rn") <= most) | most.isNull())
-    return found.join(labels.select(F.col("iri").alias("other"), "label"), "other", "left").select("iri", "direction", "p", "other", "label")
+    return found.join(labels.select(F.col("iri").alias("other"), "label").hint("shuffle_merge"), "other", "left").select("iri", "direction", "p", "other", "label")
 
 
 def edges(quads: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def edges(quads: DataFrame) -> DataFrame:
 def expand_neighbors(quads: DataFrame, nodes: DataFrame, limit: int | None = 25) -> DataFrame:
     """The first distinct neighbours of each node (limit None: all), either way."""
     e = edges(quads)
-    both = e.select(F.col("src").alias("iri"), F.col("dst").alias("neighbor")).union(e.select("dst", "src")).where("iri <> neighbor").join(nodes, "iri", "left_semi").distinct()
+    both = e.select(F.col("src").alias("iri"), F.col("dst").alias("neighbor")).union(e.select("dst", "src")).where("iri <> neighbor").join(nodes.hint("shuffle_merge"), "iri", "left_semi").distinct()
     if limit is None:
         return both.select("iri", "neighbor")
     return both.withColumn("rn", F.row_number().over(Window.partitionBy("iri").orderBy("neighbor"))).where(F.col("rn") <= limit).select("iri", "neighbor")
@@ -76,13 +77,13 @@ def triples_to_edges(quads: DataFrame, labels: DataFrame) -> tuple[DataFrame, Da
     """Node list (iri, label) and edge list of any facts."""
     e = edges(quads)
     nodes = quads.select(F.col("s").alias("iri")).union(e.select("dst")).distinct()
-    return nodes.join(labels, "iri", "left").select("iri", "label"), e
+    return nodes.join(labels.hint("shuffle_merge"), "iri", "left").select("iri", "label"), e
 
 
 def schema_edges(quads: DataFrame) -> DataFrame:
     """Class to class: domain and range, shape path and class, subclass; no self-loops."""
-    d = of_predicate(quads, DOMAIN, "p", "a").join(of_predicate(quads, RANGE, "p", "b").where(~F.col("b").startswith(XSD)), "p").select("a", F.col("p").alias("via"), "b")
-    sh = of_predicate(quads, SH + "targetClass", "shape", "a").join(of_predicate(quads, SH + "property", "shape", "ps"), "shape").join(of_predicate(quads, SH + "path", "ps", "via"), "ps").join(of_predicate(quads, SH + "class", "ps", "b"), "ps").select("a", "via", "b")
+    d = of_predicate(quads, DOMAIN, "p", "a").join(of_predicate(quads, RANGE, "p", "b").where(~F.col("b").startswith(XSD)).hint("shuffle_merge"), "p").select("a", F.col("p").alias("via"), "b")
+    sh = of_predicate(quads, SH + "targetClass", "shape", "a").join(of_predicate(quads, SH + "property", "shape", "ps").hint("shuffle_merge"), "shape").join(of_predicate(quads, SH + "path", "ps", "via").hint("shuffle_merge"), "ps").join(of_predicate(quads, SH + "class", "ps", "b").hint("shuffle_merge"), "ps").select("a", "via", "b")
     sub = of_predicate(quads, SUBCLASS, "a", "b").select("a", F.lit(SUBCLASS).alias("via"), "b")
     return d.unionByName(sh).unionByName(sub).where("a <> b").distinct()
 
@@ -95,7 +96,7 @@ def class_counts(quads: DataFrame, labels: DataFrame, virtual: DataFrame | None
     known = typed.where(F.col("class_iri") == owl).select(F.col("inst").alias("class_iri")).union(used.select("class_iri")).distinct().where(~S.system_class(F.col("class_iri")))
     n = used.groupBy("class_iri").agg(F.countDistinct("inst").alias("n"))
     sup = of_predicate(quads, SUBCLASS, "class_iri", "super").groupBy("class_iri").agg(F.min("super").alias("super"))
-    out = known.join(n, "class_iri", "left").join(sup, "class_iri", "left").join(labels.withColumnRenamed("iri", "class_iri"), "class_iri", "left")
+    out = known.join(n.hint("shuffle_merge"), "class_iri", "left").join(sup.hint("shuffle_merge"), "class_iri", "left").join(labels.withColumnRenamed("iri", "class_iri").hint("shuffle_merge"), "class_iri", "left")
     if virtual is not None:
         out = out.join(F.broadcast(virtual.withColumnRenamed("n", "v")), "class_iri", "left").withColumn("n", F.coalesce("v", "n"))
     return out.select("class_iri", "label", "super", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "class_iri").limit(limit)
@@ -114,8 +115,8 @@ def profile_class(quads: DataFrame) -> DataFrame:
     """Per class and predicate: subjects, uses, a datatype, an object class, and the class's total."""
     t = of_predicate(quads, TYPE, "s", "class_iri").distinct()
     total = t.groupBy("class_iri").agg(F.count("*").alias("total"))
-    f = quads.where(F.col("p") != TYPE).select("s", "p", "o", "o_kind", "datatype").join(t, "s")
-    f = f.join(t.select(F.col("s").alias("o"), F.col("class_iri").alias("o_class")).groupBy("o").agg(F.min("o_class").alias("o_class")), "o", "left")
+    f = quads.where(F.col("p") != TYPE).select("s", "p", "o", "o_kind", "datatype").join(t.hint("shuffle_merge"), "s")
+    f = f.join(t.select(F.col("s").alias("o"), F.col("class_iri").alias("o_class")).groupBy("o").agg(F.min("o_class").alias("o_class")).hint("shuffle_merge"), "o", "left")
     out = f.groupBy("class_iri", "p").agg(F.countDistinct("s").alias("subjects"), F.count("*").alias("uses"), F.min("datatype").alias("datatype"), F.min(F.when(F.col("o_kind") == "iri", F.col("o_class"))).alias("o_class"))
     return out.join(F.broadcast(total), "class_iri")
 
@@ -127,18 +128,18 @@ def generate_shape(profile: DataFrame) -> DataFrame:
 
 
 CHECKS = {
-    "classes_without_label": lambda q: of_predicate(q, TYPE, "x", "o").where(F.col("o") == "http://www.w3.org/2002/07/owl#Class").join(of_predicate(q, LABEL, "x", "l"), "x", "left_anti"),
-    "classes_without_shape": lambda q: of_predicate(q, TYPE, "x", "o").where(F.col("o") == "http://www.w3.org/2002/07/owl#Class").join(of_predicate(q, SH + "targetClass", "s", "x"), "x", "left_anti"),
-    "concepts_without_definition": lambda q: of_predicate(q, TYPE, "x", "o").where(F.col("o") == SKOS + "Concept").join(of_predicate(q, DEFINITION, "x", "d"), "x", "left_anti"),
-    "concepts_without_scheme": lambda q: of_predicate(q, TYPE, "x", "o").where(F.col("o") == SKOS + "Concept").join(of_predicate(q, IN_SCHEME, "x", "d"), "x", "left_anti"),
-    "properties_without_domain": lambda q: of_predicate(q, TYPE, "x", "o").where(F.col("o") == RDF + "Property").join(of_predicate(q, DOMAIN, "x", "d"), "x", "left_anti"),
-    "fields_without_concept": lambda q: of_predicate(q, "http://www.w3.org/ns/r2rml#predicate", "m", "x").join(of_predicate(q, NS + "alignedTo", "x", "c"), "x", "left_anti"),
+    "classes_without_label": lambda q: of_predicate(q, TYPE, "x", "o").where(F.col("o") == "http://www.w3.org/2002/07/owl#Class").join(of_predicate(q, LABEL, "x", "l").hint("shuffle_merge"), "x", "left_anti"),
+    "classes_without_shape": lambda q: of_predicate(q, TYPE, "x", "o").where(F.col("o") == "http://www.w3.org/2002/07/owl#Class").join(of_predicate(q, SH + "targetClass", "s", "x").hint("shuffle_merge"), "x", "left_anti"),
+    "concepts_without_definition": lambda q: of_predicate(q, TYPE, "x", "o").where(F.col("o") == SKOS + "Concept").join(of_predicate(q, DEFINITION, "x", "d").hint("shuffle_merge"), "x", "left_anti"),
+    "concepts_without_scheme": lambda q: of_predicate(q, TYPE, "x", "o").where(F.col("o") == SKOS + "Concept").join(of_predicate(q, IN_SCHEME, "x", "d").hint("shuffle_merge"), "x", "left_anti"),
+    "properties_without_domain": lambda q: of_predicate(q, TYPE, "x", "o").where(F.col("o") == RDF + "Property").join(of_predicate(q, DOMAIN, "x", "d").hint("shuffle_merge"), "x", "left_anti"),
+    "fields_without_concept": lambda q: of_predicate(q, "http://www.w3.org/ns/r2rml#predicate", "m", "x").join(of_predicate(q, NS + "alignedTo", "x", "c").hint("shuffle_merge"), "x", "left_anti"),
 }
 
 
 def quality_checks(quads: DataFrame, checks=None) -> DataFrame:
-    """(check_id, n): one distinct count per check, in one job. A check that fails, fails the job."""
-    out = []
+    """(check_id, n): one distinct count per check, in one job over facts written once. A check that fails, fails the job."""
+    out, quads = [], cut(quads)
     for name, check in (checks or CHECKS).items():
         out.append(check(quads).agg(F.countDistinct("x").alias("n")).select(F.lit(name).alias("check_id"), "n"))
     return reduce(DataFrame.unionByName, out)
@@ -157,12 +158,12 @@ def quality_history(runs: DataFrame, checks: list[str], last: int = 30) -> DataF
 def scheme_counts(quads: DataFrame) -> DataFrame:
     scheme = of_predicate(quads, TYPE, "scheme", "o").where(F.col("o") == SKOS + "ConceptScheme").select("scheme").distinct()
     label = of_predicate(quads, PREF, "scheme", "label").groupBy("scheme").agg(F.min("label").alias("label"))
-    return scheme.join(label, "scheme", "left").join(of_predicate(quads, IN_SCHEME, "c", "scheme"), "scheme", "left").groupBy("scheme", "label").agg(F.countDistinct("c").alias("n"))
+    return scheme.join(label.hint("shuffle_merge"), "scheme", "left").join(of_predicate(quads, IN_SCHEME, "c", "scheme").hint("shuffle_merge"), "scheme", "left").groupBy("scheme", "label").agg(F.countDistinct("c").alias("n"))
 
 
 def shape_counts(quads: DataFrame) -> DataFrame:
     shape = of_predicate(quads, TYPE, "shape", "o").where(F.col("o") == SH + "NodeShape").select("shape").distinct()
-    return shape.join(of_predicate(quads, SH + "targetClass", "shape", "t"), "shape", "left").join(of_predicate(quads, SH + "property", "shape", "ps"), "shape", "left").groupBy("shape").agg(F.min("t").alias("target_class"), F.countDistinct("ps").alias("n"))
+    return shape.join(of_predicate(quads, SH + "targetClass", "shape", "t").hint("shuffle_merge"), "shape", "left").join(of_predicate(quads, SH + "property", "shape", "ps").hint("shuffle_merge"), "shape", "left").groupBy("shape").agg(F.min("t").alias("target_class"), F.countDistinct("ps").alias("n"))
 
 
 def hist_buckets(df: DataFrame, value: str, by: list[str], bounds=(5, 25, 100, 250, 1000, 5000)) -> DataFrame:

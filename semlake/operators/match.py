@@ -37,8 +37,8 @@ def crosswalk_suggest(a: DataFrame, b: DataFrame, mapped: DataFrame | None = Non
     fuzzy = both.where(j >= least).select("a", "b", (F.round(j * 80) / 100).alias("score")).join(exact.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti").withColumn("reason", F.lit("overlap"))
     out = exact.unionByName(fuzzy)
     if mapped is not None:
-        out = out.join(mapped.select("a", "b"), ["a", "b"], "left_anti")
-    out = out.join(a.select(F.col("iri").alias("a"), F.col("label").alias("label")), "a")
+        out = out.join(mapped.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti")
+    out = out.join(a.select(F.col("iri").alias("a"), F.col("label").alias("label")).hint("shuffle_merge"), "a")
     out = out.orderBy(F.desc("score"), "label", "a", "b")
     return (out.limit(limit) if limit else out).select("a", "b", "score", "reason")
 
@@ -53,7 +53,7 @@ def crosswalk_facts(pairs: DataFrame, relation: str, graph: str) -> DataFrame:
 def crosswalk_list(quads: DataFrame, labels: DataFrame) -> DataFrame:
     m = quads.where(F.col("p").isin([SKOS + r for r in RELATIONS])).select(F.col("s").alias("a"), F.expr(f"substring(p, {len(SKOS) + 1})").alias("relation"), F.col("o").alias("b"))
     la, lb = (labels.select(F.col("iri").alias(x), F.col("label").alias("label_" + x)) for x in "ab")
-    return m.join(la, "a", "left").join(lb, "b", "left").select("a", "relation", "b", "label_a", "label_b")
+    return m.join(la.hint("shuffle_merge"), "a", "left").join(lb.hint("shuffle_merge"), "b", "left").select("a", "relation", "b", "label_a", "label_b")
 
 
 def match_field(names: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def auto_tag(docs: DataFrame, lexicon: DataFrame, limit: int | None = None) -> D
     before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     words = words.withColumn("start", F.sum("len").over(before) - F.col("len")).where("ahead is not null")
     lex = lexicon.withColumn("first", F.regexp_extract("key", r"^([\p{L}\p{N}]+)", 1)).where("first <> ''")
-    cand = words.select("doc_id", F.col("start").cast("int").alias("start"), "ahead", F.lower("piece").alias("first")).join(lex, "first")
+    cand = words.select("doc_id", F.col("start").cast("int").alias("start"), "ahead", F.lower("piece").alias("first")).join(lex.hint("shuffle_merge"), "first")
     found, after = F.substring(F.col("ahead"), F.lit(1), F.length("name")), F.substring(F.col("ahead"), F.length("name") + 1, F.lit(1))
     cand = cand.where((F.lower(found) == F.col("key")) & ~after.rlike(r"^[\p{L}\p{N}]")).select("doc_id", "concept", "ord", "start", (F.col("start") + F.length("name")).alias("end"))
     # Only spans of one stretch of overlaps contend, so each stretch is folded by itself.

@@ -38,12 +38,12 @@ def build_index(docs: DataFrame) -> Index:
 def index_upsert(index: Index, docs: DataFrame) -> Index:
     new = build_index(docs)
     gone = docs.select("id")
-    keep = lambda d: d.join(gone, "id", "left_anti")
+    keep = lambda d: d.join(gone.hint("shuffle_merge"), "id", "left_anti")
     return Index(keep(index.docs).unionByName(docs), keep(index.postings).unionByName(new.postings), keep(index.lengths).unionByName(new.lengths))
 
 
 def index_remove(index: Index, ids: DataFrame) -> Index:
-    keep = lambda d: d.join(ids, "id", "left_anti")
+    keep = lambda d: d.join(ids.hint("shuffle_merge"), "id", "left_anti")
     return Index(keep(index.docs), keep(index.postings), keep(index.lengths))
 
 
@@ -63,7 +63,7 @@ def bm25_match(index: Index, queries: DataFrame, fields: dict[str, float] | None
     terms by their first PREFIX_MIN characters, an equi-join, before they touch postings.
     """
     q = query_terms(queries, fields or DEFAULT_FIELDS)
-    hit = q.join(index.df, ["field", "term"]).join(index.postings, ["field", "term"]).join(index.lengths, ["field", "id"]).join(F.broadcast(index.corpus), "field")
+    hit = q.join(index.df.hint("shuffle_merge"), ["field", "term"]).join(index.postings.hint("shuffle_merge"), ["field", "term"]).join(index.lengths.hint("shuffle_merge"), ["field", "id"]).join(F.broadcast(index.corpus), "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     avg = F.greatest(F.lit(1.0), F.col("total") / F.greatest(F.lit(1), F.col("n_docs")))
     score = F.col("m") * F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
@@ -71,8 +71,8 @@ def bm25_match(index: Index, queries: DataFrame, fields: dict[str, float] | None
     if prefix:
         tail = q.where("term = tail").select("qid", "field", "boost", "term").where(F.length("term").between(PREFIX_MIN, PREFIX_MAX)).withColumn("head", F.substring("term", 1, PREFIX_MIN))
         words = index.df.select("field", F.col("term").alias("word"), F.substring("term", 1, PREFIX_MIN).alias("head"))
-        grown = tail.join(words, ["field", "head"]).where(F.col("word").startswith(F.col("term"))).select("qid", "field", "boost", F.col("word").alias("term"))
-        near = grown.join(index.postings.select("field", "term", "id"), ["field", "term"]).select("qid", "field", "boost", "id").distinct()
+        grown = tail.join(words.hint("shuffle_merge"), ["field", "head"]).where(F.col("word").startswith(F.col("term"))).select("qid", "field", "boost", F.col("word").alias("term"))
+        near = grown.join(index.postings.select("field", "term", "id").hint("shuffle_merge"), ["field", "term"]).select("qid", "field", "boost", "id").distinct()
         out = out.unionByName(near.select("qid", "id", (PREFIX_WEIGHT * F.col("boost")).alias("score")))
     return out.groupBy("qid", "id").agg(F.sum("score").alias("score"))
 
@@ -90,16 +90,16 @@ def q_bool(must=(), filters=(), should=(), must_not=(), index: Index | None = No
     out = None
     for c in [*must, *filters]:
         c = c.select("id", F.col("score").alias("s2"))
-        out = c.withColumnRenamed("s2", "score") if out is None else out.join(c, "id").select("id", (F.col("score") + F.col("s2")).alias("score"))
+        out = c.withColumnRenamed("s2", "score") if out is None else out.join(c.hint("shuffle_merge"), "id").select("id", (F.col("score") + F.col("s2")).alias("score"))
     alone = out is None
     if alone:
         out = index.docs.select("id", F.lit(0.0).alias("score"))
     for c in should:
-        out = out.join(c.select("id", F.col("score").alias("s2")), "id", "left").select("id", (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"))
+        out = out.join(c.select("id", F.col("score").alias("s2")).hint("shuffle_merge"), "id", "left").select("id", (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"))
     if alone and should:
         out = out.where("score > 0")
     for c in must_not:
-        out = out.join(c.select("id"), "id", "left_anti")
+        out = out.join(c.select("id").hint("shuffle_merge"), "id", "left_anti")
     return out
 
 
@@ -111,7 +111,7 @@ def topk_hits(hits: DataFrame, size: int, start: int = 0) -> DataFrame:
 
 def terms_facet(hits: DataFrame, docs: DataFrame, field: str, size: int = 20) -> DataFrame:
     """Counts over all matches, not the page."""
-    return hits.join(docs.select("id", F.col(field).alias("key")), "id").where("key is not null").groupBy("key").count().orderBy(F.desc("count"), "key").limit(size).select("key", F.col("count").alias("n"))
+    return hits.join(docs.select("id", F.col(field).alias("key")).hint("shuffle_merge"), "id").where("key is not null").groupBy("key").count().orderBy(F.desc("count"), "key").limit(size).select("key", F.col("count").alias("n"))
 
 
 def highlight(df: DataFrame, text: str, query: str, width: int = 90, before: int = 30) -> DataFrame:
@@ -131,7 +131,7 @@ def highlight(df: DataFrame, text: str, query: str, width: int = 90, before: int
 def reconcile_batch(index: Index, queries: DataFrame, limit: int = 3) -> DataFrame:
     """(qid, id, label, score, exact): exact labels 100, the rest 90 times their share of the best score."""
     q = queries.where(F.trim("text") != "")
-    hits = topk_hits(bm25_match(index, q), min(20, 4 * limit)).join(index.docs.select("id", "label"), "id").join(q.select("qid", "text"), "qid")
+    hits = topk_hits(bm25_match(index, q), min(20, 4 * limit)).join(index.docs.select("id", "label").hint("shuffle_merge"), "id").join(q.select("qid", "text").hint("shuffle_merge"), "qid")
     best = F.max("score").over(Window.partitionBy("qid"))
     exact = F.lower(F.trim("label")) == F.lower(F.trim("text"))
     out = hits.withColumn("exact", exact).withColumn("points", F.when(exact, 100.0).otherwise(F.round(F.col("score") / best * 90)))

@@ -89,9 +89,9 @@ def label_props(spark: SparkSession, tables: list[Table]) -> DataFrame:
 def resolve_label(quads: DataFrame, label_of_class: DataFrame) -> DataFrame:
     """(iri, label) of every subject: its label fact, else the value of its class's label property, least value if several."""
     own = of_predicate(quads, LABEL, "iri", "own").groupBy("iri").agg(F.min("own").alias("own"))
-    kinds = of_predicate(quads, TYPE, "iri", "class_iri").join(label_of_class, "class_iri")
-    role = quads.select(F.col("s").alias("iri"), F.col("p").alias("property"), "o").join(kinds.select("iri", "property"), ["iri", "property"]).groupBy("iri").agg(F.min("o").alias("role"))
-    return quads.select(F.col("s").alias("iri")).distinct().join(own, "iri", "left").join(role, "iri", "left").select("iri", F.coalesce("own", "role").alias("label"))
+    kinds = of_predicate(quads, TYPE, "iri", "class_iri").join(label_of_class.hint("shuffle_merge"), "class_iri")
+    role = quads.select(F.col("s").alias("iri"), F.col("p").alias("property"), "o").join(kinds.select("iri", "property").hint("shuffle_merge"), ["iri", "property"]).groupBy("iri").agg(F.min("o").alias("role"))
+    return quads.select(F.col("s").alias("iri")).distinct().join(own.hint("shuffle_merge"), "iri", "left").join(role.hint("shuffle_merge"), "iri", "left").select("iri", F.coalesce("own", "role").alias("label"))
 
 
 def scope_graph(quads: DataFrame, graph: str | None = None) -> DataFrame:
@@ -102,7 +102,7 @@ def scope_graph(quads: DataFrame, graph: str | None = None) -> DataFrame:
 def search_contains(quads: DataFrame, labels: DataFrame, text: str, limit: int | None = 50) -> DataFrame:
     """Resources, as subject or IRI object, whose label or IRI holds the text, whatever the case."""
     found = quads.select(F.col("s").alias("iri")).union(quads.where("o_kind = 'iri'").select("o")).distinct()
-    out = found.join(labels, "iri", "left").where(F.contains(F.lower(F.coalesce("label", "iri")), F.lit(text.lower())) | F.contains(F.lower("iri"), F.lit(text.lower())))
+    out = found.join(labels.hint("shuffle_merge"), "iri", "left").where(F.contains(F.lower(F.coalesce("label", "iri")), F.lit(text.lower())) | F.contains(F.lower("iri"), F.lit(text.lower())))
     out = out.orderBy("iri")
     return out.limit(limit) if limit else out
 
@@ -112,14 +112,14 @@ def active_codes(quads: DataFrame, scheme: str) -> DataFrame:
     member = of_predicate(quads, IN_SCHEME, "iri", "scheme").where(F.col("scheme") == scheme).select("iri").distinct()
     gone = of_predicate(quads, DEPRECATED, "iri", "flag").where("flag = 'true'").select("iri")
     label = of_predicate(quads, PREF, "iri", "label").groupBy("iri").agg(F.min("label").alias("label"))
-    out = member.join(gone, "iri", "left_anti").join(label, "iri", "left")
+    out = member.join(gone.hint("shuffle_merge"), "iri", "left_anti").join(label.hint("shuffle_merge"), "iri", "left")
     return out.select("iri", F.coalesce("label", S.local_name(F.col("iri"))).alias("label")).orderBy("label", "iri")
 
 
 def object_properties(quads: DataFrame) -> DataFrame:
     """(property, label, range) of properties that lead to resources."""
     r = of_predicate(quads, RANGE, "property", "range").where(~F.col("range").startswith(XSD))
-    return r.join(of_predicate(quads, LABEL, "property", "label"), "property", "left").groupBy("property", "range").agg(F.min("label").alias("label"))
+    return r.join(of_predicate(quads, LABEL, "property", "label").hint("shuffle_merge"), "property", "left").groupBy("property", "range").agg(F.min("label").alias("label"))
 
 
 def row_provenance(rows: DataFrame, catalog: DataFrame) -> DataFrame:

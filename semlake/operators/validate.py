@@ -18,14 +18,14 @@ COLUMNS = tuple(c.split(" ")[0] for c in SHAPE_SCHEMA.split(", "))
 
 def read_shapes(quads: DataFrame) -> DataFrame:
     """Shape facts as the shapes table, with severity (Violation where none is declared): one pivot over the property shapes' facts; in-lists by list_walk."""
-    ps = of_predicate(quads, SH + "property", "shape", "ps").join(of_predicate(quads, SH + "targetClass", "shape", "target_class"), "shape", "left").dropDuplicates(["shape", "ps"])
+    ps = of_predicate(quads, SH + "property", "shape", "ps").join(of_predicate(quads, SH + "targetClass", "shape", "target_class").hint("shuffle_merge"), "shape", "left").dropDuplicates(["shape", "ps"])
     names = ["path", "name", "datatype", "class", "nodeKind", "minCount", "maxCount", "minInclusive", "maxInclusive", "pattern", "maxLength", "order", "in", "severity"]
     f = quads.where(F.col("p").isin([SH + n for n in names])).select(F.col("s").alias("ps"), F.expr(f"substring(p, {len(SH) + 1})").alias("k"), "o").groupBy("ps").pivot("k", names).agg(F.min("o"))
     if quads.where(F.col("p") == SH + "in").isEmpty():
         lists = quads.sparkSession.createDataFrame([], "head string, in_values array<string>")
     else:
         lists = list_walk(quads.where(F.col("p").isin(FIRST, REST))).groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("in_values"))
-    out = ps.join(f, "ps").join(lists, F.col("in") == F.col("head"), "left")
+    out = ps.join(f.hint("shuffle_merge"), "ps").join(lists.hint("shuffle_merge"), F.col("in") == F.col("head"), "left")
     return out.select("shape", "target_class", "path", "name", "datatype", F.col("class").alias("class_iri"), F.col("nodeKind").alias("node_kind"), F.col("minCount").try_cast("int").alias("min_count"), F.col("maxCount").try_cast("int").alias("max_count"), F.col("minInclusive").try_cast("double").alias("min_incl"), F.col("maxInclusive").try_cast("double").alias("max_incl"), "pattern", F.col("maxLength").try_cast("int").alias("max_length"), "in_values", F.coalesce(F.col("order").try_cast("int"), F.lit(9999)).alias("ord"), F.coalesce(F.regexp_extract("severity", "[^#/]+$", 0), F.lit("Violation")).alias("severity"))
 
 

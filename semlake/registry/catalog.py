@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..model import DATA, GRAPH, LABEL, NS, RR, SH, TYPE
-from ..operators import algebra, dash, graph, select, validate
+from ..operators import closure, dash, graph, select, validate
 from ..plans import meta
 from ..plans.meta import TABLES, load, sql_instances
 from ..sources import io
@@ -93,7 +93,7 @@ def used(spark, sf, names):
     """Declared meta rows of tables, with the counts of the data they describe."""
     parts = [load(spark, sf, n).agg(*[F.count(c).alias(c) for c, _ in TABLES[n].columns], F.count("*").alias("__n")).select(F.lit(n).alias("table"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), (F.col(c) == F.col("__n")).alias("full")) for c, _ in TABLES[n].columns])).alias("x")).select("table", "x.*") for n in names]
     seen = reduce(DataFrame.unionByName, parts)
-    return meta.table_meta(spark).join(F.broadcast(seen), ["table", "column"]).withColumn("notnull", F.col("full")).drop("full")
+    return closure.cut(meta.table_meta(spark).join(F.broadcast(seen), ["table", "column"]).withColumn("notnull", F.col("full")).drop("full"))  # a row a column; counted once
 
 
 SCHEMA = ["nation", "customer", "orders"]
