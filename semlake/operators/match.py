@@ -80,24 +80,44 @@ def concept_lexicon(concepts: DataFrame, shortest: int = 3, longest: int | None
     return n.withColumn("ord", F.struct((-F.length("name")).alias("l"), "concept", "name"))
 
 
+#: Names up to which a lexicon is broadcast; beyond, it is joined by a shuffle. Pieces of a name that are
+#: joined on (the rest is compared).
+BROADCAST_NAMES, HEAD = 100_000, 9
+PIECES = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+
+
 def auto_tag(docs: DataFrame, lexicon: DataFrame, limit: int | None = None) -> DataFrame:
     """(doc_id, concept, n, spans) of whole-word mentions; longer names claim their span first.
 
-    A text's word pieces carry their offset; the first word of a name joins them, so candidates come from an equi-join.
-    The candidates that overlap one another, never a text, are folded in order of claim.
+    A text is cut into pieces, words and what lies between, by turns. From each word on, as many pieces as a name has
+    (HEAD at most, and a word last) are put together and meet the names by an equi-join; what a name has beyond is
+    compared. Only what was found goes back to its text, for the offsets, and the candidates that overlap one another,
+    never a text, are folded in order of claim.
     """
-    cut = F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+")
-    longest = lexicon.agg(F.max(F.size(F.regexp_extract_all("key", cut, F.lit(0))))).first()[0] or 1
-    # Each word carries what a name could cover from it on, and the character after that.
-    pieces = docs.select("doc_id", F.regexp_extract_all("text", cut, F.lit(0)).alias("ps")).where("size(ps) > 0")
-    ahead = F.expr(rf"transform(ps, (p, i) -> struct(p as piece, if(p rlike '^[\\p{{L}}\\p{{N}}]', array_join(slice(ps, i + 1, {longest + 1}), ''), null) as ahead))")
-    words = pieces.select("doc_id", F.posexplode(ahead).alias("i", "x")).select("doc_id", "i", "x.*").withColumn("len", F.length("piece"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    words = words.withColumn("start", F.sum("len").over(before) - F.col("len")).where("ahead is not null")
-    lex = lexicon.withColumn("first", F.regexp_extract("key", r"^([\p{L}\p{N}]+)", 1)).where("first <> ''")
-    cand = words.select("doc_id", F.col("start").cast("int").alias("start"), "ahead", F.lower("piece").alias("first")).join(lex.hint("shuffle_merge"), "first")
-    found, after = F.substring(F.col("ahead"), F.lit(1), F.length("name")), F.substring(F.col("ahead"), F.length("name") + 1, F.lit(1))
-    cand = cand.where((F.lower(found) == F.col("key")) & ~after.rlike(r"^[\p{L}\p{N}]")).select("doc_id", "concept", "ord", "start", (F.col("start") + F.length("name")).alias("end"))
+    names = lexicon.withColumn("np", F.regexp_extract_all("key", F.lit(PIECES), F.lit(0))).where(F.col("key").rlike(r"^[\p{L}\p{N}]"))
+    names = names.withColumn("k", F.least(F.lit(HEAD), F.size("np") - (F.size("np") % 2 == 0).cast("int")))
+    rest = F.array_join(F.slice("np", F.col("k") + 1, F.greatest(F.size("np") - F.col("k"), F.lit(0))), "")
+    names = names.select("concept", "ord", "k", F.array_join(F.slice("np", F.lit(1), F.col("k")), "").alias("head"), rest.alias("tail"), (F.size("np") - F.col("k")).alias("more"))
+    sizes = {r.k: r.more for r in names.groupBy("k").agg(F.max("more").alias("more")).collect()}  # five rows at most
+    if not sizes:
+        return docs.where("false").select("doc_id", F.lit("").alias("concept"), F.lit(0).cast("long").alias("n"), F.array(F.lit(0)).alias("starts"))
+    held = names.hint("shuffle_merge") if names.count() > BROADCAST_NAMES else F.broadcast(names)
+    pieces = docs.select("doc_id", F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)).alias("ps")).where("size(ps) > 0")
+    ahead = F.arrays_zip("ps", *[F.slice("ps", j + 1, F.greatest(F.size("ps") - j, F.lit(0))).alias(f"p{j}") for j in range(1, max(sizes))])
+    words = pieces.select("doc_id", F.element_at("ps", 1).rlike(r"^[\p{L}\p{N}]").alias("first"), F.posexplode(ahead).alias("i", "z")).where("(i % 2 = 0) = first")
+    part = lambda k: F.concat("z.ps", *[f"z.p{j}" for j in range(1, k)])
+    words = words.select("doc_id", "i", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lower(part(k)).alias("head"), F.length(part(k)).alias("len")) for k in sorted(sizes)])).alias("x")).select("doc_id", "i", "x.*")
+    hits = words.join(held, ["head", "k"]).groupBy("doc_id").agg(F.collect_list(F.struct("i", "k", "len", "tail", "concept", "ord")).alias("hits"))
+    # Offsets: lengths summed by steps of the square root of the text's pieces, then within a step.
+    texts = pieces.join(hits.hint("shuffle_merge"), "doc_id").withColumns({"ls": F.expr("transform(ps, p -> length(p))"), "step": F.expr("int(ceil(sqrt(size(ps))))")})
+    texts = texts.withColumn("steps", F.expr("transform(sequence(0, (size(ps) - 1) div step), b -> aggregate(slice(ls, int(b * step + 1), step), 0, (x, y) -> x + y))"))
+    texts = texts.withColumn("before", F.expr("transform(steps, (x, b) -> aggregate(slice(steps, 1, b), 0, (x, y) -> x + y))"))
+    start = "before[h.i div step] + aggregate(slice(ls, int(h.i div step * step + 1), int(h.i % step)), 0, (x, y) -> x + y)"
+    beyond = f"if(h.tail = '', '', array_join(slice(ps, h.i + h.k + 1, {max(sizes.values()) + 1}), '')) as beyond"
+    cand = texts.select("doc_id", F.expr(f"explode(transform(hits, h -> struct(h.concept, h.ord, h.tail, int({start}) as start, h.len, {beyond})))").alias("x")).select("doc_id", "x.*")
+    size = F.length("tail")  # a name without a tail ends where a piece does, so no word goes on there
+    fits = (F.lower(F.substring("beyond", F.lit(1), size)) == F.col("tail")) & ~F.substring("beyond", size + 1, F.lit(1)).rlike(r"^[\p{L}\p{N}]")
+    cand = cand.where((F.col("tail") == "") | fits).select("doc_id", "concept", "ord", "start", (F.col("start") + F.col("len") + size).alias("end"))
     # Only spans of one stretch of overlaps contend, so each stretch is folded by itself.
     by = Window.partitionBy("doc_id").orderBy("start", "end", "concept")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
