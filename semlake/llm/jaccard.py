@@ -12,7 +12,7 @@ A text's set is its distinct shingles of WORDS lower-case words (64-bit hashes);
    have left from there. A query's overlap with a group is at most the kept shingles it shares with that union and the
    number of shingles that were not kept on one side, and at most what either has left from the first they share. Only
    groups that reach the least overlap a link needs with a member of their sizes are opened; their members are bounded
-   in the same way, each by what it shares itself, then compared whole.
+   by what is left from a shared shingle on, then compared whole.
 
 So no link between different groups is lost, and pairs within a group are never enumerated.
 
@@ -291,10 +291,8 @@ def _opened(spark, rows: DataFrame) -> DataFrame:
     asked = written(spark, asked.where(" or ".join(ends)).select("q", "g"), "asked")
     member = open_rows.select("token", F.col("q").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("g"))
     alpha = ALPHA.format(n="n", m="m")
-    opened = hits.join(asked.hint("shuffle_merge"), ["q", "g"], "left_semi").join(member.hint("shuffle_merge"), ["token", "g"]).where(f"q < y and {SIZES.format(n='n', m='m')}")
-    pairs = opened.groupBy("q", "y").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.max(F.expr(f"n - i >= {alpha} and m - j >= {alpha}")).alias("ok"))
-    pairs = pairs.where(f"ok and {BOUND.format(c='c', n='n', m='m')} >= {alpha}")
-    pairs = written(spark, pairs.select(F.col("q").alias("a"), F.col("y").alias("b")), "pairs")
+    opened = hits.where("ok").join(asked.hint("shuffle_merge"), ["q", "g"], "left_semi").join(member.hint("shuffle_merge"), ["token", "g"]).where(f"q < y and {SIZES.format(n='n', m='m')} and n - i >= {alpha} and m - j >= {alpha}")
+    pairs = written(spark, opened.select(F.col("q").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     discard(open_rows, hits, asked)
     return pairs
 
