@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..model import DATA, GRAPH, LABEL, NS, RR, SH, TYPE
+from ..model import DATA, GRAPH, NS, RR, TYPE
 from ..operators import closure, dash, graph, select, validate
 from ..plans import meta
 from ..plans.meta import TABLES, load, sql_instances

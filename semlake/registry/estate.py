@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..model import ALT, DATA, DEFINITION, DOMAIN, GRAPH, IN_SCHEME, LABEL, NS, OWL, PREF, QUAD, RANGE, RDF, RDFS, RR, SH, SKOS, TYPE, XSD, fact, facts
+from ..model import ALT, DATA, DOMAIN, GRAPH, IN_SCHEME, LABEL, NS, OWL, QUAD, RANGE, RDF, RR, SH, SKOS, TYPE, XSD, fact, facts
 from ..operators import algebra, dash, estate, search, validate
 from ..plans import meta
 from ..plans.meta import TABLES, load

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..model import DATA, GRAPH, NS, PREF, SKOS, XSD
+from ..model import DATA, GRAPH, NS, SKOS, XSD
 from ..operators import match, search
 from ..plans import meta
 from ..plans.meta import TABLES, load
