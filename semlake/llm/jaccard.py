@@ -8,11 +8,9 @@ A text's set is its distinct shingles of WORDS lower-case words (64-bit hashes);
 2. Groups: sets that share a kept shingle are compared with one of them only, the one with the fewest rarer shingles
    (of copies with small changes, the one with the fewest changes), and the links found so far form groups of similar
    documents. Members of one group need no further comparison.
-3. The token-group matrix holds each group's union of kept shingles, and how large its members are and how much they
-   have left from there. A query's overlap with a group is at most the kept shingles it shares with that union and the
-   number of shingles that were not kept on one side, and at most what either has left from the first they share. Only
-   groups that reach the least overlap a link needs with a member of their sizes are opened; their members are bounded
-   by what is left from a shared shingle on, then compared whole.
+3. The token-group matrix holds, per kept shingle, the groups whose union has it. A query's overlap with a group is at
+   most what either has left from the first shingle they share; only groups that reach the least overlap a link needs
+   are opened, there, and their members are bounded in the same way, then compared whole.
 
 So no link between different groups is lost, and pairs within a group are never enumerated.
 
@@ -281,19 +279,13 @@ def _opened(spark, rows: DataFrame) -> DataFrame:
     # No overlap is larger than what is left of either set from the first shared shingle on; a link with the smallest
     # possible member needs the least.
     least = ALPHA.format(n="n", m="greatest(low, (3 * n + 3) div 4)")
-    hits = open_rows.join(matrix(open_rows).hint("shuffle_merge"), "token").where("comp <> g and 4 * n >= 3 * low and 4 * high >= 3 * n")
-    hits = written(spark, hits.select("q", "g", "token", "n", "i", "low", "high", F.expr(f"n - i >= {least} and room >= {least}").alias("ok")), "hits")
-    # The kept shingles that a link needs at least rise, then fall with the member's size (but for rounding, by one at
-    # most), so the ends of the group's sizes have the fewest.
-    asked = hits.groupBy("q", "g").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("ok").alias("ok")).where("ok")
-    asked = asked.selectExpr("q", "g", "c", "n", "greatest(low, (3 * n + 3) div 4) as low", "least(high, 4 * n div 3) as high")
-    ends = [f"c + greatest((3 * n + 3) div 4, (3 * {m} + 3) div 4) >= {ALPHA.format(n='n', m=m)}" for m in ("low", "high")]
-    asked = written(spark, asked.where(" or ".join(ends)).select("q", "g"), "asked")
+    hits = open_rows.join(matrix(open_rows).hint("shuffle_merge"), "token").where(f"comp <> g and 4 * n >= 3 * low and 4 * high >= 3 * n and n - i >= {least} and room >= {least}")
+    asked = hits.select("q", "g", "token", "n", "i")
     member = open_rows.select("token", F.col("q").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("g"))
     alpha = ALPHA.format(n="n", m="m")
-    opened = hits.where("ok").join(asked.hint("shuffle_merge"), ["q", "g"], "left_semi").join(member.hint("shuffle_merge"), ["token", "g"]).where(f"q < y and {SIZES.format(n='n', m='m')} and n - i >= {alpha} and m - j >= {alpha}")
-    pairs = written(spark, opened.select(F.col("q").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-    discard(open_rows, hits, asked)
+    pairs = asked.join(member.hint("shuffle_merge"), ["token", "g"]).where(f"q < y and {SIZES.format(n='n', m='m')} and n - i >= {alpha} and m - j >= {alpha}")
+    pairs = written(spark, pairs.select(F.col("q").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
+    discard(open_rows)
     return pairs
 
 
