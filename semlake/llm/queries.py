@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, exact, jaccard, lines, merkle, mixing, quality, secrets, token_files, toxicity, vectors
+from . import bpe, ctw, exact, jaccard, lines, merkle, mixing, phrases, quality, secrets, token_files, toxicity, vectors
 from .common import id_mod, shared_path, table
 
 
@@ -55,6 +55,10 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_rows(table(spark, sf_dir, "documents"))
 
@@ -64,5 +68,5 @@ def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_token_files": op1_token_files, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_lm": op4_lm, "op5_lines": op5_lines, "op5_templates": op5_lines,  # its older name
-    "op6_secrets": op6_secrets, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_vectors": op10_vectors, "op12_merkle": op12_merkle, "op13_exact": op13_exact}
-ORACLES: dict[str, str] = {"op5_lines": lines.ORACLE, "op5_templates": lines.ORACLE, "op7_jaccard": jaccard.ORACLE, "op8_mixing": mixing.ORACLE, "op12_merkle": merkle.ORACLE, "op13_exact": exact.ORACLE}
+    "op6_secrets": op6_secrets, "op7_jaccard": op7_jaccard, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_vectors": op10_vectors, "op11_phrases": op11_phrases, "op12_merkle": op12_merkle, "op13_exact": op13_exact}
+ORACLES: dict[str, str] = {"op5_lines": lines.ORACLE, "op5_templates": lines.ORACLE, "op7_jaccard": jaccard.ORACLE, "op8_mixing": mixing.ORACLE, "op11_phrases": phrases.ORACLE, "op12_merkle": merkle.ORACLE, "op13_exact": exact.ORACLE}
