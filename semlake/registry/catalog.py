@@ -12,8 +12,8 @@ from ..model import DATA, GRAPH, NS, RR, TYPE
 from ..operators import closure, dash, graph, select, validate
 from ..plans import meta
 from ..plans.meta import TABLES, load, sql_instances
-from ..sources import io
-from .base import ORACLES, query
+from ..sources import databases, io
+from .base import ORACLES, query, scratch
 
 CRM = ["region", "nation", "customer"]
 Q = f"WITH q AS ({sql_instances(CRM)})"
@@ -48,6 +48,45 @@ def src_table(spark, sf):
     return io.attach(spark, "parquet", sf, "lineitem").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"), F.countDistinct("l_orderkey").alias("n_orders"))
 
 
+HIGH = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')"
+
+
+def high(df):
+    kept = (F.col("o_totalprice") > 200000) & (F.col("o_orderstatus") == "F") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    return df.where(kept).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+
+
+def order_files(spark, sf, path):
+    """The orders as SQLite files, one a task, with their keys declared."""
+    databases.write_sqlite(load(spark, sf, "orders").repartitionByRange(3, "o_orderkey"), path, "orders", keys="o_orderkey", foreign="o_custkey>customer>c_custkey")
+
+
+@query("src_sqlite", HIGH)
+def src_sqlite(spark, sf):
+    """Orders written as SQLite files and read by ranges of rowids, the conditions in each task's query."""
+    path = scratch(spark, "sqlite")
+    order_files(spark, sf, path)
+    return high(io.attach(spark, "sqlite", path, "orders", cutbytes=1, rangerows=20_000))
+
+
+@query("src_sqlite_schema", """SELECT 'orders' AS "table", c AS "column", t AS sql_type, i AS ordinal, i = 0 AS pk, CASE WHEN i = 1 THEN 'customer' END AS fk_table, CASE WHEN i = 1 THEN 'c_custkey' END AS fk_column, n AS n_rows
+FROM (VALUES (0, 'o_orderkey', 'BIGINT'), (1, 'o_custkey', 'BIGINT'), (2, 'o_orderstatus', 'TEXT'), (3, 'o_totalprice', 'DOUBLE'), (4, 'o_orderdate', 'TIMESTAMP'), (5, 'o_orderpriority', 'TEXT')) v(i, c, t), (SELECT count(*) AS n FROM orders)""")
+def src_sqlite_schema(spark, sf):
+    """What the files declare, and their rows, counted file by file."""
+    path = scratch(spark, "sqlite")
+    order_files(spark, sf, path)
+    return databases.introspect_sqlite(spark, path).drop("notnull")
+
+
+@query("src_jdbc", HIGH)
+def src_jdbc(spark, sf):
+    """Orders in a Derby database, read by ranges of their key, the conditions in each connection's query."""
+    url = databases.derby_url(spark, scratch(spark, "derby"))
+    o = load(spark, sf, "orders").repartitionByRange(2, "o_orderkey")
+    o.write.format("jdbc").options(url=url, dbtable="orders", createTableColumnTypes="o_orderstatus VARCHAR(8), o_orderpriority VARCHAR(32)").save()
+    return high(io.attach(spark, "derby", url, "orders", key="o_orderkey", rows=20_000))
+
+
 def _introspect_sql(n):
     t = TABLES[n]
     return " UNION ALL ".join(f"SELECT '{t.source}' AS source_id, '{n}' AS \"table\", '{c}' AS \"column\", '{ty}' AS sql_type, {i} AS ordinal, {str(c in t.keys).lower()} AS pk, {repr(t.fks[c][0]) if c in t.fks else 'CAST(NULL AS VARCHAR)'} AS fk_table, {repr(t.fks[c][1]) if c in t.fks else 'CAST(NULL AS VARCHAR)'} AS fk_column, count(*) AS row_count, count({c}) AS n_values FROM {n}" for i, (c, ty) in enumerate(t.columns))

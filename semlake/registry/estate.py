@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,9 +14,8 @@ from ..operators import algebra, dash, estate, search, validate
 from ..plans import meta
 from ..plans.meta import TABLES, load
 from ..sources import io
-from .base import query
+from .base import query, scratch
 from .catalog import QB, SCHEMA, Q, _meta_sql, big, crm, used
-from .governance import scratch
 from .graphs import customer_shapes, geo_concepts
 from .text import DOCS, INDEX, ONE, VOCAB, bm25_sql, docs, index, vocabulary
 
@@ -70,7 +68,7 @@ def src_json_rows(spark, sf):
     """Events as JSON documents of a thousand rows below data.rows, written and read again; nested values come as text."""
     e = load(spark, sf, "events").select("event_id", F.from_json("props", "k long").alias("p"))
     rows = F.array_sort(F.collect_list(F.struct("event_id", F.col("p.k").alias("k"), F.col("p").alias("nested"))))
-    path = f"{scratch(spark)}/json-{uuid.uuid4().hex}"
+    path = scratch(spark, "json")
     e.groupBy(F.floor(F.col("event_id") / 1000).alias("page")).agg(F.struct(rows.alias("rows")).alias("data")).write.json(path)
     return io.json_rows(spark, path, "data.rows", multi_line=False).select("event_id", "k", "nested")
 
@@ -78,7 +76,7 @@ def src_json_rows(spark, sf):
 @query("bulk_load", f"{QB} SELECT DISTINCT graph, s, p, o, o_kind, datatype, lang FROM q")
 def bulk_load(spark, sf):
     """Facts with repeats, appended to a store in two loads and read back."""
-    path = f"{scratch(spark)}/store-{uuid.uuid4().hex}"
+    path = scratch(spark, "store")
     q = big(spark, sf)
     here = F.col("graph") == GRAPH + "crm"
     io.bulk_load(q.where(here).unionByName(q.where(here)), path)

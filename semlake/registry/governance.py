@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from ..model import GRAPH, NS, XSD
 from ..operators import dash, governance, imports
 from ..plans.meta import TABLES, load
 from ..streaming import journal
-from .base import ORACLES, query
+from .base import ORACLES, query, scratch
 
 
 # Imports: the parts' names as a sheet, with duplicates as they come and broader terms from the types.
@@ -20,20 +17,11 @@ from .base import ORACLES, query
 def csv_rows(spark, sf):
     """Customers written as CSV with quotes and commas, and read again."""
     c = load(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("v"))
-    path = f"{scratch(spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     c.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return imports.csv_rows(spark, path, "k long, v string")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="semlake-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 @query("map_headers", "SELECT DISTINCT event_type AS header, CASE WHEN event_type = 'view' THEN 'label' END AS field FROM events")
 def map_headers(spark, sf):
     h = load(spark, sf, "events").select(F.col("event_type").alias("header")).distinct()
@@ -264,7 +252,7 @@ def journal_publish(spark, sf):
 @query("journal_read", f"WITH {JOURNAL} SELECT event_id AS seq, op, k AS o FROM j WHERE event_id >= 100")
 def journal_read(spark, sf):
     """The journal written as JSON lines and read from an offset on."""
-    path = f"{scratch(spark)}/journal-{uuid.uuid4().hex}"
+    path = scratch(spark, "journal")
     events_journal(spark, sf).write.json(path)
     return journal.journal_read(spark, path, {0: 100}).select("seq", "op", F.col("quads")[0]["o"].cast("long").alias("o"))
 
@@ -292,7 +280,7 @@ def checkpoint(spark, sf):
 @query("journal_apply_stream", f"WITH {JOURNAL} SELECT * FROM {fold_sql('true')}")
 def journal_apply_stream(spark, sf):
     """The journal's files as a stream, folded batch by batch."""
-    base = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     src = f"{base}/journal"
     events_journal(spark, sf).repartitionByRange(2, "seq").write.parquet(src)
     stream = spark.readStream.schema(events_journal(spark, sf).schema).option("maxFilesPerTrigger", 1).parquet(src)
@@ -304,7 +292,7 @@ def journal_apply_stream(spark, sf):
 @query("index_refresh_stream", "SELECT count(DISTINCT user_id) AS n FROM events")
 def index_refresh_stream(spark, sf):
     """A stream of changes tells which documents to index anew."""
-    base = f"{scratch(spark)}/refresh-{uuid.uuid4().hex}"
+    base = scratch(spark, "refresh")
     load(spark, sf, "events").select(F.col("user_id").cast("string").alias("id")).repartition(2).write.parquet(f"{base}/changes")
     stream = spark.readStream.schema("id string").option("maxFilesPerTrigger", 1).parquet(f"{base}/changes")
     journal.index_refresh_stream(stream, lambda ids, e: ids.write.mode("overwrite").parquet(f"{base}/ids/v={e}"), f"{base}/checkpoint", now=True).awaitTermination()
