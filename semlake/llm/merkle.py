@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import id_mod, ship, written
 
+#: Children of a node, and levels of one block (so 4,096 leaves).
 RUN, DEPTH = 8, 4
-BLOCK = RUN**DEPTH
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Rows up to which a table of totals (languages, parts) is broadcast; beyond, it is joined by a shuffle.
 FEW = 10_000
@@ -68,12 +68,12 @@ def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     return s.join(few(held), ["grp", "part"]).withColumn("pos", F.col("before") + F.col("at") - F.col("low")).drop("at", "part", "low", "m", "before")
 
 
-def grown(block: pa.Table) -> pa.Table:
-    """The nodes above one block of leaves, DEPTH levels or up to the group's root."""
+def grown(block: pa.Table, depth: int) -> pa.Table:
+    """The nodes above one block of leaves, `depth` levels or up to the group's root."""
     grp, n = block["grp"][0].as_py(), block["n"][0].as_py()
     here = dict(zip(block["pos"].to_pylist(), block["h"].to_pylist()))
     out = []
-    for level in range(1, DEPTH + 1):
+    for level in range(1, depth + 1):
         if n <= 1:
             break
         n = -(-n // RUN)
@@ -85,19 +85,19 @@ def grown(block: pa.Table) -> pa.Table:
     return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.string()))], names=["grp", "level", "pos", "h"])
 
 
-def tree(leaves: DataFrame, name: str) -> DataFrame:
+def tree(leaves: DataFrame, name: str, depth: int) -> DataFrame:
     """(grp, level, pos, h): all nodes above leaves (grp, pos, n, h): blocks first, then level by level."""
     spark = leaves.sparkSession
     ship(spark)
-    low = leaves.select("grp", "pos", "n", "h").withColumn("block", F.expr(f"pos div {BLOCK}"))
-    nodes = written(spark, low.groupBy("grp", "block").applyInArrow(grown, NODE_SCHEMA), name)
+    low = leaves.select("grp", "pos", "n", "h").withColumn("block", F.expr(f"pos div {RUN**depth}"))
+    nodes = written(spark, low.groupBy("grp", "block").applyInArrow(lambda t: grown(t, depth), NODE_SCHEMA), name)
     sizes = leaves.groupBy("grp").agg(F.first("n").alias("n"))
     most = sizes.agg(F.max("n")).first()[0] or 0
-    if most <= BLOCK:
+    if most <= RUN**depth:
         return nodes
-    wide = written(spark, sizes.where(F.col("n") > BLOCK), f"{name}-sizes")
-    last = nodes.where(F.col("level") == DEPTH).join(few(wide), "grp")
-    level, all_nodes = DEPTH, nodes
+    wide = written(spark, sizes.where(F.col("n") > RUN**depth), f"{name}-sizes")
+    last = nodes.where(F.col("level") == depth).join(few(wide), "grp")
+    level, all_nodes = depth, nodes
     while RUN**level < most:
         level += 1
         runs = last.where(F.col("n") > RUN ** (level - 1)).groupBy("grp", "n", F.expr(f"pos div {RUN}").alias("pos")).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("k"), "h"))).alias("hs"))
@@ -113,10 +113,11 @@ class Manifest:
     leaves: DataFrame
     nodes: DataFrame
     groups: DataFrame
+    depth: int
 
 
-def manifest(docs: DataFrame) -> Manifest:
-    """The manifest of a table of documents; `changed` is the leaf after tampering, where a row is tampered with."""
+def manifest(docs: DataFrame, depth: int = DEPTH) -> Manifest:
+    """The manifest of a table of documents, worked out by blocks of `depth` levels; `changed` is the leaf after tampering, where a row is tampered with."""
     spark = docs.sparkSession
     d = docs.select(*[F.col(c).alias(c) for c in FIELDS])
     values = [F.col(c) for c in FIELDS]
@@ -124,17 +125,17 @@ def manifest(docs: DataFrame) -> Manifest:
     grp = F.coalesce(F.concat(F.lit("1"), "lang"), F.lit("0"))
     rows = written(spark, d.select(grp.alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), leaf_of(*values).alias("h"), tampered.alias("changed")), "leaves")
     leaves = numbered(rows, ["doc_id", "h"], "places")
-    nodes = tree(leaves, "nodes")
+    nodes = tree(leaves, "nodes", depth)
     alone = leaves.where("n = 1").select("grp", "h")
     sizes = written(spark, leaves.groupBy("grp").agg(F.first("n").alias("n")), "sizes")
     heads = nodes.join(few(sizes), "grp").where((F.col("level") == levels(F.col("n"))) & (F.col("pos") == 0)).select("grp", "h")
     subroots = numbered(heads.unionByName(alone).select(F.lit(TOP).alias("grp"), F.col("grp").alias("own"), "h"), ["own"], "subroots")
-    above = tree(subroots, "top")
+    above = tree(subroots, "top", depth)
     root = above.join(F.broadcast(subroots.agg(F.max("n").alias("n"))), F.col("level") == levels(F.col("n"))).where("pos = 0").select(F.col("h").alias("root"))  # by one row
     root = root.unionByName(subroots.where("n = 1").select(F.col("h").alias("root")))
     groups = subroots.select(F.col("own").alias("grp"), F.col("pos").alias("gpos"), F.col("n").alias("groups"), F.col("h").alias("subroot")).crossJoin(F.broadcast(root))  # by one row
     bottom = subroots.select("grp", F.lit(0).alias("level"), "pos", "h")
-    return Manifest(leaves, nodes.unionByName(above).unionByName(bottom), written(spark, groups, "groups"))
+    return Manifest(leaves, nodes.unionByName(above).unionByName(bottom), written(spark, groups, "groups"), depth)
 
 
 def missing(pos: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
@@ -222,7 +223,7 @@ def proofs(spark: SparkSession, m: Manifest, asked: DataFrame | None = None) ->
     if asked is not None:  # then a block lacks leaves of its own, too
         nodes = nodes.unionByName(leaves.select("grp", F.lit(0).alias("level"), "pos", "h"))
         leaves = leaves.join(asked.select("doc_id").distinct().hint("shuffle_merge"), "doc_id", "left_semi")
-    d = leaves.join(few(m.groups), "grp").select("grp", "pos", "n", "gpos", "groups", "doc_id", "h", "changed", F.expr(f"pos div {BLOCK}").alias("block"))
+    d = leaves.join(few(m.groups), "grp").select("grp", "pos", "n", "gpos", "groups", "doc_id", "h", "changed", F.expr(f"pos div {RUN**m.depth}").alias("block"))
     need = written(spark, d.groupBy("grp", "block").applyInArrow(wanted, "own string, block long, grp string, level int, pos long"), "coordinates")
     got = written(spark, need.join(nodes.hint("shuffle_merge"), ["grp", "level", "pos"]), "fetched")
     out = d.groupBy("grp", "block").cogroup(got.groupBy("own", "block")).applyInArrow(proved, PROOF_SCHEMA)
@@ -230,9 +231,9 @@ def proofs(spark: SparkSession, m: Manifest, asked: DataFrame | None = None) ->
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), F.expr("if(grp = '0', null, substring(grp, 2))").alias("lang"), "pos")
 
 
-def verify_rows(docs: DataFrame) -> DataFrame:
+def verify_rows(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Every row's proof in the manifest of docs, folded from its leaf after tampering where it is tampered with."""
-    return proofs(docs.sparkSession, manifest(docs))
+    return proofs(docs.sparkSession, manifest(docs, depth))
 
 
 _PART = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END"

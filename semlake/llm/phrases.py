@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,40 +54,58 @@ class Transducer:
         self.words, self.starts, self.labels, self.targets, self.weights = words, starts, labels, targets, weights
 
     @classmethod
-    def build(cls, words: list[bytes], phrases: list[tuple[int, ...]], counts: list[int]) -> Transducer:
-        """From phrases (numbers of words) in ascending order, one after the other; a finished state that equals an earlier one is that one."""
+    def build(cls, words: list[bytes], rows: np.ndarray, counts: np.ndarray) -> Transducer:
+        """From phrases in ascending order (rows of numbers of words, -1 beyond a phrase's end), one run after the other.
+
+        A run is neighbours that differ in their last word alone and go no further; its arcs are added together. When a
+        run leaves the path of the one before, the states it leaves are finished: one that equals an earlier one is that one.
+        """
+        lengths = (rows >= 0).sum(axis=1)
+        common = np.zeros(len(rows) + 1, np.int64)
+        common[1:-1] = np.minimum(np.cumprod(rows[1:] == rows[:-1], axis=1).sum(axis=1), np.minimum(lengths[1:], lengths[:-1]))
+        ends = common[1:] < lengths  # no later phrase goes on from it
+        ends[-1:] = True
+        final, state = np.unique(counts[ends], return_inverse=True)
+        states = np.zeros(len(rows), np.int64)
+        states[ends] = state
+        same_run = ends[1:] & ends[:-1] & (lengths[1:] == lengths[:-1]) & (common[1:-1] == lengths[1:] - 1)
+        first = np.flatnonzero(np.concatenate([[True], ~same_run]))
+        flat = np.column_stack([rows[np.arange(len(rows)), lengths - 1], states]).ravel().tolist()
         register: dict[tuple, int] = {}
-        arcs: list[tuple] = []
-        weights: list[int] = []
-        # The path of the last phrase: for every depth the arcs so far and the weight.
-        path: list[list] = [[[], 0] for _ in range(LONGEST + 1)]
-        last: tuple[int, ...] = ()
-
-        def freeze(depth: int) -> None:
-            """Finish the states of the last phrase below a depth."""
-            for d in range(len(last), depth, -1):
-                state = (tuple(path[d][0]), path[d][1])
-                number = register.get(state)
-                if number is None:
-                    number = register[state] = len(arcs)
-                    arcs.append(state[0])
-                    weights.append(state[1])
-                path[d - 1][0].append((last[d - 1], number))
-                path[d] = [[], 0]
-
-        for phrase, count in zip(phrases, counts):
-            same = 0
-            while same < len(last) and same < len(phrase) and last[same] == phrase[same]:
-                same += 1
-            freeze(same)
-            path[len(phrase)][1] += count
-            last = phrase
-        freeze(0)
-        arcs.append(tuple(path[0][0]))
-        weights.append(path[0][1])
-        flat = np.array([x for a in arcs for x in a], np.int64).reshape(-1, 2)
-        starts = np.concatenate([[0], np.cumsum([len(a) for a in arcs])]).astype(np.int64)
-        return cls(words, starts, flat[:, 0], flat[:, 1], np.array(weights, np.int64))
+        arcs: list[tuple] = [()] * len(final)
+        weights: list[int] = final.tolist()
+        path: list[list[int]] = [[] for _ in range(LONGEST + 1)]
+        weight = [0] * (LONGEST + 1)
+        last: list[int] = []
+        until = np.append(first[1:], len(rows)).tolist()
+        for s, e, phrase, depth, same, end, count in zip(first.tolist(), until, rows[first].tolist(), lengths[first].tolist(), common[first].tolist(), ends[first].tolist(), counts[first].tolist()):
+            top = depth - 1 if end else depth
+            for d in range(len(last), min(same, top), -1):
+                cls.finish(d, last, path, weight, register, arcs, weights)
+            last = phrase[:top]
+            if end:
+                path[top] += flat[2 * s : 2 * e]
+            else:
+                weight[top] = count
+        for d in range(len(last), 0, -1):
+            cls.finish(d, last, path, weight, register, arcs, weights)
+        arcs.append(tuple(path[0]))
+        weights.append(0)
+        starts = np.concatenate([[0], np.cumsum([len(x) // 2 for x in arcs])]).astype(np.int64)
+        both = np.fromiter(chain.from_iterable(arcs), np.int64, int(starts[-1]) * 2).reshape(-1, 2)
+        return cls(words, starts, both[:, 0], both[:, 1], np.array(weights, np.int64))
+
+    @staticmethod
+    def finish(d: int, last: list[int], path: list[list[int]], weight: list[int], register: dict[tuple, int], arcs: list[tuple], weights: list[int]) -> None:
+        """Close the open state at depth d, as a new one or as its equal, and lead an arc to it."""
+        key = (*path[d], weight[d])
+        number = register.get(key)
+        if number is None:
+            number = register[key] = len(arcs)
+            arcs.append(key[:-1])
+            weights.append(weight[d])
+        path[d - 1] += (last[d - 1], number)
+        path[d], weight[d] = [], 0
 
     def to_bytes(self) -> bytes:
         words = b" ".join(self.words)
@@ -138,24 +157,24 @@ class Transducer:
 
 
 def sorted_build(words: list[bytes], by_length: list[tuple[np.ndarray, np.ndarray]]) -> Transducer:
-    """A transducer of phrases given by length as (phrases x numbers of words, counts) in any order, each phrase once."""
+    """A transducer of phrases given by length as (phrases x numbers of words, counts) in any order, each once; words ascend."""
     used = np.unique(np.concatenate([rows.ravel() for rows, _ in by_length]))
-    names = [words[k] for k in used.tolist()]
-    order = sorted(range(len(names)), key=names.__getitem__)
-    place = np.empty(len(names), np.int64)
-    place[order] = np.arange(len(names))
-    wide, counts = [], []
-    for rows, c in by_length:
-        full = np.full((len(rows), LONGEST), -1, np.int64)
-        full[:, : rows.shape[1]] = place[np.searchsorted(used, rows)]
-        wide.append(full)
-        counts.append(c)
-    rows, counts = np.concatenate(wide), np.concatenate(counts)
-    by = np.lexsort(rows.T[::-1])
-    rows, counts = rows[by], counts[by]
-    lengths = (rows >= 0).sum(axis=1).tolist()
-    phrases = [tuple(r[:n]) for r, n in zip(rows.tolist(), lengths)]
-    return Transducer.build([names[k] for k in order], phrases, counts.tolist())
+    widest = max(rows.shape[1] for rows, _ in by_length)
+    wide = np.full((sum(len(rows) for rows, _ in by_length), widest), -1, np.int64)
+    at = 0
+    for rows, _ in by_length:
+        wide[at : at + len(rows), : rows.shape[1]] = np.searchsorted(used, rows)
+        at += len(rows)
+    by = np.lexsort(wide.T[::-1])
+    return Transducer.build([words[k] for k in used.tolist()], wide[by], np.concatenate([c for _, c in by_length])[by])
+
+
+def in_order(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Words in ascending order, and the new number of each."""
+    order = sorted(range(len(words)), key=words.__getitem__)
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    return [words[k] for k in order], place
 
 
 def union(transducers: Iterator[bytes], least: int) -> tuple[Transducer | None, int]:
@@ -179,7 +198,8 @@ def union(transducers: Iterator[bytes], least: int) -> tuple[Transducer | None,
         rows, weights = rows[weights >= least], weights[weights >= least]
         if len(rows):
             kept.append((rows, weights))
-    return sorted_build(list(number), kept) if kept else None, total
+    words, place = in_order(list(number))
+    return sorted_build(words, [(place[rows], weights) for rows, weights in kept]) if kept else None, total
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -251,10 +271,10 @@ class Counter:
     def out(self, lang: str, kind: int, ranges: int) -> Iterator[tuple[str, int, int, bytes]]:
         """A transducer a range of what is held; then nothing is held."""
         self.shrink()
-        words = list(self.number)
+        words, place = in_order(list(self.number))
         h = word_hashes(pa.array(words, pa.binary()))
         parts: dict[int, list] = {}
-        for rows, counts in (p[0] for p in self.found.values()):
+        for rows, counts in ((place[p[0][0]], p[0][1]) for p in self.found.values()):
             at = range_of(joined_hash(h[rows[:, 0]], h[rows[:, 1]]) if rows.shape[1] > 1 else h[rows[:, 0]], ranges)
             by = np.argsort(at, kind="stable")
             for part in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
@@ -312,7 +332,7 @@ def count_chunk(held: Counter, lang: str, kind: int, texts: list[bytes], one: Bi
         held.add(words, np.column_stack([pairs[left[:, 0]], pairs[left[:, 1]][:, 1], pairs[fours[:, 1]][:, 1]]), counts)
 
 
-def shards(batches: Iterator[pa.RecordBatch], kind: int, ranges: int, one=None, two=None) -> Iterator[pa.RecordBatch]:
+def shards(batches: Iterator[pa.RecordBatch], kind: int, ranges: int, one=None, two=None, chunk: int = CHUNK, most: int = HELD) -> Iterator[pa.RecordBatch]:
     """A task's count transducers; one, two: broadcast bitmaps of frequent words and pairs."""
     one, two = (Bitmap(x.value) if x else None for x in (one, two))
     held: dict[str, Counter] = {}
@@ -325,7 +345,7 @@ def shards(batches: Iterator[pa.RecordBatch], kind: int, ranges: int, one=None,
     def count(lang: str) -> Iterator[pa.RecordBatch]:
         count_chunk(held.setdefault(lang, Counter()), lang, kind, texts.pop(lang), one, two)
         size.pop(lang)
-        if sum(c.held for c in held.values()) > HELD and sum(c.shrink() for c in held.values()) > HELD / 2:
+        if sum(c.held for c in held.values()) > most and sum(c.shrink() for c in held.values()) > most / 2:
             for x, c in held.items():
                 for row in c.out(x, kind, ranges):
                     yield out([row])
@@ -335,7 +355,7 @@ def shards(batches: Iterator[pa.RecordBatch], kind: int, ranges: int, one=None,
             if text:
                 texts.setdefault(lang, []).append(text)
                 size[lang] = size.get(lang, 0) + len(text)
-                if size[lang] >= CHUNK:
+                if size[lang] >= chunk:
                     yield from count(lang)
     for lang in list(texts):
         yield from count(lang)
@@ -393,10 +413,10 @@ def bitmap(spark: SparkSession, ranges: DataFrame):
     return spark.sparkContext.broadcast(bytes(data))
 
 
-def count_transducers(docs: DataFrame, kind: int, ranges: int, least: int = LEAST, one=None, two=None) -> DataFrame:
-    """(lang, kind, range, fst, size, total, marks): for each language and range the transducer of its phrases of weight least or more."""
+def count_transducers(docs: DataFrame, kind: int, ranges: int, least: int = LEAST, **more) -> DataFrame:
+    """(lang, kind, range, fst, size, total, marks): for each language and range the transducer of its phrases of weight least or more; more: see shards()."""
     d = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    parts = d.mapInArrow(partial(shards, kind=kind, ranges=ranges, one=one, two=two), SHARD_SCHEMA)
+    parts = d.mapInArrow(partial(shards, kind=kind, ranges=ranges, **more), SHARD_SCHEMA)
     return written(docs.sparkSession, parts.groupBy("lang", "kind", "range").applyInArrow(united(least), RANGE_SCHEMA), f"phrases{kind}")
 
 
@@ -430,22 +450,23 @@ def looked_up(parts: pa.Table, known: pa.Table) -> pa.Table:
         for p in parts["part"].cast(pa.binary()).to_pylist():
             ws = p.split(b" ")
             by.setdefault(len(ws), []).append([number.setdefault(w, len(number)) for w in ws])
-        asked = sorted_build(list(number), [(np.array(rows, np.int64), np.ones(len(rows), np.int64)) for rows in by.values()])
+        words, place = in_order(list(number))
+        asked = sorted_build(words, [(place[np.array(rows)], np.ones(len(rows), np.int64)) for rows in by.values()])
         found = Transducer.from_bytes(known["fst"][0].as_py()).compose(asked)
     lang = parts["lang"][0].as_py() if parts.num_rows else None
     return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "part": pa.array(list(found), pa.binary()).cast(pa.string()), "f": pa.array(list(found.values()), pa.int64())})
 
 
-def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, cover: int = COVER) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of two to four words."""
+def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, cover: int = COVER, **held: int) -> DataFrame:
+    """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of two to four words; held: chunk and most of shards()."""
     spark = docs.sparkSession
     ship(spark)
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
-    words = count_transducers(docs, 1, ranges, least)
+    words = count_transducers(docs, 1, ranges, least, **held)
     one = bitmap(spark, words)
-    pairs = count_transducers(docs, 2, ranges, least, one)
+    pairs = count_transducers(docs, 2, ranges, least, one=one, **held)
     two = bitmap(spark, pairs)
-    longer = count_transducers(docs, 3, ranges, least, one, two)
+    longer = count_transducers(docs, 3, ranges, least, one=one, two=two, **held)
     known = words.select("lang", "kind", "range", "fst").unionByName(pairs.select("lang", "kind", "range", "fst")).unionByName(longer.select("lang", "kind", "range", "fst")).where("fst is not null")
     cand = written(spark, known.where("kind > 1").select("lang", "fst").mapInArrow(listed, "lang string, words int, phrase string, a long"), "candidates")
     # Every cut of every candidate; the counts of the parts by composition, each distinct part once.
