@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import GRAPH, NS, XSD
-from ..operators import dash, governance, imports
+from ..operators import dash, governance, imports, search, segments
+from ..plans import meta
 from ..plans.meta import TABLES, load
 from ..streaming import journal
 from .base import ORACLES, query, scratch
+from .text import ASK, INDEX, ROUND, ask, bm25_sql, docs
 
 
 # Imports: the parts' names as a sheet, with duplicates as they come and broader terms from the types.
@@ -249,12 +251,12 @@ def journal_publish(spark, sf):
     return journal.journal_publish(events_journal(spark, sf)).select("seq", "op", "oversized")
 
 
-@query("journal_read", f"WITH {JOURNAL} SELECT event_id AS seq, op, k AS o FROM j WHERE event_id >= 100")
+@query("journal_read", f"WITH {JOURNAL} SELECT event_id AS seq, op, k AS o FROM j WHERE event_id >= 450")
 def journal_read(spark, sf):
-    """The journal written as JSON lines and read from an offset on."""
+    """The journal in folders by offset, read from an offset on: the folders before it are not opened."""
     path = scratch(spark, "journal")
-    events_journal(spark, sf).write.json(path)
-    return journal.journal_read(spark, path, {0: 100}).select("seq", "op", F.col("quads")[0]["o"].cast("long").alias("o"))
+    journal.journal_append(events_journal(spark, sf), path, 100)
+    return journal.journal_read(spark, path, {0: 450}, span=100).select("seq", "op", F.col("quads")[0]["o"].cast("long").alias("o"))
 
 
 def middle(spark, sf):
@@ -270,33 +272,63 @@ def restore_pitr(spark, sf):
     return journal.restore_pitr(point, j.where(F.col("at") > F.lit(t))).select("graph", "o")
 
 
-@query("checkpoint", f"WITH {JOURNAL} SELECT (SELECT count(*) FROM {fold_sql('true')}) AS triples, max(event_id) + 1 AS next FROM j")
-def checkpoint(spark, sf):
-    j = events_journal(spark, sf)
+def snapshot(spark, sf, folder):
+    """A checkpoint of the journal's first half on disk; its offsets point at the rest."""
+    early = events_journal(spark, sf).where(F.col("at") <= F.lit(middle(spark, sf)))
     none = spark.createDataFrame([], "graph string, s string, p string, o string, o_kind string, datatype string, lang string")
-    return journal.checkpoint_manifest(journal.restore_pitr(none, j), j, "2024-01-01").select("triples", F.col("offsets")[0].alias("next"))
+    return journal.checkpoint(journal.restore_pitr(none, early), folder, "2024-01-01T00:00:00", journal.next_offsets(early), "half")
+
+
+HALF = "(SELECT quantile_disc(ts, 0.5) FROM events)"
+
+
+@query("checkpoint", f"WITH {JOURNAL}, h AS MATERIALIZED (SELECT {HALF} AS t), early AS (SELECT j.* FROM j, h WHERE ts <= t), f AS {fold_sql('true').replace('FROM j ', 'FROM early j ')}, m AS (SELECT max(event_id) + 1 AS next FROM early) SELECT f.graph AS graph, f.o AS o, 'half' AS label, m.next AS next, (SELECT count(*) FROM f) AS triples FROM f, m")
+def checkpoint(spark, sf):
+    """The facts of a checkpoint as they lie on disk, with what its manifest says."""
+    folder = scratch(spark, "checkpoints")
+    made = snapshot(spark, sf, folder)
+    m = journal.list_checkpoints(spark, folder)[0]
+    return journal.restore(spark, folder, made["id"]).select("graph", "o", F.lit(m["label"]).alias("label"), F.lit(m["offsets"]["0"]).cast("long").alias("next"), F.lit(m["triples"]).cast("long").alias("triples"))
+
+
+@query("checkpoint_restore", f"WITH {JOURNAL}, x AS (SELECT quantile_disc(ts, 0.75) AS t FROM events), late AS (SELECT j.* FROM j, x WHERE ts <= t) SELECT * FROM {fold_sql('true').replace('FROM j ', 'FROM late j ')}")
+def checkpoint_restore(spark, sf):
+    """From a checkpoint on disk and the folders of the journal after it, the graph at three quarters of the time: the same as the whole journal gives."""
+    folder, path = scratch(spark, "checkpoints"), scratch(spark, "journal")
+    journal.journal_append(events_journal(spark, sf), path, 100)
+    made = snapshot(spark, sf, folder)
+    until = load(spark, sf, "events").agg(F.percentile_approx("ts", 0.75, 100_000).alias("t")).first().t
+    return journal.restore(spark, folder, made["id"], path, until, 100).select("graph", "o")
 
 
 @query("journal_apply_stream", f"WITH {JOURNAL} SELECT * FROM {fold_sql('true')}")
 def journal_apply_stream(spark, sf):
-    """The journal's files as a stream, folded batch by batch."""
+    """The journal's files as a stream, folded batch by batch into a store of buckets."""
     base = scratch(spark, "stream")
     src = f"{base}/journal"
-    events_journal(spark, sf).repartitionByRange(2, "seq").write.parquet(src)
+    events_journal(spark, sf).repartitionByRange(6, "seq").write.parquet(src)
     stream = spark.readStream.schema(events_journal(spark, sf).schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = journal.journal_apply_stream(stream, f"{base}/state", f"{base}/checkpoint")
-    q.awaitTermination()
-    return journal.stream_state(spark, f"{base}/state", q.lastProgress["batchId"] if q.lastProgress["numInputRows"] else q.lastProgress["batchId"] - 1).select("graph", "o")
+    journal.journal_apply_stream(stream, f"{base}/state", f"{base}/checkpoint", buckets=8, most=3).awaitTermination()
+    return journal.stream_state(spark, f"{base}/state").select("graph", "o")
+
 
+REFRESHED = INDEX.replace("c_name AS label, concat_ws(' ', c_name, c_mktsegment) AS f_label, concat_ws(' ', c_name, c_mktsegment) AS f_text FROM customer", "c_name AS label, concat_ws(' ', c_name, seg) AS f_label, concat_ws(' ', c_name, seg) AS f_text FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 'moved' ELSE c_mktsegment END AS seg FROM customer) WHERE c_custkey % 7 > 0")
 
-@query("index_refresh_stream", "SELECT count(DISTINCT user_id) AS n FROM events")
+
+@query("index_refresh_stream", f"{REFRESHED}{bm25_sql(ASK + chr(32) + 'UNION SELECT ' + repr('m') + ', ' + repr('moved customer'))} SELECT qid, id, {ROUND} FROM s")
 def index_refresh_stream(spark, sf):
-    """A stream of changes tells which documents to index anew."""
+    """An index on disk that a stream of changes keeps up to date: every third customer moves, every seventh goes; searched as one built anew."""
     base = scratch(spark, "refresh")
-    load(spark, sf, "events").select(F.col("user_id").cast("string").alias("id")).repartition(2).write.parquet(f"{base}/changes")
+    i = segments.SegmentedIndex(spark, f"{base}/index", buckets=4, most=3)
+    i.apply(docs(spark, sf), batch=0)
+    c = load(spark, sf, "customer")
+    c.where("c_custkey % 3 = 0 or c_custkey % 7 = 0").select(meta.subject(TABLES["customer"]).alias("id")).repartition(3).write.parquet(f"{base}/changes")
     stream = spark.readStream.schema("id string").option("maxFilesPerTrigger", 1).parquet(f"{base}/changes")
-    journal.index_refresh_stream(stream, lambda ids, e: ids.write.mode("overwrite").parquet(f"{base}/ids/v={e}"), f"{base}/checkpoint", now=True).awaitTermination()
-    return spark.read.parquet(f"{base}/ids").agg(F.countDistinct("id").alias("n"))
+    now = c.where("c_custkey % 7 > 0").withColumn("seg", F.when(F.col("c_custkey") % 3 == 0, "moved").otherwise(F.col("c_mktsegment")))
+    now = search.crawl_rows(now, "data", meta.subject(TABLES["customer"]), F.col("c_name"), [F.col("c_name"), F.col("seg")], "crm")
+    journal.index_refresh_stream(stream, i, now, f"{base}/checkpoint", now=True).awaitTermination()
+    asked = ask(spark, sf).union(spark.createDataFrame([("m", "moved customer")], "qid string, text string"))
+    return search.bm25_match(i.index(), asked).withColumn("score", F.round("score", 6))
 
 
 @query("change_feed", "SELECT event_id AS seq, 'u' || user_id AS graph FROM events")

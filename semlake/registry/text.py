@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..model import DATA, GRAPH, NS, SKOS, XSD
-from ..operators import match, search
+from ..operators import match, search, segments
 from ..plans import meta
 from ..plans.meta import TABLES, load
-from .base import query
+from .base import query, scratch
 
 #: Search documents in SQL: customers, parts and the region and nation concepts.
 DOCS = f"""docs AS (
@@ -137,6 +137,23 @@ def index_remove(spark, sf):
     return i.postings.agg(F.count("*").alias("n"), F.sum("tf").alias("tokens"))
 
 
+def indexed(spark, sf):
+    """The search documents as an index on disk, in three batches; the second replaces documents of the first by themselves."""
+    i = segments.SegmentedIndex(spark, scratch(spark, "index"), buckets=4, block_bits=6)
+    d = docs(spark, sf)
+    i.apply(d.where("kind = 'data'"))
+    i.apply(d.where("source_id = 'supply'"))
+    i.apply(d.where("kind = 'model'"))
+    return i
+
+
+@query("topk_pruned", f"{INDEX}{bm25_sql(ASK)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM s) SELECT qid, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+def topk_pruned(spark, sf):
+    """The ten best of each query from an index on disk, blocks that cannot reach them left closed."""
+    hits, _ = indexed(spark, sf).topk(ask(spark, sf), 10)
+    return hits.select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def names(spark, sf):
     """Names to reconcile: every nation and every market segment."""
     a = load(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("qid"), F.col("n_name").alias("text"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..model import JOURNAL_SCHEMA, QUAD, TRIPLE
+from ..model import JOURNAL_SCHEMA, QUAD, QUAD_SCHEMA, TRIPLE
+from ..operators.segments import SegmentedIndex
+from ..sources import store
 
 OVERSIZED = 524_288
 
@@ -20,12 +20,28 @@ def journal_publish(events: DataFrame, carry: bool = True) -> DataFrame:
     return events.withColumn("oversized", big).withColumn("quads", F.col("quads") if carry else F.when(~big, F.col("quads")))
 
 
-def journal_read(spark: SparkSession, path: str, since: dict[int, int] | None = None, until=None) -> DataFrame:
-    """Events of a JSON journal from recorded offsets on, up to a time; malformed lines are skipped."""
-    raw = spark.read.schema(JOURNAL_SCHEMA + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    out = raw.where("_corrupt is null and seq is not null").drop("_corrupt")
+#: Offsets of one folder of a journal.
+SPAN = 100_000
+
+
+def journal_append(events: DataFrame, path: str, span: int = SPAN) -> None:
+    """Append events to a journal: JSON lines in a folder a part and stretch of offsets, so that a reader lists only what it needs."""
+    e = events.withColumn("from", F.expr(f"off - pmod(off, {span})"))
+    e.repartition("part", "from").sortWithinPartitions("part", "off").write.partitionBy("part", "from").mode("append").json(path)
+
+
+def journal_read(spark: SparkSession, path: str, since: dict[int, int] | None = None, until=None, span: int | None = None) -> DataFrame:
+    """Events of a JSON journal from recorded offsets on, up to a time; malformed lines are skipped.
+
+    span: the stretch of a journal in folders (journal_append); folders before the offsets are not opened. None: plain files.
+    """
+    schema = JOURNAL_SCHEMA + (", from long" if span else "") + ", _corrupt string"
+    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     for part, off in (since or {}).items():
-        out = out.where((F.col("part") != part) | (F.col("off") >= off))
+        if span:
+            raw = raw.where((F.col("part") != part) | (F.col("from") >= off - off % span))
+        raw = raw.where((F.col("part") != part) | (F.col("off") >= off) | F.col("off").isNull())
+    out = raw.where("_corrupt is null and seq is not null").drop("_corrupt", "from")
     return out.where(F.col("at") <= F.lit(until)) if until is not None else out
 
 
@@ -45,16 +61,51 @@ def restore_pitr(checkpoint: DataFrame, journal: DataFrame, until=None) -> DataF
     m = mutations(j)
     start = checkpoint.select("graph", F.lit("insert").alias("op"), F.lit(None).cast(m.schema["ord"].dataType).alias("ord"), *TRIPLE)
     reset = m.where("op = 'drop'").groupBy("graph").agg(F.max("ord").alias("reset"))
-    rows = start.unionByName(m.where("op <> 'drop'")).join(reset, "graph", "left").where("reset is null or ord > reset")
+    rows = start.unionByName(m.where("op <> 'drop'")).join(reset.hint("shuffle_merge"), "graph", "left").where("reset is null or ord > reset")
     first = F.struct(F.col("ord").isNotNull().alias("has"), "ord")
     last = rows.groupBy(*QUAD).agg(F.max_by("op", first).alias("op"))
     return last.where("op = 'insert'").select(*QUAD)
 
 
-def checkpoint_manifest(quads: DataFrame, journal: DataFrame, at) -> DataFrame:
-    """One row: time, triples, and the next offset of each part."""
-    offs = journal.groupBy("part").agg((F.max("off") + 1).alias("next")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("part", "next")))).alias("offsets"))
-    return quads.agg(F.count("*").alias("triples")).crossJoin(offs).withColumn("at", F.lit(at))  # one row by one row
+def next_offsets(journal: DataFrame) -> dict[int, int]:
+    """The next offset of each part: a row a part."""
+    return {r.part: r.next for r in journal.groupBy("part").agg((F.max("off") + 1).alias("next")).collect()}
+
+
+def checkpoint(quads: DataFrame, folder: str, at: str, offsets: dict[int, int] | None, label: str = "") -> dict:
+    """Write a snapshot: facts in a folder a graph, then its manifest (id, at, label, graphs, triples, offsets), by which it is there or not.
+
+    offsets: of the journal, as they were before the facts were read; None if there is no journal, then a restore has no replay.
+    """
+    spark = quads.sparkSession
+    name = "cp-" + at.replace(":", "-").replace(".", "-").replace(" ", "-")
+    path = f"{folder}/{name}"
+    if "manifest.json" in store.names(spark, path):
+        raise ValueError(f"{name} is there already")
+    quads.select(*QUAD).distinct().repartitionByRange("graph", "s").write.mode("overwrite").partitionBy("graph").parquet(f"{path}/facts")
+    n = spark.read.schema(QUAD_SCHEMA).parquet(f"{path}/facts").agg(F.count("*").alias("n"), F.countDistinct("graph").alias("g")).first()
+    manifest = {"id": name, "at": at, "label": label, "graphs": n.g, "triples": n.n, "offsets": None if offsets is None else {str(p): o for p, o in offsets.items()}}
+    store.put_json(spark, f"{path}/manifest.json", manifest)
+    return manifest
+
+
+def list_checkpoints(spark: SparkSession, folder: str) -> list[dict]:
+    """Manifests of the finished checkpoints in a folder, newest first."""
+    found = [store.get_json(spark, f"{folder}/{n}/manifest.json") for n in store.names(spark, folder) if n.startswith("cp-") and "manifest.json" in store.names(spark, f"{folder}/{n}")]
+    return sorted(found, key=lambda m: m["at"], reverse=True)
+
+
+def restore(spark: SparkSession, folder: str, checkpoint_id: str, journal: str | None = None, until=None, span: int | None = SPAN) -> DataFrame:
+    """The graph at a time from what is on disk: a checkpoint's facts, and the journal from its offsets on. Without offsets, the facts alone."""
+    found = {m["id"]: m for m in list_checkpoints(spark, folder)}
+    if checkpoint_id not in found:
+        raise ValueError(f"no such checkpoint: {checkpoint_id}. Available: {', '.join(found) or '(none)'}")
+    facts = spark.read.schema(QUAD_SCHEMA).parquet(f"{folder}/{checkpoint_id}/facts").select(*QUAD)
+    offsets = found[checkpoint_id]["offsets"]
+    if journal is None or offsets is None:
+        return facts
+    tail = journal_read(spark, journal, {int(p): o for p, o in offsets.items()}, until, span)
+    return restore_pitr(facts, tail)
 
 
 def change_feed(events: DataFrame) -> DataFrame:
@@ -62,35 +113,86 @@ def change_feed(events: DataFrame) -> DataFrame:
     return events.select("at", "seq", "graph").where("graph is not null")
 
 
-def journal_apply_stream(events: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Fold a stream of events into a table of the last mutation of each fact.
+class FactStore:
+    """The last mutation of each fact, in buckets of files under numbered manifests.
 
-    Each batch's last mutations are merged by (at, seq, step), so late or repeated events never undo newer ones. The
-    state's versions are folders numbered by batch; a repeated batch rewrites its own.
+    A batch appends its own last mutations to the buckets that it touches; a bucket that has come to MOST files sets is
+    rewritten as one, so what is written follows the batch. The manifest of a batch (bucket -> the batches whose files
+    hold it) is committed last; a batch that has one is not applied again, and readers of a manifest keep its files until
+    `keep` later ones are there.
     """
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        m = mutations(batch)
-        if epoch > 0:  # an error if the version before is missing: nothing is folded from nothing
-            m = m.unionByName(spark.read.parquet(f"{state_path}/v={epoch - 1}"))
-        m.groupBy(*QUAD).agg(F.max_by(F.struct("op", "ord"), "ord").alias("x")).select(*QUAD, "x.op", "x.ord").write.mode("overwrite").parquet(f"{state_path}/v={epoch}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/v={epoch - 2}")  # the version before stays, for a batch that is repeated
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    #: Buckets of a new store, and sets of files of one bucket.
+    BUCKETS, MOST = 64, 8
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, most: int = MOST, keep: int = 3):
+        self.spark, self.path, self.buckets, self.most, self.keep = spark, path, buckets, most, keep
+        self.versions = store.Versions(spark, f"{path}/manifest")
+
+    def files(self, held: dict[str, list[int]], among=None) -> list[str]:
+        return [f"{self.path}/data/batch={e}/bucket={b}" for b, batches in held.items() if among is None or b in among for e in batches]
+
+    def rows(self, paths: list[str]) -> DataFrame:
+        schema = self.spark.read.parquet(paths[0]).schema
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def apply(self, events: DataFrame, batch: int) -> bool:
+        """Merge a batch of events by (at, seq, step), so late and repeated events never undo newer ones; False if the batch is there already."""
+        last, manifest = self.versions.read()
+        if batch <= last:
+            return False
+        n, held = (manifest["buckets"], manifest["held"]) if manifest else (self.buckets, {})
+        m = mutations(events).withColumn("bucket", F.pmod(F.xxhash64("graph", "s", "p", "o"), F.lit(n)).cast("int"))
+        newest = lambda d: d.groupBy("bucket", *QUAD).agg(F.max_by(F.struct("op", "ord"), "ord").alias("x")).select("bucket", *QUAD, "x.op", "x.ord")
+        target = f"{self.path}/data/batch={batch}"
+        newest(m).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        touched = [x.removeprefix("bucket=") for x in store.names(self.spark, target) if x.startswith("bucket=")]  # `buckets` at most
+        full = {b for b in touched if len(held.get(b, [])) + 1 >= self.most}
+        if full:
+            old = [f"{target}/bucket={b}" for b in full] + self.files(held, full)
+            whole = self.spark.read.option("basePath", f"{self.path}/data").parquet(*old).drop("batch")
+            newest(whole).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/batch={batch}m")
+        held = held | {b: [*held.get(b, []), batch] for b in touched} | {b: [f"{batch}m"] for b in full}
+        self.versions.commit(batch, {"buckets": n, "held": held})
+        stay = self.versions.forget(self.keep)
+        used = {str(e) for v in stay for batches in v["held"].values() for e in batches}
+        for name in store.names(self.spark, f"{self.path}/data"):
+            if name.removeprefix("batch=") not in used:
+                store.delete(self.spark, f"{self.path}/data/{name}")
+        return True
+
+    def graph(self, version: int | None = None) -> DataFrame:
+        """The facts that a version leaves (the last, if none is named)."""
+        number, manifest = self.versions.read(version)
+        if number < 0 or not manifest["held"]:
+            return self.spark.createDataFrame([], QUAD_SCHEMA)
+        s = self.rows(self.files(manifest["held"])).groupBy(*QUAD).agg(F.max_by(F.struct("op", "ord"), "ord").alias("x")).select(*QUAD, "x.op", "x.ord")
+        reset = s.where("op = 'drop'").groupBy("graph").agg(F.max("ord").alias("reset"))
+        return s.where("op <> 'drop'").join(reset.hint("shuffle_merge"), "graph", "left").where("(reset is null or ord > reset) and op = 'insert'").select(*QUAD)
+
+
+def journal_apply_stream(events: DataFrame, state_path: str, checkpoint: str, **options) -> StreamingQuery:
+    """Fold a stream of events into a FactStore at state_path, a version a batch."""
+    s = FactStore(events.sparkSession, state_path, **options)
+    return events.writeStream.foreachBatch(lambda batch, epoch: s.apply(batch, epoch) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_state(spark: SparkSession, state_path: str, version: int | None = None) -> DataFrame:
+    """The graph that the folded stream leaves."""
+    return FactStore(spark, state_path).graph(version)
 
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def index_refresh_stream(changes: DataFrame, index: SegmentedIndex, present: DataFrame, checkpoint: str, every: str = "4 seconds", now: bool = False) -> StreamingQuery:
+    """Keep an index up to date: each quiet spell's changed ids (id) come anew from `present`, their present documents; those that it lacks go.
 
-def stream_state(spark: SparkSession, state_path: str, version: int) -> DataFrame:
-    """The graph that the folded stream leaves."""
-    s = spark.read.parquet(f"{state_path}/v={version}")
-    reset = s.where("op = 'drop'").groupBy("graph").agg(F.max("ord").alias("reset"))
-    return s.where("op <> 'drop'").join(reset, "graph", "left").where("(reset is null or ord > reset) and op = 'insert'").select(*QUAD)
+    A batch is a segment with the batch's number, so a batch that is repeated changes nothing.
+    """
 
+    def refresh(batch: DataFrame, epoch: int) -> None:
+        ids = batch.select("id").distinct()
+        index.apply(present.join(ids.hint("shuffle_merge"), "id", "left_semi"), ids, epoch + 1)
 
-def index_refresh_stream(changes: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str, every: str = "4 seconds", now: bool = False) -> StreamingQuery:
-    """Call refresh with each quiet spell's changed ids."""
-    w = changes.writeStream.foreachBatch(lambda b, e: refresh(b.select("id").distinct(), e)).option("checkpointLocation", checkpoint)
+    w = changes.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if now else w.trigger(processingTime=every)).start()
 
 
