@@ -11,8 +11,8 @@ and the slots of the blocks that it covers stay empty, so in characters a source
 block and what its last document has beyond its block.
 
 Edge cases: a null source is the source ''; a null text has no characters and stays in its place; a null id comes
-first, such rows by a hash of their text; equal ids go by length, then by that hash; equal rows follow one another in
-any order, which shows in nothing but their own places; an empty table gives an empty result; other columns pass
+first; equal ids (and rows without one) go by length, then by a hash of their text; equal rows follow one another in
+any order, which shows in nothing but their own places (they alone are one task's rows); ids may be any long; an empty table gives an empty result; other columns pass
 through, whatever their names, but for columns named mix_units, mix_block, mix_slot and mix_start, which are replaced.
 Weights that name a source twice (null and '' are one) with different values, or leave out a source of the documents,
 are a ValueError; named twice with one value, they count once.
@@ -27,8 +27,10 @@ from .common import written
 
 CYCLE = 1000
 BLOCK_CHARS = 16384
-#: Rows of one bucket of the running sum, on average, and buckets of one step above it.
-BUCKET, STEP = 256, 4096
+#: The order of a source's documents: those without an id first, then by id, length and hash of the text.
+ORDER = ("has", "id", "len", "h")
+#: Keys of one step of the running sum (2^8); parts up to which their sums are broadcast, by a shuffle beyond.
+STEP_BITS, BROADCAST_PARTS = 8, 10_000
 #: Sources up to which their slots are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 1000
 ADDED = ("mix_units", "mix_block", "mix_slot", "mix_start")
@@ -75,30 +77,39 @@ def own_weights(weights: DataFrame) -> DataFrame:
     return w.select("source", "weight")
 
 
+def places(keys: DataFrame) -> DataFrame:
+    """keys (source, *ORDER, m: rows) with start, the length of all rows before them in their source; a written table behind it.
+
+    Keys are put in order by one range exchange, whatever their values, and summed in steps of STEP keys, parts of the
+    exchange, and sources; no window but that over a source's parts grows with the input.
+    """
+    spark = keys.sparkSession
+    s = keys.repartitionByRange("source", *ORDER).sortWithinPartitions("source", *ORDER).withColumn("at", F.monotonically_increasing_id())
+    s = written(spark, s.withColumn("part", F.shiftright("at", 33)).withColumn("step", F.shiftright("at", STEP_BITS)).withColumn("size", F.col("len") * F.col("m")), "places")
+    steps = written(spark, s.groupBy("source", "part", "step").agg(F.sum("size").alias("size")), "steps")
+    before = lambda d, by, order: d.withColumn("before", F.sum("size").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    parts = written(spark, before(steps.groupBy("source", "part").agg(F.sum("size").alias("size")), ["source"], "part").select("source", "part", F.col("before").alias("above")), "parts")
+    held = F.broadcast(parts) if parts.count() <= BROADCAST_PARTS else parts.hint("shuffle_merge")
+    steps = before(steps, ["source", "part"], "step").join(held, ["source", "part"]).select("source", "step", (F.col("above") + F.col("before")).alias("above"))
+    inside = before(s.select("source", *ORDER, "m", "at", "step", "size"), ["source", "step"], "at")
+    return inside.join(steps.hint("shuffle_merge"), ["source", "step"]).select("source", *ORDER, "m", (F.col("above") + F.col("before")).alias("start"))
+
+
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cycle: int = CYCLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with mix_units, mix_block, mix_slot, mix_start; the mixture is the order of (mix_slot, mix_start, doc_id).
 
     weights: (source, weight) with positive whole numbers for every source (else a ValueError); by default the square root of a source's
-    characters. The running sum of lengths goes by buckets of ids and steps of buckets, so that a large source is spread over many tasks.
+    characters. Places come from `places`, so that a large source is spread over many tasks, whatever its ids.
     """
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
     # The row's columns by number, so that their names cannot clash with those below.
     d = docs.select(
-        *[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("source"), F.lit("")).alias("source"),
+        *[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").cast("long").isNotNull().alias("has"), F.coalesce(F.col("source"), F.lit("")).alias("source"),
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("len"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"),
     )
-    n, low, high = d.agg(F.count("*"), F.min("id"), F.max("id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) * BUCKET // max(1, n)))
-    none = F.struct(F.lit(-1).cast("long").alias("step"), F.pmod("h", F.lit(max(1, n // BUCKET))).alias("bucket"))
-    at = F.expr(f"(id - {low or 0}L) div {width}L")
-    d = d.withColumn("at", F.when(F.col("id").isNull(), none).otherwise(F.struct((at / STEP).cast("long").alias("step"), at.alias("bucket"))))
-    d = d.select("*", "at.step", "at.bucket").drop("at")
-    sums = written(spark, d.groupBy("source", "step", "bucket").agg(F.sum("len").alias("sum")), "sums")
-    steps = sums.groupBy("source", "step").agg(F.sum("sum").alias("all"))
-    steps = steps.select("source", "step", (F.sum("all").over(Window.partitionBy("source").orderBy("step")) - F.col("all")).alias("above"))
-    within = F.sum("sum").over(Window.partitionBy("source", "step").orderBy("bucket")) - F.col("sum")
-    offsets = sums.withColumn("within", within).join(steps.hint("shuffle_merge"), ["source", "step"]).select("source", "step", "bucket", (F.col("above") + F.col("within")).alias("before"))
+    starts = places(d.groupBy("source", *ORDER).agg(F.count("*").alias("m")))
+    sums = written(spark, starts.groupBy("source").agg(F.sum(F.col("len") * F.col("m")).alias("sum")), "sums")
     if weights is None:
         weights = sums.groupBy("source").agg(F.floor(F.sqrt(F.greatest(F.sum("sum"), F.lit(1))) * 1000).cast("long").alias("weight"))
     else:
@@ -109,9 +120,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cycle: int =
     plan = schedule(shares(weights, cycle)).withColumnRenamed("units", "mix_units")
     each = plan.groupBy("source", "mix_units", "cycle").agg(F.array_sort(F.collect_list(F.struct("k", "slot"))).alias("slots"))  # `cycle` slots in all
     few = weights.count() <= BROADCAST_SOURCES
-    place = Window.partitionBy("source", "step", "bucket").orderBy("id", "len", "h").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("inside", F.sum("len").over(place) - F.col("len"))
-    d = d.join(offsets.hint("shuffle_merge"), ["source", "step", "bucket"]).withColumn("mix_start", F.col("before") + F.col("inside"))
+    d = d.join(starts.select("source", *ORDER, "start").hint("shuffle_merge"), ["source", *ORDER])
+    again = F.row_number().over(Window.partitionBy("source", *ORDER).orderBy(F.lit(0))) - 1  # among rows that nothing here tells apart
+    d = d.withColumn("mix_start", F.col("start") + F.col("len") * again)
     d = d.withColumn("mix_block", F.expr(f"mix_start div {block_chars}"))
     d = d.join(F.broadcast(each) if few else each.hint("shuffle_merge"), "source")
     d = d.withColumn("mix_slot", F.expr("(mix_block div mix_units) * cycle + slots[int(mix_block % mix_units)].slot"))

@@ -525,18 +525,29 @@ def test_mixing(spark, docs, empty):
 
 
 def test_mixing_places(spark):
-    """Sparse, null, equal and very uneven ids: places within a source follow (id, length), end to end, whatever the buckets."""
+    """Sparse, null, equal and very uneven ids, from one end of long to the other: places within a source follow (id, length), end to end."""
     rnd = random.Random(6)
-    ids = [rnd.choice([k, k * 10**12, -(5**20) * k, 7, None]) for k in range(1500)]
+    ids = [rnd.choice([k, k * 10**12, -(5**20) * k, 7, None]) for k in range(1500)] + [-(2**63), 2**63 - 1, -(2**62) - 5, 0, 2**62 + 5, 10**17]
     rows = [(i, "x" * rnd.randint(0, 9) + str(k), rnd.choice("aaab")) for k, i in enumerate(ids)]
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_chars=20).collect()
     for s in "ab":
         own = sorted((r for r in got if r.source == s), key=lambda r: r.mix_start)
         assert [r.mix_start for r in own] == [0, *np.cumsum([len(r.text) for r in own])[:-1].tolist()]
-        order = [(r.doc_id is not None, r.doc_id or 0, len(r.text) if r.doc_id is not None else 0) for r in own]
+        order = [(r.doc_id is not None, r.doc_id or 0, len(r.text)) for r in own]
         assert order == sorted(order)
 
 
+@pytest.mark.parametrize("ids", ["id", "7", "if(id = 5, 100000000000000000, id)"])
+def test_mixing_spreads_a_source(spark, ids):
+    """Dense ids, one id for all, and one far outlier: no step of the running sum holds more than its share."""
+    d = spark.range(20_000).selectExpr(f"{ids} as doc_id", "concat('x', repeat('y', int(id % 5)), id) as text", "'s' as source")
+    got = mixing.mix_sources(d)
+    keys = d.selectExpr("true as has", "doc_id as id", "bigint(length(text)) as len", "xxhash64(text) as h", "source").groupBy("source", *mixing.ORDER).count().withColumnRenamed("count", "m")
+    assert mixing.places(keys).count() == 20_000
+    x = got.agg(F.count("*").alias("n"), F.countDistinct("mix_start").alias("places"), F.max(F.col("mix_start") + F.length("text")).alias("end"), F.sum(F.length("text")).alias("chars")).first()
+    assert (x.n, x.places, x.end) == (20_000, 20_000, x.chars)
+
+
 @pytest.mark.parametrize("weights", [[1, 1], [7, 2, 1], [50, 30, 13, 5, 1, 1], [997, 1, 1, 1]])
 def test_mixing_deviation(spark, weights):
     """After every slot each source is less than one block from its share."""
