@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,9 +88,13 @@ class Rule:
     derive: Callable[[DataFrame, DataFrame], DataFrame] | None
     order: int = 0
     active: bool = True
+    #: For rules that read nothing but their members: their facts from members alone.
+    body_of: Callable[[DataFrame], DataFrame] | None = None
 
 
 FOCUS = "$this"
+#: Classes below a target up to which they are broadcast.
+BROADCAST_CLASSES = 10_000
 
 
 def triple_rule(name: str, target: str, s: str, p: str, o: str, kind: str = "iri", datatype: str | None = None, order: int = 0) -> Rule:
@@ -99,42 +104,140 @@ def triple_rule(name: str, target: str, s: str, p: str, o: str, kind: str = "iri
         pick = lambda x: F.col("inst") if x == FOCUS else F.lit(x)
         return focus.select(pick(s).alias("s"), F.lit(p).alias("p"), pick(o).alias("o"), F.lit("iri" if o == FOCUS else kind).alias("o_kind"), F.lit(datatype).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
 
-    return Rule(name, target, derive if s and p and o else None, order)
+    return Rule(name, target, derive if s and p and o else None, order, body_of=lambda focus: derive(focus, focus))
 
 
 def members(facts: DataFrame, target: str, tree: DataFrame) -> DataFrame:
     """(inst): the members of a class and of its subclasses in the closed tree."""
     below = tree.where(F.col("super") == target).select(F.col("sub").alias("o")).union(facts.sparkSession.createDataFrame([(target,)], "o string")).distinct()
     typed = facts.where((F.col("p") == TYPE) & ~F.col("s").startswith("_:")).select(F.col("s").alias("inst"), "o")
-    return typed.join(below.hint("shuffle_merge"), "o", "left_semi").select("inst").distinct()
+    few = below.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    return typed.join(F.broadcast(below) if few else below.hint("shuffle_merge"), "o", "left_semi").select("inst").distinct()
 
 
-def rules_materialize(facts: DataFrame, rules: list[Rule], passes: int = 5) -> tuple[DataFrame, int]:
-    """Inferred facts with the first rule that derived each, and the number of passes; later rules see earlier output.
+#: A body term: the focus, a variable, or a constant; see pattern_rule.
+Pattern = tuple[str, str, str]
+
 
-    A fact that was asserted already counts as derived. The class tree is closed once, and again only after a rule has
-    added to it; members are looked up below a rule's target alone. Each rule is one anti-join and one checkpoint.
+@dataclass
+class PatternRule(Rule):
+    """A rule whose body is patterns over facts, so that it can be run on what is new alone."""
+
+    body: list[Pattern] = field(default_factory=list)
+    head: tuple[str, str, str, str, str | None] = ("", "", "", "iri", None)
+    where: str | None = None
+
+    def matches(self, facts: DataFrame, pattern: Pattern) -> DataFrame:
+        """One row a fact that fits a pattern, a column a variable (for an object, its kind, datatype and language too)."""
+        out, seen = [], {}
+        for term, c in zip(pattern, "spo"):
+            if term == FOCUS or term.startswith("?"):
+                name = "inst" if term == FOCUS else term[1:]
+                if name in seen:
+                    facts = facts.where(F.col(c) == F.col(seen[name]))
+                    continue
+                seen[name] = c
+                out.append(F.col(c).alias(name))
+                if c == "o" and term != FOCUS:
+                    out += [F.col(k).alias(f"{name}__{k}") for k in ("o_kind", "datatype", "lang")]
+            else:
+                facts = facts.where(F.col(c) == term)
+        return facts.select(*out).distinct()
+
+    def joined(self, focus: DataFrame, tables: list[DataFrame]) -> DataFrame:
+        """Heads of all rows that fit: the focus and each pattern's matches in its own table, joined on the variables they share."""
+        out = focus
+        for pattern, facts in zip(self.body, tables):
+            found = self.matches(facts, pattern)
+            shared = [c for c in found.columns if c in out.columns and "__" not in c]
+            if not shared:
+                raise ValueError(f"{self.name}: {pattern} shares no variable with what stands before it")
+            out = out.join(found.drop(*[c for c in found.columns if c in out.columns and c not in shared]).hint("shuffle_merge"), shared)
+        if self.where:
+            out = out.where(self.where)
+        s, p, o, kind, datatype = self.head
+        pick = lambda x: F.col("inst") if x == FOCUS else F.col(x[1:]) if x.startswith("?") else F.lit(x)
+        own = lambda k, other: F.col(f"{o[1:]}__{k}") if f"{o[1:]}__{k}" in out.columns else other
+        return out.select(pick(s).alias("s"), F.lit(p).alias("p"), pick(o).alias("o"), own("o_kind", F.lit("iri" if o == FOCUS else kind)).alias("o_kind"), own("datatype", F.lit(datatype).cast("string")).alias("datatype"), own("lang", F.lit(None).cast("string")).alias("lang")).distinct()
+
+
+def pattern_rule(name: str, target: str, body: list[Pattern], head: Pattern, kind: str = "iri", datatype: str | None = None, where: str | None = None, order: int = 0) -> PatternRule:
+    """For every way in which the body's patterns (subject, predicate, object; $this, ?variables, constants) fit the facts
+    around a member of the target class, one fact; `where` is a condition on the variables. Every pattern shares a
+    variable with the focus or a pattern before it."""
+    rule = PatternRule(name, target, None, order, body=body, head=(*head, kind, datatype), where=where)
+    rule.derive = (lambda facts, focus: rule.joined(focus, [facts] * len(body))) if all(head) else None
+    return rule
+
+
+class Run:
+    """What a materialisation did: passes, and for each (pass, rule) the facts that the rule gave and those that were new."""
+
+    def __init__(self):
+        self.passes, self.steps = 0, []
+
+
+def rules_run(facts: DataFrame, rules: list[Rule], passes: int = 5) -> tuple[DataFrame, Run]:
+    """Inferred facts with the first rule that derived each and its pass, and the run; later rules see earlier output.
+
+    Semi-naive: a rule that has run before is run on what came since. Its new members are joined with all facts, then
+    all members with the new facts, pattern by pattern (the ones before it with all facts, the ones after with the old),
+    so nothing is derived again from old facts alone. Rules given as functions see all facts again where there is
+    something new. A fact that was asserted already counts as derived. Every step's new facts are one checkpoint.
     """
     todo = sorted((r for r in rules if r.active and r.target and r.derive), key=lambda r: (r.order, r.name))
-    base = facts.select(*TRIPLE).distinct()
-    seen = cut(base.limit(0).withColumn("rule", F.lit("")).withColumn("pass", F.lit(0)))
-    done, tree = 0, cut(subclass_closure(base))
-    for done in range(1, passes + 1):
-        start = seen
-        for r in todo:
-            now = base.unionByName(seen.select(*TRIPLE))
-            focus = members(now, r.target, tree)
-            new = r.derive(now, focus).select(*TRIPLE).distinct()
-            cond = F.lit(True)
-            for c in TRIPLE:
-                cond = cond & F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}"))
-            fresh = new.alias("n").join(seen.alias("k").hint("shuffle_merge"), cond, "left_anti").withColumn("rule", F.lit(r.name)).withColumn("pass", F.lit(done))
-            seen = cut(seen.unionByName(fresh))
-            if not seen.where((F.col("rule") == r.name) & (F.col("pass") == done) & (F.col("p") == SUBCLASS)).isEmpty():
-                tree = cut(subclass_closure(base.unionByName(seen.select(*TRIPLE))))
-        if seen.count() == start.count():
+    base, run = cut(facts.select(*TRIPLE).distinct()), Run()
+    found: list[DataFrame] = []  # new facts of each step that had any
+    tree, grown = cut(subclass_closure(base)), 0  # steps that the class tree has seen
+    last: dict[str, int] = {}  # steps that each rule has seen
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    cond = lambda: reduce(lambda x, y: x & y, [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in TRIPLE])
+    for run.passes in range(1, passes + 1):
+        added = 0
+        for k, r in enumerate(todo):
+            now = [base, *[d.select(*TRIPLE) for d in found]]
+            key, before = f"{k}", last.get(f"{k}")
+            last[key] = len(found)
+            if before is not None and before == len(found):
+                continue
+            if grown < len(found) and not union([d for d in found[grown:]]).where(F.col("p") == SUBCLASS).isEmpty():
+                tree = cut(subclass_closure(union(now)))
+                last = {key: len(found)}  # members may have changed everywhere: all rules start again
+                before = None
+            grown = len(found)
+            if before is None or (not isinstance(r, PatternRule) and r.body_of is None):
+                new = r.derive(union(now), members(union(now), r.target, tree))
+            else:
+                old, delta = union(now[: before + 1]), union(now[before + 1 :])
+                focus, fresh = members(old, r.target, tree), members(delta, r.target, tree)
+                if not isinstance(r, PatternRule):
+                    new = r.body_of(fresh)
+                else:
+                    parts = [r.joined(fresh, [union(now)] * len(r.body))]
+                    both = focus.union(fresh).distinct()
+                    parts += [r.joined(both, [union(now)] * i + [delta] + [old] * (len(r.body) - i - 1)) for i in range(len(r.body))]
+                    new = union(parts)
+            new = new.select(*TRIPLE).distinct()
+            given = cut(new)
+            if found:
+                given_new = given.alias("n").join(union([d.select(*TRIPLE) for d in found]).alias("k").hint("shuffle_merge"), cond(), "left_anti")
+            else:
+                given_new = given
+            step = cut(given_new.withColumn("rule", F.lit(r.name)).withColumn("pass", F.lit(run.passes)))
+            n = step.count()
+            run.steps.append((run.passes, r.name, given.count(), n))
+            if n:
+                found.append(step)
+                added += n
+        if not added:
             break
-    return seen, done
+    return union(found) if found else base.limit(0).withColumn("rule", F.lit("")).withColumn("pass", F.lit(0)), run
+
+
+def rules_materialize(facts: DataFrame, rules: list[Rule], passes: int = 5) -> tuple[DataFrame, int]:
+    """rules_run with the number of passes alone."""
+    out, run = rules_run(facts, rules, passes)
+    return out, run.passes
 
 
 def rules_explain(facts: DataFrame, rules: list[Rule], triples: DataFrame) -> DataFrame:

@@ -346,12 +346,27 @@ def rule_triple(spark, sf):
 @query("rule_pattern", f"SELECT '{DATA}part/' || p_partkey AS s, '{NS}big' AS p, 'yes' AS o FROM part WHERE p_size > 25")
 def rule_pattern(spark, sf):
     q = part_classes(spark, sf).unionByName(meta.instances(spark, sf, ["part"]))
-
-    def large(f, focus):
-        size = f.where((F.col("p") == NS + "part_p_size") & (F.col("o").try_cast("int") > 25)).select(F.col("s").alias("inst")).distinct()
-        return focus.join(size, "inst").select(F.col("inst").alias("s"), F.lit(NS + "big").alias("p"), F.lit("yes").alias("o"), F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
-
-    return closure.rules_materialize(q, [closure.Rule("big", NS + "Part", large)])[0].select("s", "p", "o")
+    large = closure.pattern_rule("big", NS + "Part", [(closure.FOCUS, NS + "part_p_size", "?size")], (closure.FOCUS, NS + "big", "yes"), "literal", where="try_cast(size as int) > 25")
+    return closure.rules_materialize(q, [large])[0].select("s", "p", "o")
+
+
+@query("rules_chained", f"""WITH RECURSIVE u AS (SELECT c_custkey AS a, c_custkey // 2 AS b FROM customer WHERE c_custkey > 1 UNION ALL SELECT a, b // 2 FROM u WHERE b > 1),
+f AS (SELECT a, b FROM u), boss AS (SELECT b FROM u GROUP BY b HAVING count(*) >= 1)
+SELECT '{DATA}customer/' || a AS s, '{NS}under' AS p, '{DATA}customer/' || b AS o FROM f WHERE a // 2 <> b
+UNION ALL SELECT '{DATA}customer/' || b, '{TYPE}', '{NS}Boss' FROM boss UNION ALL SELECT '{DATA}customer/' || b, '{NS}paid', 'more' FROM boss""")
+def rules_chained(spark, sf):
+    """Customers under one another, as a binary tree of their keys: who is under whom at any distance, who has someone below, and what follows for them; each pass on what the last one found."""
+    c = load(spark, sf, "customer").where("c_custkey > 1")
+    iri = lambda k: F.concat(F.lit(DATA + "customer/"), k.cast("string"))
+    q = facts(c, GRAPH + "crm", iri(F.col("c_custkey")), fact(TYPE, F.lit(NS + "customer"), "iri"), fact(NS + "under", iri(F.expr("c_custkey div 2")), "iri"))
+    q = q.unionByName(facts(load(spark, sf, "customer"), GRAPH + "crm", iri(F.col("c_custkey")), fact(TYPE, F.lit(NS + "customer"), "iri")))
+    this = closure.FOCUS
+    of = [
+        closure.pattern_rule("far", NS + "customer", [(this, NS + "under", "?x"), ("?x", NS + "under", "?y")], (this, NS + "under", "?y"), order=1),
+        closure.pattern_rule("boss", NS + "customer", [("?x", NS + "under", this)], (this, TYPE, NS + "Boss"), order=2),
+        closure.triple_rule("paid", NS + "Boss", this, NS + "paid", "more", "literal", order=3),
+    ]
+    return closure.rules_materialize(q, of, 12)[0].select("s", "p", "o")
 
 
 @query("rules_explain", f"SELECT '{DATA}part/' || p_partkey AS s, '{TYPE}' AS p, '{NS}Item' AS o, 'item,item2' AS rules FROM part WHERE p_size > 25")
