@@ -115,6 +115,46 @@ def members(facts: DataFrame, target: str, tree: DataFrame) -> DataFrame:
     return typed.join(F.broadcast(below) if few else below.hint("shuffle_merge"), "o", "left_semi").select("inst").distinct()
 
 
+def intervals(pairs: DataFrame) -> DataFrame:
+    """(iri, root, pre, post) of a forest of (child, parent): a node is below another when its numbers lie between the other's.
+
+    The tour that enters and leaves every node, children in order of their IRIs, is a list; pointers jump along it by
+    doubling, so the numbers need two rows a node, whatever the depth, and no pair table. A node with two parents, or a
+    circle, is a ValueError: take closure() there.
+    """
+    e = cut(pairs.select(F.col("a").alias("iri"), F.col("b").alias("parent")).distinct())
+    if not e.groupBy("iri").count().where("count > 1").isEmpty():
+        raise ValueError("a node has two parents")
+    tops = e.select(F.col("parent").alias("iri")).distinct().join(e.select("iri").hint("shuffle_merge"), "iri", "left_anti")
+    rank = F.row_number().over(Window.partitionBy("parent").orderBy("iri"))
+    kids = cut(e.withColumn("n", rank))
+    first = kids.where("n = 1").select(F.col("parent").alias("iri"), F.col("iri").alias("child"))
+    next_ = kids.select("parent", (F.col("n") - 1).alias("n"), F.col("iri").alias("sibling"))
+    every = e.select("iri").union(tops.select("iri"))
+    tag = lambda c, x: F.concat(F.lit(x), F.col(c))
+    down = every.join(first.hint("shuffle_merge"), "iri", "left").select(tag("iri", "<").alias("cell"), F.coalesce(tag("child", "<"), tag("iri", ">")).alias("far"))
+    up = kids.join(next_.hint("shuffle_merge"), ["parent", "n"], "left").select(tag("iri", ">").alias("cell"), F.coalesce(tag("sibling", "<"), tag("parent", ">")).alias("far"))
+    done, stuck = climb(down.unionByName(up), tops.select(tag("iri", ">").alias("cell")))
+    if done.count() != 2 * every.count():
+        raise ValueError("the pairs go round in a circle")
+    side = lambda x, n: done.where(F.substring("cell", 1, 1) == x).select(F.substring(F.col("cell"), F.lit(2), F.length("cell")).alias("iri"), F.substring(F.col("top"), F.lit(2), F.length("top")).alias("root"), F.col("d").alias(n))
+    back = side("<", "b").join(side(">", "a").hint("shuffle_merge"), ["iri", "root"])
+    return back.select("iri", "root", (-F.col("b")).alias("pre"), (-F.col("a")).alias("post"))
+
+
+def instances_within(quads: DataFrame, numbers: DataFrame, targets: DataFrame) -> DataFrame:
+    """(class_iri, inst) of the target classes (class_iri) and what is below them, by intervals: each type fact takes its
+    class's numbers, and a target takes what lies between its own; BROADCAST_CLASSES targets at most (else a ValueError)."""
+    t = targets.select("class_iri").distinct()
+    if t.count() > BROADCAST_CLASSES:
+        raise ValueError(f"more than {BROADCAST_CLASSES} classes: take instances_closure")
+    typed = quads.where((F.col("p") == TYPE) & ~F.col("s").startswith("_:")).select(F.col("s").alias("inst"), F.col("o").alias("iri")).distinct()
+    own = numbers.join(F.broadcast(t), numbers["iri"] == t["class_iri"]).select("class_iri", F.col("root").alias("r"), F.col("pre").alias("from"), F.col("post").alias("to"))
+    placed = typed.join(numbers.hint("shuffle_merge"), "iri")
+    inside = (F.col("r") == F.col("root")) & F.col("pre").between(F.col("from"), F.col("to"))
+    return placed.join(F.broadcast(own), inside).select("class_iri", "inst").distinct()
+
+
 #: A body term: the focus, a variable, or a constant; see pattern_rule.
 Pattern = tuple[str, str, str]
 

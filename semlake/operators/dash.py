@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.meta import Table, subject
+from . import closure
 
 
 def unique_names(df: DataFrame, base: str, order: str, out: str, by: list[str] = ()) -> DataFrame:
@@ -48,6 +52,71 @@ def shape_nested(parents: DataFrame, children: DataFrame, key: str, field: str,
     return parents.join(kids, key, "left")
 
 
+@dataclass
+class Field:
+    """A field of a type: its path, its scalar or the class of the resources it leads to, one value or a list."""
+
+    name: str
+    path: str
+    scalar: str = "String"
+    is_list: bool = False
+    target: str | None = None
+
+
+#: Levels of a selection.
+DEEPEST = 8
+
+
+def whole_selection(plan: dict[str, list[Field]], cls: str, depth: int) -> dict:
+    """All fields of a class to a depth; below it resources are their IRIs alone, so that shapes that lead back to themselves end."""
+    return {f.name: (whole_selection(plan, f.target, depth - 1) if depth > 1 else {}) if f.target else None for f in plan[cls]}
+
+
+def shape_tree(quads: DataFrame, plan: dict[str, list[Field]], root: str, selection: dict, most: int | None = 200) -> DataFrame:
+    """Members of a class (and its subclasses) as nested rows: _id, and what is selected, {field: None, or the selection below it}.
+
+    From the lowest level up: each level's plain values are one aggregation by subject, its resources a join of links with
+    the level below and one aggregation. A list holds its first `most` values in order (None: all), a single field its
+    first; a list without values is empty. Selections deeper than DEEPEST are a ValueError, as are unknown fields.
+    """
+    if root not in plan:
+        raise ValueError(f"no shape for {root}")
+
+    def level(cls: str, chosen: dict, depth: int) -> DataFrame:
+        """(s, its selected fields): a row a subject that has any of them."""
+        known = {f.name: f for f in plan.get(cls, [])}
+        if depth > DEEPEST or set(chosen) - set(known):
+            raise ValueError(f"deeper than {DEEPEST} levels" if depth > DEEPEST else f"unknown fields of {cls}: {', '.join(sorted(set(chosen) - set(known)))}")
+        parts = []
+        plain = [known[n] for n, below in chosen.items() if not known[n].target]
+        if plain:
+            here = quads.where(F.col("p").isin([f.path for f in plain])).select("s", "p", "o").distinct()
+            if most is not None:
+                here = here.withColumn("rn", F.row_number().over(Window.partitionBy("s", "p").orderBy("o"))).where(F.col("rn") <= most)
+            value = lambda f: F.when(F.col("p") == f.path, S.cast_scalar(F.col("o"), f.scalar))
+            parts.append(here.groupBy("s").agg(*[(F.array_sort(F.collect_list(value(f))) if f.is_list else F.min(value(f))).alias(f.name) for f in plain]))
+        for f in (known[n] for n in chosen if known[n].target):
+            links = quads.where((F.col("p") == f.path) & (F.col("o_kind") == "iri")).select("s", F.col("o").alias("_id")).distinct()
+            keep = most if f.is_list else 1
+            if keep is not None:
+                links = links.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("_id"))).where(F.col("rn") <= keep).drop("rn")
+            below = chosen[f.name] or {}
+            if below:
+                links = links.join(level(f.target, below, depth + 1).withColumnRenamed("s", "_id").hint("shuffle_merge"), "_id", "left")
+            item = F.struct("_id", *[defaulted(n, g) for n, g in ((n, next(x for x in plan[f.target] if x.name == n)) for n in below)])
+            parts.append(links.groupBy("s").agg((F.array_sort(F.collect_list(item)) if f.is_list else F.min(item)).alias(f.name)))
+        if not parts:
+            return quads.select("s").distinct()
+        return reduce(lambda x, y: x.join(y.hint("shuffle_merge"), "s", "full"), parts)
+
+    def defaulted(name: str, f: Field):
+        return F.coalesce(F.col(name), F.array()).alias(name) if f.is_list else F.col(name)
+
+    members = closure.instances_closure(quads).where(F.col("class_iri") == root).select(F.col("inst").alias("s")).distinct()
+    out = members.join(level(root, selection, 1).hint("shuffle_merge"), "s", "left")
+    return out.select(F.col("s").alias("_id"), *[defaulted(n, next(f for f in plan[root] if f.name == n)) for n in selection])
+
+
 def class_views(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
     """Every mapped class as a temporary view; (table, column, type) of all of them."""
     rows = []

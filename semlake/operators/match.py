@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import bisect
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..model import SKOS
 
+# Executors get the automaton below with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RELATIONS = ("exactMatch", "closeMatch", "broadMatch", "narrowMatch", "relatedMatch")
 
 
@@ -56,21 +65,30 @@ def crosswalk_list(quads: DataFrame, labels: DataFrame) -> DataFrame:
     return m.join(la.hint("shuffle_merge"), "a", "left").join(lb.hint("shuffle_merge"), "b", "left").select("a", "relation", "b", "label_a", "label_b")
 
 
+#: Keywords up to which a vocabulary is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_KEYWORDS = 100_000
+
+
 def match_field(names: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """names: (name); vocabulary: (ord, concept, area, keywords array): the best concept of each name.
 
-    Phrase 3, whole words 2, singular token 1; ties go to the longer keyword, then to vocabulary order. Names and
-    keywords meet on a word, singular or not, so the join is an equi-join.
+    A keyword that is the whole name scores 3, one that stands in it as consecutive whole words 2, one that is a word of
+    it without its plural s (of words over three letters) 1. A concept has its best score, by the first keyword that has
+    it; ties between concepts go to the longer keyword, then to vocabulary order. Whatever scores has its first word, or
+    itself, among the name's words, plural or not, so the join is an equi-join.
     """
-    single = lambda w: F.when(w.endswith("ies"), F.concat(F.substring(w, 1, F.length(w) - 3), F.lit("y"))).when(w.endswith("s") & ~w.endswith("ss"), F.substring(w, 1, F.length(w) - 1)).otherwise(w)
-    n = names.distinct().withColumn("words", S.tokenize_name(F.col("name"))).withColumn("singles", F.transform("words", single))
-    k = vocabulary.select("ord", "concept", "area", F.explode("keywords").alias("kw")).withColumn("kws", S.tokenize_name(F.col("kw"))).where("size(kws) > 0")
-    on = n.select("name", "words", "singles", F.explode(F.array_union("words", "singles")).alias("w")).join(F.broadcast(k.withColumn("w", F.explode(F.array_union("kws", F.transform("kws", single))))), "w").drop("w").distinct()
+    n = names.distinct().withColumn("words", S.tokenize_name(F.col("name"))).where("size(words) > 0")
+    n = n.withColumn("singles", F.transform(F.filter("words", lambda w: w.endswith("s") & (F.length(w) > 3)), lambda w: F.substring(w, 1, F.length(w) - 1)))
+    k = vocabulary.select("ord", "concept", "area", F.posexplode("keywords").alias("at", "kw")).withColumn("kws", S.tokenize_name(F.col("kw"))).where("size(kws) > 0").withColumn("w", F.col("kws")[0])
+    held = F.broadcast(k) if k.count() <= BROADCAST_KEYWORDS else k.hint("shuffle_merge")
+    on = n.select("name", "words", "singles", F.explode(F.array_union("words", "singles")).alias("w")).join(held, "w").drop("w")
     phrase, kw = F.array_join("words", " "), F.array_join("kws", " ")
-    score = F.when(phrase == kw, 3).when(F.size(F.array_except("kws", "words")) == 0, 2).when((F.size("kws") == 1) & (F.arrays_overlap("singles", F.transform("kws", single))), 1)
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    score = F.when(phrase == kw, 3).when(F.contains(pad(phrase), pad(kw)), 2).when(F.array_contains("singles", kw), 1)
     hit = on.withColumn("score", score).where("score is not null")
-    rn = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), F.desc(F.length("kw")), "ord", "kw"))
-    return hit.withColumn("rn", rn).where("rn = 1").select("name", "concept", "area", "score", F.col("kw").alias("hit"))
+    best = hit.groupBy("name", "ord", "concept", "area").agg(F.min(F.struct((-F.col("score")).alias("s"), "at", "kw", kw.alias("key"))).alias("x")).select("name", "ord", "concept", "area", (-F.col("x.s")).alias("score"), "x.kw", "x.key")
+    first = F.min(F.struct((-F.col("score")).alias("s"), (-F.length("key")).alias("l"), "ord", "concept", "area", "kw")).alias("x")
+    return best.groupBy("name").agg(first).select("name", "x.concept", "x.area", (-F.col("x.s")).alias("score"), F.col("x.kw").alias("hit"))
 
 
 def concept_lexicon(concepts: DataFrame, shortest: int = 3, longest: int | None = 200) -> DataFrame:
@@ -80,55 +98,124 @@ def concept_lexicon(concepts: DataFrame, shortest: int = 3, longest: int | None
     return n.withColumn("ord", F.struct((-F.length("name")).alias("l"), "concept", "name"))
 
 
-#: Names up to which a lexicon is broadcast; beyond, it is joined by a shuffle. Pieces of a name that are
-#: joined on (the rest is compared).
-BROADCAST_NAMES, HEAD = 100_000, 9
-PIECES = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+#: Names up to which a lexicon is one automaton in every task, and of one part of a larger one.
+BROADCAST_NAMES = 100_000
+SPANS = "concept string, l int, name string, start int, `end` int"
+
+
+def lower(text: str) -> str:
+    """Lower case, place by place: a letter whose lower case is longer stays."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+class Automaton:
+    """The names of a lexicon as one Aho-Corasick automaton: all whole-word mentions in one pass over a text."""
+
+    def __init__(self, names: list[tuple[str, str, str]]):
+        import ahocorasick
+
+        self.names = sorted((-len(name), concept, name, key) for concept, name, key in names)
+        self.machine = ahocorasick.Automaton()
+        at: dict[str, list[int]] = {}
+        for k, n in enumerate(self.names):
+            at.setdefault(n[3], []).append(k)
+        for key, ks in at.items():
+            self.machine.add_word(key, ks)
+        if at:
+            self.machine.make_automaton()
+
+    def mentions(self, text: str) -> list[tuple[int, int, int]]:
+        """(place in the order of claim, start, end) of every mention; no letter or digit stands on either side."""
+        if not self.names:
+            return []
+        low, out = lower(text), []
+        for end, ks in self.machine.iter(low):
+            start = end + 1 - len(self.names[ks[0]][3])
+            if (start == 0 or not low[start - 1].isalnum()) and (end + 1 == len(low) or not low[end + 1].isalnum()):
+                out += [(k, start, end + 1) for k in ks]
+        return out
+
+
+def claimed(found: list[tuple]) -> list[tuple]:
+    """Of (order, start, end) those that claim their span: in order, then from the left, each span once."""
+    out, starts, ends = [], [], []
+    for x in sorted(found):
+        i = bisect.bisect_right(starts, x[1])
+        if (i == 0 or ends[i - 1] <= x[1]) and (i == len(starts) or starts[i] >= x[2]):
+            starts.insert(i, x[1])
+            ends.insert(i, x[2])
+            out.append(x)
+    return out
 
 
 def auto_tag(docs: DataFrame, lexicon: DataFrame, limit: int | None = None) -> DataFrame:
-    """(doc_id, concept, n, spans) of whole-word mentions; longer names claim their span first.
+    """(doc_id, concept, n, starts) of whole-word mentions; longer names claim their span first, then by concept and name.
 
-    A text is cut into pieces, words and what lies between, by turns. From each word on, as many pieces as a name has
-    (HEAD at most, and a word last) are put together and meet the names by an equi-join; what a name has beyond is
-    compared. Only what was found goes back to its text, for the offsets, and the candidates that overlap one another,
-    never a text, are folded in order of claim.
+    Up to BROADCAST_NAMES names are one automaton in every task: each text is read once, and nothing is exchanged. A larger
+    lexicon is cut by the first words of its names; a text goes to the parts that have one of its words, and the mentions
+    of one stretch of overlaps, never a whole text, contend for their spans.
     """
-    names = lexicon.withColumn("np", F.regexp_extract_all("key", F.lit(PIECES), F.lit(0))).where(F.col("key").rlike(r"^[\p{L}\p{N}]"))
-    names = names.withColumn("k", F.least(F.lit(HEAD), F.size("np") - (F.size("np") % 2 == 0).cast("int")))
-    rest = F.array_join(F.slice("np", F.col("k") + 1, F.greatest(F.size("np") - F.col("k"), F.lit(0))), "")
-    names = names.select("concept", "ord", "k", F.array_join(F.slice("np", F.lit(1), F.col("k")), "").alias("head"), rest.alias("tail"), (F.size("np") - F.col("k")).alias("more"))
-    sizes = {r.k: r.more for r in names.groupBy("k").agg(F.max("more").alias("more")).collect()}  # five rows at most
-    if not sizes:
-        return docs.where("false").select("doc_id", F.lit("").alias("concept"), F.lit(0).cast("long").alias("n"), F.array(F.lit(0)).alias("starts"))
-    held = names.hint("shuffle_merge") if names.count() > BROADCAST_NAMES else F.broadcast(names)
-    pieces = docs.select("doc_id", F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)).alias("ps")).where("size(ps) > 0")
-    ahead = F.arrays_zip("ps", *[F.slice("ps", j + 1, F.greatest(F.size("ps") - j, F.lit(0))).alias(f"p{j}") for j in range(1, max(sizes))])
-    words = pieces.select("doc_id", F.element_at("ps", 1).rlike(r"^[\p{L}\p{N}]").alias("first"), F.posexplode(ahead).alias("i", "z")).where("(i % 2 = 0) = first")
-    part = lambda k: F.concat("z.ps", *[f"z.p{j}" for j in range(1, k)])
-    words = words.select("doc_id", "i", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lower(part(k)).alias("head"), F.length(part(k)).alias("len")) for k in sorted(sizes)])).alias("x")).select("doc_id", "i", "x.*")
-    hits = words.join(held, ["head", "k"]).groupBy("doc_id").agg(F.collect_list(F.struct("i", "k", "len", "tail", "concept", "ord")).alias("hits"))
-    # Offsets: lengths summed by steps of the square root of the text's pieces, then within a step.
-    texts = pieces.join(hits.hint("shuffle_merge"), "doc_id").withColumns({"ls": F.expr("transform(ps, p -> length(p))"), "step": F.expr("int(ceil(sqrt(size(ps))))")})
-    texts = texts.withColumn("steps", F.expr("transform(sequence(0, (size(ps) - 1) div step), b -> aggregate(slice(ls, int(b * step + 1), step), 0, (x, y) -> x + y))"))
-    texts = texts.withColumn("before", F.expr("transform(steps, (x, b) -> aggregate(slice(steps, 1, b), 0, (x, y) -> x + y))"))
-    start = "before[h.i div step] + aggregate(slice(ls, int(h.i div step * step + 1), int(h.i % step)), 0, (x, y) -> x + y)"
-    beyond = f"if(h.tail = '', '', array_join(slice(ps, h.i + h.k + 1, {max(sizes.values()) + 1}), '')) as beyond"
-    cand = texts.select("doc_id", F.expr(f"explode(transform(hits, h -> struct(h.concept, h.ord, h.tail, int({start}) as start, h.len, {beyond})))").alias("x")).select("doc_id", "x.*")
-    size = F.length("tail")  # a name without a tail ends where a piece does, so no word goes on there
-    fits = (F.lower(F.substring("beyond", F.lit(1), size)) == F.col("tail")) & ~F.substring("beyond", size + 1, F.lit(1)).rlike(r"^[\p{L}\p{N}]")
-    cand = cand.where((F.col("tail") == "") | fits).select("doc_id", "concept", "ord", "start", (F.col("start") + F.col("len") + size).alias("end"))
-    # Only spans of one stretch of overlaps contend, so each stretch is folded by itself.
-    by = Window.partitionBy("doc_id").orderBy("start", "end", "concept")
-    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    cand = cand.withColumn("opens", (reach.isNull() | (F.col("start") >= reach)).cast("int"))
-    cand = cand.withColumn("stretch", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    one = cand.groupBy("doc_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "concept"))).alias("c"))
-    claimed = F.expr("aggregate(c, cast(array() as array<struct<start:int,end:int,concept:string>>), (acc, x) -> if(exists(acc, y -> x.start < y.end and y.start < x.end), acc, concat(acc, array(struct(x.start, x.end, x.concept)))))")
-    spans = one.select("doc_id", F.explode(claimed).alias("x")).select("doc_id", "x.*")
+    names = lexicon.select("concept", "name", "key").distinct()
+    size = names.count()
+    d = docs.select("doc_id", "text")
+    kind = d.schema["doc_id"].dataType.simpleString()
+    if size <= BROADCAST_NAMES:
+        spans = d.mapInArrow(_tag([tuple(r) for r in names.collect()]), f"doc_id {kind}, concept string, start int")  # bounded by BROADCAST_NAMES
+    else:
+        parts = -(-size // BROADCAST_NAMES) * 2
+        word = lambda c: F.regexp_extract(c, r"[\p{L}\p{N}]+", 0)
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+        cut = names.withColumn("part", part(word("key")))
+        asked = d.select("doc_id", "text", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.concat(F.array(part(F.lit(""))), F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), part)))).alias("part"))
+        deal = F.pmod("h", F.lit(DEAL)).cast("int")
+        cut = cut.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))  # a part meets its texts in several tasks
+        found = asked.withColumn("deal", deal).groupBy("part", "deal").cogroup(cut.groupBy("part", "deal")).applyInArrow(_find, f"doc_id {kind}, h long, {SPANS}")
+        spans = contended(found)
     tags = spans.groupBy("doc_id", "concept").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("start")).alias("starts"))
     if limit is None:
         return tags.select("doc_id", "concept", "n", "starts")
     rn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "concept"))
     return tags.withColumn("rank", rn).where(F.col("rank") <= limit).select("doc_id", "concept", "n", "starts")
 
+
+#: Tasks among which one part of a large lexicon meets its texts.
+DEAL = 16
+
+
+def contended(found: DataFrame) -> DataFrame:
+    """(doc_id, concept, start) of the mentions (doc_id, h: the text's hash, SPANS) that claim their spans: only spans of one stretch of overlaps contend."""
+    by = Window.partitionBy("doc_id", "h").orderBy("start", "end", "concept", "name")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    cand = found.withColumn("opens", (reach.isNull() | (F.col("start") >= reach)).cast("int"))
+    cand = cand.withColumn("stretch", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    one = cand.groupBy("doc_id", "h", "stretch").agg(F.array_sort(F.collect_list(F.struct("l", "concept", "name", "start", "end"))).alias("c"))
+    kept = F.expr("aggregate(c, cast(array() as array<struct<start:int,end:int,concept:string>>), (acc, x) -> if(exists(acc, y -> x.start < y.end and y.start < x.end), acc, concat(acc, array(struct(x.start, x.end, x.concept)))))")
+    return one.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.concept", "x.start")
+
+
+def _tag(names: list[tuple[str, str, str]]):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(names)
+        for b in batches:
+            rows, concepts, starts = [], [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                for order, start, _ in claimed(automaton.mentions(text)) if text else ():
+                    rows.append(k)
+                    concepts.append(automaton.names[order][1])
+                    starts.append(start)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(concepts, pa.string()), pa.array(starts, pa.int32())], names=["doc_id", "concept", "start"])
+
+    return f
+
+
+def _find(texts: pa.Table, names: pa.Table) -> pa.Table:
+    automaton = Automaton(list(zip(*(names[c].to_pylist() for c in ("concept", "name", "key")))))
+    rows, found = [], []
+    for k, text in enumerate(texts["text"].to_pylist()):
+        for order, start, end in automaton.mentions(text) if text else ():
+            l, concept, name, _ = automaton.names[order]
+            rows.append(k)
+            found.append((concept, l, name, start, end))
+    types = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+    return pa.table([*[texts[c].take(pa.array(rows, pa.int64())) for c in ("doc_id", "h")], *[pa.array([x[k] for x in found], t) for k, t in enumerate(types)]], names=["doc_id", "h", "concept", "l", "name", "start", "end"])

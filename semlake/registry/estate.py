@@ -175,14 +175,15 @@ def key_candidates(spark, sf):
 
 # Business alignment.
 def matched_sql(names: list[tuple]) -> str:
-    """CTEs nm (kind, source_id, tab, field, property), hit (field, concept, area, confidence): each name's best keyword."""
-    words = lambda x: f"list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> '')"
-    single = "lambda w: CASE WHEN w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END"
+    """CTEs nm (kind, source_id, tab, field, property), hit (field, concept, area, confidence): each name's best concept."""
+    words = lambda x: f"array_to_string(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''), ' ')"
     return f"""nm AS {values(names, "kind, source_id, tab, field, property")},
-fw AS (SELECT DISTINCT field, {words("field")} AS ws FROM nm),
-kw AS (SELECT ord, concept, area, kw, {words("kw")} AS ks FROM (SELECT ord, concept, area, unnest(keywords) AS kw FROM {values(VOCAB, "ord, concept, area, keywords")})),
-sc AS (SELECT field, concept, area, ord, kw, CASE WHEN ws = ks THEN 3 WHEN list_has_all(ws, ks) THEN 2 WHEN len(ks) = 1 AND list_has_any(list_transform(ws, {single}), list_transform(ks, {single})) THEN 1 END AS score FROM fw, kw),
-hit AS (SELECT field, concept, area, score AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY score DESC, length(kw) DESC, ord, kw) AS rn FROM sc WHERE score IS NOT NULL) WHERE rn = 1)"""
+fw AS (SELECT DISTINCT field, {words("field")} AS phrase FROM nm),
+kw AS (SELECT ord, concept, area, {words("kw")} AS key, nth FROM (SELECT ord, concept, area, unnest(keywords) AS kw, unnest(range(len(keywords))) AS nth FROM {values(VOCAB, "ord, concept, area, keywords")})),
+sc AS (SELECT field, concept, area, ord, key, nth, CASE WHEN phrase = key THEN 3 WHEN starts_with(phrase, key || ' ') OR ends_with(phrase, ' ' || key) OR contains(phrase, ' ' || key || ' ') THEN 2
+  WHEN list_contains(string_split(phrase, ' '), key || 's') AND length(key) > 2 THEN 1 END AS score FROM fw, kw),
+cb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field, ord ORDER BY score DESC, nth) AS rn FROM sc WHERE score IS NOT NULL) WHERE rn = 1),
+hit AS (SELECT field, concept, area, score AS confidence FROM (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY field ORDER BY score DESC, length(key) DESC, ord) AS rn FROM cb) WHERE rn = 1)"""
 
 
 ESTATE = [("class", t.source, n, n, NS + n) for n, t in TABLES.items()] + [("column", t.source, n, c, f"{NS}{n}_{c}") for n, t in TABLES.items() for c, _ in t.columns]

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import GRAPH, NS, XSD
+from ..model import DATA, GRAPH, NS, XSD, fact, facts
 from ..operators import dash, governance, imports, search, segments
 from ..plans import meta
 from ..plans.meta import TABLES, load
-from ..streaming import journal
+from ..streaming import journal, watches
 from .base import ORACLES, query, scratch
 from .text import ASK, INDEX, ROUND, ask, bm25_sql, docs
 
@@ -189,6 +189,28 @@ def shape_nested_all(spark, sf):
     return shape_nested(spark, sf, None)
 
 
+TREE = {
+    NS + "customer": [dash.Field("name", NS + "customer_c_name"), dash.Field("nation", NS + "customer_c_nationkey", target=NS + "nation"), dash.Field("orders", NS + "placed", is_list=True, target=NS + "orders"), dash.Field("segments", NS + "customer_c_mktsegment", is_list=True)],
+    NS + "nation": [dash.Field("label", NS + "nation_n_name"), dash.Field("region", NS + "nation_n_regionkey", target=NS + "region")],
+    NS + "region": [dash.Field("label", NS + "region_r_name"), dash.Field("key", NS + "region_r_regionkey", "Int")],
+    NS + "orders": [dash.Field("status", NS + "orders_o_orderstatus"), dash.Field("key", NS + "orders_o_orderkey", "Int"), dash.Field("by", NS + "placedBy", target=NS + "customer")],
+}
+
+
+@query("shape_tree", f"""WITH o AS (SELECT o_custkey, to_json(list({{'_id': 'urn:sem:data/orders/' || o_orderkey, 'status': o_orderstatus, 'key': o_orderkey, 'by': {{'_id': 'urn:sem:data/customer/' || o_custkey, 'name': c_name}}}} ORDER BY 'urn:sem:data/orders/' || o_orderkey)) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey)
+SELECT 'urn:sem:data/customer/' || c_custkey AS _id, c_name AS name, CAST(to_json({{'_id': 'urn:sem:data/nation/' || n_nationkey, 'label': n_name, 'region': {{'_id': 'urn:sem:data/region/' || r_regionkey, 'label': r_name, 'key': r_regionkey}}}}) AS VARCHAR) AS nation,
+  coalesce(CAST(o.orders AS VARCHAR), '[]') AS orders, c_mktsegment AS segments
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN o ON o_custkey = c_custkey""")
+def shape_tree(spark, sf):
+    """Customers with their nation and its region, and their orders, each with the name of who placed it: three levels of structs, from facts."""
+    o = load(spark, sf, "orders")
+    order, who = meta.subject(TABLES["orders"]), F.concat(F.lit(DATA + "customer/"), F.col("o_custkey").cast("string"))
+    q = meta.instances(spark, sf, ["region", "nation", "customer", "orders"]).unionByName(facts(o, GRAPH + "sales", who, fact(NS + "placed", order, "iri"))).unionByName(facts(o, GRAPH + "sales", order, fact(NS + "placedBy", who, "iri")))
+    chosen = {"name": None, "nation": {"label": None, "region": {"label": None, "key": None}}, "orders": {"status": None, "key": None, "by": {"name": None}}, "segments": None}
+    t = dash.shape_tree(q, TREE, NS + "customer", chosen, None)
+    return t.select("_id", "name", F.to_json("nation").alias("nation"), F.to_json("orders").alias("orders"), F.array_join("segments", "|").alias("segments"))
+
+
 @query("saved_query_run", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '2-HIGH' AND o_totalprice > 150000")
 def saved_query_run(spark, sf):
     dash.class_views(spark, {"sem_orders": load(spark, sf, "orders")})
@@ -345,3 +367,19 @@ def search_watches(spark, sf):
     h = load(spark, sf, "part").select(F.col("p_brand").alias("watch"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
     known = h.select("watch").distinct().join(F.broadcast(h.agg(F.min("watch").alias("watch"))), "watch", "left_anti")
     return journal.search_watches(h, h.where("id % 2 = 1").select("watch", "id"), known)
+
+
+@query("search_watches_stream", """WITH h AS (SELECT p_brand AS watch, CAST(p_partkey AS VARCHAR) AS id, p_retailprice AS score, p_partkey % 2 = 1 AS odd FROM part),
+a AS (SELECT watch, id FROM (SELECT *, row_number() OVER (PARTITION BY watch ORDER BY score DESC, id) AS rk FROM h WHERE odd) WHERE rk <= 100),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY watch ORDER BY score DESC, id) AS rk FROM h) WHERE rk <= 100),
+n AS (SELECT watch, id, row_number() OVER (PARTITION BY watch ORDER BY rk) AS n FROM b ANTI JOIN a USING (watch, id))
+SELECT watch, 2 AS run, id, n FROM n WHERE n <= 10 AND watch IN (SELECT watch FROM a)""")
+def search_watches_stream(spark, sf):
+    """Brands as watches: the first run finds the odd parts and only records, the second finds all and reports the new ones. The state is kept between two streams."""
+    base = scratch(spark, "watches")
+    h = load(spark, sf, "part").select(F.col("p_brand").alias("watch"), F.col("p_partkey").cast("string").alias("id"), F.col("p_retailprice").alias("score"))
+    schema = "watch string, run long, id string, score double"
+    for run, part in ((1, h.where("cast(id as long) % 2 = 1")), (2, h)):
+        part.select("watch", F.lit(run).cast("long").alias("run"), "id", "score").coalesce(1).write.mode("append").parquet(f"{base}/hits")
+        watches.search_watches_stream(spark.readStream.schema(schema).parquet(f"{base}/hits"), f"{base}/new", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(watches.NEW).parquet(f"{base}/new")

@@ -90,6 +90,31 @@ def instances_closure(spark, sf):
     return closure.instances_closure(part_classes(spark, sf))
 
 
+UNDER = """WITH RECURSIVE u AS (SELECT c_custkey AS a, c_custkey // 2 AS b FROM customer WHERE c_custkey > 1 UNION ALL SELECT a, b // 2 FROM u WHERE b > 1)"""
+
+
+def under(spark, sf):
+    """Customers as a binary tree of their keys, each typed by its own class."""
+    c = load(spark, sf, "customer")
+    iri = lambda k: F.concat(F.lit(NS + "c/"), k.cast("string"))
+    tree = c.where("c_custkey > 1").select(iri(F.col("c_custkey")).alias("a"), iri(F.expr("c_custkey div 2")).alias("b"))
+    return tree, facts(c, GRAPH + "crm", F.concat(F.lit(DATA + "customer/"), F.col("c_custkey").cast("string")), fact(TYPE, iri(F.col("c_custkey")), "iri"))
+
+
+@query("class_intervals", f"{UNDER} SELECT '{NS}c/' || c_custkey AS iri, '{NS}c/1' AS root, count(a) AS below FROM customer LEFT JOIN u ON b = c_custkey WHERE c_custkey > 0 GROUP BY c_custkey")
+def class_intervals(spark, sf):
+    """How many classes are below each, from its interval alone."""
+    return closure.intervals(under(spark, sf)[0]).select("iri", "root", F.expr("(post - pre - 1) div 2").alias("below"))
+
+
+@query("instances_within", f"{UNDER}, x AS (SELECT a, b FROM u UNION ALL SELECT c_custkey, c_custkey FROM customer) SELECT '{NS}c/' || b AS class_iri, '{DATA}customer/' || a AS inst FROM x WHERE b IN (2, 3, 5, 12)")
+def instances_within(spark, sf):
+    """The instances of four classes and all below them, by range tests."""
+    tree, typed = under(spark, sf)
+    asked = spark.createDataFrame([(f"{NS}c/{k}",) for k in (2, 3, 5, 12)], "class_iri string")
+    return closure.instances_within(typed, closure.intervals(tree), asked)
+
+
 @query("list_walk", "SELECT 'urn:sem:l/' || o_custkey || '/0' AS head, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, CAST(o_orderkey AS VARCHAR) AS value FROM orders")
 def list_walk(spark, sf):
     """The orders of each customer as a list, walked."""

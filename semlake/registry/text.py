@@ -237,7 +237,17 @@ def concept_lexicon(spark, sf):
     return lexicon(spark, sf).select("concept", "key")
 
 
-@query("auto_tag")
+@query("auto_tag", f"""WITH w AS (SELECT item_id, list_slice(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 2), 1, 2) AS w FROM benchmark),
+lex AS (SELECT DISTINCT '{NS}b/' || item_id AS concept, unnest([w[1] || ' ' || w[2], w[1]]) AS name FROM w WHERE len(w) = 2),
+p AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS ps FROM documents),
+x AS (SELECT doc_id, unnest(ps) AS a, unnest(ps[2:]) AS gap, unnest(ps[3:]) AS b, unnest(range(1, len(ps) + 1)) AS i FROM p),
+y AS (SELECT doc_id, a, gap, b, CAST(sum(length(a)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - length(a) AS BIGINT) AS s FROM x),
+c AS (SELECT doc_id, concept, name, s, s + length(name) AS e FROM y JOIN lex ON name = a UNION ALL SELECT doc_id, concept, name, s, s + length(name) FROM y JOIN lex ON gap = ' ' AND name = a || ' ' || b),
+o AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY s, e, concept, name ROWS UNBOUNDED PRECEDING) AS stretch FROM (
+  SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY doc_id ORDER BY s, e, concept, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM c)),
+g AS (SELECT doc_id, list_transform(list_sort(list({{'l': -length(name), 'c': concept, 'n': name, 's': s, 'e': e}})), lambda z: [z]) AS l FROM o GROUP BY doc_id, stretch),
+k AS (SELECT doc_id, unnest(list_reduce(l, lambda acc, z: CASE WHEN len(list_filter(acc, lambda q: q.s < z[1].e AND z[1].s < q.e)) > 0 THEN acc ELSE list_concat(acc, z) END)) AS t FROM g)
+SELECT doc_id, t.c AS concept, count(*) AS n, string_agg(CAST(t.s AS VARCHAR), ',' ORDER BY t.s) AS starts FROM k GROUP BY doc_id, t.c""")
 def auto_tag(spark, sf):
     return match.auto_tag(load(spark, sf, "documents").select("doc_id", "text"), lexicon(spark, sf), limit=None).withColumn("starts", F.array_join(F.col("starts").cast("array<string>"), ","))
 
