@@ -224,7 +224,7 @@ def proofs(spark: SparkSession, m: Manifest, asked: DataFrame | None = None) ->
         nodes = nodes.unionByName(leaves.select("grp", F.lit(0).alias("level"), "pos", "h"))
         leaves = leaves.join(asked.select("doc_id").distinct().hint("shuffle_merge"), "doc_id", "left_semi")
     d = leaves.join(few(m.groups), "grp").select("grp", "pos", "n", "gpos", "groups", "doc_id", "h", "changed", F.expr(f"pos div {RUN**m.depth}").alias("block"))
-    need = written(spark, d.groupBy("grp", "block").applyInArrow(wanted, "own string, block long, grp string, level int, pos long"), "coordinates")
+    need = written(spark, d.select("grp", "block", "pos", "n", "gpos", "groups").groupBy("grp", "block").applyInArrow(wanted, "own string, block long, grp string, level int, pos long"), "coordinates")
     got = written(spark, need.join(nodes.hint("shuffle_merge"), ["grp", "level", "pos"]), "fetched")
     out = d.groupBy("grp", "block").cogroup(got.groupBy("own", "block")).applyInArrow(proved, PROOF_SCHEMA)
     out = out.join(few(m.groups.select("grp", "subroot", "root")), "grp")
