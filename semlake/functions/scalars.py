@@ -22,7 +22,7 @@ def xsd_for(sql_type: Column) -> Column:
 
 def scalar_for(datatype: Column) -> Column:
     d = F.substring_index(datatype, "#", -1)
-    return F.when(d.isin("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger"), "Int").when(d.isin("decimal", "double", "float"), "Float").when(d == "boolean", "Boolean").otherwise("String")
+    return F.when(d.isin("integer", "int", "long", "nonNegativeInteger", "positiveInteger"), "Int").when(d.isin("decimal", "double", "float"), "Float").when(d == "boolean", "Boolean").otherwise("String")
 
 
 def datatype_kind(datatype: Column) -> Column:

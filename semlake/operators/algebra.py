@@ -69,13 +69,24 @@ def delete_resource(quads: DataFrame, iris: DataFrame, incoming: bool = True) ->
     return out
 
 
+#: Names up to which they are broadcast; beyond, they are joined by shuffles.
+BROADCAST_NAMES = 100_000
+
+
 def rename_iri(quads: DataFrame, names: DataFrame) -> DataFrame:
-    """names: (old, new); rewritten as subject, predicate and object of every graph."""
+    """names: (old, new); rewritten as subject, predicate and object of every graph.
+
+    Few names are broadcast. Many are joined by subject and object; predicates, of which a few hold most facts, are never
+    shuffled by: those in use are looked up among the names first.
+    """
+    n = names.select(F.col("old").alias("__old"), F.col("new").alias("__new"))
+    few = lambda d: F.broadcast(d) if d.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else d.hint("shuffle_merge")
+    held = few(n)
+    used = few(n.join(quads.select(F.col("p").alias("__old")).distinct().hint("shuffle_merge"), "__old"))
     out = quads
-    for c, cond in (("s", None), ("p", None), ("o", "iri")):
-        n = names.select(F.col("old").alias("__old"), F.col("new").alias("__new"))
+    for c, of, cond in (("s", held, None), ("p", used, None), ("o", held, "iri")):
         on = F.col(c) == F.col("__old")
-        out = out.join(n.hint("shuffle_merge"), on & (F.col("o_kind") == cond) if cond else on, "left").withColumn(c, F.coalesce("__new", c)).drop("__old", "__new")
+        out = out.join(of, on & (F.col("o_kind") == cond) if cond else on, "left").withColumn(c, F.coalesce("__new", c)).drop("__old", "__new")
     return out.select(*QUAD).distinct()
 
 

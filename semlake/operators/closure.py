@@ -298,6 +298,20 @@ def concept_rows(quads: DataFrame, scheme: str) -> DataFrame:
     return c.join(one(PREF, "label").hint("shuffle_merge"), "iri", "left").join(one(BROADER, "broader").hint("shuffle_merge"), "iri", "left").join(one(DEPRECATED, "flag").hint("shuffle_merge"), "iri", "left").select("iri", "label", "broader", F.coalesce(F.col("flag") == "true", F.lit(False)).alias("deprecated"))
 
 
+def placed(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """df with pos, from 1, in order within each value of `by` (null is a value), by a range exchange and the counts of its parts:
+    a parent of any number of children is ranked in many tasks."""
+    at = lambda x: F.struct(F.col(by).isNotNull().alias("has"), F.coalesce(by, F.lit("")).alias("v")).alias(x)
+    d = df.withColumn("__k", at("k")).repartitionByRange("__k", *order).sortWithinPartitions("__k", *order).withColumn("__at", F.monotonically_increasing_id())
+    d = cut(d.withColumn("__part", F.shiftright("__at", 33)))
+    parts = d.groupBy("__k", "__part").agg(F.min("__at").alias("__low"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__k").orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    parts = cut(parts.withColumn("__before", before).drop("__n"))
+    few = parts.count() <= BROADCAST_CLASSES
+    out = d.join(F.broadcast(parts) if few else parts.hint("shuffle_merge"), ["__k", "__part"])
+    return out.withColumn("pos", (F.col("__at") - F.col("__low") + F.col("__before") + 1).cast("int")).drop("__k", "__at", "__part", "__low", "__before")
+
+
 def taxonomy_tree(concepts: DataFrame) -> DataFrame:
     """(iri, root, depth, pos) of a forest: nodes with a missing or foreign parent and nodes on a cycle are roots; siblings by label, then IRI."""
     ids = concepts.select(F.col("iri").alias("broader")).distinct()
@@ -311,4 +325,4 @@ def taxonomy_tree(concepts: DataFrame) -> DataFrame:
     parent = up.select(F.col("cell").alias("iri"), F.col("far").alias("parent"))
     out = done.select(F.col("cell").alias("iri"), F.col("top").alias("root"), F.col("d").cast("int").alias("depth"))
     named = out.join(concepts.select("iri", "label").hint("shuffle_merge"), "iri").join(parent.hint("shuffle_merge"), "iri", "left")
-    return named.withColumn("pos", F.row_number().over(Window.partitionBy("parent").orderBy(F.coalesce("label", "iri"), "iri"))).select("iri", "root", "depth", F.col("parent"), "pos")
+    return placed(named.withColumn("key", F.coalesce("label", "iri")), "parent", ["key", "iri"]).select("iri", "root", "depth", F.col("parent"), "pos")

@@ -93,6 +93,19 @@ def sink_jsonld(spark, sf):
     return io.sink_jsonld(crm(spark, sf))
 
 
+SHORT = {"sem": NS, "xsd": XSD}
+
+
+@query("sink_jsonld_compact", f"""{Q}, v AS (
+  SELECT DISTINCT s, CASE WHEN p = '{TYPE}' THEN '@type' ELSE replace(p, '{NS}', 'sem:') END AS key, CASE WHEN p = '{TYPE}' THEN '"' || replace(o, '{NS}', 'sem:') || '"'
+    WHEN o_kind = 'literal' THEN '{{"@value":' || CAST(to_json(o) AS VARCHAR) || ',"@type":"' || replace(datatype, '{XSD}', 'xsd:') || '"}}' ELSE '{{"@id":"' || o || '"}}' END AS v FROM q),
+k AS (SELECT s, '"' || key || '":' || CASE WHEN count(*) = 1 THEN min(v) ELSE '[' || string_agg(v, ',' ORDER BY v) || ']' END AS pair FROM v GROUP BY s, key)
+SELECT s, '{{"@context":{{"sem":"{NS}","xsd":"{XSD}"}},"@id":"' || s || '",' || string_agg(pair, ',' ORDER BY pair) || '}}' AS node FROM k GROUP BY s""")
+def sink_jsonld_compact(spark, sf):
+    """Nodes with their names shrunk by two prefixes; subjects, whose local names are paths, stay whole."""
+    return io.sink_jsonld(crm(spark, sf), SHORT)
+
+
 @query("schema_to_triples", f"WITH m AS ({_meta_sql(SCHEMA)}) {schema_sql(SCHEMA)}")
 def schema_to_triples(spark, sf):
     return meta.schema_to_triples(used(spark, sf, SCHEMA)).select("s", "p", "o", "o_kind")

@@ -278,11 +278,15 @@ def local_name(spark, sf):
     return load(spark, sf, "customer").select(F.col("c_custkey").alias("k"), S.local_name(F.concat(F.lit(NS + "x/"), F.url_encode("c_name"))).alias("l"))
 
 
-@query("scalar_for", "SELECT event_type, count(*) AS n, 'Int,Float,Boolean,String' AS s, 'number,datetime,text' AS k FROM events GROUP BY event_type")
+@query("scalar_for", f"""WITH q AS ({meta.sql_instances(["customer", "orders", "events"])}), d AS (SELECT datatype, count(*) AS n FROM q WHERE datatype IS NOT NULL GROUP BY datatype UNION ALL SELECT '{XSD}' || t, sum(n) FROM (SELECT unnest(['short', 'byte', 'long', 'double', 'boolean', 'date', 'positiveInteger']) AS t, (SELECT count(*) FROM events) AS n) GROUP BY t)
+SELECT datatype, n, CASE WHEN datatype IN ('{XSD}integer', '{XSD}long', '{XSD}positiveInteger') THEN 'Int' WHEN datatype IN ('{XSD}decimal', '{XSD}double') THEN 'Float' WHEN datatype = '{XSD}boolean' THEN 'Boolean' ELSE 'String' END AS scalar,
+  CASE WHEN datatype IN ('{XSD}integer', '{XSD}long', '{XSD}decimal', '{XSD}double') THEN 'number' WHEN datatype = '{XSD}boolean' THEN 'boolean' WHEN datatype = '{XSD}date' THEN 'date' WHEN datatype = '{XSD}dateTime' THEN 'datetime' ELSE 'text' END AS kind FROM d""")
 def scalar_for(spark, sf):
-    s = F.concat_ws(",", *[S.scalar_for(F.lit(XSD + d)) for d in ("integer", "decimal", "boolean", "string")])
-    k = F.concat_ws(",", *[S.datatype_kind(F.lit(XSD + d)) for d in ("integer", "dateTime", "string")])
-    return load(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("s", s).withColumn("k", k)
+    """The scalar and kind of every datatype of the facts, with its number; and of datatypes that the facts lack, for each event."""
+    q = meta.instances(spark, sf, ["customer", "orders", "events"]).where("datatype is not null").select("datatype")
+    more = load(spark, sf, "events").select(F.explode(F.array(*[F.lit(XSD + t) for t in ("short", "byte", "long", "double", "boolean", "date", "positiveInteger")])).alias("datatype"))
+    n = q.union(more).groupBy("datatype").agg(F.count("*").alias("n"))
+    return n.select("datatype", "n", S.scalar_for(F.col("datatype")).alias("scalar"), S.datatype_kind(F.col("datatype")).alias("kind"))
 
 
 @query("cast_scalar", "SELECT event_id, TRY_CAST(user_id AS BIGINT) AS i, TRY_CAST(event_type AS DOUBLE) AS f FROM events")
