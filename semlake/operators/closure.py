@@ -107,12 +107,16 @@ def triple_rule(name: str, target: str, s: str, p: str, o: str, kind: str = "iri
     return Rule(name, target, derive if s and p and o else None, order, body_of=lambda focus: derive(focus, focus))
 
 
-def members(facts: DataFrame, target: str, tree: DataFrame) -> DataFrame:
+def classes_below(facts: DataFrame, target: str, tree: DataFrame) -> DataFrame:
+    """(o): a class and what is below it in the closed tree; ready for a join: broadcast if it is small."""
+    below = cut(tree.where(F.col("super") == target).select(F.col("sub").alias("o")).union(facts.sparkSession.createDataFrame([(target,)], "o string")).distinct())
+    return F.broadcast(below) if below.count() <= BROADCAST_CLASSES else below.hint("shuffle_merge")
+
+
+def members(facts: DataFrame, target: str, tree: DataFrame, below: DataFrame | None = None) -> DataFrame:
     """(inst): the members of a class and of its subclasses in the closed tree."""
-    below = tree.where(F.col("super") == target).select(F.col("sub").alias("o")).union(facts.sparkSession.createDataFrame([(target,)], "o string")).distinct()
     typed = facts.where((F.col("p") == TYPE) & ~F.col("s").startswith("_:")).select(F.col("s").alias("inst"), "o")
-    few = below.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
-    return typed.join(F.broadcast(below) if few else below.hint("shuffle_merge"), "o", "left_semi").select("inst").distinct()
+    return typed.join(classes_below(facts, target, tree) if below is None else below, "o", "left_semi").select("inst").distinct()
 
 
 def intervals(pairs: DataFrame) -> DataFrame:
@@ -211,13 +215,14 @@ def pattern_rule(name: str, target: str, body: list[Pattern], head: Pattern, kin
 
 
 class Run:
-    """What a materialisation did: passes, and for each (pass, rule) the facts that the rule gave and those that were new."""
+    """What a materialisation did: passes, and for each step (pass, rule) the facts that the rule gave, if it was asked to count
+    them, and those that were new."""
 
     def __init__(self):
         self.passes, self.steps = 0, []
 
 
-def rules_run(facts: DataFrame, rules: list[Rule], passes: int = 5) -> tuple[DataFrame, Run]:
+def rules_run(facts: DataFrame, rules: list[Rule], passes: int = 5, count: bool = False) -> tuple[DataFrame, Run]:
     """Inferred facts with the first rule that derived each and its pass, and the run; later rules see earlier output.
 
     Semi-naive: a rule that has run before is run on what came since. Its new members are joined with all facts, then
@@ -230,6 +235,7 @@ def rules_run(facts: DataFrame, rules: list[Rule], passes: int = 5) -> tuple[Dat
     found: list[DataFrame] = []  # new facts of each step that had any
     tree, grown = cut(subclass_closure(base)), 0  # steps that the class tree has seen
     last: dict[str, int] = {}  # steps that each rule has seen
+    below: dict[str, DataFrame] = {}  # classes below each target, in the present tree
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     cond = lambda: reduce(lambda x, y: x & y, [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in TRIPLE])
     for run.passes in range(1, passes + 1):
@@ -242,14 +248,16 @@ def rules_run(facts: DataFrame, rules: list[Rule], passes: int = 5) -> tuple[Dat
                 continue
             if grown < len(found) and not union([d for d in found[grown:]]).where(F.col("p") == SUBCLASS).isEmpty():
                 tree = cut(subclass_closure(union(now)))
-                last = {key: len(found)}  # members may have changed everywhere: all rules start again
+                last, below = {key: len(found)}, {}  # members may have changed everywhere: all rules start again
                 before = None
             grown = len(found)
+            if r.target not in below:
+                below[r.target] = classes_below(base, r.target, tree)
             if before is None or (not isinstance(r, PatternRule) and r.body_of is None):
-                new = r.derive(union(now), members(union(now), r.target, tree))
+                new = r.derive(union(now), members(union(now), r.target, tree, below[r.target]))
             else:
                 old, delta = union(now[: before + 1]), union(now[before + 1 :])
-                focus, fresh = members(old, r.target, tree), members(delta, r.target, tree)
+                focus, fresh = (members(d, r.target, tree, below[r.target]) for d in (old, delta))
                 if not isinstance(r, PatternRule):
                     new = r.body_of(fresh)
                 else:
@@ -258,14 +266,10 @@ def rules_run(facts: DataFrame, rules: list[Rule], passes: int = 5) -> tuple[Dat
                     parts += [r.joined(both, [union(now)] * i + [delta] + [old] * (len(r.body) - i - 1)) for i in range(len(r.body))]
                     new = union(parts)
             new = new.select(*TRIPLE).distinct()
-            given = cut(new)
-            if found:
-                given_new = given.alias("n").join(union([d.select(*TRIPLE) for d in found]).alias("k").hint("shuffle_merge"), cond(), "left_anti")
-            else:
-                given_new = given
-            step = cut(given_new.withColumn("rule", F.lit(r.name)).withColumn("pass", F.lit(run.passes)))
+            fresh = new.alias("n").join(union([d.select(*TRIPLE) for d in found]).alias("k").hint("shuffle_merge"), cond(), "left_anti") if found else new
+            step = cut(fresh.withColumn("rule", F.lit(r.name)).withColumn("pass", F.lit(run.passes)))
             n = step.count()
-            run.steps.append((run.passes, r.name, given.count(), n))
+            run.steps.append((run.passes, r.name, new.count() if count else None, n))
             if n:
                 found.append(step)
                 added += n
