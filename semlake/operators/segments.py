@@ -146,6 +146,10 @@ class SegmentedIndex:
         out.corpus, out.df = self.corpus(m), self.table(m, "df", DF).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
         return out
 
+    def drop_work(self) -> None:
+        """Delete what topk wrote on the way, once its results are no longer read."""
+        store.delete(self.spark, f"{self.path}/work")
+
     def topk(self, queries: DataFrame, k: int, fields: dict[str, float] | None = None, prefix: bool = True, digits: int = 9) -> tuple[DataFrame, dict]:
         """(qid, id, score, rank) of each query's k best by score (rounded), then id: the rows that ranking all matches
         gives; and how many (query, block) pairs there were, were looked into first, and were opened.
