@@ -3,7 +3,7 @@
 The tree's leaf at a byte position holds the rank of the pair that starts there; its root is the leftmost minimum.
 A merge changes three leaves (the merged part, its live left neighbour, the part that is gone), each with a
 logarithmic walk to the root, so a piece of n bytes takes O(n log n) whatever it holds. Pieces of like length are
-merged side by side in numpy.
+merged side by side in numpy; those of more than LONG bytes one by one, in flat arrays of 28 bytes a byte of the piece.
 
 Edge cases: a null text is an empty text (no ids, decoded to no bytes); repeated rows and equal ids give one row each;
 an empty table gives an empty result; further columns, whatever their names, are not read.
@@ -16,6 +16,7 @@ import gc
 import hashlib
 import re
 import string
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +106,45 @@ class Ranks:
             tree[rows, k] = np.minimum(tree[rows, 2 * k], tree[rows, 2 * k + 1])
             width >>= 1
 
+    def merge_long(self, piece: bytes) -> bytes:
+        """Ids (little-endian uint32) of one piece of any length, by a tree of its own; a walk ends where nothing changes."""
+        n, none = len(piece), int(NONE)
+        ids = np.append(self.single[np.frombuffer(piece, dtype=np.uint8)], -1)
+        tree = np.full(2 * n, NONE)
+        tree[n:] = self.keyed(ids[:-1], ids[1:], np.arange(n), n)
+        end = n
+        while end > 1:
+            start = (end + 1) // 2
+            tree[start:end] = np.minimum(tree[2 * start : 2 * end : 2], tree[2 * start + 1 : 2 * end : 2])
+            end = start
+        tree, ids = array("q", tree.tobytes()), array("i", ids.astype(np.int32).tobytes())
+        after, before = array("i", range(1, n + 2)), array("i", range(-1, n))
+        entries, rank_of = self.entries, self.ranks.get
+
+        def put(place, left, right):
+            rank = rank_of(entries[left] + entries[right]) if left >= 0 and right >= 0 else None
+            k, value = place + n, none if rank is None else rank * n + place
+            while tree[k] != value:
+                tree[k] = value
+                if k == 1:
+                    break
+                other = tree[k ^ 1]
+                k >>= 1
+                if other < value:
+                    value = other
+
+        while (root := tree[1]) < none:
+            rank, at = divmod(root, n)
+            gone = after[at]
+            then = after[at] = after[gone]
+            ids[at], ids[gone], before[then] = rank, -1, at
+            put(gone, -1, -1)
+            put(at, rank, ids[then])
+            if (left := before[at]) >= 0:
+                put(left, ids[left], rank)
+        found = np.frombuffer(ids, dtype=np.int32)
+        return found[found >= 0].astype("<u4").tobytes()
+
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece: its own entry if it has one, else by merges."""
         out: list = [None] * len(pieces)
@@ -112,10 +152,12 @@ class Ranks:
         for i, p in enumerate(pieces):
             if (whole := self.ranks.get(p)) is not None:
                 out[i] = whole.to_bytes(4, "little")
+            elif len(p) > LONG:
+                out[i] = self.merge_long(p)
             else:
                 by_width.setdefault(1 << max(0, len(p) - 1).bit_length(), []).append(i)
         for width, which in by_width.items():
-            step = max(1, (1 << 18) // width) if width <= LONG else 1
+            step = max(1, (1 << 18) // width)
             for k in range(0, len(which), step):
                 for i, ids in zip(which[k : k + step], self.merge([pieces[i] for i in which[k : k + step]], width), strict=True):
                     out[i] = ids
