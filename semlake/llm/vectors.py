@@ -3,7 +3,8 @@
 TREES trees halve the vectors again and again by a random direction at the median of a sample (at most SAMPLE vectors,
 those with the least hash), down to leaves of about LEAF of all vectors, however many there are: where a node is left
 with fewer than 2 * FEW vectors of the sample, the nodes below go on by the medians of those. A vector within SPILL
-standard deviations of a threshold goes to both sides. Every vector is routed to its leaves; vectors are compared by
+standard deviations of a threshold goes to both sides, and within SPREAD / depth where the trees are deep, so that a
+vector has no more than about 36 leaves however many vectors there are. Every vector is routed to its leaves; vectors are compared by
 cosine, in double precision, within leaves. A pair that meets in
 several leaves counts in the first of them only, so link counts are sums and no list of pairs is ever made: a leaf
 returns each vector's links and a spanning forest of them. Equal vectors are one class, compared once. Leaves of more
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, small_batches, written
 
-TREES, LEAF, SAMPLE, FEW, SPILL, LEAST, BLOCK = 12, 256, 20_000, 16, 0.15, 0.95, 4096
+TREES, LEAF, SAMPLE, FEW, SPILL, SPREAD, LEAST, BLOCK = 12, 256, 20_000, 16, 0.15, 1.35, 0.95, 4096
 #: Leaves up to which their sizes are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_LEAVES = 500_000
 MAX_SAMPLE_BYTES = 32 << 20
@@ -41,7 +42,7 @@ class Forest:
         self.directions = rng.standard_normal((d, trees * max(depth, 1)))
         self.directions /= np.linalg.norm(self.directions, axis=0)
         p = sample @ self.directions
-        self.margin = SPILL * (p.std(axis=0) if len(sample) else np.zeros(trees * max(depth, 1)))
+        self.margin = min(SPILL, SPREAD / max(1, depth)) * (p.std(axis=0) if len(sample) else np.zeros(trees * max(depth, 1)))
         self.cuts = [[np.zeros(1 << min(level, self.known)) for level in range(depth)] for _ in range(trees)]
         for t in range(trees):
             row, node = np.arange(len(sample)), np.zeros(len(sample), dtype=np.int64)
@@ -116,6 +117,9 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", column: str = "e
     count = {r.d: r.n for r in classes.groupBy(F.octet_length("unit").alias("d")).agg(F.count("*").alias("n")).collect()}  # one row a length
     forests = {}
     for d, n in count.items():
+        if n <= LEAF:  # one leaf: nothing to fit
+            forests[d] = Forest(np.zeros((0, d // 8)), 0)
+            continue
         most = max(64, min(SAMPLE, MAX_SAMPLE_BYTES // d))
         sample = [r.unit for r in classes.where(F.octet_length("unit") == d).orderBy(F.xxhash64("node"), "node").select("unit").limit(most).collect()]
         x = np.frombuffer(b"".join(bytes(s) for s in sample), dtype=np.float64).reshape(len(sample), d // 8)
