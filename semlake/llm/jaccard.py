@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = SIZES.format(n="n", m="pn") + " and n - i >= " + ALPHA.format(n="n", m="pn") + " and pn - pi >= " + ALPHA.format(n="n", m="pn")
     stars = grid.where("q <> p").where(near).groupBy("p", "q").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("pn").alias("pn"))
     stars = stars.where(f"4 * ({BOUND.format(c='c', n='n', m='pn')}) >= 3 * {ALPHA.format(n='n', m='pn')}").select(F.col("p").alias("a"), F.col("q").alias("b"))
-    links = written(spark, compared(stars, texts), "stars")
+    links = stars = written(spark, compared(stars, texts), "stars")
     release(spark)
 
     groups = components(spark, links)
@@ -239,13 +239,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(spark, rows, "rows")
     discard(kept)
     release(spark)
-    links = links.union(written(spark, compared(_opened(spark, rows), texts), "opened"))
+    pairs = _opened(spark, rows)
+    discard(rows)
+    opened = written(spark, compared(pairs, texts), "opened")
+    discard(pairs, texts)
+    links = links.union(opened)
     release(spark)
 
     # Back to ids: classes tied by links, by equal sets and by ids with several texts.
     tag = classes.select("q", "rep").where("q <> rep")
     ties = links.select("a", "b").union(tag.select(F.col("q").alias("a"), F.col("rep").alias("b")))
     comp = components(spark, ties)
+    discard(stars, opened)
     low = comp.join(classes.select(F.col("q").alias("id"), "rep").hint("shuffle_merge"), "id").groupBy("comp").agg(F.min("rep").alias("low"))
     comp = comp.join(low.hint("shuffle_merge"), "comp").select(F.col("id").alias("q"), "low")
     of = classes.join(comp.hint("shuffle_merge"), "q", "left").select("sig", F.coalesce("low", "rep").alias("comp"))
