@@ -10,8 +10,8 @@ All training texts are counted. Texts are held in blocks of about BLOCK_CHARS ch
 distinct words and DEPTH + 1 byte strings once, with its training count, and gets back the corpus count of each word
 and the code length of each string. Strings are worked out in groups by the two nearest context bytes, by three where
 such a group has more than LARGE strings, and by four where that is more too, so no task holds a large group. What lies
-above the groups (depths 0 and 1: at most 256 * 255 nodes, and the nodes of large groups: 255 for each) is summed by
-Spark and shared by broadcast. The blocks of a word or string are kept in lists of some thousand at most.
+above the groups is summed by Spark. Depths 0 and 1 (257 * 255 nodes at most) are shared by broadcast; the nodes of
+split groups reach the groups below them by a join, 255 or 510 rows each, so nothing on the driver grows. The blocks of a word or string are kept in lists of some thousand at most.
 
 Edge cases: a null text is empty and scores its end; without training texts every count is zero and every bit costs one
 bit; repeated rows and equal ids are scored row by row; a null id hashes as empty text; an empty table gives an empty
@@ -33,7 +33,9 @@ from .common import discard, id_mod, release, small_batches, written
 
 DEPTH, BLOCK_CHARS, STEP = 4, 16_000_000, 1 << 20
 #: Strings from which a group is split by one more context byte; partitions whose blocks make one list.
-LARGE, LISTED = 1_000_000, 256
+LARGE, LISTED = 100_000, 256
+#: Split groups up to which their names are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_GROUPS = 500_000
 LN10 = math.log(10)
 
 
@@ -197,20 +199,21 @@ def raised(nodes: DataFrame, depth: int) -> DataFrame:
 
 
 class Top:
-    """The nodes above the groups: by depth, their sorted (context, node) and for each the counts and the share of the own estimate."""
+    """Nodes of depths above a group: by depth, their sorted (context, node) and for each the counts and the share of the own estimate."""
 
-    def __init__(self, rows: list):
+    def __init__(self, nodes: pa.Table):
+        depth, context, node, *rest = (nodes.column(c).to_numpy() for c in ("depth", "context", "node", "n0", "n1", "share"))
         self.at: dict[int, tuple] = {}
-        for d in sorted({r.depth for r in rows}):
-            own = sorted((r.context << 8 | r.node, r.n0, r.n1, r.share) for r in rows if r.depth == d)
-            ids, n0, n1, share = map(np.array, zip(*own, strict=True))
-            self.at[d] = ids, n0, n1, share
+        for d in np.unique(depth).tolist():
+            of = np.flatnonzero(depth == d)
+            of = of[np.argsort(context[of] << 8 | node[of])]
+            self.at[d] = context[of] << 8 | node[of], *(x[of] for x in rest)
 
-    def mix(self, key: np.ndarray, bits: np.ndarray, p: np.ndarray, below: int) -> np.ndarray:
-        """The prediction p of depth `below` mixed with all depths above it."""
+    def mix(self, key: np.ndarray, bits: np.ndarray, p: np.ndarray, depths: range) -> np.ndarray:
+        """The prediction p mixed with the given depths, the nearest first."""
         k = np.arange(8)
         node = (1 << k) | ((key & 255)[:, None] >> (8 - k))
-        for d in range(below - 1, -1, -1):
+        for d in depths:
             ids, n0, n1, share = self.at[d]
             at = np.searchsorted(ids, (key >> 8 & (1 << 8 * d) - 1)[:, None] << 8 | node)
             own = (np.where(bits, n1[at], n0[at]) + 0.5) / (n0[at] + n1[at] + 1)
@@ -222,17 +225,29 @@ def grouped(table: DataFrame) -> DataFrame:
     """table with depth and context: the least depth, from 2 on, whose contexts have LARGE strings at most (DEPTH at the deepest)."""
     near = table.select("key", "n", F.lit(2).alias("depth"), F.expr("(key >> 8) & 65535").alias("context"))
     for d in range(2, DEPTH):
-        # A row for each group of more than LARGE strings, and 256 ** d at most: few enough for a broadcast.
+        # A row for each group of more than LARGE strings.
         large = near.where(F.col("depth") == d).groupBy("context").agg(F.count("*").alias("k")).where(F.col("k") > LARGE).select(F.lit(d).alias("depth"), "context", F.lit(True).alias("large"))
         large = written(table.sparkSession, large, "large")
-        if not large.isEmpty():
-            near = near.join(F.broadcast(large), ["depth", "context"], "left").withColumn("context", F.expr(f"if(large, (key >> 8) & {(1 << 8 * (d + 1)) - 1}L, context)")).withColumn("depth", F.expr(f"if(large, {d + 1}, depth)")).drop("large")
+        if many := large.count():
+            near = near.join(F.broadcast(large) if many <= BROADCAST_GROUPS else large.hint("shuffle_merge"), ["depth", "context"], "left").withColumn("context", F.expr(f"if(large, (key >> 8) & {(1 << 8 * (d + 1)) - 1}L, context)")).withColumn("depth", F.expr(f"if(large, {d + 1}, depth)")).drop("large")
     return near
 
 
+def paths(near: DataFrame, nodes: DataFrame, deepest: int) -> DataFrame:
+    """Per group (of, at: its depth and context) below a split one: the nodes (depth, context, node, n0, n1, share) of depths 2 and more above it."""
+    groups = near.where("depth > 2").select(F.col("depth").alias("of"), F.col("context").alias("at")).distinct()
+    out = None
+    for d in range(2, max(3, deepest)):
+        up = nodes.where(F.col("depth") == d).select("depth", "context", "node", "n0", "n1", "share")
+        below = groups.where(F.col("of") > d).withColumn("context", F.expr(f"at & {(1 << 8 * d) - 1}L"))
+        part = below.join(up.hint("shuffle_merge"), "context").select("of", "at", "depth", "context", "node", "n0", "n1", "share")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def code_lengths(table: DataFrame) -> DataFrame:
     """(key, logp): log10 of the model's probability of each string's last byte; table: (key, n), a key's counts in any number of rows."""
-    near = written(table.sparkSession, grouped(table), "near")
+    near = written(table.sparkSession, grouped(table.groupBy("key").agg(F.sum("n").alias("n"))), "near")
 
     def sums(t: pa.Table) -> pa.Table:
         first = t.column("depth")[0].as_py()
@@ -247,9 +262,12 @@ def code_lengths(table: DataFrame) -> DataFrame:
         up = written(table.sparkSession, raised(nodes, d), "above")
         top.append(up)
         nodes = nodes.where(F.col("depth") <= d).unionByName(up)
-    held = table.sparkSession.sparkContext.broadcast(Top([r for t in top for r in t.collect()]))  # 256 * 255 rows at most, and 255 for each large group
+    split, high = lowest.limit(0), lowest.limit(0)
+    for d, up in zip(range(deepest - 1, -1, -1), top, strict=True):
+        split, high = (split.unionByName(up), high) if d > 1 else (split, high.unionByName(up))
+    held = table.sparkSession.sparkContext.broadcast(Top(high.toArrow()))  # 257 * 255 rows at most
 
-    def predict(t: pa.Table) -> pa.Table:
+    def predict(t: pa.Table, above: pa.Table) -> pa.Table:
         first = t.column("depth")[0].as_py()
         key = t.column("key").to_numpy()
         levels, shares, _ = subtree(key, t.column("n").to_numpy(), first)
@@ -257,11 +275,14 @@ def code_lengths(table: DataFrame) -> DataFrame:
         for level, share in zip(levels[-2::-1], shares[-2::-1], strict=True):
             w = share[level.at]
             p = w * level.estimate() + (1 - w) * p
-        p = held.value.mix(key, levels[0].bit, p, first)
+        if first > 2:
+            p = Top(above).mix(key, levels[0].bit, p, range(first - 1, 1, -1))
+        p = held.value.mix(key, levels[0].bit, p, range(1, -1, -1))
         key, at = np.unique(key, return_index=True)
         return pa.table({"key": key, "logp": np.log10(p).sum(axis=1)[at]})
 
-    out = written(table.sparkSession, near.groupBy("depth", "context").applyInArrow(predict, "key long, logp double"), "lengths")
+    above = paths(near, split, deepest).groupBy("of", "at")
+    out = written(table.sparkSession, near.groupBy("depth", "context").cogroup(above).applyInArrow(predict, "key long, logp double"), "lengths")
     discard(near, lowest, *top)
     return out
 

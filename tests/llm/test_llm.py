@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -590,6 +591,23 @@ def test_bpe_odd_texts():
             assert np.frombuffer(ids, "<u4").tolist() == ref.encode_ordinary(t) and codec.decode(ids) == t.encode()
 
 
+def test_bpe_long_pieces():
+    """Long pieces have a tree of their own: the ids are those of the shared trees and of the library."""
+    import tiktoken
+
+    ranks = bpe.Ranks.read(P.path("byte_bpe_50k.tiktoken"))
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks.ranks, special_tokens={})
+    rnd = random.Random(6)
+    for letters in ("a", "ab", "etaoinshrdlu", string.ascii_letters, "é漢x"):
+        for n in (1, 2, 3, 255, 257, 1000):
+            piece = "".join(rnd.choices(letters, k=n)).encode()
+            assert ranks.merge_long(piece) == ranks.merge([piece], 1 << max(0, len(piece) - 1).bit_length())[0]
+        text = "".join(rnd.choices(letters, k=30_000))
+        assert np.frombuffer(ranks.encode_pieces([text.encode()])[0], "<u4").tolist() == ref.encode_ordinary(text)
+    few = bpe.Ranks({b"a": 0, b"b": 1, b"ab": 2})  # a byte without an entry gives no id
+    assert np.frombuffer(few.merge_long(b"abxab" * 100), "<u4").tolist() == [2, 2] * 100
+
+
 def test_vectors(spark):
     rnd = np.random.default_rng(9)
     base = rnd.standard_normal((60, 16))
@@ -632,6 +650,23 @@ def test_vector_forest_goes_below_its_sample(n):
     assert sum(bool(leaves[k] & leaves[n + k]) for k in range(500)) >= 490
 
 
+@pytest.mark.parametrize("leaf", [64, 1])
+def test_vector_forest_recall(leaf):
+    """Pairs just above the threshold meet, and deep trees give a vector no more leaves."""
+    rnd = np.random.default_rng(8)
+    n, m = 30_000, 1000
+    x = rnd.standard_normal((n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rnd.standard_normal((m, 32))
+    side -= (side * x[:m]).sum(axis=1, keepdims=True) * x[:m]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([x, 0.951 * x[:m] + np.sqrt(1 - 0.951**2) * side])
+    forest = vectors.Forest(x[rnd.permutation(len(x))[:5000]], int(np.ceil(np.log2(n / leaf))))
+    leaves = [set(v.tolist()) for v in forest.leaves(x)]
+    assert np.mean([len(v) for v in leaves]) < 40
+    assert np.mean([bool(leaves[k] & leaves[n + k]) for k in range(m)]) >= 0.97
+
+
 def test_unite():
     rnd = np.random.default_rng(3)
     for _ in range(20):
