@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,15 +130,34 @@ def highlight(df: DataFrame, text: str, query: str, width: int = 90, before: int
     return df.withColumn("fragment", F.concat(F.when(start > 1, "…").otherwise(""), frag, F.when(F.length(text) >= start + width, "…").otherwise("")))
 
 
+def alike(docs: DataFrame, most: int) -> DataFrame:
+    """(rep, id, label): documents of the same fields score alike, so the least id of each such group stands for it; its `most` least ids."""
+    by = Window.partitionBy("__fields").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = docs.select("id", "label", F.sha2(F.to_json(F.array_sort(F.map_entries("fields"))), 256).alias("__fields"))
+    return d.withColumn("rep", F.first("id").over(by)).withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= most).select("rep", "id", "label")
+
+
 def reconcile_batch(index: Index, queries: DataFrame, limit: int = 3) -> DataFrame:
-    """(qid, id, label, score, exact): exact labels 100, the rest 90 times their share of the best score."""
-    q = queries.where(F.trim("text") != "")
-    hits = topk_hits(bm25_match(index, q), min(20, 4 * limit)).join(index.docs.select("id", "label").hint("shuffle_merge"), "id").join(q.select("qid", "text").hint("shuffle_merge"), "qid")
-    best = F.max("score").over(Window.partitionBy("qid"))
+    """(qid, id, label, score, exact, rank): exact labels 100, the rest 90 times their share of the best score; equal scores by id.
+
+    Each text is asked once, of one document of each group that has the same fields, by the statistics of the whole
+    index: a text's `most` best documents lie in its `most` best groups, each with its least ids.
+    """
+    most = min(20, 4 * limit)
+    q = queries.where(F.trim("text") != "").select("qid", "text")
+    members = alike(index.docs, most)
+    reps = members.where("id = rep").select("id")
+    few = copy(index)
+    few.postings, few.lengths = (d.join(reps.hint("shuffle_merge"), "id", "left_semi") for d in (index.postings, index.lengths))
+    asked = q.select("text").distinct().select(F.col("text").alias("qid"), "text")
+    found = topk_hits(bm25_match(few, asked), most).select("qid", F.col("id").alias("rep"), "score")
+    hits = topk_hits(found.join(members.hint("shuffle_merge"), "rep"), most).select(F.col("qid").alias("text"), "id", "label", "score")
+    best = F.max("score").over(Window.partitionBy("text"))
     exact = F.lower(F.trim("label")) == F.lower(F.trim("text"))
     out = hits.withColumn("exact", exact).withColumn("points", F.when(exact, 100.0).otherwise(F.round(F.col("score") / best * 90)))
-    rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("points"), F.desc("exact"), "id"))
-    return out.withColumn("rank", rn).where(F.col("rank") <= limit).select("qid", "id", "label", F.col("points").cast("long").alias("score"), "exact", "rank")
+    rn = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("points"), F.desc("exact"), "id"))
+    out = out.withColumn("rank", rn).where(F.col("rank") <= limit).drop("score")
+    return q.join(out.hint("shuffle_merge"), "text").select("qid", "id", "label", F.col("points").cast("long").alias("score"), "exact", "rank")
 
 
 def near_duplicate_labels(index: Index, rows: DataFrame) -> DataFrame:

@@ -303,3 +303,32 @@ def test_oversized_event(spark):
     assert journal.restore_pitr(none, journal.journal_publish(j)).count() == 1
     with pytest.raises(Exception, match="oversized"):
         journal.restore_pitr(none, journal.journal_publish(j, carry=False)).collect()
+
+
+def plain_docs(spark, rows):
+    d = spark.createDataFrame(rows, "id string, label string, text string")
+    return search.build_index(d.select("id", F.col("id").alias("iri"), F.lit("data").alias("kind"), "label", F.lit("s").alias("source_id"), F.create_map(F.lit("label"), "label", F.lit("text"), "text").alias("fields")))
+
+
+def test_reconcile_asks_each_text_once_of_each_kind_of_document(spark, monkeypatch):
+    rows = [(f"d{k:03}", x, f"{x} {y}") for k, (x, y) in enumerate([("red bolt", "a"), ("red ring", "a"), ("red bolt", "b"), ("blue ring", "a")] * 50)]
+    index, asked = plain_docs(spark, rows), spark.createDataFrame([(f"q{k:03}", t) for k, t in enumerate(["red bolt", "red xq", "none"] * 60)], "qid string, text string")
+    inner, sizes = search.bm25_match, []
+    want = {}
+    for t in ("red bolt", "red xq", "none"):
+        scores = {r.id: round(r.score, 9) for r in inner(index, spark.createDataFrame([("q", t)], "qid string, text string")).collect()}
+        top = sorted(scores, key=lambda i: (-scores[i], i))[:12]
+        points = {i: 100 if rows[int(i[1:])][1] == t else int(scores[i] / scores[top[0]] * 90 + 0.5) for i in top}
+        want[t] = [(i, points[i]) for i in sorted(top, key=lambda i: (-points[i], i))[:3]]
+
+    def counting(*args, **kwargs):
+        out = inner(*args, **kwargs)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "bm25_match", counting)
+    got = {}
+    for r in search.reconcile_batch(index, asked).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.id, r.score))
+    assert got == {f"q{k:03}": want[t] for k, t in enumerate(["red bolt", "red xq", "none"] * 60) if want[t]}
+    assert sizes == [6]  # two texts that hit three kinds of documents each, not 120 questions and 150 documents
