@@ -138,7 +138,7 @@ def alike(docs: DataFrame, most: int) -> DataFrame:
 
 
 def reconcile_batch(index: Index, queries: DataFrame, limit: int = 3) -> DataFrame:
-    """(qid, id, label, score, exact, rank): exact labels 100, the rest 90 times their share of the best score; equal scores by id.
+    """(qid, id, label, score, exact, rank): exact labels 100, the rest 90 times their share of the best score; equal scores (to nine places) by id.
 
     Each text is asked once, of one document of each group that has the same fields, by the statistics of the whole
     index: a text's `most` best documents lie in its `most` best groups, each with its least ids.
@@ -150,7 +150,7 @@ def reconcile_batch(index: Index, queries: DataFrame, limit: int = 3) -> DataFra
     few = copy(index)
     few.postings, few.lengths = (d.join(reps.hint("shuffle_merge"), "id", "left_semi") for d in (index.postings, index.lengths))
     asked = q.select("text").distinct().select(F.col("text").alias("qid"), "text")
-    found = topk_hits(bm25_match(few, asked), most).select("qid", F.col("id").alias("rep"), "score")
+    found = topk_hits(bm25_match(few, asked).withColumn("score", F.round("score", 9)), most).select("qid", F.col("id").alias("rep"), "score")
     hits = topk_hits(found.join(members.hint("shuffle_merge"), "rep"), most).select(F.col("qid").alias("text"), "id", "label", "score")
     best = F.max("score").over(Window.partitionBy("text"))
     exact = F.lower(F.trim("label")) == F.lower(F.trim("text"))

@@ -332,3 +332,11 @@ def test_reconcile_asks_each_text_once_of_each_kind_of_document(spark, monkeypat
         got.setdefault(r.qid, []).append((r.id, r.score))
     assert got == {f"q{k:03}": want[t] for k, t in enumerate(["red bolt", "red xq", "none"] * 60) if want[t]}
     assert sizes == [6]  # two texts that hit three kinds of documents each, not 120 questions and 150 documents
+
+
+def test_reconcile_ranks_scores_to_nine_places(spark, monkeypatch):
+    index = plain_docs(spark, [(i, f"red {i}", "x") for i in "abcde"])
+    scores = F.from_json(F.lit(str([{"id": i, "score": 0.3 if i == "a" else 0.30000000000000004} for i in "abcde"]).replace("'", '"')), "array<struct<id:string,score:double>>")
+    monkeypatch.setattr(search, "bm25_match", lambda i, q, *_: q.select("qid", F.explode(scores).alias("x")).select("qid", "x.*"))
+    got = search.reconcile_batch(index, spark.createDataFrame([("q", "red")], "qid string, text string"), 1).collect()
+    assert [(r.id, r.score) for r in got] == [("a", 90)]  # of four hits that are kept: 0.1 + 0.2 is no better than 0.3
