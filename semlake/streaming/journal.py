@@ -20,14 +20,30 @@ def journal_publish(events: DataFrame, carry: bool = True) -> DataFrame:
     return events.withColumn("oversized", big).withColumn("quads", F.col("quads") if carry else F.when(~big, F.col("quads")))
 
 
-#: Offsets of one folder of a journal.
-SPAN = 100_000
+#: Offsets of one folder of a journal, the folders of one append (about), the events of one task that appends.
+SPAN, FOLDERS, TASK_EVENTS = 100_000, 1_000, 200_000
+
+
+def stretches(spark: SparkSession, path: str) -> list[int]:
+    """The stretches beyond the span that folders of a journal have, each marked by a file."""
+    return [int(n.removesuffix(".json")) for n in store.names(spark, f"{path}/_stretches") if n.endswith(".json") and not n.startswith(".")]
 
 
 def journal_append(events: DataFrame, path: str, span: int = SPAN) -> None:
-    """Append events to a journal: JSON lines in a folder a part and stretch of offsets, so that a reader lists only what it needs."""
-    e = events.withColumn("from", F.expr(f"off - pmod(off, {span})"))
-    e.repartition("part", "from").sortWithinPartitions("part", "off").write.partitionBy("part", "from").mode("append").json(path)
+    """Append events to a journal: JSON lines in a folder a part and stretch of offsets, so that a reader lists only what it needs.
+
+    A folder holds `span` offsets; where that would make more than FOLDERS folders, the stretch is doubled as often as it
+    takes. Tasks take ranges of offsets, so a folder of many events is written by several.
+    """
+    ends = events.groupBy("part").agg(F.min("off").alias("low"), F.max("off").alias("high"), F.count("*").alias("n")).collect()  # a row a part
+    width = span
+    while sum(r.high // width - r.low // width for r in ends) >= FOLDERS:
+        width *= 2
+    if width > span and width not in stretches(events.sparkSession, path):
+        store.put_json(events.sparkSession, f"{path}/_stretches/{width}.json", {"span": span})
+    tasks = max(1, -(-sum(r.n for r in ends) // TASK_EVENTS))
+    e = events.withColumn("from", F.expr(f"off - pmod(off, {width})"))
+    e.repartitionByRange(tasks, "part", "off").sortWithinPartitions("part", "from", "off").write.partitionBy("part", "from").mode("append").json(path)
 
 
 def journal_read(spark: SparkSession, path: str, since: dict[int, int] | None = None, until=None, span: int | None = None) -> DataFrame:
@@ -37,9 +53,10 @@ def journal_read(spark: SparkSession, path: str, since: dict[int, int] | None =
     """
     schema = JOURNAL_SCHEMA + (", from long" if span else "") + ", _corrupt string"
     raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    width = max([span, *stretches(spark, path)]) if span else None
     for part, off in (since or {}).items():
         if span:
-            raw = raw.where((F.col("part") != part) | (F.col("from") >= off - off % span))
+            raw = raw.where((F.col("part") != part) | (F.col("from") >= off - off % width))
         raw = raw.where((F.col("part") != part) | (F.col("off") >= off) | F.col("off").isNull())
     out = raw.where("_corrupt is null and seq is not null").drop("_corrupt", "from")
     return out.where(F.col("at") <= F.lit(until)) if until is not None else out

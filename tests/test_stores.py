@@ -190,3 +190,18 @@ def test_large_lexicon_is_cut(spark, monkeypatch):
     monkeypatch.setattr(match, "BROADCAST_NAMES", 3)
     monkeypatch.setattr(match, "DEAL", 2)
     assert rows() == whole
+
+
+def test_journal_widens_its_folders_when_there_would_be_many(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(journal, "FOLDERS", 20)
+    monkeypatch.setattr(journal, "TASK_EVENTS", 300)
+    path = f"file://{tmp_path}/j"
+    rows = [event(k, "insert", "g", [("s", str(k))], part=k % 2) for k in range(1000)]
+    journal.journal_append(events(spark, rows[:60]), path, 10)  # few folders of ten offsets
+    journal.journal_append(events(spark, rows[60:]), path, 10)
+    assert {x.name for x in (tmp_path / "j" / "part=0").iterdir()} == {f"from={k}" for k in [*range(0, 60, 10), *range(160, 1000, 160)]}
+    for since in ({}, {0: 33, 1: 57}, {0: 850, 1: 951}, {0: 5000, 1: 5000}):
+        got = [r.off for r in journal.journal_read(spark, path, since, span=10).collect()]
+        assert sorted(got) == [k for k in range(1000) if k >= since.get(k % 2, 0)]
+    d = journal.journal_read(spark, path, {0: 850, 1: 951}, span=10)
+    assert {r.f.split("from=")[1].split("/")[0] for r in d.select(F.input_file_name().alias("f")).collect()} == {"800", "960"}
