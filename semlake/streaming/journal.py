@@ -90,7 +90,7 @@ def next_offsets(journal: DataFrame) -> dict[int, int]:
 
 
 def checkpoint(quads: DataFrame, folder: str, at: str, offsets: dict[int, int] | None, label: str = "") -> dict:
-    """Write a snapshot: facts in a folder a graph, then its manifest (id, at, label, graphs, triples, offsets), by which it is there or not.
+    """Write a snapshot: facts in files by ranges of graph, so that there are as many as the facts ask for whatever the number of graphs, then its manifest (id, at, label, graphs, triples, offsets), by which it is there or not.
 
     offsets: of the journal, as they were before the facts were read; None if there is no journal, then a restore has no replay.
     """
@@ -99,7 +99,7 @@ def checkpoint(quads: DataFrame, folder: str, at: str, offsets: dict[int, int] |
     path = f"{folder}/{name}"
     if "manifest.json" in store.names(spark, path):
         raise ValueError(f"{name} is there already")
-    quads.select(*QUAD).distinct().repartitionByRange("graph", "s").write.mode("overwrite").partitionBy("graph").parquet(f"{path}/facts")
+    quads.select(*QUAD).distinct().repartitionByRange("graph", "s").sortWithinPartitions("graph", "s").write.mode("overwrite").parquet(f"{path}/facts")
     n = spark.read.schema(QUAD_SCHEMA).parquet(f"{path}/facts").agg(F.count("*").alias("n"), F.countDistinct("graph").alias("g")).first()
     manifest = {"id": name, "at": at, "label": label, "graphs": n.g, "triples": n.n, "offsets": None if offsets is None else {str(p): o for p, o in offsets.items()}}
     store.put_json(spark, f"{path}/manifest.json", manifest)

@@ -205,3 +205,11 @@ def test_journal_widens_its_folders_when_there_would_be_many(spark, tmp_path, mo
         assert sorted(got) == [k for k in range(1000) if k >= since.get(k % 2, 0)]
     d = journal.journal_read(spark, path, {0: 850, 1: 951}, span=10)
     assert {r.f.split("from=")[1].split("/")[0] for r in d.select(F.input_file_name().alias("f")).collect()} == {"800", "960"}
+
+
+def test_checkpoint_takes_no_folder_for_a_graph(spark, tmp_path):
+    folder = f"file://{tmp_path}/c"
+    quads = spark.createDataFrame([(f"g{k}", "s", "p", str(k), "literal", None, None) for k in range(300)], QUAD_SCHEMA)
+    made = journal.checkpoint(quads, folder, "2024-01-01 10:00:00", None)
+    assert (made["graphs"], made["triples"]) == (300, 300) and facts(journal.restore(spark, folder, made["id"])) == facts(quads)
+    assert len(list((tmp_path / "c" / made["id"] / "facts").rglob("*.parquet"))) <= 8
