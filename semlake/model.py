@@ -27,6 +27,28 @@ QUAD_SCHEMA = "graph string, s string, p string, o string, o_kind string, dataty
 JOURNAL_SCHEMA = "part int, off long, at timestamp, seq long, step int, actor string, operation string, graph string, op string, oversized boolean, quads array<struct<s:string,p:string,o:string,o_kind:string,datatype:string,lang:string>>"
 
 
+#: Rows of a table, and facts made of them, that one task takes.
+TASK_ROWS, TASK_FACTS = 50_000, 400_000
+
+
+def tasks(df: DataFrame, rows: int) -> int:
+    """Tasks of `rows` rows that a table asks for; rows of a file are counted from its footer."""
+    return max(1, -(-df.count() // rows))
+
+
+def dealt(df: DataFrame, *by: str, rows: int | None = None) -> DataFrame:
+    """df by hash of its columns in tasks of about `rows` rows (TASK_FACTS), so that what a task holds doesn't grow with the input.
+
+    A small file is one task whatever its rows unfold to, and small shuffle blocks are joined by their compressed bytes,
+    which for facts are few: an aggregation of either holds millions of them at once. Grouping by these columns, or by
+    more, takes no other exchange. A table of one task stays as it is.
+    """
+    if df.isStreaming:
+        return df
+    n = tasks(df, rows or TASK_FACTS)
+    return df.repartition(n, *by) if n > 1 else df
+
+
 def null() -> Column:
     return F.lit(None).cast("string")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..model import BROADER, DEPRECATED, IN_SCHEME, LABEL, NS, OWL, PREF, QUAD, RDF, SH, SKOS, TOP_OF, TRIPLE, TYPE, XSD, fact, facts, of_predicate
+from ..model import BROADER, DEPRECATED, IN_SCHEME, LABEL, NS, OWL, PREF, QUAD, RDF, SH, SKOS, TOP_OF, TRIPLE, TYPE, XSD, dealt, fact, facts, of_predicate
 
 
 def same(a: str, b: str, cols=QUAD) -> Column:
@@ -17,12 +17,14 @@ def same(a: str, b: str, cols=QUAD) -> Column:
 
 
 def insert_data(quads: DataFrame, new: DataFrame) -> DataFrame:
-    return quads.select(*QUAD).unionByName(new.select(*QUAD)).distinct()
+    return dealt(quads.select(*QUAD).unionByName(new.select(*QUAD)), *QUAD).distinct()
 
 
 def delete_data(quads: DataFrame, gone: DataFrame) -> DataFrame:
-    """Exact facts out; identical facts on either side match null to null."""
-    return quads.alias("a").join(gone.select(*QUAD).distinct().alias("b").hint("shuffle_merge"), same("a", "b"), "left_anti")
+    """Exact facts out; identical facts on either side match null to null, and what stays has as many copies as before. One aggregation for both sides."""
+    both = quads.select(*QUAD, F.lit(0).alias("gone")).unionByName(gone.select(*QUAD, F.lit(1).alias("gone")))
+    n = dealt(both, *QUAD).groupBy(*QUAD).agg(F.max("gone").alias("gone"), F.count("*").alias("n")).where("gone = 0")
+    return n.select(*QUAD, F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select(*QUAD)
 
 
 def replace_value(quads: DataFrame, changes: DataFrame) -> DataFrame:
@@ -119,7 +121,7 @@ def edit_constraint(quads: DataFrame, changes: DataFrame, graph: str) -> DataFra
 def graph_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(change, s, p, o, ...) of two versions, whatever their order; one aggregation for both sides."""
     both = old.select(*TRIPLE, F.lit(1).alias("side")).unionByName(new.select(*TRIPLE, F.lit(2).alias("side")))
-    side = both.groupBy(*TRIPLE).agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a = b")
+    side = dealt(both, *TRIPLE).groupBy(*TRIPLE).agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a = b")
     return side.select(F.when(F.col("a") == 2, "added").otherwise("removed").alias("change"), *TRIPLE)
 
 
@@ -131,8 +133,8 @@ def diff_mode(diff: DataFrame) -> DataFrame:
 def apply_diff(quads: DataFrame, diff: DataFrame) -> DataFrame:
     """Removed facts out, then added ones in (a fact in both stays)."""
     d = diff.select("change", *TRIPLE)
-    marked = quads.select(*TRIPLE).distinct().withColumn("change", F.lit("kept")).unionByName(d)
-    m = marked.groupBy(*TRIPLE).agg(F.bool_or(F.col("change") == "added").alias("added"), F.bool_or(F.col("change") == "removed").alias("removed"))
+    marked = quads.select(*TRIPLE).withColumn("change", F.lit("kept")).unionByName(d)
+    m = dealt(marked, *TRIPLE).groupBy(*TRIPLE).agg(F.bool_or(F.col("change") == "added").alias("added"), F.bool_or(F.col("change") == "removed").alias("removed"))
     return m.where("added or not removed").select(*TRIPLE)
 
 
