@@ -340,3 +340,22 @@ def test_reconcile_ranks_scores_to_nine_places(spark, monkeypatch):
     monkeypatch.setattr(search, "bm25_match", lambda i, q, *_: q.select("qid", F.explode(scores).alias("x")).select("qid", "x.*"))
     got = search.reconcile_batch(index, spark.createDataFrame([("q", "red")], "qid string, text string"), 1).collect()
     assert [(r.id, r.score) for r in got] == [("a", 90)]  # of four hits that are kept: 0.1 + 0.2 is no better than 0.3
+
+
+def test_facts_are_dealt_to_bounded_tasks(spark, tmp_path, monkeypatch):
+    from semlake import model
+
+    monkeypatch.setattr(model, "TASK_ROWS", 100)
+    monkeypatch.setattr(model, "TASK_FACTS", 200)
+    monkeypatch.setattr(io, "TASK_FACTS", 200)
+    made = meta.rows_to_triples(spark.range(1000).selectExpr("cast(id as string) id", "cast(id % 7 as string) order_number", "'x' status").coalesce(1), ORDERS)
+    assert made.rdd.getNumPartitions() == 10 and made.count() == 4000
+    old, new = made.unionByName(made.where("o = '3'")), made.where("o <> '5'")
+    gone = made.count() - new.count()
+    for d, n in ((algebra.graph_diff(made, new), gone), (algebra.insert_data(made, new), 4000), (algebra.apply_diff(made, algebra.graph_diff(made, new)), 4000 - gone)):
+        assert d.rdd.getNumPartitions() > 15 and d.count() == n
+    left = algebra.delete_data(old, made.where("o = '5'"))
+    assert left.rdd.getNumPartitions() > 15 and left.count() == old.count() - gone  # repeats of what stays are kept
+    assert algebra.delete_data(quads(spark, [("a", "p", None, "literal")] * 2), quads(spark, [("a", "p", None, "literal")])).count() == 0
+    io.bulk_load(old, f"file://{tmp_path}/store")
+    assert spark.read.parquet(f"file://{tmp_path}/store").count() == 4000 and len(list((tmp_path / "store").rglob("*.parquet"))) > 15
