@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..model import TASK_ROWS, dealt
 
 K1, B, PREFIX_WEIGHT, PREFIX_MIN, PREFIX_MAX = 1.2, 0.75, 0.3, 2, 12
 DEFAULT_FIELDS = {"label": 3.0, "text": 1.0}
@@ -30,13 +31,24 @@ class Index:
 
 
 def build_index(docs: DataFrame) -> Index:
-    """One pass: tokens per field, counted per document. Term statistics are sums over postings."""
-    tok = docs.select("id", F.explode("fields").alias("field", "value")).select("id", "field", F.explode(S.tokens(F.col("value"))).alias("term"))
+    """One pass: tokens per field, counted per document where it lies. Term statistics are sums over postings."""
+    tok = dealt(docs, "id", rows=TASK_ROWS).select("id", F.explode("fields").alias("field", "value")).select("id", "field", F.explode(S.tokens(F.col("value"))).alias("term"))
     postings = tok.groupBy("field", "term", "id").agg(F.count("*").alias("tf"))
     lengths = postings.groupBy("field", "id").agg(F.sum("tf").alias("len"))
     return Index(docs, postings, lengths)
 
 
+def postings_with_counts(index: Index) -> DataFrame:
+    """Postings with the length of their document's field and the number of documents of their term.
+
+    Terms of FREQUENT postings or more, of which there are few against the postings, are broadcast: no task gets all of one.
+    """
+    p = index.postings.join(index.lengths.hint("shuffle_merge"), ["field", "id"])
+    often, rest = index.df.where(F.col("df") >= FREQUENT), index.df.where(F.col("df") < FREQUENT)
+    names = F.broadcast(often.select("field", "term"))
+    return p.join(F.broadcast(often), ["field", "term"]).unionByName(p.join(names, ["field", "term"], "left_anti").join(rest.hint("shuffle_merge"), ["field", "term"]))
+
+
 def index_upsert(index: Index, docs: DataFrame) -> Index:
     new = build_index(docs)
     gone = docs.select("id")
@@ -58,14 +70,22 @@ def query_terms(queries: DataFrame, fields: dict[str, float]) -> DataFrame:
     return t.crossJoin(F.broadcast(f))  # two fields: a row each
 
 
+#: Query terms up to which they are broadcast, and postings from which a term counts as frequent.
+BROADCAST_TERMS, FREQUENT = 100_000, 100_000
+
+
 def bm25_match(index: Index, queries: DataFrame, fields: dict[str, float] | None = None, prefix: bool = True) -> DataFrame:
     """(qid, id, score) of queries (qid, text): every token in every field, the last token also as a prefix.
 
     Terms join postings on (field, term); one aggregation per (query, document). Prefixes expand to the vocabulary's
-    terms by their first PREFIX_MIN characters, an equi-join, before they touch postings.
+    terms by their first PREFIX_MIN characters, an equi-join, before they touch postings. Few query terms are broadcast,
+    so that the postings of a frequent one stay where they are.
     """
     q = query_terms(queries, fields or DEFAULT_FIELDS)
-    hit = q.join(index.df.hint("shuffle_merge"), ["field", "term"]).join(index.postings.hint("shuffle_merge"), ["field", "term"]).join(index.lengths.hint("shuffle_merge"), ["field", "id"]).join(F.broadcast(index.corpus), "field")
+    few = q.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    by_term = lambda d: F.broadcast(d) if few else d.hint("shuffle_merge")
+    asked = by_term(index.df.join(by_term(q), ["field", "term"]))
+    hit = index.postings.join(asked, ["field", "term"]).join(index.lengths.hint("shuffle_merge"), ["field", "id"]).join(F.broadcast(index.corpus), "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     avg = F.greatest(F.lit(1.0), F.col("total") / F.greatest(F.lit(1), F.col("n_docs")))
     score = F.col("m") * F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))

@@ -64,8 +64,7 @@ def crawl_rows(spark, sf):
 
 @query("build_index", f"{INDEX} SELECT p.field AS field, p.term AS term, p.id AS id, p.tf AS tf, len.len AS len, df.df AS df FROM p JOIN len ON p.field = len.field AND p.id = len.id JOIN df ON p.field = df.field AND p.term = df.term")
 def build_index(spark, sf):
-    i = index(spark, sf)
-    return i.postings.join(i.lengths, ["field", "id"]).join(i.df, ["field", "term"]).select("field", "term", "id", "tf", "len", "df")
+    return search.postings_with_counts(index(spark, sf)).select("field", "term", "id", "tf", "len", "df")
 
 
 @query("bm25_match", f"{INDEX}{bm25_sql(ASK)} SELECT qid, id, {ROUND} FROM s")

@@ -359,3 +359,21 @@ def test_facts_are_dealt_to_bounded_tasks(spark, tmp_path, monkeypatch):
     assert algebra.delete_data(quads(spark, [("a", "p", None, "literal")] * 2), quads(spark, [("a", "p", None, "literal")])).count() == 0
     io.bulk_load(old, f"file://{tmp_path}/store")
     assert spark.read.parquet(f"file://{tmp_path}/store").count() == 4000 and len(list((tmp_path / "store").rglob("*.parquet"))) > 15
+
+
+def test_index_is_built_in_bounded_tasks_and_frequent_terms_stay_put(spark, monkeypatch):
+    rows = [(f"d{k:04}", f"part {k % 90}", f"part {k % 90} x{k}") for k in range(600)]
+    want = sorted(map(tuple, search.postings_with_counts(plain_docs(spark, rows)).select("field", "term", "id", "tf", "len", "df").collect()))
+    monkeypatch.setattr(search, "TASK_ROWS", 50)
+    monkeypatch.setattr(search, "FREQUENT", 100)
+    i = plain_docs(spark, rows)
+    assert i.postings.rdd.getNumPartitions() == 12
+    got = search.postings_with_counts(i)
+    assert sorted(map(tuple, got.select("field", "term", "id", "tf", "len", "df").collect())) == want and len(want) == 3000
+    asked = spark.createDataFrame([("q", "part 7"), ("r", "x5")], "qid string, text string")
+    hits = lambda: sorted((r.qid, r.id, round(r.score, 9)) for r in search.bm25_match(i, asked).collect())
+    plan = search.bm25_match(i, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    broadcast = hits()
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
+    assert hits() == broadcast and len(broadcast) >= 600
