@@ -318,7 +318,9 @@ def checkpoint_restore(spark, sf):
     """From a checkpoint on disk and the folders of the journal after it, the graph at three quarters of the time: the same as the whole journal gives."""
     folder, path = scratch(spark, "checkpoints"), scratch(spark, "journal")
     journal.journal_append(events_journal(spark, sf), path, 100)
-    made = snapshot(spark, sf, folder)
+    j, t = events_journal(spark, sf), middle(spark, sf)
+    none = spark.createDataFrame([], "graph string, s string, p string, o string, o_kind string, datatype string, lang string")
+    made = journal.checkpoint(journal.restore_pitr(none, j.where(F.col("at") <= F.lit(t))), folder, "2024-01-01T00:00:00", journal.open_offsets(j, t), "half", t)
     until = load(spark, sf, "events").agg(F.percentile_approx("ts", 0.75, 100_000).alias("t")).first().t
     return journal.restore(spark, folder, made["id"], path, until, 100).select("graph", "o")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,7 +45,7 @@ def journal_append(events: DataFrame, path: str, span: int = SPAN) -> None:
         store.put_json(events.sparkSession, f"{path}/_stretches/{width}.json", {"span": span})
     tasks = max(1, -(-sum(r.n for r in ends) // TASK_EVENTS))
     e = events.withColumn("from", F.expr(f"off - pmod(off, {width})"))
-    e.repartitionByRange(tasks, "part", "off").sortWithinPartitions("part", "from", "off").write.partitionBy("part", "from").mode("append").json(path)
+    e.repartitionByRange(tasks, "part", "off").sortWithinPartitions("part", "from", "off").write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").partitionBy("part", "from").mode("append").json(path)  # the default has milliseconds
 
 
 def journal_read(spark: SparkSession, path: str, since: dict[int, int] | None = None, until=None, span: int | None = None) -> DataFrame:
@@ -89,10 +91,17 @@ def next_offsets(journal: DataFrame) -> dict[int, int]:
     return {r.part: r.next for r in journal.groupBy("part").agg((F.max("off") + 1).alias("next")).collect()}
 
 
-def checkpoint(quads: DataFrame, folder: str, at: str, offsets: dict[int, int] | None, label: str = "") -> dict:
+def open_offsets(journal: DataFrame, upto) -> dict[int, int]:
+    """The first offset of each part that a checkpoint of all events up to a time leaves out; times need not follow offsets. A row a part."""
+    late = F.min(F.when(F.col("at") > F.lit(upto), F.col("off")))
+    return {r.part: r.next for r in journal.groupBy("part").agg(F.coalesce(late, F.max("off") + 1).alias("next")).collect()}
+
+
+def checkpoint(quads: DataFrame, folder: str, at: str, offsets: dict[int, int] | None, label: str = "", upto: datetime | None = None) -> dict:
     """Write a snapshot: facts in files by ranges of graph, so that there are as many as the facts ask for whatever the number of graphs, then its manifest (id, at, label, graphs, triples, offsets), by which it is there or not.
 
     offsets: of the journal, as they were before the facts were read; None if there is no journal, then a restore has no replay.
+    upto: the facts are those of all events up to this time, whatever their offsets (open_offsets); a restore replays later ones alone.
     """
     spark = quads.sparkSession
     name = "cp-" + at.replace(":", "-").replace(".", "-").replace(" ", "-")
@@ -102,6 +111,8 @@ def checkpoint(quads: DataFrame, folder: str, at: str, offsets: dict[int, int] |
     quads.select(*QUAD).distinct().repartitionByRange("graph", "s").sortWithinPartitions("graph", "s").write.mode("overwrite").parquet(f"{path}/facts")
     n = spark.read.schema(QUAD_SCHEMA).parquet(f"{path}/facts").agg(F.count("*").alias("n"), F.countDistinct("graph").alias("g")).first()
     manifest = {"id": name, "at": at, "label": label, "graphs": n.g, "triples": n.n, "offsets": None if offsets is None else {str(p): o for p, o in offsets.items()}}
+    if upto is not None:
+        manifest["upto"] = upto.isoformat()
     store.put_json(spark, f"{path}/manifest.json", manifest)
     return manifest
 
@@ -122,6 +133,8 @@ def restore(spark: SparkSession, folder: str, checkpoint_id: str, journal: str |
     if journal is None or offsets is None:
         return facts
     tail = journal_read(spark, journal, {int(p): o for p, o in offsets.items()}, until, span)
+    if "upto" in found[checkpoint_id]:
+        tail = tail.where(F.col("at") > F.lit(datetime.fromisoformat(found[checkpoint_id]["upto"])))
     return restore_pitr(facts, tail)
 
 

@@ -213,3 +213,15 @@ def test_checkpoint_takes_no_folder_for_a_graph(spark, tmp_path):
     made = journal.checkpoint(quads, folder, "2024-01-01 10:00:00", None)
     assert (made["graphs"], made["triples"]) == (300, 300) and facts(journal.restore(spark, folder, made["id"])) == facts(quads)
     assert len(list((tmp_path / "c" / made["id"] / "facts").rglob("*.parquet"))) <= 8
+
+
+def test_restore_where_times_do_not_follow_offsets(spark, tmp_path):
+    folder, path = f"file://{tmp_path}/c", f"file://{tmp_path}/j"
+    start, rnd = datetime.datetime(2024, 1, 1), random.Random(4)
+    rows = [event(k, rnd.choice(["insert", "insert", "delete", "replace"]), f"g{k % 3}", [(f"s{k % 5}", str(k % 2))], start + datetime.timedelta(seconds=k % 100, microseconds=k)) for k in range(300)]
+    j, t, none = events(spark, rows), start + datetime.timedelta(seconds=50), spark.createDataFrame([], QUAD_SCHEMA)
+    journal.journal_append(j, path, 20)
+    made = journal.checkpoint(journal.restore_pitr(none, j.where(F.col("at") <= F.lit(t))), folder, "2024-01-01", journal.open_offsets(j, t), "", t)
+    assert made["offsets"] == {"0": 50}
+    for until in (start + datetime.timedelta(seconds=75), start + datetime.timedelta(seconds=200)):
+        assert facts(journal.restore(spark, folder, made["id"], path, until, 20)) == facts(journal.restore_pitr(none, j, until))
