@@ -36,8 +36,8 @@ def tasks(df: DataFrame, rows: int) -> int:
     return max(1, -(-df.count() // rows))
 
 
-def dealt(df: DataFrame, *by: str, rows: int | None = None) -> DataFrame:
-    """df by hash of its columns in tasks of about `rows` rows (TASK_FACTS), so that what a task holds doesn't grow with the input.
+def dealt(df: DataFrame, *by: str, rows: int | None = None, n: int | None = None) -> DataFrame:
+    """df by hash of its columns in tasks of about `rows` rows (TASK_FACTS), or in `n` where its rows are known, so that what a task holds doesn't grow with the input.
 
     A small file is one task whatever its rows unfold to, and small shuffle blocks are joined by their compressed bytes,
     which for facts are few: an aggregation of either holds millions of them at once. Grouping by these columns, or by
@@ -45,7 +45,7 @@ def dealt(df: DataFrame, *by: str, rows: int | None = None) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    n = tasks(df, rows or TASK_FACTS)
+    n = n or tasks(df, rows or TASK_FACTS)
     return df.repartition(n, *by) if n > 1 else df
 
 

@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import BROADER, DEPRECATED, FIRST, IN_SCHEME, NIL, PREF, REST, SUBCLASS, TRIPLE, TYPE, of_predicate
+from .. import model
+from ..model import BROADER, DEPRECATED, FIRST, IN_SCHEME, NIL, PREF, REST, SUBCLASS, TRIPLE, TYPE, dealt, of_predicate, tasks
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -91,6 +92,10 @@ class Rule:
     #: For rules that read nothing but their members: their facts from members alone.
     body_of: Callable[[DataFrame], DataFrame] | None = None
 
+    def given(self, facts: DataFrame, focus: DataFrame, n: int = 1) -> DataFrame:
+        """What follows from facts for members that lie in n tasks."""
+        return self.derive(facts, focus)
+
 
 FOCUS = "$this"
 #: Classes below a target up to which they are broadcast.
@@ -113,10 +118,10 @@ def classes_below(facts: DataFrame, target: str, tree: DataFrame) -> DataFrame:
     return F.broadcast(below) if below.count() <= BROADCAST_CLASSES else below.hint("shuffle_merge")
 
 
-def members(facts: DataFrame, target: str, tree: DataFrame, below: DataFrame | None = None) -> DataFrame:
-    """(inst): the members of a class and of its subclasses in the closed tree."""
+def members(facts: DataFrame, target: str, tree: DataFrame, below: DataFrame | None = None, n: int = 1) -> DataFrame:
+    """(inst): the members of a class and of its subclasses in the closed tree, by hash in n tasks (1: as Spark has it)."""
     typed = facts.where((F.col("p") == TYPE) & ~F.col("s").startswith("_:")).select(F.col("s").alias("inst"), "o")
-    return typed.join(classes_below(facts, target, tree) if below is None else below, "o", "left_semi").select("inst").distinct()
+    return dealt(typed.join(classes_below(facts, target, tree) if below is None else below, "o", "left_semi").select("inst"), "inst", n=n).distinct()
 
 
 def intervals(pairs: DataFrame) -> DataFrame:
@@ -171,8 +176,8 @@ class PatternRule(Rule):
     head: tuple[str, str, str, str, str | None] = ("", "", "", "iri", None)
     where: str | None = None
 
-    def matches(self, facts: DataFrame, pattern: Pattern) -> DataFrame:
-        """One row a fact that fits a pattern, a column a variable (for an object, its kind, datatype and language too)."""
+    def matches(self, facts: DataFrame, pattern: Pattern, n: int = 1) -> DataFrame:
+        """One row a fact that fits a pattern, a column a variable (for an object, its kind, datatype and language too); facts of the focus lie as members do."""
         out, seen = [], {}
         for term, c in zip(pattern, "spo"):
             if term == FOCUS or term.startswith("?"):
@@ -186,13 +191,17 @@ class PatternRule(Rule):
                     out += [F.col(k).alias(f"{name}__{k}") for k in ("o_kind", "datatype", "lang")]
             else:
                 facts = facts.where(F.col(c) == term)
-        return facts.select(*out).distinct()
+        found = facts.select(*out)
+        return (dealt(found, "inst", n=n) if pattern[0] == FOCUS else found).distinct()
+
+    def given(self, facts: DataFrame, focus: DataFrame, n: int = 1) -> DataFrame:
+        return self.joined(focus, [facts] * len(self.body), n)
 
-    def joined(self, focus: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    def joined(self, focus: DataFrame, tables: list[DataFrame], n: int = 1) -> DataFrame:
         """Heads of all rows that fit: the focus and each pattern's matches in its own table, joined on the variables they share."""
         out = focus
         for pattern, facts in zip(self.body, tables):
-            found = self.matches(facts, pattern)
+            found = self.matches(facts, pattern, n)
             shared = [c for c in found.columns if c in out.columns and "__" not in c]
             if not shared:
                 raise ValueError(f"{self.name}: {pattern} shares no variable with what stands before it")
@@ -228,16 +237,18 @@ def rules_run(facts: DataFrame, rules: list[Rule], passes: int = 5, count: bool
     Semi-naive: a rule that has run before is run on what came since. Its new members are joined with all facts, then
     all members with the new facts, pattern by pattern (the ones before it with all facts, the ones after with the old),
     so nothing is derived again from old facts alone. Rules given as functions see all facts again where there is
-    something new. A fact that was asserted already counts as derived. Every step's new facts are one checkpoint.
+    something new. A fact that was asserted already counts as derived. Every step's new facts are one checkpoint. Facts and
+    members lie in tasks of TASK_FACTS facts, by subject where a rule reads what its members say, so that a rule on their
+    own facts takes one exchange.
     """
     todo = sorted((r for r in rules if r.active and r.target and r.derive), key=lambda r: (r.order, r.name))
-    base, run = cut(facts.select(*TRIPLE).distinct()), Run()
+    base, run = cut(dealt(facts.select(*TRIPLE), *TRIPLE).distinct()), Run()
     found: list[DataFrame] = []  # new facts of each step that had any
     tree, grown = cut(subclass_closure(base)), 0  # steps that the class tree has seen
     last: dict[str, int] = {}  # steps that each rule has seen
     below: dict[str, DataFrame] = {}  # classes below each target, in the present tree
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    cond = lambda: reduce(lambda x, y: x & y, [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in TRIPLE])
+    held = base.count()
     for run.passes in range(1, passes + 1):
         added = 0
         for k, r in enumerate(todo):
@@ -253,26 +264,30 @@ def rules_run(facts: DataFrame, rules: list[Rule], passes: int = 5, count: bool
             grown = len(found)
             if r.target not in below:
                 below[r.target] = classes_below(base, r.target, tree)
+            n = max(1, -(-held // model.TASK_FACTS))
             if before is None or (not isinstance(r, PatternRule) and r.body_of is None):
-                new = r.derive(union(now), members(union(now), r.target, tree, below[r.target]))
+                new = r.given(union(now), members(union(now), r.target, tree, below[r.target], n), n)
             else:
                 old, delta = union(now[: before + 1]), union(now[before + 1 :])
-                focus, fresh = (members(d, r.target, tree, below[r.target]) for d in (old, delta))
+                both, fresh = (members(d, r.target, tree, below[r.target], n) for d in (union(now), delta))
                 if not isinstance(r, PatternRule):
                     new = r.body_of(fresh)
                 else:
-                    parts = [r.joined(fresh, [union(now)] * len(r.body))]
-                    both = focus.union(fresh).distinct()
-                    parts += [r.joined(both, [union(now)] * i + [delta] + [old] * (len(r.body) - i - 1)) for i in range(len(r.body))]
+                    parts = [r.joined(fresh, [union(now)] * len(r.body), n)]
+                    parts += [r.joined(both, [union(now)] * i + [delta] + [old] * (len(r.body) - i - 1), n) for i in range(len(r.body))]
                     new = union(parts)
-            new = new.select(*TRIPLE).distinct()
-            fresh = new.alias("n").join(union([d.select(*TRIPLE) for d in found]).alias("k").hint("shuffle_merge"), cond(), "left_anti") if found else new
+            new = new.select(*TRIPLE)
+            fresh = new.distinct()
+            if found:  # one aggregation for both sides
+                sides = union([new.withColumn("known", F.lit(0)), *[d.select(*TRIPLE, F.lit(1).alias("known")) for d in found]])
+                fresh = dealt(sides, *TRIPLE, n=n).groupBy(*TRIPLE).agg(F.max("known").alias("known")).where("known = 0").select(*TRIPLE)
             step = cut(fresh.withColumn("rule", F.lit(r.name)).withColumn("pass", F.lit(run.passes)))
-            n = step.count()
-            run.steps.append((run.passes, r.name, new.count() if count else None, n))
-            if n:
+            more = step.count()
+            run.steps.append((run.passes, r.name, new.distinct().count() if count else None, more))
+            if more:
                 found.append(step)
-                added += n
+                added += more
+                held += more
         if not added:
             break
     return union(found) if found else base.limit(0).withColumn("rule", F.lit("")).withColumn("pass", F.lit(0)), run
@@ -286,13 +301,16 @@ def rules_materialize(facts: DataFrame, rules: list[Rule], passes: int = 5) -> t
 
 def rules_explain(facts: DataFrame, rules: list[Rule], triples: DataFrame) -> DataFrame:
     """(s, p, o, rules) of the given triples: all rules that derive exactly each."""
-    out, tree = None, cut(subclass_closure(facts))
+    out, tree, n = None, cut(subclass_closure(facts)), tasks(facts, model.TASK_FACTS)
     for r in rules:
         if r.active and r.target and r.derive:
-            focus = members(facts, r.target, tree)
-            part = r.derive(facts, focus).select("s", "p", "o").distinct().withColumn("rule", F.lit(r.name))
+            focus = members(facts, r.target, tree, n=n)
+            part = r.given(facts, focus, n).select("s", "p", "o").distinct().withColumn("rule", F.lit(r.name))
             out = part if out is None else out.unionByName(part)
-    return triples.select("s", "p", "o").distinct().join(out.hint("shuffle_merge"), ["s", "p", "o"]).groupBy("s", "p", "o").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+    asked = triples.select("s", "p", "o").dropna().select("*", F.lit(None).cast("string").alias("rule"), F.lit(True).alias("asked"))
+    both = dealt(out.withColumn("asked", F.lit(False)).unionByName(asked), "s", "p", "o", n=n)  # one aggregation for both sides
+    found = both.groupBy("s", "p", "o").agg(F.max("asked").alias("asked"), F.array_sort(F.collect_set("rule")).alias("rules"))
+    return found.where("asked and size(rules) > 0").drop("asked")
 
 
 def concept_rows(quads: DataFrame, scheme: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import model
 from ..functions import scalars as S
-from ..model import ALT, BROADER, DATA, DEFINITION, DEPRECATED, FIRST, GRAPH, IN_SCHEME, NIL, NS, PREF, REST, SH, SKOS, SUBCLASS, TOP_OF, TYPE, XSD, fact, facts
+from ..model import ALT, BROADER, DATA, DEFINITION, DEPRECATED, FIRST, GRAPH, IN_SCHEME, NIL, NS, PREF, REST, SH, SKOS, SUBCLASS, TOP_OF, TYPE, XSD, dealt, fact, facts
 from ..operators import algebra, closure, graph, select, validate
 from ..plans import meta
 from ..plans.meta import TABLES, load, sql_instances
@@ -66,7 +67,7 @@ def part_classes(spark, sf):
     p = load(spark, sf, "part")
     cls = F.concat(F.lit(NS + "type/"), S.slug(F.col("p_type")))
     last = F.concat(F.lit(NS + "kind/"), S.slug(F.element_at(F.split("p_type", " "), -1)))
-    t = facts(p, GRAPH + "supply", meta.subject(TABLES["part"]), fact(TYPE, cls, "iri"))
+    t = facts(dealt(p, "p_partkey", rows=model.TASK_ROWS), GRAPH + "supply", meta.subject(TABLES["part"]), fact(TYPE, cls, "iri"))
     sub = facts(p.select("p_type").distinct(), GRAPH + "types", cls, fact(SUBCLASS, last, "iri"))
     top = facts(p.select(F.element_at(F.split("p_type", " "), -1).alias("k")).distinct(), GRAPH + "types", F.concat(F.lit(NS + "kind/"), S.slug(F.col("k"))), fact(SUBCLASS, F.lit(NS + "Part"), "iri"))
     return t.unionByName(sub).unionByName(top)

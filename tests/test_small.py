@@ -361,6 +361,32 @@ def test_facts_are_dealt_to_bounded_tasks(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"file://{tmp_path}/store").count() == 4000 and len(list((tmp_path / "store").rglob("*.parquet"))) > 15
 
 
+def test_rules_run_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    from semlake import model
+    from semlake.registry import graphs
+
+    rows = [(k, f"p{k}", "b", "LARGE TIN" if k % 3 else "SMALL BRASS", k % 50, 1.0) for k in range(1000)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
+    sf, want = f"file://{tmp_path}", {f"{meta.DATA}part/{k}" for k in range(1000) if k % 50 > 25}
+    assert {r.s for r in graphs.rule_pattern(spark, sf).collect()} == want
+    held, cut = [], closure.cut
+
+    def seen(df):
+        out = cut(df)
+        held.append([n for _, n in sorted(out.groupBy(F.spark_partition_id()).count().collect())])
+        return out
+
+    monkeypatch.setattr(model, "TASK_ROWS", 100)
+    monkeypatch.setattr(model, "TASK_FACTS", 200)
+    assert max(r["count"] for r in graphs.part_classes(spark, sf).where(F.col("p") == TYPE).groupBy(F.spark_partition_id()).count().collect()) < 200
+    monkeypatch.setattr(closure, "cut", seen)
+    got = graphs.rule_pattern(spark, sf)
+    assert got.rdd.getNumPartitions() > 30 and {r.s for r in got.collect()} == want and got.count() == len(want)
+    assert sum(held[0]) > 7000 and max(held[0]) < 400  # the facts that the rules start from
+    explained = graphs.rules_explain(spark, sf)
+    assert explained.rdd.getNumPartitions() > 4 and {r.s for r in explained.collect()} == want and explained.count() == len(want)
+
+
 def test_index_is_built_in_bounded_tasks_and_frequent_terms_stay_put(spark, monkeypatch):
     rows = [(f"d{k:04}", f"part {k % 90}", f"part {k % 90} x{k}") for k in range(600)]
     want = sorted(map(tuple, search.postings_with_counts(plain_docs(spark, rows)).select("field", "term", "id", "tf", "len", "df").collect()))
