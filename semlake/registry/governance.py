@@ -282,7 +282,7 @@ def journal_read(spark, sf):
 
 
 def middle(spark, sf):
-    return load(spark, sf, "events").agg(F.percentile_approx("ts", 0.5, 100_000).alias("t")).first().t
+    return journal.moment(load(spark, sf, "events"), "ts", 0.5)
 
 
 @query("restore_pitr", f"WITH {JOURNAL} SELECT * FROM {fold_sql('true')}")

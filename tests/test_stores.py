@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from semlake import registry
 from semlake.model import JOURNAL_SCHEMA, QUAD_SCHEMA, SUBCLASS, TYPE
 from semlake.operators import closure, match, search, segments
 from semlake.sources import store
@@ -225,3 +226,25 @@ def test_restore_where_times_do_not_follow_offsets(spark, tmp_path):
     assert made["offsets"] == {"0": 50}
     for until in (start + datetime.timedelta(seconds=75), start + datetime.timedelta(seconds=200)):
         assert facts(journal.restore(spark, folder, made["id"], path, until, 20)) == facts(journal.restore_pitr(none, j, until))
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_moment_counts_rows(spark, monkeypatch, kind):
+    monkeypatch.setattr(journal, "RANGES", 64)
+    start = datetime.datetime(1969, 12, 31, 23, 59)  # before and after 1970
+    d = spark.range(0, 10_007, 1, 4).selectExpr(f"cast(timestamp_micros(-60000000 + id * 7919 % 10007 * 10001) as {kind}) as t")
+    for share in (0, 0.1, 0.5, 1):
+        place = max(1, -(-10_007 * int(share * 10) // 10)) - 1
+        assert journal.moment(d, "t", share) == start + datetime.timedelta(microseconds=10_001 * place)
+    same = spark.createDataFrame([(start + datetime.timedelta(seconds=k),) for k in [5] * 40 + [6] * 10 + [7] * 50] + [(None,)] * 30, "t timestamp").selectExpr(f"cast(t as {kind}) as t")  # times repeated, and none
+    assert [(journal.moment(same, "t", s) - start).seconds for s in (0.4, 0.41, 0.5, 0.51)] == [5, 6, 6, 7]
+    assert journal.moment(same.where("t is null"), "t", 0.5) is None
+
+
+def test_checkpoint_ends_at_the_exact_median(spark, tmp_path):
+    """Every event is a fact of its own, so a time that is one row off shows."""
+    n = 1_000_003
+    e = spark.range(0, n, 1, 8).selectExpr("id as event_id", f"cast(timestamp_micros(1704067200000000 + id * 7919 % {n} * 2001001) as timestamp_ntz) as ts", "id as user_id", "'view' as event_type", "1.0D as value", "'{\"k\": 3}' as props")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    rows = registry.QUERIES["checkpoint"](spark, str(tmp_path)).groupBy("triples").count().collect()
+    assert [(r.triples, r["count"]) for r in rows] == [(500_002, 500_002)]
