@@ -321,7 +321,7 @@ def checkpoint_restore(spark, sf):
     j, t = events_journal(spark, sf), middle(spark, sf)
     none = spark.createDataFrame([], "graph string, s string, p string, o string, o_kind string, datatype string, lang string")
     made = journal.checkpoint(journal.restore_pitr(none, j.where(F.col("at") <= F.lit(t))), folder, "2024-01-01T00:00:00", journal.open_offsets(j, t), "half", t)
-    until = load(spark, sf, "events").agg(F.percentile_approx("ts", 0.75, 100_000).alias("t")).first().t
+    until = journal.moment(load(spark, sf, "events"), "ts", 0.75)
     return journal.restore(spark, folder, made["id"], path, until, 100).select("graph", "o")
 
 

@@ -241,10 +241,18 @@ def test_moment_counts_rows(spark, monkeypatch, kind):
     assert journal.moment(same.where("t is null"), "t", 0.5) is None
 
 
-def test_checkpoint_ends_at_the_exact_median(spark, tmp_path):
-    """Every event is a fact of its own, so a time that is one row off shows."""
-    n = 1_000_003
+def separate_events(spark, path, n=1_000_003):
+    """Events at times of their own in any order, each a fact of its own, so that a time that is one row off shows."""
     e = spark.range(0, n, 1, 8).selectExpr("id as event_id", f"cast(timestamp_micros(1704067200000000 + id * 7919 % {n} * 2001001) as timestamp_ntz) as ts", "id as user_id", "'view' as event_type", "1.0D as value", "'{\"k\": 3}' as props")
-    e.write.parquet(f"{tmp_path}/events.parquet")
+    e.write.parquet(f"{path}/events.parquet")
+
+
+def test_checkpoint_ends_at_the_exact_median(spark, tmp_path):
+    separate_events(spark, tmp_path)
     rows = registry.QUERIES["checkpoint"](spark, str(tmp_path)).groupBy("triples").count().collect()
     assert [(r.triples, r["count"]) for r in rows] == [(500_002, 500_002)]
+
+
+def test_checkpoint_restore_ends_at_the_exact_time(spark, tmp_path):
+    separate_events(spark, tmp_path)
+    assert registry.QUERIES["checkpoint_restore"](spark, str(tmp_path)).count() == 750_003
